@@ -141,3 +141,146 @@ FROM fx_uploads u"""))
 def q_source_gate(spark, sf):
     return intake.source_gate(fx.uploads(spark, sf).select("seq", "tenant_id", "source_id"),
                               fx.sources(spark, sf)).select("seq", "tenant_id", "source_id", "source_ok")
+
+
+# ====================================================================== I7-I12
+from quarry.operators import profile as prof  # noqa: E402
+from quarry.operators import raw  # noqa: E402
+from quarry.sources import delimited  # noqa: E402
+from quarry.sources.dispatch import parse_files, split_parsed  # noqa: E402
+
+
+def _records_of(files: DataFrame) -> DataFrame:
+    recs, _ = split_parsed(parse_files(files))
+    return recs.select(F.col("file_id").cast("long").alias("file_id"), "record_number", "payload")
+
+
+@query("detect_delimiter", with_fx(["fx_csv"], """
+SELECT file_id, CASE WHEN c >= t AND c >= s THEN ',' WHEN t >= s THEN chr(9) ELSE ';' END AS delimiter
+FROM (SELECT file_id, length(l) - length(replace(l, ',', '')) AS c,
+        length(l) - length(replace(l, chr(9), '')) AS t, length(l) - length(replace(l, ';', '')) AS s
+      FROM (SELECT file_id, regexp_extract(content, '^([^\\n]*?)(\\r?\\n|$)', 1) AS l FROM fx_csv))"""))
+def q_detect_delimiter(spark, sf):
+    return fx.csv_files(spark, sf).select("file_id", delimited.detect_delimiter(F.col("content")).alias("delimiter"))
+
+
+_ORDERS_RECORDS_SQL = """
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey)::BIGINT AS record_number,
+  json_object('o_orderkey', t_orderkey, 'o_custkey', t_custkey, 'o_orderstatus', t_orderstatus,
+              'o_totalprice', t_totalprice, 'o_orderdate', t_orderdate,
+              'o_orderpriority', CASE WHEN o_orderkey % 7 = 0 THEN t_orderpriority || '"x' ELSE t_orderpriority END
+  )::VARCHAR AS payload
+FROM fx_order_text"""
+
+_EVENTS_RECORDS_SQL = """
+SELECT event_id // 100 AS file_id, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id)::BIGINT AS record_number,
+  CASE WHEN event_id % 10 = 0 THEN '{"value":' || event_id::VARCHAR || '}'
+       ELSE json_object('event_id', event_id, 'event_type', event_type)::VARCHAR END AS payload
+FROM events"""
+
+
+@query("parse_delimited", with_fx(["fx_order_text"], _ORDERS_RECORDS_SQL))
+def q_parse_delimited(spark, sf):
+    return _records_of(fx.csv_files(spark, sf))
+
+
+@query("parse_json", _EVENTS_RECORDS_SQL)
+def q_parse_json(spark, sf):
+    return _records_of(fx.json_files(spark, sf))
+
+
+@query("workbook_rows", """
+SELECT s_suppkey // 100 AS file_id, row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey)::BIGINT AS record_number,
+  json_object('s_suppkey', s_suppkey::VARCHAR, 's_name', s_name, 's_nationkey', s_nationkey::VARCHAR,
+              's_acctbal', CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal::DECIMAL(18,2)::VARCHAR END)::VARCHAR AS payload
+FROM supplier""")
+def q_workbook_rows(spark, sf):
+    return _records_of(fx.workbook_files(spark, sf))
+
+
+def _doc_files(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    ext = F.when(F.col("doc_id") % 4 == 0, F.lit(".pdf")).otherwise(F.lit(".txt"))
+    return d.select(F.col("doc_id").alias("file_id"),
+                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext).alias("filename"),
+                    F.col("text").cast("binary").alias("content"))
+
+
+@query("text_artifact", """
+SELECT doc_id AS file_id, 1::BIGINT AS record_number,
+  json_object('extracted_text', regexp_replace(text, '^\\x{FEFF}', ''))::VARCHAR AS payload
+FROM documents WHERE doc_id % 4 = 0""")
+def q_text_artifact(spark, sf):
+    return _records_of(_doc_files(spark, sf).filter(F.col("file_id") % 4 == 0))
+
+
+@query("parse_dispatch", with_fx(["fx_order_text"], f"""
+SELECT 'csv' AS lane, file_id, record_number, payload, NULL::VARCHAR AS error FROM ({_ORDERS_RECORDS_SQL})
+UNION ALL SELECT 'json', file_id, record_number, payload, NULL FROM ({_EVENTS_RECORDS_SQL})
+UNION ALL SELECT 'doc', doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 END,
+  CASE WHEN doc_id % 4 = 0 THEN json_object('extracted_text', regexp_replace(text, '^\\x{{FEFF}}', ''))::VARCHAR END,
+  CASE WHEN doc_id % 4 <> 0 THEN 'Unsupported parser: .txt' END
+FROM documents"""))
+def q_parse_dispatch(spark, sf):
+    files = (fx.csv_files(spark, sf).select(F.lit("csv").alias("lane"), "file_id", "filename", F.col("content").cast("binary").alias("content"))
+             .unionByName(fx.json_files(spark, sf).select(F.lit("json").alias("lane"), "file_id", "filename", F.col("content").cast("binary").alias("content")))
+             .unionByName(_doc_files(spark, sf).select(F.lit("doc").alias("lane"), "file_id", "filename", "content")))
+    keyed = files.withColumn("file_id", F.concat_ws(":", "lane", F.col("file_id").cast("string")))
+    parsed = parse_files(keyed)
+    parts = F.split(F.col("file_id"), ":")
+    return parsed.select(parts[0].alias("lane"), parts[1].cast("long").alias("file_id"),
+                         "record_number", "payload", "error")
+
+
+# ====================================================================== R
+@query("snapshot_versions", with_fx(["fx_snap"], """
+SELECT b.tenant_id, b.source_file_id, b.seq,
+  (coalesce(p.n, 0) + row_number() OVER (PARTITION BY b.source_file_id ORDER BY b.seq))::BIGINT AS snapshot_version
+FROM (SELECT * FROM fx_snap WHERE seq % 4 <> 0) b
+LEFT JOIN (SELECT source_file_id, count(*) AS n FROM fx_snap WHERE seq % 4 = 0 GROUP BY ALL) p
+  ON b.source_file_id = p.source_file_id"""))
+def q_snapshot_versions(spark, sf):
+    s = fx.snapshots(spark, sf)
+    out = raw.snapshot_versions(s.filter(F.col("seq") % 4 != 0), s.filter(F.col("seq") % 4 == 0))
+    return out.select("tenant_id", "source_file_id", "seq", "snapshot_version")
+
+
+_KEYS_SQL = "(SELECT snapshot_id, list_sort(list(DISTINCT k)) AS cols FROM (SELECT snapshot_id, unnest(json_keys(payload)) AS k FROM fx_records) GROUP BY ALL)"
+
+
+@query("schema_hash", with_fx(["fx_records"], f"""
+SELECT snapshot_id, to_json(cols)::VARCHAR AS columns_json, sha256(to_json(cols)::VARCHAR) AS schema_hash FROM {_KEYS_SQL}"""))
+def q_schema_hash(spark, sf):
+    return raw.column_union(fx.records(spark, sf)).select("snapshot_id", "columns_json", "schema_hash")
+
+
+@query("raw_snapshot", with_fx(["fx_records"], f"""
+SELECT r.snapshot_id, r.record_count, sha256(to_json(k.cols)::VARCHAR) AS schema_hash,
+  'v6-parser-1' AS parser_version, 'COMPLETE' AS status
+FROM (SELECT snapshot_id, count(*) AS record_count FROM fx_records GROUP BY ALL) r JOIN {_KEYS_SQL} k USING (snapshot_id)"""))
+def q_raw_snapshot(spark, sf):
+    return raw.build_snapshots(fx.records(spark, sf))
+
+
+@query("record_limit", with_fx(["fx_records"], """
+SELECT snapshot_id, count(*) AS record_count,
+  CASE WHEN count(*) > 25 THEN 'REJECTED' ELSE 'ACCEPTED' END AS status,
+  CASE WHEN count(*) > 25 THEN 'RAW record limit exceeded' END AS reason
+FROM fx_records GROUP BY snapshot_id"""))
+def q_record_limit(spark, sf):
+    _, verdicts = raw.record_limit(fx.records(spark, sf), 25)
+    return verdicts
+
+
+@query("latest_snapshot", with_fx(["fx_snap"], """
+SELECT tenant_id, source_file_id, max(seq) AS seq, count(*)::BIGINT AS snapshot_version
+FROM fx_snap GROUP BY ALL"""))
+def q_latest_snapshot(spark, sf):
+    s = raw.snapshot_versions(fx.snapshots(spark, sf))
+    return raw.latest_snapshot(s.select("tenant_id", "source_file_id", "seq", "snapshot_version"))
+
+
+@query("ordered_records", with_fx(["fx_records"], """
+SELECT record_number, payload FROM fx_records WHERE tenant_id = 't0' AND snapshot_id = 'Brand#1/0'"""))
+def q_ordered_records(spark, sf):
+    return raw.ordered_records(fx.records(spark, sf), "t0", "Brand#1/0").select("record_number", "payload")

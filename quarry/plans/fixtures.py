@@ -109,7 +109,7 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = lines.groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("ls"),
         F.first("delim").alias("delim"), F.first("eol").alias("eol"))
-    header = F.concat(F.array_join(F.array(*[F.lit(c) for c in ORDER_COLS]), F.col("delim")), F.col("eol"))
+    header = F.concat(_csv_line([F.lit(c) for c in ORDER_COLS], F.col("delim")), F.col("eol"))
     ext = F.when(fid % 6 == 1, F.lit(".tsv")).otherwise(F.lit(".csv"))
     return body.select(
         F.concat(F.lit("orders_"), fid.cast("string"), ext).alias("filename"),

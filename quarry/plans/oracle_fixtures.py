@@ -46,13 +46,16 @@ FROM orders""",
     "fx_csv": """
 SELECT 'orders_' || file_id::VARCHAR || CASE WHEN file_id % 6 = 1 THEN '.tsv' ELSE '.csv' END AS filename,
   file_id,
-  array_to_string(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority'], d) || eol
-  || string_agg(t_orderkey || d || t_custkey || d || t_orderstatus || d || t_totalprice || d || t_orderdate || d
-       || CASE WHEN o_orderkey % 7 = 0 THEN '"' || t_orderpriority || '""x"' ELSE '"' || t_orderpriority || '"' END
-       || eol || CASE WHEN o_orderkey % 9 = 0 THEN eol ELSE '' END, '' ORDER BY o_orderkey) AS content
-FROM (SELECT *, CASE file_id % 3 WHEN 0 THEN ',' WHEN 1 THEN chr(9) ELSE ';' END AS d,
-             CASE WHEN file_id % 2 = 1 THEN chr(13) || chr(10) ELSE chr(10) END AS eol
-      FROM fx_order_text)
+  'o_orderkey' || d || 'o_custkey' || d || 'o_orderstatus' || d || 'o_totalprice' || d || 'o_orderdate' || d
+  || 'o_orderpriority' || eol
+  || array_to_string(list(line ORDER BY o_orderkey), '') AS content
+FROM (SELECT file_id, d, eol, o_orderkey,
+        t_orderkey || d || t_custkey || d || t_orderstatus || d || t_totalprice || d || t_orderdate || d
+        || CASE WHEN o_orderkey % 7 = 0 THEN '"' || t_orderpriority || '""x"' ELSE '"' || t_orderpriority || '"' END
+        || eol || CASE WHEN o_orderkey % 9 = 0 THEN eol ELSE '' END AS line
+      FROM (SELECT *, CASE file_id % 3 WHEN 0 THEN ',' WHEN 1 THEN chr(9) ELSE ';' END AS d,
+                   CASE WHEN file_id % 2 = 1 THEN chr(13) || chr(10) ELSE chr(10) END AS eol
+            FROM fx_order_text))
 GROUP BY file_id, d, eol""",
     "fx_records": """
 SELECT 't' || ((p_partkey // 500) % 3)::VARCHAR AS tenant_id,
