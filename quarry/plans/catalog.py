@@ -284,3 +284,379 @@ def q_latest_snapshot(spark, sf):
 SELECT record_number, payload FROM fx_records WHERE tenant_id = 't0' AND snapshot_id = 'Brand#1/0'"""))
 def q_ordered_records(spark, sf):
     return raw.ordered_records(fx.records(spark, sf), "t0", "Brand#1/0").select("record_number", "payload")
+
+
+# ====================================================================== P
+_CELLS_SQL = """
+keys AS (SELECT snapshot_id, record_number, unnest(json_keys(payload)) AS k,
+           generate_subscripts(json_keys(payload), 1) AS pos FROM fx_records),
+ord AS (SELECT snapshot_id, k AS column_name,
+          row_number() OVER (PARTITION BY snapshot_id ORDER BY min(record_number * 100000 + pos))::BIGINT AS position
+        FROM keys GROUP BY snapshot_id, k),
+cells AS (SELECT r.snapshot_id, r.record_number, o.column_name,
+            list_contains(json_keys(r.payload), o.column_name) AS present,
+            json_extract(r.payload, '$."' || o.column_name || '"') AS v
+          FROM fx_records r JOIN ord o USING (snapshot_id)),
+cells2 AS (SELECT *, json_type(v) AS t,
+             NOT (present AND (json_type(v) = 'NULL' OR (json_type(v) = 'VARCHAR' AND json_extract_string(v, '$') = ''))) AS inc
+           FROM cells)"""
+
+
+@query("column_order", with_fx(["fx_records"], "WITH " + _CELLS_SQL.split("cells AS")[0].rstrip().rstrip(",") + """
+SELECT snapshot_id, column_name, position FROM ord"""))
+def q_column_order(spark, sf):
+    return prof.column_order(fx.records(spark, sf))
+
+
+@query("column_stats", with_fx(["fx_records"], "WITH " + _CELLS_SQL + """
+SELECT snapshot_id, column_name, count(*)::BIGINT AS row_count, count(*) FILTER (WHERE inc)::BIGINT AS non_null,
+  count(DISTINCT CASE WHEN inc THEN CASE WHEN NOT present THEN 'undefined' WHEN t = 'VARCHAR' THEN json_extract_string(v, '$')
+                                        WHEN t = 'OBJECT' THEN '[object Object]' ELSE v::VARCHAR END END)::BIGINT AS distinct_count,
+  1 - count(*) FILTER (WHERE inc) / count(*) AS null_rate
+FROM cells2 GROUP BY ALL"""))
+def q_column_stats(spark, sf):
+    p = prof.profile(fx.records(spark, sf))
+    return prof.column_stats(p["cells"])
+
+
+@query("column_examples", with_fx(["fx_records"], "WITH " + _CELLS_SQL + """
+SELECT snapshot_id, column_name, example_rank, example_json FROM (
+  SELECT snapshot_id, column_name,
+    row_number() OVER (PARTITION BY snapshot_id, column_name ORDER BY record_number)::BIGINT AS example_rank,
+    CASE WHEN present THEN v::VARCHAR ELSE 'null' END AS example_json
+  FROM cells2 WHERE inc) WHERE example_rank <= 3"""))
+def q_column_examples(spark, sf):
+    p = prof.profile(fx.records(spark, sf))
+    return prof.column_examples(p["cells"], 3)
+
+
+_SCORES_SQL = """
+scores AS (SELECT snapshot_id,
+  count(*) FILTER (WHERE regexp_matches(column_name, '(?i)article|sku|reference|designation|barcode|ean'))::BIGINT AS article,
+  count(*) FILTER (WHERE regexp_matches(column_name, '(?i)client|customer|siren|siret|vat'))::BIGINT AS customer,
+  count(*) FILTER (WHERE regexp_matches(column_name, '(?i)supplier|fournisseur|siren|siret'))::BIGINT AS supplier
+  FROM {src} GROUP BY snapshot_id),
+dec AS (SELECT *, greatest(article, customer, supplier) AS top,
+  CASE WHEN greatest(article, customer, supplier) = article THEN greatest(customer, supplier)
+       WHEN greatest(article, customer, supplier) = customer THEN greatest(article, supplier)
+       ELSE greatest(article, customer) END AS second FROM scores),
+dec2 AS (SELECT snapshot_id, article, customer, supplier,
+  CASE WHEN top >= 2 AND top > second THEN CASE WHEN top = article THEN 'ARTICLE' WHEN top = customer THEN 'CUSTOMER' ELSE 'SUPPLIER' END
+       ELSE 'UNKNOWN' END AS domain,
+  CASE WHEN top >= 3 AND top > second THEN 'HIGH' WHEN top >= 2 AND top > second THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+  FROM dec)"""
+
+
+@query("domain_scores", with_fx(["fx_columns"], "WITH " + _SCORES_SQL.format(src="fx_columns").split("dec AS")[0].rstrip().rstrip(",") + """
+SELECT * FROM scores"""))
+def q_domain_scores(spark, sf):
+    return prof.domain_scores(fx.columns(spark, sf))
+
+
+@query("domain_decision", with_fx(["fx_columns"], "WITH " + _SCORES_SQL.format(src="fx_columns") + """
+SELECT * FROM dec2"""))
+def q_domain_decision(spark, sf):
+    return prof.domain_decision(prof.domain_scores(fx.columns(spark, sf)))
+
+
+@query("profile_report", with_fx(["fx_records"], "WITH " + _CELLS_SQL.split("cells AS")[0].rstrip().rstrip(",") + ",\n"
+       + _SCORES_SQL.format(src="ord") + """
+SELECT r.snapshot_id, d.domain, d.confidence, r.row_count, l.column_count, l.columns,
+  '{"ARTICLE":' || d.article::VARCHAR || ',"CUSTOMER":' || d.customer::VARCHAR || ',"SUPPLIER":' || d.supplier::VARCHAR || '}' AS candidates
+FROM (SELECT snapshot_id, count(*)::BIGINT AS row_count FROM fx_records GROUP BY ALL) r
+JOIN (SELECT snapshot_id, count(*)::BIGINT AS column_count, to_json(list(column_name ORDER BY position))::VARCHAR AS columns
+      FROM ord GROUP BY ALL) l USING (snapshot_id)
+JOIN dec2 d USING (snapshot_id)"""))
+def q_profile_report(spark, sf):
+    return prof.profile_report(fx.records(spark, sf))
+
+
+# ====================================================================== N
+from quarry.functions import rules as nrules  # noqa: E402
+from quarry.functions import text as ntext  # noqa: E402
+from quarry.plans.oracle_fixtures import WS  # noqa: E402
+
+
+def _docs(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _norm_query(name: str, fn, sql_expr: str):
+    @query(name, f"SELECT doc_id, {sql_expr} AS value FROM documents")
+    def q(spark, sf):
+        return _docs(spark, sf).select("doc_id", fn(F.col("text")).alias("value"))
+    return q
+
+
+def _collapse_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'), ' ')"
+
+
+_norm_query("norm_trim", ntext.js_trim, js_trim("text"))
+_norm_query("norm_lowercase", ntext.lowercase, "lower(text)")
+_norm_query("norm_uppercase", ntext.uppercase, "upper(replace(text, 'ß', 'SS'))")
+_norm_query("norm_collapse", ntext.collapse_whitespace, _collapse_sql("text"))
+_norm_query("norm_strip_diacritics", ntext.strip_diacritics, "strip_accents(text)")
+_norm_query("norm_identifier", ntext.identifier_compact, "upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))")
+
+CHAIN = ["collapse_whitespace", "strip_diacritics", "uppercase", "trim"]
+
+
+@query("norm_chain", f"""
+SELECT p_partkey, {js_trim("upper(strip_accents(" + _collapse_sql("p_name") + "))")} AS value FROM part""")
+def q_norm_chain(spark, sf):
+    p = fx.table(spark, sf, "part")
+    return p.select("p_partkey", nrules.chain(F.col("p_name"), CHAIN).alias("value"))
+
+
+FIELD_RULES = {"reference": ["trim", "uppercase"], "designation": ["collapse_whitespace"],
+               "ean": ["identifier_compact"]}
+
+
+def _explode_payload(df: DataFrame, col: str) -> DataFrame:
+    m = nrules.payload_map(F.col(col))
+    return df.select("snapshot_id", "record_number", F.explode(m).alias("field", "v")).select(
+        "snapshot_id", "record_number", "field", F.to_json("v").alias("value_json"))
+
+
+@query("norm_payload", with_fx(["fx_records"], f"""
+SELECT snapshot_id, record_number, 'reference' AS field, to_json(upper({js_trim('ref')}))::VARCHAR AS value_json FROM fx_records
+UNION ALL SELECT snapshot_id, record_number, 'designation', to_json({_collapse_sql('des')})::VARCHAR FROM fx_records
+UNION ALL SELECT snapshot_id, record_number, 'ean',
+  CASE WHEN p_partkey % 5 = 0 THEN 'null' WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR
+       ELSE to_json(upper(regexp_replace(p_size::VARCHAR, '[^A-Za-z0-9]', '', 'g')))::VARCHAR END
+FROM fx_records WHERE p_partkey % 3 <> 0"""))
+def q_norm_payload(spark, sf):
+    n = nrules.normalize_payload(fx.records(spark, sf), FIELD_RULES)
+    return _explode_payload(n, "normalized_payload")
+
+
+# ====================================================================== E
+from quarry.operators import entity  # noqa: E402
+
+IDENTITY_FIELDS = ["reference", "ean"]
+
+
+@query("identity_projection", with_fx(["fx_records"], """
+SELECT snapshot_id, record_number, 'reference' AS field, to_json(ref)::VARCHAR AS value_json FROM fx_records
+UNION ALL SELECT snapshot_id, record_number, 'ean',
+  CASE WHEN p_partkey % 5 = 0 THEN 'null' WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '"' || p_size::VARCHAR || '"' END
+FROM fx_records WHERE p_partkey % 3 <> 0"""))
+def q_identity_projection(spark, sf):
+    ids = entity.identity_projection(fx.records(spark, sf), IDENTITY_FIELDS)
+    return _explode_payload(ids, "identity_payload")
+
+
+# ---------------------------------------------------------------- E2-E6
+from quarry.operators import ledger  # noqa: E402
+from quarry.plans import pipeline as pl  # noqa: E402
+
+PIPELINE_CONFIG = {"identity_fields": ["reference"], "field_rules": FIELD_RULES}
+_CFG = ledger.config_snapshot(PIPELINE_CONFIG)
+
+
+def _enriched_records(spark, sf):
+    r = fx.records(spark, sf)
+    return (r.withColumn("source_record_id", entity.record_id(F.col("snapshot_id"), F.col("record_number")))
+             .withColumn("run_id", pl.run_id_col(_CFG["configuration_hash"])))
+
+
+def _entities(spark, sf):
+    r = _enriched_records(spark, sf)
+    rep = prof.profile_report(r.select("snapshot_id", "record_number", "payload"))
+    return entity.build_entities(r.join(rep.select("snapshot_id", "domain"), "snapshot_id"), PIPELINE_CONFIG)
+
+
+_IDS_SQL = f"""
+ids AS (SELECT *, sha256('record|' || snapshot_id || '|' || record_number::VARCHAR) AS source_record_id,
+          sha256('run|' || tenant_id || '|' || source_file_id || '|' || snapshot_id || '|{_CFG['configuration_hash']}') AS run_id
+        FROM fx_records),
+ents AS (SELECT ids.*, d.domain, sha256('entity|' || run_id || '|' || source_record_id || '|1') AS entity_id,
+  '{{"reference":' || to_json(upper({js_trim('ref')}))::VARCHAR || ',"designation":' || to_json({_collapse_sql('des')})::VARCHAR ||
+  CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN ',"ean":null'
+       WHEN p_partkey % 2 = 0 THEN ',"ean":' || p_size::VARCHAR
+       ELSE ',"ean":' || to_json(upper(regexp_replace(p_size::VARCHAR, '[^A-Za-z0-9]', '', 'g')))::VARCHAR END || '}}' AS normalized_payload,
+  '{{"reference":' || to_json(ref)::VARCHAR || '}}' AS identity_payload
+  FROM ids JOIN dec2 d USING (snapshot_id))"""
+
+_ENT_SQL = ("WITH " + _CELLS_SQL.split("cells AS")[0].rstrip().rstrip(",") + ",\n" + _SCORES_SQL.format(src="ord")
+            + "," + _IDS_SQL)
+
+
+@query("entity_build", with_fx(["fx_records"], _ENT_SQL + """
+SELECT entity_id, tenant_id, domain AS entity_type, source_id, source_file_id, source_record_id, run_id,
+  normalized_payload, identity_payload, 1 AS version, 'ACTIVE' AS status FROM ents"""))
+def q_entity_build(spark, sf):
+    return _entities(spark, sf)
+
+
+@query("entity_insert_if_absent", with_fx(["fx_records"], _ENT_SQL + """
+SELECT entity_id, source_record_id FROM ents WHERE record_number % 2 = 1"""))
+def q_entity_insert_if_absent(spark, sf):
+    ents = _entities(spark, sf)
+    r = _enriched_records(spark, sf).filter(F.col("record_number") % 2 == 0)
+    existing = r.select("tenant_id", "run_id", "source_record_id", F.lit(1).alias("version"))
+    return entity.insert_if_absent(ents, existing).select("entity_id", "source_record_id")
+
+
+@query("entity_create_checked", with_fx(["fx_records"], "WITH " + _IDS_SQL.split("ents AS")[0].rstrip().rstrip(",") + """,
+inp AS (SELECT snapshot_id || '#' || record_number::VARCHAR AS input_id,
+          CASE WHEN record_number % 19 = 0 THEN 'tX' ELSE tenant_id END AS tenant_id,
+          CASE WHEN record_number % 7 = 0 THEN NULL ELSE source_id END AS source_id,
+          CASE WHEN record_number % 11 = 0 THEN '' ELSE source_file_id END AS source_file_id,
+          CASE WHEN record_number % 17 = 0 THEN 'missing-' || source_record_id ELSE source_record_id END AS source_record_id,
+          run_id,
+          CASE WHEN record_number % 13 = 0 THEN NULL ELSE 'ARTICLE' END AS entity_type
+        FROM ids),
+runs AS (SELECT DISTINCT run_id AS id, tenant_id FROM ids)
+SELECT input_id,
+  CASE WHEN source_id IS NULL OR source_id = '' THEN 'source_id required'
+       WHEN source_file_id IS NULL OR source_file_id = '' THEN 'source_file_id required'
+       WHEN source_record_id IS NULL OR source_record_id = '' THEN 'source_record_id required'
+       WHEN run_id IS NULL OR run_id = '' THEN 'run_id required'
+       WHEN entity_type IS NULL OR entity_type = '' THEN 'entity_type required'
+       WHEN NOT EXISTS (SELECT 1 FROM ids r WHERE r.source_record_id = inp.source_record_id AND r.tenant_id = inp.tenant_id)
+         OR NOT EXISTS (SELECT 1 FROM runs u WHERE u.id = inp.run_id AND u.tenant_id = inp.tenant_id)
+         THEN 'Entity provenance context invalid' END AS reason
+FROM inp"""))
+def q_entity_create_checked(spark, sf):
+    r = _enriched_records(spark, sf)
+    n = F.col("record_number")
+    inputs = r.select(
+        F.concat(F.col("snapshot_id"), F.lit("#"), n.cast("string")).alias("input_id"),
+        F.when(n % 19 == 0, F.lit("tX")).otherwise(F.col("tenant_id")).alias("tenant_id"),
+        F.when(n % 7 == 0, F.lit(None)).otherwise(F.col("source_id")).alias("source_id"),
+        F.when(n % 11 == 0, F.lit("")).otherwise(F.col("source_file_id")).alias("source_file_id"),
+        F.when(n % 17 == 0, F.concat(F.lit("missing-"), F.col("source_record_id")))
+         .otherwise(F.col("source_record_id")).alias("source_record_id"),
+        "run_id", F.when(n % 13 == 0, F.lit(None)).otherwise(F.lit("ARTICLE")).alias("entity_type"))
+    raw_records = r.select(F.col("source_record_id").alias("id"), "tenant_id")
+    runs = r.select(F.col("run_id").alias("id"), "tenant_id").distinct()
+    return entity.create_checked(inputs, raw_records, runs).select("input_id", "reason")
+
+
+@query("entity_lineage", with_fx(["fx_records"], _ENT_SQL + """
+SELECT tenant_id, source_id, count(*)::BIGINT AS entities, count(DISTINCT source_record_id)::BIGINT AS records,
+  count(DISTINCT snapshot_id)::BIGINT AS snapshots, count(DISTINCT source_file_id)::BIGINT AS files
+FROM ents GROUP BY ALL"""))
+def q_entity_lineage(spark, sf):
+    ents = _entities(spark, sf)
+    r = _enriched_records(spark, sf)
+    records = r.select(F.col("source_record_id").alias("id"), "tenant_id", "snapshot_id")
+    snaps = r.select(F.col("snapshot_id").alias("id"), "tenant_id", "source_file_id").distinct()
+    files = r.select(F.col("source_file_id").alias("id"), "tenant_id", "source_id").distinct()
+    sources = r.select(F.col("source_id").alias("id"), "tenant_id").distinct()
+    return entity.lineage(ents, records, snaps, files, sources)
+
+
+@query("pipeline", with_fx(["fx_records"], _ENT_SQL + f"""
+SELECT run_id, tenant_id, source_file_id, snapshot_id, count(*)::BIGINT AS raw_records, count(*)::BIGINT AS entities,
+  any_value(d.domain) AS profiling_domain, any_value(d.confidence) AS confidence,
+  '{_CFG['configuration_version']}' AS configuration_version, '{_CFG['configuration_hash']}' AS configuration_hash,
+  'COMPLETED' AS status
+FROM ents JOIN dec2 d USING (snapshot_id) GROUP BY run_id, tenant_id, source_file_id, snapshot_id"""))
+def q_pipeline(spark, sf):
+    return pl.run_pipeline(fx.records(spark, sf), PIPELINE_CONFIG)["runs"]
+
+
+# ====================================================================== L, C
+@query("run_create", with_fx(["fx_ledger"], """
+WITH r AS (SELECT *, min(seq) OVER (PARTITION BY tenant_id, idempotency_key) AS key_seq FROM fx_ledger),
+w AS (SELECT *, min(seq) OVER (PARTITION BY execution_id) AS exec_seq FROM r WHERE seq = key_seq),
+w2 AS (SELECT tenant_id, idempotency_key, execution_id AS w_exec,
+         CASE WHEN seq = exec_seq THEN 'CREATED' ELSE 'CONFLICT' END AS w_status FROM w)
+SELECT r.seq, r.tenant_id, r.idempotency_key, r.execution_id,
+  CASE WHEN r.seq = r.key_seq THEN w_status WHEN w_status = 'CREATED' THEN 'REPLAY' ELSE 'CONFLICT' END AS status,
+  sha256('job|' || r.tenant_id || '|' || r.idempotency_key) AS job_id,
+  CASE WHEN w_status = 'CREATED' THEN sha256('run|' || w_exec) END AS run_id
+FROM r JOIN w2 USING (tenant_id, idempotency_key)"""))
+def q_run_create(spark, sf):
+    return ledger.create_runs(fx.ledger(spark, sf))
+
+
+def _steps(spark, sf):
+    e = fx.table(spark, sf, "events")
+    seqn = (F.col("event_id") % 7 + 1).cast("long")
+    return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"),
+                    seqn.alias("sequence"), F.concat(F.lit("step-"), seqn.cast("string")).alias("idempotency_key"))
+
+
+@query("step_create", """
+SELECT user_id::VARCHAR AS run_id, event_id AS seq, (event_id % 7 + 1)::BIGINT AS sequence,
+  CASE WHEN event_id = min(event_id) OVER w THEN 'CREATED' ELSE 'EXISTING' END AS status,
+  min(event_id) OVER w AS step_seq
+FROM events WINDOW w AS (PARTITION BY user_id, event_id % 7)""")
+def q_step_create(spark, sf):
+    return ledger.create_steps(_steps(spark, sf))
+
+
+@query("run_state", with_fx(["fx_transitions"], """
+SELECT run_id, arg_max(status, seq) AS status,
+  arg_max(ts, seq) FILTER (WHERE status = 'RUNNING') AS started_at,
+  arg_max(ts, seq) FILTER (WHERE status = 'RUNNING') AS heartbeat_at,
+  arg_max(ts, seq) FILTER (WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS finished_at,
+  arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress,
+  count(*)::BIGINT AS transitions
+FROM fx_transitions WHERE status IN ('PENDING','RUNNING','COMPLETED','FAILED','CANCELLED') GROUP BY run_id"""))
+def q_run_state(spark, sf):
+    state, _ = ledger.run_state(fx.transitions(spark, sf))
+    return state
+
+
+def _step_transitions(spark, sf):
+    e = fx.table(spark, sf, "events")
+    st = (F.when(F.col("event_id") % 17 == 0, F.lit("BOGUS"))
+           .when(F.col("event_type") == "signup", F.lit("SKIPPED"))
+           .otherwise(F.create_map(*[x for kv in fx.EVENT_STATUS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[F.col("event_type")]))
+    tenant = F.concat(F.lit("t"), F.when(F.col("event_id") % 13 == 0, (F.col("user_id") + 1) % 7)
+                      .otherwise(F.col("user_id") % 7).cast("string"))
+    return e.select(F.concat(F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("step_id"),
+                    F.col("user_id").cast("string").alias("run_id"), tenant.alias("tenant_id"),
+                    F.col("event_id").alias("seq"), st.alias("status"), "ts",
+                    F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 100).cast("int")).alias("progress"))
+
+
+@query("step_state", """
+WITH t AS (SELECT user_id::VARCHAR || '-' || (event_id % 3)::VARCHAR AS step_id, event_id AS seq, ts,
+  CASE WHEN event_id % 17 = 0 THEN 'BOGUS' WHEN event_type = 'signup' THEN 'SKIPPED'
+       WHEN event_type = 'view' THEN 'RUNNING' WHEN event_type = 'click' THEN 'PENDING'
+       WHEN event_type = 'purchase' THEN 'COMPLETED' WHEN event_type = 'error' THEN 'FAILED' END AS status,
+  CASE WHEN event_id % 4 = 0 THEN (event_id % 100)::INT END AS progress
+  FROM events WHERE event_id % 13 <> 0)
+SELECT step_id, arg_max(status, seq) AS status,
+  arg_max(ts, seq) FILTER (WHERE status = 'RUNNING') AS started_at,
+  arg_max(ts, seq) FILTER (WHERE status = 'RUNNING') AS heartbeat_at,
+  arg_max(ts, seq) FILTER (WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS finished_at,
+  arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress,
+  count(*)::BIGINT AS transitions
+FROM t WHERE status IN ('PENDING','RUNNING','COMPLETED','FAILED','SKIPPED','CANCELLED') GROUP BY step_id""")
+def q_step_state(spark, sf):
+    t = _step_transitions(spark, sf)
+    runs = (fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"),
+                                                  F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("tenant_id"))
+            .distinct())
+    state, _ = ledger.step_state(t, runs)
+    return state
+
+
+@query("config_version", with_fx(["fx_config"], """
+SELECT profile_id, version, 'cfg-' || substr(sha256(configuration), 1, 16) AS configuration_version,
+  sha256('{"profile_version_id":' || coalesce(to_json(profile_version_id)::VARCHAR, 'null')
+         || ',"rule_version_id":' || coalesce(to_json(rule_version_id)::VARCHAR, 'null')
+         || ',"configuration":' || configuration || '}') AS configuration_hash
+FROM fx_config"""))
+def q_config_version(spark, sf):
+    return ledger.config_versions(fx.configs(spark, sf)).select(
+        "profile_id", "version", "configuration_version", "configuration_hash")
+
+
+@query("profiles_list", with_fx(["fx_config"], """
+SELECT profile_id, max(version) AS latest_version, count(*)::BIGINT AS versions FROM fx_config GROUP BY ALL"""))
+def q_profiles_list(spark, sf):
+    return ledger.profiles_list(fx.configs(spark, sf))
+
+
+@query("profiles_get", with_fx(["fx_config"], """
+SELECT profile_id, version, configuration FROM fx_config WHERE profile_id = 'prof-7'"""))
+def q_profiles_get(spark, sf):
+    return ledger.profile_get(fx.configs(spark, sf), "prof-7").select("profile_id", "version", "configuration")
