@@ -660,3 +660,217 @@ def q_profiles_list(spark, sf):
 SELECT profile_id, version, configuration FROM fx_config WHERE profile_id = 'prof-7'"""))
 def q_profiles_get(spark, sf):
     return ledger.profile_get(fx.configs(spark, sf), "prof-7").select("profile_id", "version", "configuration")
+
+
+# ====================================================================== T
+from quarry.operators import checks, tables, tenancy  # noqa: E402
+from quarry.functions.redact import redact_json  # noqa: E402
+
+
+@query("memberships", with_fx(["fx_memberships"], """
+SELECT id, tenant_id, user_id, role_id, status FROM fx_memberships WHERE user_id = 'u-7'"""))
+def q_memberships(spark, sf):
+    return tenancy.memberships_of_user(fx.memberships(spark, sf), "u-7")
+
+
+@query("membership_context", with_fx(["fx_memberships", "fx_tenants", "fx_roles"], """
+SELECT m.user_id, m.tenant_id, t.name AS tenant_name, t.slug AS tenant_slug, t.status AS tenant_status,
+  m.role_id, r.code AS role_code, r.name AS role_name, m.status
+FROM fx_memberships m LEFT JOIN fx_tenants t ON t.id = m.tenant_id LEFT JOIN fx_roles r ON r.id = m.role_id"""))
+def q_membership_context(spark, sf):
+    return tenancy.membership_context(fx.memberships(spark, sf), fx.tenants(spark, sf), fx.roles(spark))
+
+
+def _requests(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("request_id"),
+                    F.concat(F.lit("u-"), (F.col("o_custkey") % 200).cast("string")).alias("user_id"),
+                    F.concat(F.lit("n-"), (F.col("o_orderkey") % 25).cast("string")).alias("tenant_id"))
+
+
+@query("active_gate", with_fx(["fx_memberships"], """
+SELECT o_orderkey AS request_id, 'u-' || (o_custkey % 200)::VARCHAR AS user_id, 'n-' || (o_orderkey % 25)::VARCHAR AS tenant_id,
+  EXISTS (SELECT 1 FROM fx_memberships m WHERE m.user_id = 'u-' || (o_custkey % 200)::VARCHAR
+          AND m.tenant_id = 'n-' || (o_orderkey % 25)::VARCHAR AND m.status = 'ACTIVE') AS allowed
+FROM orders"""))
+def q_active_gate(spark, sf):
+    ok, denied = tenancy.active_gate(_requests(spark, sf), fx.memberships(spark, sf))
+    return ok.withColumn("allowed", F.lit(True)).unionByName(denied.withColumn("allowed", F.lit(False)))
+
+
+@query("org_lists", with_fx(["fx_memberships", "fx_bases", "fx_companies", "fx_groups"], """
+WITH a AS (SELECT DISTINCT tenant_id FROM fx_memberships WHERE user_id = 'u-8' AND status = 'ACTIVE')
+SELECT 'base' AS kind, id, tenant_id, name, status FROM fx_bases WHERE tenant_id IN (SELECT tenant_id FROM a)
+UNION ALL SELECT 'company', id, tenant_id, name, status FROM fx_companies WHERE tenant_id IN (SELECT tenant_id FROM a)
+UNION ALL SELECT 'group', id, tenant_id, name, status FROM fx_groups WHERE tenant_id IN (SELECT tenant_id FROM a)"""))
+def q_org_lists(spark, sf):
+    return tenancy.org_lists("u-8", fx.memberships(spark, sf), fx.bases(spark, sf),
+                             fx.companies(spark, sf), fx.groups(spark, sf))
+
+
+@query("scoped_reads", with_fx(["fx_snap"], """
+SELECT source_file_id, seq FROM fx_snap WHERE tenant_id = '3'
+UNION ALL SELECT source_file_id, seq FROM fx_snap WHERE tenant_id = '4' AND source_file_id = '13'"""))
+def q_scoped_reads(spark, sf):
+    s = fx.snapshots(spark, sf)
+    own = tenancy.scoped_list(s, "3").select("source_file_id", "seq")
+    other = tenancy.scoped_get(s, "4", "source_file_id", "13").select("source_file_id", "seq")  # file 13 is tenant 3
+    return own.unionByName(other)
+
+
+# ====================================================================== G, Q5
+def _customers(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal", "c_mktsegment",
+                    F.lit(0).cast("long").alias("write_seq"))
+
+
+@query("upsert", """
+SELECT id, c_name, c_acctbal, c_mktsegment, write_seq FROM (
+  SELECT c_custkey AS id, c_name, c_acctbal, c_mktsegment, 0::BIGINT AS write_seq FROM customer
+  UNION ALL SELECT c_custkey, c_name, c_acctbal + 1, c_mktsegment, 1::BIGINT FROM customer WHERE c_custkey % 7 = 0)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY write_seq DESC) = 1""")
+def q_upsert(spark, sf):
+    base = _customers(spark, sf)
+    new = base.filter(F.col("id") % 7 == 0).withColumn("c_acctbal", F.col("c_acctbal") + 1).withColumn(
+        "write_seq", F.lit(1).cast("long"))
+    return tables.upsert(base, new)
+
+
+@query("find", "SELECT c_custkey AS id, c_name, c_acctbal, c_mktsegment, 0::BIGINT AS write_seq FROM customer WHERE c_custkey = 42")
+def q_find(spark, sf):
+    return tables.find(_customers(spark, sf), "id", 42)
+
+
+@query("filter_rows", """
+SELECT c_custkey AS id, c_name, c_acctbal, c_mktsegment, 0::BIGINT AS write_seq FROM customer
+WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0""")
+def q_filter_rows(spark, sf):
+    return tables.filter_rows(_customers(spark, sf), "c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+
+
+@query("patch", """
+SELECT c_custkey AS id, c_name,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment,
+  0::BIGINT AS write_seq, c_custkey % 5 = 0 AS patched, NULL::VARCHAR AS error FROM customer
+UNION ALL SELECT c_custkey + 1000000, NULL, NULL, NULL, NULL, NULL, 'Not found' FROM customer WHERE c_custkey % 50 = 0""")
+def q_patch(spark, sf):
+    base = _customers(spark, sf)
+    k = F.col("id")
+    p1 = base.filter(k % 5 == 0).select("id", F.lit(1).alias("seq"),
+                                        F.concat(F.lit('{"c_mktsegment":"'), F.lower("c_mktsegment"), F.lit('"}')).alias("patch"))
+    p2 = base.filter(k % 10 == 0).select("id", F.lit(2).alias("seq"), F.lit('{"c_acctbal":null}').alias("patch"))
+    p3 = base.filter(k % 50 == 0).select((k + 1000000).alias("id"), F.lit(1).alias("seq"), F.lit('{"c_name":"x"}').alias("patch"))
+    patched, errors = tables.patch(base, p1.unionByName(p2).unionByName(p3), "id",
+                                   ["c_name", "c_acctbal", "c_mktsegment"])
+    err = errors.select("id", F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"),
+                        F.lit(None).cast("string").alias("c_mktsegment"), F.lit(None).cast("long").alias("write_seq"),
+                        F.lit(None).cast("boolean").alias("patched"), "error")
+    return patched.withColumn("error", F.lit(None).cast("string")).unionByName(err)
+
+
+@query("insert_ignore", """
+SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'NEW ' || c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""")
+def q_insert_ignore(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    existing = c.filter(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    inc = c.filter(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("id"),
+                                                       F.concat(F.lit("NEW "), F.col("c_name")).alias("name"))
+    incoming = inc.withColumn("seq", F.lit(1)).unionByName(
+        inc.withColumn("name", F.concat(F.lit("LATE "), F.col("name"))).withColumn("seq", F.lit(2)))
+    return tables.insert_ignore(existing, incoming, ["id"])
+
+
+# ====================================================================== Q
+def _company_rows(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("id"),
+                    F.when(k % 13 == 0, F.lit("BOGUS")).otherwise(F.lit("ACTIVE")).alias("status"),
+                    F.when(k % 17 == 0, F.lit("  ")).otherwise(F.col("c_name")).alias("name"),
+                    F.when(k % 19 == 0, F.upper(F.col("c_mktsegment"))).otherwise(
+                        F.concat(F.lower(F.col("c_mktsegment")), F.lit("-"), k.cast("string"))).alias("slug"),
+                    F.col("c_acctbal").alias("size_bytes"))
+
+
+@query("check_rules", """
+WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN 'BOGUS' ELSE 'ACTIVE' END AS status,
+  CASE WHEN c_custkey % 17 = 0 THEN '  ' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 19 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) || '-' || c_custkey::VARCHAR END AS slug,
+  c_acctbal AS size_bytes FROM customer)
+SELECT 'companies' AS "table", 'status_enum' AS rule, id::VARCHAR AS key FROM c WHERE status NOT IN ('ACTIVE','INACTIVE','ARCHIVED')
+UNION ALL SELECT 'companies', 'name_not_blank', id::VARCHAR FROM c WHERE length(trim(name)) = 0
+UNION ALL SELECT 'companies', 'slug_shape', id::VARCHAR FROM c WHERE NOT regexp_full_match(slug, '[a-z0-9][a-z0-9-]{1,62}')
+UNION ALL SELECT 'companies', 'size_non_negative', id::VARCHAR FROM c WHERE size_bytes < 0""")
+def q_check_rules(spark, sf):
+    df = _company_rows(spark, sf)
+    rules = {"status_enum": F.col("status").isin(*checks.SOURCE_STATUS),
+             "name_not_blank": checks.non_blank(F.col("name")),
+             "slug_shape": F.col("slug").rlike(checks.SLUG_SHAPE),
+             "size_non_negative": F.col("size_bytes") >= 0}
+    return checks.check_rules(df, "companies", "id", rules)
+
+
+@query("unique_violations", with_fx(["fx_memberships"], """
+SELECT tenant_id, user_id, count(*)::BIGINT AS n FROM fx_memberships GROUP BY ALL HAVING count(*) > 1"""))
+def q_unique_violations(spark, sf):
+    return checks.unique_violations(fx.memberships(spark, sf), ["tenant_id", "user_id"])
+
+
+@query("partial_unique", with_fx(["fx_companies"], """
+SELECT tenant_id, external_reference, count(*)::BIGINT AS n FROM fx_companies
+WHERE external_reference IS NOT NULL GROUP BY ALL HAVING count(*) > 1"""))
+def q_partial_unique(spark, sf):
+    return checks.partial_unique(fx.companies(spark, sf), ["tenant_id", "external_reference"],
+                                 F.col("external_reference").isNotNull())
+
+
+@query("tenant_fk", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+  'n-' || (o_custkey % 25)::VARCHAR AS tenant_id
+FROM orders o WHERE o_orderkey % 97 <> 0 AND NOT EXISTS (
+  SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND 'n-' || c.c_nationkey::VARCHAR = 'n-' || (o.o_custkey % 25)::VARCHAR)""")
+def q_tenant_fk(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    child = o.select("o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("o_custkey"),
+                     F.concat(F.lit("n-"), (F.col("o_custkey") % 25).cast("string")).alias("tenant_id"))
+    parent = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"),
+                                                    F.concat(F.lit("n-"), F.col("c_nationkey").cast("string")).alias("tenant_id"))
+    return checks.tenant_fk(child, parent, "o_custkey")
+
+
+@query("uuid_shape", """
+SELECT c_custkey, v AS value, regexp_full_match(v, '(?i)[0-9a-f-]{36}') AS valid FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN replace(u, 'a', 'g') WHEN c_custkey % 11 = 0 THEN substr(u, 1, 35)
+                         WHEN c_custkey % 5 = 0 THEN upper(u) ELSE u END AS v
+  FROM (SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)
+          || '-' || substr(h, 21, 12) AS u FROM (SELECT c_custkey, sha256(c_name) AS h FROM customer)))""")
+def q_uuid_shape(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    h = F.sha2(F.col("c_name"), 256)
+    u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                    F.substring(h, 17, 4), F.substring(h, 21, 12))
+    k = F.col("c_custkey")
+    v = (F.when(k % 7 == 0, F.replace(u, F.lit("a"), F.lit("g"))).when(k % 11 == 0, F.substring(u, 1, 35))
+          .when(k % 5 == 0, F.upper(u)).otherwise(u))
+    return c.select("c_custkey", v.alias("value")).withColumn("valid", checks.uuid_shape(F.col("value")))
+
+
+# ====================================================================== S
+def _log_fields(e):
+    return F.concat(
+        F.lit('{"token":"t'), F.col("event_id").cast("string"), F.lit('","user":{"Password":"p'),
+        F.col("user_id").cast("string"), F.lit('","name":"u'), F.col("user_id").cast("string"),
+        F.lit('"},"props":'), F.col("props"), F.lit(',"items":[{"secret":'), F.col("event_id").cast("string"),
+        F.lit('},{"x":2}],"Cookie":"c","event":"'), F.col("event_type"), F.lit('"}'))
+
+
+@query("redact_keys", """
+SELECT event_id, '{"token":"[REDACTED]","user":{"Password":"[REDACTED]","name":"u' || user_id::VARCHAR
+  || '"},"props":' || json(props)::VARCHAR || ',"items":[{"secret":"[REDACTED]"},{"x":2}],"Cookie":"[REDACTED]","event":"'
+  || event_type || '"}' AS redacted FROM events""")
+def q_redact_keys(spark, sf):
+    e = fx.table(spark, sf, "events")
+    return e.select("event_id", redact_json(_log_fields(e)).alias("redacted"))
