@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +56,22 @@ def row_number_by(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn
     return (b.join(offsets, [*keys, "__b"])
              .withColumn(out, (F.row_number().over(w) + F.col("__off")).cast("long"))
              .drop("__b", "__off"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several consumers.
+
+    With a checkpoint folder (``spark.checkpoint.dir``, a shared folder on a
+    cluster) the rows are written there and lineage is cut, so a lost
+    executor does not force a recompute from the raw input; otherwise they
+    are persisted (memory, spilling to disk).
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if conf_dir:
+            sc.setCheckpointDir(conf_dir)
+    if sc.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

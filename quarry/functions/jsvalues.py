@@ -13,9 +13,20 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from typing import Any
 
 _MAX_INDEX = 2**32 - 2
+# text that may need the exact (slow) path: index-like keys or long digit runs
+_SLOW_HINT = re.compile(r'"(?:0|[1-9][0-9]{0,9})"\s*:|[0-9]{16}')
+
+
+class _NeedsExactPath(Exception):
+    pass
+
+
+def _no_float(_text: str):
+    raise _NeedsExactPath
 
 
 def _is_index_key(k: str) -> bool:
@@ -51,6 +62,23 @@ def loads(text: str) -> Any:
                       parse_constant=_reject_constant)
 
 
+def loads_plain(text: str):
+    """Fast path: ``(True, value)`` when the C parser gives exactly the
+    JavaScript result (no floats, no big ints, no index-like keys), so the
+    value can be written back with ``compact``; else ``(False, None)``."""
+    if _SLOW_HINT.search(text):
+        return False, None
+    try:
+        return True, json.loads(text, parse_float=_no_float, parse_constant=_reject_constant)
+    except _NeedsExactPath:
+        return False, None
+
+
+def compact(value: Any) -> str:
+    """``JSON.stringify`` for values holding no floats (C encoder)."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def number_text(x: float | int) -> str:
     """``String(x)`` for a JavaScript number."""
     if isinstance(x, bool):
@@ -108,5 +136,8 @@ def dumps(value: Any) -> str:
 
 
 def record_text(record: dict) -> str:
-    """Payload text for one record (keys in JavaScript object order)."""
-    return dumps(js_order(record.items()))
+    """Payload text for one record of string/null cells (keys in JavaScript
+    object order)."""
+    if any(_is_index_key(k) for k in record):
+        record = js_order(record.items())
+    return compact(record)

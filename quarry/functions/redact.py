@@ -31,6 +31,9 @@ def sanitize(value):
 def redact_text(text: str | None) -> str | None:
     if text is None:
         return None
+    ok, value = jsvalues.loads_plain(text)
+    if ok:
+        return jsvalues.compact(sanitize(value))
     return jsvalues.dumps(sanitize(jsvalues.loads(text)))
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast
+from quarry.functions.grouping import checked_broadcast, materialize
 from quarry.functions.text import js_trim, utf16_length
 
 # Size limit (bytes, inclusive) and allowed MIME types per extension.
@@ -69,8 +69,12 @@ def extension(name: Column) -> Column:
 
 def policy_reason(name: Column, size: Column, mime: Column,
                   max_bytes: int | None = MAX_BYTES) -> Column:
-    """The first failing rule's message, or null when the file passes."""
-    n = clean_name(name)
+    """The first failing rule's message, or null when the file passes.
+
+    ``name`` must already be the cleaned name (see ``clean_name``); callers
+    materialize it as a column so the trim runs once per row.
+    """
+    n = name
     ext = extension(n)
     allowed = _allowed_map()[ext]
     size_bad = size.isNull() | (size < 0)
@@ -95,10 +99,11 @@ def policy_reason(name: Column, size: Column, mime: Column,
 def file_policy(uploads: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """I1 over a table: adds ``clean_filename``, ``extension``, ``reject_reason``."""
     size = _size_col(uploads)
-    n = clean_name(F.col("filename"))
-    return uploads.select(
-        "*", n.alias("clean_filename"), extension(n).alias("extension"),
-        policy_reason(F.col("filename"), size, F.col("mime_type"), max_bytes).alias("reject_reason"))
+    named = uploads.withColumn("clean_filename", clean_name(F.col("filename")))
+    n = F.col("clean_filename")
+    return named.select(
+        "*", extension(n).alias("extension"),
+        policy_reason(n, size, F.col("mime_type"), max_bytes).alias("reject_reason"))
 
 
 def _content_bytes(df: DataFrame) -> Column:
@@ -191,10 +196,14 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
                         | ((F.col("idem_key") != "") & (utf16_length(F.col("idem_key")) <= MAX_KEY)))
             .withColumn("clean_filename", clean_name(F.col("filename")))
             .withColumn("extension", extension(F.col("clean_filename")))
-            .withColumn("policy", policy_reason(F.col("filename"), F.col("size_bytes"), F.col("mime_type"), max_bytes))
             .drop("filename", "key_raw"))
+    rows = rows.withColumn("policy", policy_reason(F.col("clean_filename"), F.col("size_bytes"),
+                                                   F.col("mime_type"), max_bytes))
     rows = source_gate(rows, sources)
     rows = rows.withColumn("has_buffer", F.col("checksum_sha256").isNotNull())
+    # the narrow per-upload rows (no content) feed five branches below: read
+    # and hash the file bytes once
+    rows = materialize(rows)
     rows = rows.withColumn("valid", F.col("has_buffer") & F.col("key_ok") & F.col("source_ok")
                            & F.col("policy").isNull())
 

@@ -46,35 +46,29 @@ def _records(ext: str, data: bytes):
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parse whole files; a file's records are emitted only once it parsed
+    fully (a file is either all records or one error row), in chunks."""
     cols = ["file_id", "record_number", "payload", "error"]
     for pdf in batches:
         for file_id, ext, data in zip(pdf["file_id"], pdf["extension"], pdf["content"]):
-            out_n: list[int] = []
-            out_p: list[str] = []
             try:
-                for i, payload in enumerate(_records(ext, bytes(data)), start=1):
-                    out_n.append(i)
-                    out_p.append(payload)
-                    if len(out_p) >= CHUNK:
-                        yield pd.DataFrame({"file_id": file_id, "record_number": out_n,
-                                            "payload": out_p, "error": None}, columns=cols)
-                        out_n, out_p = [], []
+                payloads = list(_records(ext, bytes(data)))
             except Exception as e:  # reader failure -> quarantine this file
-                # records already yielded for this file are dropped by the error join
                 yield pd.DataFrame({"file_id": [file_id], "record_number": [None],
                                     "payload": [None], "error": [str(e)]}, columns=cols)
                 continue
-            if out_p:
-                yield pd.DataFrame({"file_id": file_id, "record_number": out_n,
-                                    "payload": out_p, "error": None}, columns=cols)
+            for start in range(0, len(payloads), CHUNK):
+                part = payloads[start:start + CHUNK]
+                yield pd.DataFrame({"file_id": file_id,
+                                    "record_number": range(start + 1, start + 1 + len(part)),
+                                    "payload": part, "error": None}, columns=cols)
 
 
 def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "filename",
                 content: str = "content") -> DataFrame:
     """All files -> ``(file_id, record_number, payload, error)``.
 
-    Records of a file that failed part-way are removed: a file is either
-    fully parsed or quarantined.
+    A file is either fully parsed or quarantined with one error row.
     """
     raw = F.col(content)
     data = raw if dict(files.dtypes)[content] == "binary" else raw.cast("binary")
@@ -98,9 +92,8 @@ def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "fil
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine): a file with any error contributes no record."""
+    """(records, quarantine). A failed file has exactly one error row and no
+    record, so both sides are plain filters of one parse."""
+    records = parsed.filter(F.col("error").isNull()).drop("error")
     errors = parsed.filter(F.col("error").isNotNull()).select("file_id", "error")
-    records = (parsed.filter(F.col("error").isNull())
-               .join(errors.select("file_id"), "file_id", "left_anti")
-               .drop("error"))
     return records, errors

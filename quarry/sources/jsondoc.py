@@ -14,13 +14,16 @@ from quarry.functions import jsvalues
 
 def records_of(text: str):
     try:
-        value = jsvalues.loads(text)
+        plain, value = jsvalues.loads_plain(text)
+        if not plain:
+            value = jsvalues.loads(text)
     except ValueError as e:  # json.JSONDecodeError is a ValueError
         raise ValueError(f"Invalid JSON: {e}") from None
+    out = jsvalues.compact if plain else jsvalues.dumps
     if isinstance(value, list):
         for v in value:
-            yield jsvalues.dumps(v if isinstance(v, dict) else {"value": v})
+            yield out(v if isinstance(v, dict) else {"value": v})
     elif isinstance(value, dict):
-        yield jsvalues.dumps(value)
+        yield out(value)
     else:
-        yield jsvalues.dumps({"value": value})
+        yield out({"value": value})
