@@ -74,3 +74,8 @@ def run_steps(runs: DataFrame, steps: DataFrame, tenant_id: str, run_id: str) ->
     """T5 steps of a run: the run is checked in the tenant, then its steps."""
     r = runs.filter((F.col("tenant_id") == tenant_id) & (F.col("run_id") == run_id)).select("run_id")
     return steps.join(r, "run_id", "left_semi")
+
+
+def tenant_steps(runs: DataFrame, steps: DataFrame, tenant_id: str) -> DataFrame:
+    """T5 steps of all runs of a tenant (runs filtered first, then a semi-join)."""
+    return steps.join(scoped_list(runs, tenant_id).select("run_id"), "run_id", "left_semi")

@@ -874,3 +874,45 @@ SELECT event_id, '{"token":"[REDACTED]","user":{"Password":"[REDACTED]","name":"
 def q_redact_keys(spark, sf):
     e = fx.table(spark, sf, "events")
     return e.select("event_id", redact_json(_log_fields(e)).alias("redacted"))
+
+
+# ====================================================================== extra coverage
+@query("source_create", """
+SELECT sha256('source|' || lang || '|' || doc_id::VARCHAR) AS id, lang AS tenant_id, source AS name,
+  'FILE' AS source_type, 'ACTIVE' AS status, '{}' AS metadata, NULL::VARCHAR AS reason FROM documents WHERE doc_id % 9 <> 0
+UNION ALL SELECT NULL, lang, NULL, NULL, NULL, NULL, 'Source name required' FROM documents WHERE doc_id % 9 = 0""")
+def q_source_create(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    req = d.select(F.col("doc_id").alias("request_id"), F.col("lang").alias("tenant_id"),
+                   F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("source")).alias("name"))
+    ok, bad = intake.create_sources(req)
+    null = F.lit(None).cast("string")
+    return ok.withColumn("reason", null).unionByName(
+        bad.select(null.alias("id"), "tenant_id", null.alias("name"), null.alias("source_type"),
+                   null.alias("status"), null.alias("metadata"), "reason"))
+
+
+@query("run_steps", """
+WITH s AS (SELECT user_id::VARCHAR AS run_id, event_id AS seq, (event_id % 7 + 1)::BIGINT AS sequence,
+             CASE WHEN event_id = min(event_id) OVER w THEN 'CREATED' ELSE 'EXISTING' END AS status,
+             min(event_id) OVER w AS step_seq
+           FROM events WINDOW w AS (PARTITION BY user_id, event_id % 7))
+SELECT run_id, seq, sequence, status, step_seq FROM s
+WHERE status = 'CREATED' AND run_id IN (SELECT user_id::VARCHAR FROM events WHERE user_id % 7 = 3)""")
+def q_run_steps(spark, sf):
+    steps = ledger.create_steps(_steps(spark, sf)).filter(F.col("status") == "CREATED")
+    runs = (fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"),
+                                                  F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("tenant_id"))
+            .distinct())
+    return tenancy.tenant_steps(runs, steps, "t3")
+
+
+@query("pipeline_steps", with_fx(["fx_records"], _ENT_SQL + """,
+runs AS (SELECT run_id, snapshot_id, count(*) AS n FROM ents GROUP BY ALL)
+SELECT r.run_id, 'RAW' AS step_type, 1::BIGINT AS sequence, 'COMPLETED' AS status, 100 AS progress,
+  '{"snapshot_id":' || to_json(r.snapshot_id)::VARCHAR || ',"record_count":' || r.n::VARCHAR || '}' AS output FROM runs r
+UNION ALL SELECT r.run_id, 'PROFILING', 2, 'COMPLETED', 100,
+  '{"domain":"' || d.domain || '","confidence":"' || d.confidence || '"}' FROM runs r JOIN dec2 d USING (snapshot_id)
+UNION ALL SELECT r.run_id, 'NORMALIZATION', 3, 'COMPLETED', 100, '{"entity_count":' || r.n::VARCHAR || '}' FROM runs r"""))
+def q_pipeline_steps(spark, sf):
+    return pl.pipeline_steps(pl.run_pipeline(fx.records(spark, sf), PIPELINE_CONFIG)["runs"])

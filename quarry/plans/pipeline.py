@@ -66,3 +66,15 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
                     F.lit(cfg["configuration_hash"]).alias("configuration_hash"),
                     F.lit("COMPLETED").alias("status")))
     return {"entities": ents, "runs": runs, "profiles": report}
+
+
+def pipeline_steps(runs: DataFrame) -> DataFrame:
+    """The three steps of each run (RAW, PROFILING, NORMALIZATION) with the
+    outputs the reference records on them, all COMPLETED at 100."""
+    def step(kind: str, seq: int, output):
+        return runs.select("run_id", F.lit(kind).alias("step_type"), F.lit(seq).cast("long").alias("sequence"),
+                           F.lit("COMPLETED").alias("status"), F.lit(100).alias("progress"), output.alias("output"))
+    raw = step("RAW", 1, F.to_json(F.struct(F.col("snapshot_id"), F.col("raw_records").alias("record_count"))))
+    prof = step("PROFILING", 2, F.to_json(F.struct(F.col("profiling_domain").alias("domain"), "confidence")))
+    norm = step("NORMALIZATION", 3, F.to_json(F.struct(F.col("entities").alias("entity_count"))))
+    return raw.unionByName(prof).unionByName(norm)
