@@ -2,9 +2,11 @@
 normalization -> entities -> run statistics, for many files in one job.
 
 Plan shape: the snapshot choice and the profile are aggregations keyed by
-snapshot; everything attached back to the records is a many-to-one join on
-a unique snapshot id (AQE broadcasts the small side at run time); the
-normalization and entity projection are narrow.
+snapshot; both results are small (one row per file / snapshot) and are
+materialized once, since several branches use them. Everything attached back
+to the records is a many-to-one join on a unique snapshot id (AQE broadcasts
+the small side at run time); the normalization and entity projection are
+narrow.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import first_by
+from quarry.functions.grouping import first_by, materialize
 from quarry.operators import entity, ledger, profile
 
 
@@ -39,12 +41,14 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
     # Latest snapshot per file (aggregate over the distinct snapshot list)
     snaps = records.select("tenant_id", "source_id", "source_file_id", "snapshot_id", "snapshot_version").distinct()
     latest = first_by(snaps, ["tenant_id", "source_file_id"], "snapshot_version", descending=True)
-    latest = latest.withColumn("run_id", run_id_col(cfg["configuration_hash"]))
+    # one row per file, used by four branches below: computed once
+    latest = materialize(latest.withColumn("run_id", run_id_col(cfg["configuration_hash"])))
     recs = records.join(latest.select("tenant_id", "source_file_id", "snapshot_id", "run_id"),
                         ["tenant_id", "source_file_id", "snapshot_id"], "left_semi")
 
     # P1-P5 over the chosen snapshots
-    report = profile.profile_report(recs)
+    # one row per snapshot, used three times: computed once
+    report = materialize(profile.profile_report(recs))
 
     # N8 + E1-E3
     enriched = (recs.join(latest.select("snapshot_id", "run_id"), "snapshot_id")
