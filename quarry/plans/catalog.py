@@ -916,3 +916,32 @@ UNION ALL SELECT r.run_id, 'PROFILING', 2, 'COMPLETED', 100,
 UNION ALL SELECT r.run_id, 'NORMALIZATION', 3, 'COMPLETED', 100, '{"entity_count":' || r.n::VARCHAR || '}' FROM runs r"""))
 def q_pipeline_steps(spark, sf):
     return pl.pipeline_steps(pl.run_pipeline(fx.records(spark, sf), PIPELINE_CONFIG)["runs"])
+
+
+FILE_CONFIG = {"field_rules": {"o_orderpriority": ["collapse_whitespace", "uppercase"]},
+               "identity_fields": ["o_orderkey"]}
+_FCFG = ledger.config_snapshot(FILE_CONFIG)
+
+
+def _csv_uploads(spark, sf):
+    f = fx.csv_files(spark, sf)
+    return f.select(F.col("file_id").alias("seq"), F.concat(F.lit("t"), (F.col("file_id") % 4).cast("string")).alias("tenant_id"),
+                    F.lit("orders").alias("source_id"), "filename",
+                    F.when(F.col("filename").endswith(".tsv"), F.lit("text/tab-separated-values"))
+                     .otherwise(F.lit("text/csv")).alias("mime_type"),
+                    "content", F.lit(None).cast("string").alias("idempotency_key"))
+
+
+@query("file_pipeline", with_fx(["fx_csv"], f"""
+WITH f AS (SELECT file_id, 't' || (file_id % 4)::VARCHAR AS tenant_id,
+             sha256('file|' || 't' || (file_id % 4)::VARCHAR || '|' || sha256(content)) AS source_file_id FROM fx_csv),
+s AS (SELECT *, sha256('snapshot|' || source_file_id || '|1') AS snapshot_id FROM f),
+n AS (SELECT o_orderkey // 100 AS file_id, count(*)::BIGINT AS n FROM orders GROUP BY ALL)
+SELECT sha256('run|' || tenant_id || '|' || source_file_id || '|' || snapshot_id || '|{_FCFG['configuration_hash']}') AS run_id,
+  tenant_id, source_file_id, snapshot_id, n AS raw_records, n AS entities, 'UNKNOWN' AS profiling_domain, 'LOW' AS confidence,
+  '{_FCFG['configuration_version']}' AS configuration_version, '{_FCFG['configuration_hash']}' AS configuration_hash,
+  'COMPLETED' AS status
+FROM s JOIN n USING (file_id)"""))
+def q_file_pipeline(spark, sf):
+    src = spark.createDataFrame([(f"t{i}", "orders") for i in range(4)], "tenant_id string, id string")
+    return pl.ingest_and_process(_csv_uploads(spark, sf), src, FILE_CONFIG)["runs"]

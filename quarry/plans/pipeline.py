@@ -82,3 +82,42 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
     prof = step("PROFILING", 2, F.to_json(F.struct(F.col("profiling_domain").alias("domain"), "confidence")))
     norm = step("NORMALIZATION", 3, F.to_json(F.struct(F.col("entities").alias("entity_count"))))
     return raw.unionByName(prof).unionByName(norm)
+
+
+def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Mapping,
+                       prior_files: DataFrame | None = None, prior_keys: DataFrame | None = None,
+                       prior_snapshots: DataFrame | None = None,
+                       max_records: int | None = 10_000) -> dict[str, DataFrame]:
+    """The whole chain from file bytes: intake (I1-I6) -> parse (I7-I12) ->
+    RAW snapshots (R1-R4) -> profile, normalization, entities, runs (E6).
+
+    Only NEW files are parsed; their content is joined back by upload seq
+    (unique), so the intake shuffles never carry file bytes. A file whose
+    reader fails or that exceeds ``max_records`` is quarantined whole.
+    ``prior_snapshots`` (source_file_id) are earlier snapshots of the files.
+    """
+    from quarry.operators import intake, raw
+    from quarry.sources.dispatch import parse_files, split_parsed
+
+    resolved = intake.resolve_uploads(uploads, sources, prior_files, prior_keys)
+    files, artifacts = intake.ingest_manifest(resolved)
+    new = resolved.filter(F.col("status") == intake.NEW).select("seq", "file_id", "tenant_id", "source_id",
+                                                                  "clean_filename")
+    blobs = new.join(uploads.select(F.col("seq").cast("long").alias("seq"), "content"), "seq")
+    # the parsed RAW records are the stored snapshot data; parse once, then the
+    # limit gate, snapshot join, profile and entity branches all read them
+    parsed_all = materialize(parse_files(blobs, "file_id", "clean_filename", "content"))
+    parsed, parse_errors = split_parsed(parsed_all)
+    kept, verdicts = raw.record_limit(parsed.withColumnRenamed("file_id", "source_file_id"), max_records,
+                                      snapshot="source_file_id")
+    batch = new.select(F.col("file_id").alias("source_file_id"), "tenant_id", "source_id", "seq")
+    snaps = raw.snapshot_versions(batch, prior_snapshots)
+    snaps = snaps.withColumn("snapshot_id", raw.snapshot_id())
+    records = kept.join(snaps.select("source_file_id", "tenant_id", "source_id", "snapshot_id", "snapshot_version"),
+                        "source_file_id")
+    out = run_pipeline(records, configuration)
+    quarantine = (parse_errors.select(F.col("file_id").alias("source_file_id"), F.col("error").alias("reason"))
+                  .unionByName(verdicts.filter(F.col("status") == "REJECTED").select("source_file_id", "reason")))
+    out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,
+                "snapshots": snaps, "records": records, "quarantine": quarantine})
+    return out
