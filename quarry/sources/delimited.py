@@ -1,7 +1,8 @@
 """Delimited text.
 
-Exact lane: a hand-written quote state machine run per file inside an Arrow
-task (``quarry.sources.dispatch``). Semantics:
+Exact lane: a cell-level scanner (one regular expression with possessive
+quantifiers, so linear time) run per file inside an Arrow task
+(``quarry.sources.dispatch``). Semantics:
 
 * a ``"`` toggles quoting anywhere in a cell and is dropped; ``""`` inside
   quotes is one literal quote;
@@ -60,48 +61,44 @@ def detect_delimiter(text_col: Column) -> Column:
              .otherwise(F.lit(";")))
 
 
-def _tokenizer(delim: str) -> re.Pattern:
+_QUOTED = re.compile(r'"((?:[^"]++|"")*+)"')
+
+
+def _row_pattern(delim: str) -> re.Pattern:
+    """One cell and what ends it. A cell is a run of plain characters and
+    quoted segments (a quote may open anywhere; ``""`` inside quotes is a
+    literal quote; quoted text may hold delimiters and line breaks)."""
     d = re.escape(delim)
-    return re.compile(rf'[^"\r\n{d}]+|"|\r\n|\r|\n|{d}')
+    # possessive quantifiers: no backtracking, linear time even on unclosed quotes
+    return re.compile(rf'((?:[^"{d}\r\n]++|"(?:[^"]++|"")*+")*+)({d}|\r\n|\r|\n|\Z)')
+
+
+def _cell(raw: str) -> str:
+    if '"' not in raw:
+        return raw
+    return _QUOTED.sub(lambda m: m.group(1).replace('""', '"'), raw)
 
 
 def split_rows(text: str, delim: str) -> list[list[str]]:
-    """Cells of every kept row (blank rows dropped)."""
+    """Cells of every kept row (rows whose cells are all empty are dropped)."""
+    pat = _row_pattern(delim)
     rows: list[list[str]] = []
     row: list[str] = []
-    cell: list[str] = []
-    quoted = False
-    toks = _tokenizer(delim).findall(text)
-    i, n = 0, len(toks)
-    while i < n:
-        t = toks[i]
-        i += 1
-        if t == '"':
-            if quoted and i < n and toks[i] == '"':
-                cell.append('"')
-                i += 1
-            else:
-                quoted = not quoted
-            continue
-        if quoted:
-            cell.append(t)
-            continue
-        if t == delim:
-            row.append("".join(cell))
-            cell = []
-        elif t in ("\n", "\r", "\r\n"):
-            row.append("".join(cell))
-            cell = []
+    pos, n = 0, len(text)
+    while True:
+        m = pat.match(text, pos)
+        if m is None:
+            # the cell stopped at a quote that never closes
+            raise ParseError("Unclosed quoted field")
+        end_sep = m.group(2)
+        row.append(_cell(m.group(1)))
+        pos = m.end()
+        if end_sep != delim:
             if any(row):
                 rows.append(row)
             row = []
-        else:
-            cell.append(t)
-    if quoted:
-        raise ParseError("Unclosed quoted field")
-    row.append("".join(cell))
-    if any(row):
-        rows.append(row)
+            if not end_sep:
+                break
     return rows
 
 
