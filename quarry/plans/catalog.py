@@ -147,11 +147,12 @@ def q_source_gate(spark, sf):
 from quarry.operators import profile as prof  # noqa: E402
 from quarry.operators import raw  # noqa: E402
 from quarry.sources import delimited  # noqa: E402
-from quarry.sources.dispatch import parse_files, split_parsed  # noqa: E402
+from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed  # noqa: E402
 
 
 def _records_of(files: DataFrame) -> DataFrame:
-    recs, _ = split_parsed(parse_files(files))
+    # the generated files come out of an aggregation: spread them over all cores
+    recs, _ = split_parsed(parse_files(files, partitions=parse_partitions(files.sparkSession)))
     return recs.select(F.col("file_id").cast("long").alias("file_id"), "record_number", "payload")
 
 

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import first_by, materialize
+from quarry.functions.grouping import checked_broadcast, first_by, materialize
 from quarry.operators import entity, ledger, profile
 
 
@@ -97,16 +97,19 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     ``prior_snapshots`` (source_file_id) are earlier snapshots of the files.
     """
     from quarry.operators import intake, raw
-    from quarry.sources.dispatch import parse_files, split_parsed
+    from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
     resolved = intake.resolve_uploads(uploads, sources, prior_files, prior_keys)
     files, artifacts = intake.ingest_manifest(resolved)
     new = resolved.filter(F.col("status") == intake.NEW).select("seq", "file_id", "tenant_id", "source_id",
                                                                   "clean_filename")
-    blobs = new.join(uploads.select(F.col("seq").cast("long").alias("seq"), "content"), "seq")
+    # the NEW decisions are narrow: broadcast them when their count is bounded,
+    # so the upload bytes are not shuffled for the join
+    blobs = uploads.select(F.col("seq").cast("long").alias("seq"), "content").join(checked_broadcast(new), "seq")
     # the parsed RAW records are the stored snapshot data; parse once, then the
     # limit gate, snapshot join, profile and entity branches all read them
-    parsed_all = materialize(parse_files(blobs, "file_id", "clean_filename", "content"))
+    parsed_all = materialize(parse_files(blobs, "file_id", "clean_filename", "content",
+                                         partitions=parse_partitions(uploads.sparkSession)))
     parsed, parse_errors = split_parsed(parsed_all)
     kept, verdicts = raw.record_limit(parsed.withColumnRenamed("file_id", "source_file_id"), max_records,
                                       snapshot="source_file_id")

@@ -64,17 +64,28 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                     "payload": part, "error": None}, columns=cols)
 
 
+def parse_partitions(spark) -> int:
+    """Tasks for the CPU-bound Python lane: at least one per core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "filename",
-                content: str = "content") -> DataFrame:
+                content: str = "content", partitions: int | None = None) -> DataFrame:
     """All files -> ``(file_id, record_number, payload, error)``.
 
     A file is either fully parsed or quarantined with one error row.
+    ``partitions``: hash-spread the files over this many tasks first. Use it
+    when the input comes out of a shuffle that AQE may have coalesced into a
+    few partitions (parsing is CPU-bound); an explicit count is kept by AQE.
+    Leave it unset for files read straight from storage (already split).
     """
     raw = F.col(content)
     data = raw if dict(files.dtypes)[content] == "binary" else raw.cast("binary")
     base = files.select(F.col(file_id).cast("string").alias("file_id"),
                         extension_of(F.col(filename)).alias("extension"),
                         data.alias("content"))
+    if partitions:
+        base = base.repartition(partitions, "file_id")
 
     text = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(text, r"\A\x{FEFF}", "")
