@@ -128,6 +128,7 @@ def dumps(value: Any) -> str:
     if isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, dict):
+        value = js_order(value.items())
         return "{" + ",".join(json.dumps(str(k), ensure_ascii=False) + ":" + dumps(v)
                               for k, v in value.items()) + "}"
     if isinstance(value, (list, tuple)):

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast, materialize
+from quarry.functions.grouping import checked_broadcast, first_by, materialize
 from quarry.functions.text import js_trim, utf16_length
 
 # Size limit (bytes, inclusive) and allowed MIME types per extension.
@@ -211,8 +211,12 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     keyed = rows.filter(F.col("valid") & F.col("idem_key").isNotNull())
     firsts = keyed.groupBy("tenant_id", "idem_key").agg(F.min("seq").alias("key_seq"))
     if prior_keys is not None:
-        pk = prior_keys.select("tenant_id", F.col("idempotency_key").alias("idem_key"),
-                               F.lit(-1).cast("long").alias("key_seq"))
+        # only history rows whose key occurs in this batch matter: a semi-join
+        # against the batch's distinct keys, not an aggregation of all history
+        batch_keys = rows.filter(F.col("idem_key").isNotNull()).select("tenant_id", "idem_key").distinct()
+        pk = (prior_keys.select("tenant_id", F.col("idempotency_key").alias("idem_key"))
+              .join(batch_keys, ["tenant_id", "idem_key"], "left_semi")
+              .distinct().withColumn("key_seq", F.lit(-1).cast("long")))
         firsts = firsts.unionByName(pk).groupBy("tenant_id", "idem_key").agg(F.min("key_seq").alias("key_seq"))
     # only keyed rows take part in the join: null keys would all hash to one reducer
     keyed_rows = rows.filter(F.col("idem_key").isNotNull()).join(firsts, ["tenant_id", "idem_key"], "left")
@@ -236,7 +240,10 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     cand = rows.filter(F.col("status0").isNull())
     first_cs = cand.groupBy("tenant_id", "checksum_sha256").agg(F.min("seq").alias("first_seq"))
     if prior_files is not None:
-        pf = prior_files.select("tenant_id", "checksum_sha256", F.lit(-1).cast("long").alias("first_seq"))
+        batch_cs = cand.select("tenant_id", "checksum_sha256").distinct()
+        pf = (prior_files.select("tenant_id", "checksum_sha256")
+              .join(batch_cs, ["tenant_id", "checksum_sha256"], "left_semi")
+              .distinct().withColumn("first_seq", F.lit(-1).cast("long")))
         first_cs = first_cs.unionByName(pf).groupBy("tenant_id", "checksum_sha256").agg(
             F.min("first_seq").alias("first_seq"))
     cand = (cand.join(first_cs, ["tenant_id", "checksum_sha256"], "left")
@@ -257,8 +264,10 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
         F.col("duplicate").alias("w_dup"))
     replay = replay.join(winners, ["tenant_id", "key_seq"], "left")
     if prior_keys is not None:
-        pk = prior_keys.select("tenant_id", F.col("idempotency_key").alias("idem_key"),
-                               F.col("file_id").alias("p_file"), F.col("duplicate").alias("p_dup"))
+        pk = first_by(prior_keys.select("tenant_id", F.col("idempotency_key").alias("idem_key"),
+                                        F.col("file_id").alias("p_file"), F.col("duplicate").alias("p_dup"))
+                      .join(replay.select("tenant_id", "idem_key").distinct(), ["tenant_id", "idem_key"], "left_semi"),
+                      ["tenant_id", "idem_key"], F.col("p_file"))
         replay = replay.join(pk, ["tenant_id", "idem_key"], "left")
         w_file = F.when(F.col("key_seq") < 0, F.col("p_file")).otherwise(F.col("w_file"))
         w_dup = F.when(F.col("key_seq") < 0, F.col("p_dup")).otherwise(F.col("w_dup"))

@@ -554,7 +554,7 @@ def q_entity_lineage(spark, sf):
 SELECT run_id, tenant_id, source_file_id, snapshot_id, count(*)::BIGINT AS raw_records, count(*)::BIGINT AS entities,
   any_value(d.domain) AS profiling_domain, any_value(d.confidence) AS confidence,
   '{_CFG['configuration_version']}' AS configuration_version, '{_CFG['configuration_hash']}' AS configuration_hash,
-  'COMPLETED' AS status
+  'COMPLETED' AS status, 100 AS progress, 'local' AS worker
 FROM ents JOIN dec2 d USING (snapshot_id) GROUP BY run_id, tenant_id, source_file_id, snapshot_id"""))
 def q_pipeline(spark, sf):
     return pl.run_pipeline(fx.records(spark, sf), PIPELINE_CONFIG)["runs"]
@@ -913,7 +913,8 @@ runs AS (SELECT run_id, snapshot_id, count(*) AS n FROM ents GROUP BY ALL)
 SELECT r.run_id, 'RAW' AS step_type, 1::BIGINT AS sequence, 'COMPLETED' AS status, 100 AS progress,
   '{"snapshot_id":' || to_json(r.snapshot_id)::VARCHAR || ',"record_count":' || r.n::VARCHAR || '}' AS output FROM runs r
 UNION ALL SELECT r.run_id, 'PROFILING', 2, 'COMPLETED', 100,
-  '{"domain":"' || d.domain || '","confidence":"' || d.confidence || '"}' FROM runs r JOIN dec2 d USING (snapshot_id)
+  '{"profiling_result_id":"' || sha256('profile|' || r.run_id) || '","domain":"' || d.domain || '","confidence":"' || d.confidence || '"}'
+FROM runs r JOIN dec2 d USING (snapshot_id)
 UNION ALL SELECT r.run_id, 'NORMALIZATION', 3, 'COMPLETED', 100, '{"entity_count":' || r.n::VARCHAR || '}' FROM runs r"""))
 def q_pipeline_steps(spark, sf):
     return pl.pipeline_steps(pl.run_pipeline(fx.records(spark, sf), PIPELINE_CONFIG)["runs"])
@@ -941,7 +942,7 @@ n AS (SELECT o_orderkey // 100 AS file_id, count(*)::BIGINT AS n FROM orders GRO
 SELECT sha256('run|' || tenant_id || '|' || source_file_id || '|' || snapshot_id || '|{_FCFG['configuration_hash']}') AS run_id,
   tenant_id, source_file_id, snapshot_id, n AS raw_records, n AS entities, 'UNKNOWN' AS profiling_domain, 'LOW' AS confidence,
   '{_FCFG['configuration_version']}' AS configuration_version, '{_FCFG['configuration_hash']}' AS configuration_hash,
-  'COMPLETED' AS status
+  'COMPLETED' AS status, 100 AS progress, 'local' AS worker
 FROM s JOIN n USING (file_id)"""))
 def q_file_pipeline(spark, sf):
     src = spark.createDataFrame([(f"t{i}", "orders") for i in range(4)], "tenant_id string, id string")

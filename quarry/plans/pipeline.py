@@ -68,7 +68,8 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
                     F.col("domain").alias("profiling_domain"), "confidence",
                     F.lit(cfg["configuration_version"]).alias("configuration_version"),
                     F.lit(cfg["configuration_hash"]).alias("configuration_hash"),
-                    F.lit("COMPLETED").alias("status")))
+                    F.lit("COMPLETED").alias("status"), F.lit(100).alias("progress"),
+                    F.lit("local").alias("worker")))
     return {"entities": ents, "runs": runs, "profiles": report}
 
 
@@ -79,7 +80,9 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
         return runs.select("run_id", F.lit(kind).alias("step_type"), F.lit(seq).cast("long").alias("sequence"),
                            F.lit("COMPLETED").alias("status"), F.lit(100).alias("progress"), output.alias("output"))
     raw = step("RAW", 1, F.to_json(F.struct(F.col("snapshot_id"), F.col("raw_records").alias("record_count"))))
-    prof = step("PROFILING", 2, F.to_json(F.struct(F.col("profiling_domain").alias("domain"), "confidence")))
+    result_id = F.sha2(F.concat_ws("|", F.lit("profile"), F.col("run_id")), 256)
+    prof = step("PROFILING", 2, F.to_json(F.struct(result_id.alias("profiling_result_id"),
+                                                   F.col("profiling_domain").alias("domain"), "confidence")))
     norm = step("NORMALIZATION", 3, F.to_json(F.struct(F.col("entities").alias("entity_count"))))
     return raw.unionByName(prof).unionByName(norm)
 
