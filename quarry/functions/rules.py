@@ -60,6 +60,37 @@ def is_string_variant(v: Column) -> Column:
     return F.schema_of_variant(v) == F.lit("STRING")
 
 
+def raw_map(payload: Column | str) -> Column:
+    """Payload as ``MAP<STRING, STRING>``: non-string values keep their JSON
+    text, nested objects in their original member order."""
+    p = F.col(payload) if isinstance(payload, str) else payload
+    return F.from_json(p, "map<string,string>")
+
+
+def json_quote(c: Column) -> Column:
+    """A string as a JSON string literal."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"\A\[(.*)\]\z", 1)
+
+
+def value_json(v: Column, raw_text: Column) -> Column:
+    """JSON text of one payload value: strings re-serialized, JSON null as
+    ``null``, anything else verbatim from the raw payload text."""
+    return (F.when(F.is_variant_null(v), F.lit("null"))
+             .when(is_string_variant(v), F.to_json(v))
+             .otherwise(raw_text))
+
+
+def rebuild_payload(vmap: Column, raw: Column, keep=None) -> Column:
+    """Payload text from the ordered entries of ``vmap`` (keys kept in order,
+    optionally filtered by ``keep(key)``), values via ``value_json``."""
+    entries = F.map_entries(vmap)
+    if keep is not None:
+        entries = F.filter(entries, lambda e: keep(e["key"]))
+    parts = F.transform(entries, lambda e: F.concat(json_quote(e["key"]), F.lit(":"),
+                                                     value_json(e["value"], raw[e["key"]])))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
 def normalize_payload(df: DataFrame, field_rules: Mapping[str, Sequence[str]],
                       payload: str = "payload", out: str = "normalized_payload") -> DataFrame:
     """Run each present field through its chain; other keys unchanged.
@@ -87,5 +118,8 @@ def normalize_payload(df: DataFrame, field_rules: Mapping[str, Sequence[str]],
             expr = F.when(cond, F.col(f"__n{i}")) if expr is None else expr.when(cond, F.col(f"__n{i}"))
         return v if expr is None else expr.otherwise(v)
 
-    result = F.to_json(F.transform_values(F.col(tmp), rewrite))
+    # written back entry by entry: changed strings re-serialized, other values
+    # verbatim (nested objects keep their member order)
+    rewritten = F.transform_values(F.col(tmp), rewrite)
+    result = rebuild_payload(rewritten, raw_map(payload))
     return work.withColumn(out, result).drop(tmp, *new_cols.keys())

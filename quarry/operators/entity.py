@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.rules import normalize_payload, payload_map
+from quarry.functions.rules import normalize_payload, payload_map, raw_map, rebuild_payload
 
 REQUIRED = ["source_id", "source_file_id", "source_record_id", "run_id", "entity_type"]
 
@@ -30,8 +30,8 @@ def identity_projection(records: DataFrame, fields: Sequence[str], payload: str
     """The listed fields of the *raw* payload; absent keys are skipped,
     explicit nulls kept, payload key order kept."""
     wanted = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")
-    kept = F.map_filter(payload_map(payload), lambda k, v: F.array_contains(wanted, k))
-    return records.withColumn(out, F.to_json(kept))
+    kept = rebuild_payload(payload_map(payload), raw_map(payload), keep=lambda k: F.array_contains(wanted, k))
+    return records.withColumn(out, kept)
 
 
 def build_entities(records: DataFrame, configuration: Mapping) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.rules import payload_map
+from quarry.functions.rules import payload_map, raw_map, value_json
 
 # Domain patterns (case-insensitive substring match).
 DOMAIN_PATTERNS = {
@@ -59,13 +59,22 @@ def js_string(v: Column) -> Column:
              .otherwise(F.regexp_replace(js, r"\.0\z", "")))
 
 
+def rate_text(x: Column) -> Column:
+    """JavaScript text of a rate in [0, 1] (``0``, ``0.5``, ``0.0001``), not
+    Java's (``0.0``, ``1.0E-4``). Plain notation is right down to 1e-6."""
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+\\z", ""), "\\.\\z", "")
+    return F.when(x == 0, F.lit("0")).otherwise(plain)
+
+
 def cells(records: DataFrame, lists: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
     """Dense cells: (snapshot, record_number, column_name, present, v)."""
-    joined = records.select(snapshot, "record_number", payload_map("payload").alias("m")).join(lists, snapshot)
-    ex = joined.select(snapshot, "record_number", "m", F.explode("columns").alias("column_name"))
+    joined = records.select(snapshot, "record_number", payload_map("payload").alias("m"),
+                            raw_map("payload").alias("raw")).join(lists, snapshot)
+    ex = joined.select(snapshot, "record_number", "m", "raw", F.explode("columns").alias("column_name"))
     present = F.map_contains_key("m", F.col("column_name"))
     return ex.select(snapshot, "record_number", "column_name", present.alias("present"),
-                     F.col("m")[F.col("column_name")].alias("v"))
+                     F.col("m")[F.col("column_name")].alias("v"),
+                     F.col("raw")[F.col("column_name")].alias("raw_text"))
 
 
 def _included(present: Column, v: Column) -> Column:
@@ -91,7 +100,8 @@ def column_examples(cell_df: DataFrame, k: int = 3, snapshot: str = "snapshot_id
     return (inc.withColumn("example_rank", F.row_number().over(w))
             .filter(F.col("example_rank") <= k)
             .select(snapshot, "column_name", F.col("example_rank").cast("long"),
-                    F.when(F.col("present"), F.to_json("v")).otherwise(F.lit("null")).alias("example_json")))
+                    F.when(F.col("present"), value_json(F.col("v"), F.col("raw_text")))
+                     .otherwise(F.lit("null")).alias("example_json")))
 
 
 def domain_scores(columns_df: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
@@ -151,7 +161,7 @@ def profile_report(records: DataFrame, snapshot: str = "snapshot_id", with_resul
     per_col = stats.join(ex, [snapshot, "column_name"], "left").select(
         snapshot, "column_name",
         F.concat(F.lit('{"non_null":'), F.col("non_null").cast("string"),
-                 F.lit(',"null_rate":'), F.col("null_rate").cast("string"),
+                 F.lit(',"null_rate":'), rate_text(F.col("null_rate")),
                  F.lit(',"distinct":'), F.col("distinct_count").cast("string"),
                  F.lit(',"examples":['),
                  F.array_join(F.transform(F.coalesce("ex", F.array()), lambda e: e["example_json"]), ","),

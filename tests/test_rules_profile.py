@@ -128,3 +128,36 @@ def test_redaction_and_uuid_shape(spark):
     df = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000",), ("123E4567-E89B-12D3-A456-426614174000",),
                                 ("123e4567-e89b-12d3-a456-42661417400",), ("123e4567-e89b-12d3-a456-42661417400g",)], "v string")
     assert [r.ok for r in df.select(checks.uuid_shape(F.col("v")).alias("ok")).collect()] == [True, True, False, False]
+
+
+def test_nested_values_keep_member_order(spark):
+    df = spark.createDataFrame([(1, '{"b":{"z":1,"a":[2,{"y":3,"c":4}]},"ref":" x ","n":1.5}')],
+                               "record_number long, payload string")
+    out = rules.normalize_payload(df, {"ref": ["trim"]}).first().normalized_payload
+    assert out == '{"b":{"z":1,"a":[2,{"y":3,"c":4}]},"ref":"x","n":1.5}'
+    ident = entity.identity_projection(df, ["b"]).first().identity_payload
+    assert ident == '{"b":{"z":1,"a":[2,{"y":3,"c":4}]}}'
+    recs = df.withColumn("snapshot_id", F.lit("s"))
+    p = profile.profile(recs)
+    ex = {r.column_name: r.example_json for r in profile.column_examples(p["cells"]).collect()}
+    assert ex == {"b": '{"z":1,"a":[2,{"y":3,"c":4}]}', "ref": '" x "', "n": "1.5"}
+
+
+def test_profile_result_json(spark):
+    recs = spark.createDataFrame([("s", 1, '{"reference":"A","ean":null,"designation":"x"}'),
+                                  ("s", 2, '{"reference":"B","designation":"x","sku":"1"}')],
+                                 "snapshot_id string, record_number long, payload string")
+    r = json.loads(profile.profile_report(recs, with_result=True).first().result)
+    assert r["domain"] == "ARTICLE" and r["confidence"] == "HIGH"
+    assert r["columns"] == ["reference", "ean", "designation", "sku"]
+    assert r["statistics"]["ean"] == {"non_null": 1, "null_rate": 0.5, "distinct": 1, "examples": [None]}
+    assert r["statistics"]["designation"] == {"non_null": 2, "null_rate": 0.0, "distinct": 1, "examples": ["x", "x"]}
+    assert r["candidates"] == {"ARTICLE": 4, "CUSTOMER": 0, "SUPPLIER": 0}
+    assert list(r) == ["domain", "confidence", "row_count", "column_count", "columns", "statistics", "candidates"]
+
+
+def test_rate_text(spark):
+    vals = [0.0, 1.0, 0.5, 1 / 3, 2 / 3, 0.0001, 0.25]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.t for r in df.select(profile.rate_text(F.col("x")).alias("t")).collect()]
+    assert got == ["0", "1", "0.5", "0.3333333333333333", "0.6666666666666666", "0.0001", "0.25"]
