@@ -210,9 +210,13 @@ def _doc_files(spark, sf):
 @query("text_artifact", """
 SELECT doc_id AS file_id, 1::BIGINT AS record_number,
   json_object('extracted_text', regexp_replace(text, '^\\x{FEFF}', ''))::VARCHAR AS payload
-FROM documents WHERE doc_id % 4 = 0""")
+FROM documents""")
 def q_text_artifact(spark, sf):
-    return _records_of(_doc_files(spark, sf).filter(F.col("file_id") % 4 == 0))
+    d = fx.table(spark, sf, "documents")
+    files = d.select(F.col("doc_id").alias("file_id"),
+                     F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+                     F.col("text").cast("binary").alias("content"))
+    return _records_of(files)
 
 
 @query("parse_dispatch", with_fx(["fx_order_text"], f"""

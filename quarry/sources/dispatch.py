@@ -74,7 +74,7 @@ def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "fil
     """All files -> ``(file_id, record_number, payload, error)``.
 
     A file is either fully parsed or quarantined with one error row.
-    ``partitions``: hash-spread the files over this many tasks first. Use it
+    ``partitions``: hash-spread the Python-lane files over this many tasks. Use it
     when the input comes out of a shuffle that AQE may have coalesced into a
     few partitions (parsing is CPU-bound); an explicit count is kept by AQE.
     Leave it unset for files read straight from storage (already split).
@@ -84,8 +84,6 @@ def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "fil
     base = files.select(F.col(file_id).cast("string").alias("file_id"),
                         extension_of(F.col(filename)).alias("extension"),
                         data.alias("content"))
-    if partitions:
-        base = base.repartition(partitions, "file_id")
 
     text = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(text, r"\A\x{FEFF}", "")
@@ -97,8 +95,10 @@ def parse_files(files: DataFrame, file_id: str = "file_id", filename: str = "fil
            .select("file_id", F.lit(None).cast("long").alias("record_number"),
                    F.lit(None).cast("string").alias("payload"),
                    F.concat(F.lit("Unsupported parser: "), F.col("extension")).alias("error")))
-    py_lane = (base.filter(F.col("extension").isin(*PYTHON_LANE))
-               .mapInPandas(_parse_batches, RECORD_SCHEMA))
+    py_files = base.filter(F.col("extension").isin(*PYTHON_LANE))
+    if partitions:
+        py_files = py_files.repartition(partitions, "file_id")
+    py_lane = py_files.mapInPandas(_parse_batches, RECORD_SCHEMA)
     return py_lane.unionByName(pdf_lane).unionByName(bad)
 
 
