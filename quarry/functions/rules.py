@@ -67,16 +67,30 @@ def raw_map(payload: Column | str) -> Column:
     return F.from_json(p, "map<string,string>")
 
 
+# Control characters whose \u escape holds hex letters (the
+# others print as digits or short escapes such as \n); JavaScript writes them
+# in lower case, Spark's JSON writer in upper case.
+_UPPER_HEX_ESCAPES = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
+
+
+def js_escapes(json_text: Column) -> Column:
+    """Lower-case the hex digits of unicode escapes, as ``JSON.stringify`` writes them."""
+    out = json_text
+    for h in _UPPER_HEX_ESCAPES:
+        out = F.replace(out, F.lit("\\u" + h), F.lit("\\u" + h.lower()))
+    return out
+
+
 def json_quote(c: Column) -> Column:
-    """A string as a JSON string literal."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"\A\[(.*)\]\z", 1)
+    """A string as a JSON string literal (JavaScript escaping)."""
+    return js_escapes(F.regexp_extract(F.to_json(F.array(c)), r"\A\[(.*)\]\z", 1))
 
 
 def value_json(v: Column, raw_text: Column) -> Column:
     """JSON text of one payload value: strings re-serialized, JSON null as
     ``null``, anything else verbatim from the raw payload text."""
     return (F.when(F.is_variant_null(v), F.lit("null"))
-             .when(is_string_variant(v), F.to_json(v))
+             .when(is_string_variant(v), js_escapes(F.to_json(v)))
              .otherwise(raw_text))
 
 

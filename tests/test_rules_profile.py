@@ -161,3 +161,9 @@ def test_rate_text(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r.t for r in df.select(profile.rate_text(F.col("x")).alias("t")).collect()]
     assert got == ["0", "1", "0.5", "0.3333333333333333", "0.6666666666666666", "0.0001", "0.25"]
+
+
+def test_control_characters_escape_like_javascript(spark):
+    df = spark.createDataFrame([('{"ref":" a\\u001f\\u000b\\n ","k":"\\u001e"}',)], "payload string")
+    out = rules.normalize_payload(df, {"ref": ["trim"]}).first().normalized_payload
+    assert out == '{"ref":"a\\u001f","k":"\\u001e"}'   # VT is JS whitespace: trimmed
