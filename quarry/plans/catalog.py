@@ -13,9 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import intake
+from quarry.functions import rules as nrules
+from quarry.functions import text as ntext
+from quarry.functions.redact import redact_json
+from quarry.operators import checks, entity, intake, ledger, raw, tables, tenancy
+from quarry.operators import profile as prof
 from quarry.plans import fixtures as fx
-from quarry.plans.oracle_fixtures import js_trim, utf16_len, with_fx
+from quarry.plans import pipeline as pl
+from quarry.plans.oracle_fixtures import WS, js_trim, utf16_len, with_fx
+from quarry.sources import delimited
+from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
@@ -144,10 +151,6 @@ def q_source_gate(spark, sf):
 
 
 # ====================================================================== I7-I12
-from quarry.operators import profile as prof  # noqa: E402
-from quarry.operators import raw  # noqa: E402
-from quarry.sources import delimited  # noqa: E402
-from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed  # noqa: E402
 
 
 def _records_of(files: DataFrame) -> DataFrame:
@@ -377,9 +380,6 @@ def q_profile_report(spark, sf):
 
 
 # ====================================================================== N
-from quarry.functions import rules as nrules  # noqa: E402
-from quarry.functions import text as ntext  # noqa: E402
-from quarry.plans.oracle_fixtures import WS  # noqa: E402
 
 
 def _docs(spark, sf):
@@ -437,7 +437,6 @@ def q_norm_payload(spark, sf):
 
 
 # ====================================================================== E
-from quarry.operators import entity  # noqa: E402
 
 IDENTITY_FIELDS = ["reference", "ean"]
 
@@ -453,8 +452,6 @@ def q_identity_projection(spark, sf):
 
 
 # ---------------------------------------------------------------- E2-E6
-from quarry.operators import ledger  # noqa: E402
-from quarry.plans import pipeline as pl  # noqa: E402
 
 PIPELINE_CONFIG = {"identity_fields": ["reference"], "field_rules": FIELD_RULES}
 _CFG = ledger.config_snapshot(PIPELINE_CONFIG)
@@ -668,8 +665,6 @@ def q_profiles_get(spark, sf):
 
 
 # ====================================================================== T
-from quarry.operators import checks, tables, tenancy  # noqa: E402
-from quarry.functions.redact import redact_json  # noqa: E402
 
 
 @query("memberships", with_fx(["fx_memberships"], """
