@@ -49,14 +49,22 @@ def column_lists(order: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
                     lambda s: s["column_name"]).alias("columns"))
 
 
-def js_string(v: Column) -> Column:
-    """``String(v)`` of a JSON value held as a variant."""
+def js_string(v: Column, raw_text: Column | None = None, nested: str = "object") -> Column:
+    """``String(v)`` of a JSON value held as a variant.
+
+    ``nested="json"`` (an option, not the reference behaviour) counts objects
+    and arrays by their JSON text instead of ``[object Object]``/joined items.
+    """
     t = F.schema_of_variant(v)
     js = F.to_json(v)
-    return (F.when(t == "STRING", v.cast("string"))
-             .when(t.startswith("OBJECT"), F.lit("[object Object]"))
-             .when(t.startswith("ARRAY"), F.regexp_replace(js, r'[\[\]"]', ""))
-             .otherwise(F.regexp_replace(js, r"\.0\z", "")))
+    out = F.when(t == "STRING", v.cast("string"))
+    if nested == "json":
+        text = raw_text if raw_text is not None else js
+        out = out.when(t.startswith("OBJECT") | t.startswith("ARRAY"), text)
+    else:
+        out = (out.when(t.startswith("OBJECT"), F.lit("[object Object]"))
+                  .when(t.startswith("ARRAY"), F.regexp_replace(js, r'[\[\]"]', "")))
+    return out.otherwise(F.regexp_replace(js, r"\.0\z", ""))
 
 
 def rate_text(x: Column) -> Column:
@@ -77,25 +85,38 @@ def cells(records: DataFrame, lists: DataFrame, snapshot: str = "snapshot_id") -
                      F.col("raw")[F.col("column_name")].alias("raw_text"))
 
 
-def _included(present: Column, v: Column) -> Column:
+def _included(present: Column, v: Column, absent: str = "undefined") -> Column:
+    """Excluded: JSON null or ``""``. An absent key is included (as the
+    reference's ``undefined``) unless ``absent="null"``."""
     empty = (F.schema_of_variant(v) == "STRING") & (v.cast("string") == "")
-    return ~(present & (F.is_variant_null(v) | empty))
+    inc = ~(present & (F.is_variant_null(v) | empty))
+    return inc & present if absent == "null" else inc
 
 
-def column_stats(cell_df: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
-    """row_count, non_null, null_rate, distinct per (snapshot, column)."""
-    inc = _included(F.col("present"), F.col("v"))
-    text = F.when(~F.col("present"), F.lit("undefined")).otherwise(js_string(F.col("v")))
+def column_stats(cell_df: DataFrame, snapshot: str = "snapshot_id", absent: str = "undefined",
+                 nested: str = "object", approx: bool = False) -> DataFrame:
+    """row_count, non_null, null_rate, distinct per (snapshot, column).
+
+    Options (defaults give the reference's numbers): ``absent="null"`` treats
+    a missing key as null; ``nested="json"`` counts objects/arrays by JSON
+    text; ``approx=True`` uses ``approx_count_distinct`` (HyperLogLog++,
+    fixed memory per group) instead of an exact distinct.
+    """
+    inc = _included(F.col("present"), F.col("v"), absent)
+    text = F.when(~F.col("present"), F.lit("undefined")).otherwise(
+        js_string(F.col("v"), F.col("raw_text"), nested))
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     agg = cell_df.groupBy(snapshot, "column_name").agg(
         F.count(F.lit(1)).cast("long").alias("row_count"),
         F.count_if(inc).cast("long").alias("non_null"),
-        F.count_distinct(F.when(inc, text)).cast("long").alias("distinct_count"))
+        distinct(F.when(inc, text)).cast("long").alias("distinct_count"))
     return agg.withColumn("null_rate", F.lit(1) - F.col("non_null") / F.col("row_count"))
 
 
-def column_examples(cell_df: DataFrame, k: int = 3, snapshot: str = "snapshot_id") -> DataFrame:
+def column_examples(cell_df: DataFrame, k: int = 3, snapshot: str = "snapshot_id",
+                    absent: str = "undefined") -> DataFrame:
     """P2 examples: the first ``k`` included values by record number."""
-    inc = cell_df.filter(_included(F.col("present"), F.col("v")))
+    inc = cell_df.filter(_included(F.col("present"), F.col("v"), absent))
     w = Window.partitionBy(snapshot, "column_name").orderBy("record_number")
     return (inc.withColumn("example_rank", F.row_number().over(w))
             .filter(F.col("example_rank") <= k)

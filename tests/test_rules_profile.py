@@ -167,3 +167,21 @@ def test_control_characters_escape_like_javascript(spark):
     df = spark.createDataFrame([('{"ref":" a\\u001f\\u000b\\n ","k":"\\u001e"}',)], "payload string")
     out = rules.normalize_payload(df, {"ref": ["trim"]}).first().normalized_payload
     assert out == '{"ref":"a\\u001f","k":"\\u001e"}'   # VT is JS whitespace: trimmed
+
+
+def test_profile_options(spark):
+    recs = spark.createDataFrame([
+        ("s", 1, '{"a":{"x":1},"b":"1"}'),
+        ("s", 2, '{"a":{"x":2}}'),
+        ("s", 3, '{"a":{"x":1},"b":"2"}'),
+    ], "snapshot_id string, record_number long, payload string")
+    cells = profile.profile(recs)["cells"]
+    ref = {r.column_name: (r.non_null, r.distinct_count) for r in profile.column_stats(cells).collect()}
+    assert ref == {"a": (3, 1), "b": (3, 3)}           # [object Object]; "1", undefined, "2"
+    opt = {r.column_name: (r.non_null, r.distinct_count)
+           for r in profile.column_stats(cells, absent="null", nested="json").collect()}
+    assert opt == {"a": (3, 2), "b": (2, 2)}
+    approx = {r.column_name: r.distinct_count for r in profile.column_stats(cells, approx=True).collect()}
+    assert approx == {"a": 1, "b": 3}
+    ex = [r.example_json for r in profile.column_examples(cells, absent="null").collect() if r.column_name == "b"]
+    assert sorted(ex) == ['"1"', '"2"']
