@@ -31,12 +31,18 @@ DOMAIN_PATTERNS = {
 DOMAINS = list(DOMAIN_PATTERNS)
 
 
+# (record_number, key position) packed into one bigint so that "first
+# appearance" is a plain min: a hash aggregate instead of a sort aggregate
+# over a struct. Positions stay below 2**20 keys per record.
+_POS_BITS = 20
+
+
 def column_order(records: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
     """(snapshot, column_name, position) in first-appearance order."""
     keys = records.select(snapshot, "record_number",
                           F.posexplode(F.json_object_keys("payload")).alias("pos", "column_name"))
-    firsts = keys.groupBy(snapshot, "column_name").agg(
-        F.min(F.struct("record_number", "pos")).alias("first"))
+    packed = F.shiftleft(F.col("record_number").cast("long"), _POS_BITS) + F.col("pos")
+    firsts = keys.groupBy(snapshot, "column_name").agg(F.min(packed).alias("first"))
     w = Window.partitionBy(snapshot).orderBy("first")
     return firsts.select(snapshot, "column_name",
                          F.row_number().over(w).cast("long").alias("position"))
