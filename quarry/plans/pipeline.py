@@ -87,6 +87,43 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
     return raw.unionByName(prof).unionByName(norm)
 
 
+def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
+                   max_records: int | None = 10_000,
+                   parser_version: str = "v6-parser-1") -> dict[str, DataFrame]:
+    """RAW snapshots (R1-R4) of already registered files.
+
+    ``files``: seq (arrival order), source_file_id, tenant_id, source_id,
+    filename, content. The same file may be snapshotted again: versions
+    continue after ``prior_snapshots`` (source_file_id) and after earlier
+    rows of this batch. Returns ``snapshots`` (one header row each),
+    ``records`` and ``quarantine`` (reader failures, record-limit refusals).
+    """
+    from quarry.operators import raw
+    from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
+
+    versions = raw.snapshot_versions(files.select("seq", "source_file_id", "tenant_id", "source_id"),
+                                     prior_snapshots)
+    versions = versions.withColumn("snapshot_id", raw.snapshot_id())
+    blobs = files.select("seq", "filename", "content").join(
+        versions.select("seq", "snapshot_id"), "seq")
+    # the parsed RAW records are the stored snapshot data; parse once, then the
+    # limit gate, headers, profile and entity branches all read them
+    parsed_all = materialize(parse_files(blobs, "snapshot_id", "filename", "content",
+                                         partitions=parse_partitions(files.sparkSession)))
+    parsed, parse_errors = split_parsed(parsed_all)
+    parsed = parsed.withColumnRenamed("file_id", "snapshot_id")
+    kept, verdicts = raw.record_limit(parsed, max_records)
+    meta = versions.select("snapshot_id", "source_file_id", "tenant_id", "source_id", "snapshot_version")
+    records = kept.join(meta, "snapshot_id")
+    headers = (meta.join(raw.build_snapshots(kept, parser_version), "snapshot_id")
+               .select("snapshot_id", "tenant_id", "source_file_id", "snapshot_version", "record_count",
+                       "schema_hash", "parser_version", "status"))
+    quarantine = (parse_errors.select(F.col("file_id").alias("snapshot_id"), F.col("error").alias("reason"))
+                  .unionByName(verdicts.filter(F.col("status") == "REJECTED").select("snapshot_id", "reason"))
+                  .join(meta, "snapshot_id"))
+    return {"snapshots": headers, "records": records, "quarantine": quarantine}
+
+
 def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Mapping,
                        prior_files: DataFrame | None = None, prior_keys: DataFrame | None = None,
                        prior_snapshots: DataFrame | None = None,
@@ -94,36 +131,22 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     """The whole chain from file bytes: intake (I1-I6) -> parse (I7-I12) ->
     RAW snapshots (R1-R4) -> profile, normalization, entities, runs (E6).
 
-    Only NEW files are parsed; their content is joined back by upload seq
-    (unique), so the intake shuffles never carry file bytes. A file whose
+    Only NEW files are snapshotted; their bytes are joined back by upload seq
+    (unique) against the narrow NEW decisions, broadcast when their count is
+    bounded, so the intake shuffles never carry file bytes. A file whose
     reader fails or that exceeds ``max_records`` is quarantined whole.
-    ``prior_snapshots`` (source_file_id) are earlier snapshots of the files.
     """
-    from quarry.operators import intake, raw
-    from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
+    from quarry.operators import intake
 
     resolved = intake.resolve_uploads(uploads, sources, prior_files, prior_keys)
     files, artifacts = intake.ingest_manifest(resolved)
-    new = resolved.filter(F.col("status") == intake.NEW).select("seq", "file_id", "tenant_id", "source_id",
-                                                                  "clean_filename")
-    # the NEW decisions are narrow: broadcast them when their count is bounded,
-    # so the upload bytes are not shuffled for the join
+    new = resolved.filter(F.col("status") == intake.NEW).select(
+        "seq", F.col("file_id").alias("source_file_id"), "tenant_id", "source_id",
+        F.col("clean_filename").alias("filename"))
     blobs = uploads.select(F.col("seq").cast("long").alias("seq"), "content").join(checked_broadcast(new), "seq")
-    # the parsed RAW records are the stored snapshot data; parse once, then the
-    # limit gate, snapshot join, profile and entity branches all read them
-    parsed_all = materialize(parse_files(blobs, "file_id", "clean_filename", "content",
-                                         partitions=parse_partitions(uploads.sparkSession)))
-    parsed, parse_errors = split_parsed(parsed_all)
-    kept, verdicts = raw.record_limit(parsed.withColumnRenamed("file_id", "source_file_id"), max_records,
-                                      snapshot="source_file_id")
-    batch = new.select(F.col("file_id").alias("source_file_id"), "tenant_id", "source_id", "seq")
-    snaps = raw.snapshot_versions(batch, prior_snapshots)
-    snaps = snaps.withColumn("snapshot_id", raw.snapshot_id())
-    records = kept.join(snaps.select("source_file_id", "tenant_id", "source_id", "snapshot_id", "snapshot_version"),
-                        "source_file_id")
-    out = run_pipeline(records, configuration)
-    quarantine = (parse_errors.select(F.col("file_id").alias("source_file_id"), F.col("error").alias("reason"))
-                  .unionByName(verdicts.filter(F.col("status") == "REJECTED").select("source_file_id", "reason")))
+    snap = snapshot_files(blobs, prior_snapshots, max_records)
+    out = run_pipeline(snap["records"], configuration)
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,
-                "snapshots": snaps, "records": records, "quarantine": quarantine})
+                "snapshots": snap["snapshots"], "records": snap["records"],
+                "quarantine": snap["quarantine"]})
     return out

@@ -46,3 +46,21 @@ def test_articles_chain(spark):
     lin = {r.tenant_id: (r.entities, r.records, r.files) for r in
            entity.lineage(out["entities"], recs, snaps, files, sources).collect()}
     assert lin == {"t1": (2, 2, 1), "t2": (2, 2, 1)}
+
+
+def test_same_file_two_snapshots(spark):
+    from quarry.plans.pipeline import snapshot_files
+
+    files = spark.createDataFrame([
+        (10, "f1", "t1", "s1", "a.json", b'{"a":1}'),
+        (11, "f1", "t1", "s1", "a.json", b'{"a":2}'),
+        (12, "f2", "t1", "s1", "b.csv", b'x\n"open'),
+    ], "seq long, source_file_id string, tenant_id string, source_id string, filename string, content binary")
+    prior = spark.createDataFrame([("f9",)], "source_file_id string")
+    out = snapshot_files(files, prior)
+    heads = sorted((r.source_file_id, r.snapshot_version, r.record_count, r.status) for r in out["snapshots"].collect())
+    assert heads == [("f1", 1, 1, "COMPLETE"), ("f1", 2, 1, "COMPLETE")]
+    recs = sorted((r.snapshot_version, r.payload) for r in out["records"].collect())
+    assert recs == [(1, '{"a":1}'), (2, '{"a":2}')]
+    q = out["quarantine"].collect()
+    assert [(r.source_file_id, r.reason) for r in q] == [("f2", "Unclosed quoted field")]
