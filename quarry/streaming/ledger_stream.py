@@ -1,13 +1,19 @@
-"""Streaming run-state fold (L3 over a stream of transitions).
+"""Streaming run-state folds (L3 over a stream of transitions).
 
-A stateful streaming aggregation keyed by run: Spark keeps one small state
-row per run (status, timestamps, progress as max_by over seq) in the state
-store and emits changed runs in ``update`` mode. Invalid states are filtered
-out before the aggregation (they are rejected, as in the batch fold).
+* ``run_state_stream``: a stateful streaming aggregation keyed by run (one
+  small state row per run, ``max_by`` over seq), emitted in ``update`` mode.
+* ``run_state_stream_bounded``: the same fold with ``applyInPandasWithState``
+  and an event-time timeout, so runs that reached a final state leave the
+  state store once the watermark passes them: state stays proportional to
+  the open runs, not to every run ever seen.
+
+Invalid states are filtered out before the fold (rejected, as in batch).
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +30,62 @@ def run_state_stream(transitions: DataFrame) -> DataFrame:
         F.max_by(F.when(final, F.col("ts")), F.when(final, F.col("seq"))).alias("finished_at"),
         F.max_by(F.col("progress"), F.when(F.col("progress").isNotNull(), F.col("seq"))).alias("progress"),
         F.count(F.lit(1)).cast("long").alias("transitions"))
+
+
+STATE_SCHEMA = ("status string, status_seq long, started_at timestamp, started_seq long, "
+                "finished_at timestamp, finished_seq long, progress int, progress_seq long, "
+                "transitions long, last_ts timestamp")
+OUT_SCHEMA = ("run_id string, status string, started_at timestamp, finished_at timestamp, "
+              "progress int, transitions long")
+
+
+def _later(seq, cur_seq) -> bool:
+    return cur_seq is None or seq > cur_seq
+
+
+def _fold_run(key, batches, state, retention_ms: int):
+    """Last-write-wins by seq across micro-batches; state dropped on timeout."""
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    names = ["status", "status_seq", "started_at", "started_seq", "finished_at", "finished_seq",
+             "progress", "progress_seq", "transitions", "last_ts"]
+    cur = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
+    cur["transitions"] = cur["transitions"] or 0
+    for pdf in batches:
+        for status, seq, ts, progress in zip(pdf["status"], pdf["seq"], pdf["ts"], pdf["progress"]):
+            seq = int(seq)
+            cur["transitions"] += 1
+            if _later(seq, cur["status_seq"]):
+                cur["status"], cur["status_seq"] = status, seq
+            if status == "RUNNING" and _later(seq, cur["started_seq"]):
+                cur["started_at"], cur["started_seq"] = ts, seq
+            if status in FINAL_STATES and _later(seq, cur["finished_seq"]):
+                cur["finished_at"], cur["finished_seq"] = ts, seq
+            if pd.notna(progress) and _later(seq, cur["progress_seq"]):
+                cur["progress"], cur["progress_seq"] = int(progress), seq
+            if cur["last_ts"] is None or ts > cur["last_ts"]:
+                cur["last_ts"] = ts
+    state.update(tuple(cur[n] for n in names))
+    if cur["status"] in FINAL_STATES:
+        # evict once the watermark passes the last event plus the retention
+        state.setTimeoutTimestamp(int(pd.Timestamp(cur["last_ts"]).timestamp() * 1000) + retention_ms)
+    yield pd.DataFrame([{"run_id": key[0], "status": cur["status"], "started_at": cur["started_at"],
+                         "finished_at": cur["finished_at"], "progress": cur["progress"],
+                         "transitions": cur["transitions"]}])
+
+
+def run_state_stream_bounded(transitions: DataFrame, watermark: str = "10 minutes",
+                             retention_ms: int = 3_600_000) -> DataFrame:
+    """L3 with bounded state: ``applyInPandasWithState`` keeps one small
+    state row per *open* run; a run in a final state is evicted when the
+    event-time watermark passes its last transition plus ``retention_ms``
+    (later transitions of an evicted run start a fresh state)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ok = transitions.filter(F.col("status").isin(*RUN_STATES)).withWatermark("ts", watermark)
+    return ok.groupBy("run_id").applyInPandasWithState(
+        partial(_fold_run, retention_ms=retention_ms), OUT_SCHEMA, STATE_SCHEMA, "update",
+        GroupStateTimeout.EventTimeTimeout)

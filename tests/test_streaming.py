@@ -43,3 +43,28 @@ def test_run_state_stream(spark):
     q.stop()
     r = spark.sql("SELECT * FROM run_state_test").first()
     assert (r.status, r.progress, r.transitions) == ("COMPLETED", 100, 2)
+
+
+def test_run_state_stream_bounded(spark):
+    from quarry.streaming.ledger_stream import run_state_stream_bounded
+
+    root = tempfile.mkdtemp(prefix="quarry-ledger-b-")
+    schema = "run_id string, seq long, status string, ts timestamp, progress int"
+    first = spark.createDataFrame([("r", 1, "RUNNING", "2024-01-01 00:00:00", None),
+                                   ("r", 2, "BOGUS", "2024-01-01 00:01:00", None),
+                                   ("q", 1, "RUNNING", "2024-01-01 00:02:00", 5)], "run_id string, seq long, status string, ts string, progress int")
+    first.withColumn("ts", F.to_timestamp("ts")).write.parquet(os.path.join(root, "in", "b1"))
+    stream = spark.readStream.schema(schema).parquet(os.path.join(root, "in", "*"))
+    q = (run_state_stream_bounded(stream).writeStream.outputMode("update").format("memory")
+         .queryName("run_state_bounded").option("checkpointLocation", os.path.join(root, "ckpt")).start())
+    q.processAllAvailable()
+    second = spark.createDataFrame([("r", 4, "COMPLETED", "2024-01-01 00:05:00", 100),
+                                    ("r", 3, "RUNNING", "2024-01-01 00:04:00", None)],
+                                   "run_id string, seq long, status string, ts string, progress int")
+    second.withColumn("ts", F.to_timestamp("ts")).write.parquet(os.path.join(root, "in", "b2"))
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("SELECT * FROM run_state_bounded WHERE run_id = 'r' ORDER BY transitions DESC").collect()
+    r = rows[0]
+    assert (r.status, str(r.started_at), str(r.finished_at), r.progress, r.transitions) == (
+        "COMPLETED", "2024-01-01 00:04:00", "2024-01-01 00:05:00", 100, 3)
