@@ -179,8 +179,8 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     registered. Both count as earlier than every row of the batch.
 
     Output: seq, tenant_id, source_id, clean_filename, extension, mime_type,
-    size_bytes, checksum_sha256, status, reason, file_id, duplicate,
-    idempotent_replay.
+    size_bytes, checksum_sha256, status, reason, error_code (VALIDATION_ERROR
+    or NOT_FOUND for refusals), file_id, duplicate, idempotent_replay.
     """
     key_raw = F.col("idempotency_key") if "idempotency_key" in uploads.columns else F.lit(None).cast("string")
     size = _size_col(uploads)
@@ -233,8 +233,11 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
                .when(~F.col("key_ok"), F.lit("Invalid Idempotency-Key"))
                .when(~F.col("source_ok"), F.lit("Source not found"))
                .otherwise(F.col("policy")))
-    rows = rows.withColumn("status0", status0).withColumn(
-        "reason", F.when(F.col("status0") == REJECTED, reason))
+    code = F.when(F.col("source_ok") | ~F.col("key_ok") | ~F.col("has_buffer"),
+                  F.lit("VALIDATION_ERROR")).otherwise(F.lit("NOT_FOUND"))
+    rows = (rows.withColumn("status0", status0)
+            .withColumn("reason", F.when(F.col("status0") == REJECTED, reason))
+            .withColumn("error_code", F.when(F.col("status0") == REJECTED, code)))
 
     # step 4: first candidate per (tenant, checksum); stored files come first
     cand = rows.filter(F.col("status0").isNull())
@@ -253,7 +256,7 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
             .withColumn("idempotent_replay", F.lit(False)))
 
     out_cols = ["seq", "tenant_id", "source_id", "clean_filename", "extension", "mime_type",
-                "size_bytes", "checksum_sha256", "idem_key", "status", "reason", "file_id",
+                "size_bytes", "checksum_sha256", "idem_key", "status", "reason", "error_code", "file_id",
                 "duplicate", "idempotent_replay"]
     cand = cand.select(*out_cols)
 
@@ -276,12 +279,13 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     replay = replay.select(
         "seq", "tenant_id", "source_id", "clean_filename", "extension", "mime_type", "size_bytes",
         "checksum_sha256", "idem_key", F.lit(REPLAY).alias("status"),
-        F.lit(None).cast("string").alias("reason"), w_file.alias("file_id"),
+        F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error_code"),
+        w_file.alias("file_id"),
         w_dup.alias("duplicate"), F.lit(True).alias("idempotent_replay"))
 
     rejected = rows.filter(F.col("status0") == REJECTED).select(
         "seq", "tenant_id", "source_id", "clean_filename", "extension", "mime_type", "size_bytes",
-        "checksum_sha256", "idem_key", F.lit(REJECTED).alias("status"), "reason",
+        "checksum_sha256", "idem_key", F.lit(REJECTED).alias("status"), "reason", "error_code",
         F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("boolean").alias("duplicate"),
         F.lit(False).alias("idempotent_replay"))
     return (cand.unionByName(replay).unionByName(rejected)

@@ -74,7 +74,8 @@ def record_limit(records: DataFrame, limit: int | None = MAX_RECORDS,
     verdicts = counts.select(
         snapshot, "record_count",
         F.when(over, F.lit("REJECTED")).otherwise(F.lit("ACCEPTED")).alias("status"),
-        F.when(over, F.lit("RAW record limit exceeded")).alias("reason"))
+        F.when(over, F.lit("RAW record limit exceeded")).alias("reason"),
+        F.when(over, F.lit("INGESTION_ERROR")).alias("error_code"))
     refused = verdicts.filter(F.col("status") == "REJECTED").select(snapshot)
     return records.join(refused, snapshot, "left_anti"), verdicts
 

@@ -16,6 +16,15 @@ from quarry.functions.grouping import first_by
 from quarry.functions.rules import payload_map
 
 
+def with_ids(rows: DataFrame, key: str = "id") -> DataFrame:
+    """G1 id rule: a row without an id gets one, derived from its content
+    (deterministic, so a retried insert produces the same id)."""
+    derived = F.sha2(F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != key])), 256)
+    if key not in rows.columns:
+        return rows.withColumn(key, derived)
+    return rows.withColumn(key, F.coalesce(F.col(key).cast("string"), derived))
+
+
 def upsert(table: DataFrame, incoming: DataFrame, key: str = "id", order: str = "write_seq") -> DataFrame:
     """G1: union, then the newest write per id (an aggregate, no window)."""
     return first_by(table.unionByName(incoming), [key], order, descending=True)

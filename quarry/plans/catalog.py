@@ -273,7 +273,8 @@ def q_raw_snapshot(spark, sf):
 @query("record_limit", with_fx(["fx_records"], """
 SELECT snapshot_id, count(*) AS record_count,
   CASE WHEN count(*) > 25 THEN 'REJECTED' ELSE 'ACCEPTED' END AS status,
-  CASE WHEN count(*) > 25 THEN 'RAW record limit exceeded' END AS reason
+  CASE WHEN count(*) > 25 THEN 'RAW record limit exceeded' END AS reason,
+  CASE WHEN count(*) > 25 THEN 'INGESTION_ERROR' END AS error_code
 FROM fx_records GROUP BY snapshot_id"""))
 def q_record_limit(spark, sf):
     _, verdicts = raw.record_limit(fx.records(spark, sf), 25)

@@ -4,9 +4,11 @@ resolution with a sequential model of one-upload-at-a-time handling."""
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.operators import intake
 
-WS = "\t\n\x0b\x0c\r                  　﻿"
+WS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ALLOWED = {".csv": {"text/csv", "application/csv"}, ".tsv": {"text/tab-separated-values", "text/tsv"},
            ".json": {"application/json", "text/json"}, ".pdf": {"application/pdf"}}
 
@@ -126,7 +128,7 @@ def test_manifest_and_prior_batches(spark):
     assert f.original_name == "r.csv" and f.status == "VERIFIED"
     assert a.storage_key == f"t/sources/{f.id}/r.csv" and a.version == 1
     # a second batch sees the stored file and key
-    prior_files = files.select("tenant_id", "checksum_sha256", F_col("id"))
+    prior_files = files.select("tenant_id", "checksum_sha256", F.col("id").alias("file_id"))
     prior_keys = intake.registered_keys(res)
     rows2 = [(2, "t", "s", "other.csv", "text/csv", "a", None), (3, "t", "s", "x.exe", "text/csv", "b", "k")]
     up2 = spark.createDataFrame(rows2, SCHEMA)
@@ -134,6 +136,15 @@ def test_manifest_and_prior_batches(spark):
     assert got == {2: ("DUPLICATE", f.id), 3: ("REPLAY", f.id)}
 
 
-def F_col(name):
-    from pyspark.sql import functions as F
-    return F.col(name).alias("file_id")
+def test_error_codes_and_generated_ids(spark):
+    from quarry.operators import tables
+
+    rows = [(1, "t", "s", "a.exe", "text/csv", "x", None), (2, "t", "nope", "a.csv", "text/csv", "x", None),
+            (3, "t", "s", "a.csv", "text/csv", "x", "")]
+    up = spark.createDataFrame(rows, SCHEMA)
+    src = spark.createDataFrame([("t", "s")], "tenant_id string, id string")
+    got = {r.seq: r.error_code for r in intake.resolve_uploads(up, src).collect()}
+    assert got == {1: "VALIDATION_ERROR", 2: "NOT_FOUND", 3: "VALIDATION_ERROR"}
+    t = spark.createDataFrame([(None, "a"), ("x", "b"), (None, "a")], "id string, v string")
+    ids = [r.id for r in tables.with_ids(t).collect()]
+    assert ids[1] == "x" and ids[0] == ids[2] and len(ids[0]) == 64
