@@ -89,23 +89,26 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
 
 def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
                    max_records: int | None = 10_000,
-                   parser_version: str = "v6-parser-1") -> dict[str, DataFrame]:
+                   parser_version: str = "v6-parser-1",
+                   contents: DataFrame | None = None) -> dict[str, DataFrame]:
     """RAW snapshots (R1-R4) of already registered files.
 
     ``files``: seq (arrival order), source_file_id, tenant_id, source_id,
-    filename, content. The same file may be snapshotted again: versions
-    continue after ``prior_snapshots`` (source_file_id) and after earlier
-    rows of this batch. Returns ``snapshots`` (one header row each),
-    ``records`` and ``quarantine`` (reader failures, record-limit refusals).
+    filename, and content unless ``contents`` (seq, content) gives the bytes
+    separately. The same file may be snapshotted again: versions continue
+    after ``prior_snapshots`` (source_file_id) and after earlier rows of this
+    batch. Versions are computed on the narrow file list; the bytes are
+    joined once, against the version rows (broadcast when their count is
+    bounded). Returns ``snapshots`` (one header row each), ``records`` and
+    ``quarantine`` (reader failures, record-limit refusals).
     """
     from quarry.operators import raw
     from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
-    versions = raw.snapshot_versions(files.select("seq", "source_file_id", "tenant_id", "source_id"),
-                                     prior_snapshots)
-    versions = versions.withColumn("snapshot_id", raw.snapshot_id())
-    blobs = files.select("seq", "filename", "content").join(
-        versions.select("seq", "snapshot_id"), "seq")
+    narrow = files.select("seq", "source_file_id", "tenant_id", "source_id", "filename")
+    versions = raw.snapshot_versions(narrow, prior_snapshots).withColumn("snapshot_id", raw.snapshot_id())
+    blob_src = contents if contents is not None else files.select("seq", "content")
+    blobs = blob_src.join(checked_broadcast(versions.select("seq", "snapshot_id", "filename")), "seq")
     # the parsed RAW records are the stored snapshot data; parse once, then the
     # limit gate, headers, profile and entity branches all read them
     parsed_all = materialize(parse_files(blobs, "snapshot_id", "filename", "content",
@@ -132,8 +135,8 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     RAW snapshots (R1-R4) -> profile, normalization, entities, runs (E6).
 
     Only NEW files are snapshotted; their bytes are joined back by upload seq
-    (unique) against the narrow NEW decisions, broadcast when their count is
-    bounded, so the intake shuffles never carry file bytes. A file whose
+    (unique) against the narrow version rows of the NEW files, broadcast when
+    their count is bounded, so the intake shuffles never carry file bytes. A file whose
     reader fails or that exceeds ``max_records`` is quarantined whole.
     """
     from quarry.operators import intake
@@ -143,8 +146,8 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     new = resolved.filter(F.col("status") == intake.NEW).select(
         "seq", F.col("file_id").alias("source_file_id"), "tenant_id", "source_id",
         F.col("clean_filename").alias("filename"))
-    blobs = uploads.select(F.col("seq").cast("long").alias("seq"), "content").join(checked_broadcast(new), "seq")
-    snap = snapshot_files(blobs, prior_snapshots, max_records)
+    contents = uploads.select(F.col("seq").cast("long").alias("seq"), "content")
+    snap = snapshot_files(new, prior_snapshots, max_records, contents=contents)
     out = run_pipeline(snap["records"], configuration)
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,
                 "snapshots": snap["snapshots"], "records": snap["records"],
