@@ -58,14 +58,18 @@ def row_number_by(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn
              .drop("__b", "__off"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Compute ``df`` once for several consumers.
 
     With a checkpoint folder (``spark.checkpoint.dir``, a shared folder on a
     cluster) the rows are written there and lineage is cut, so a lost
     executor does not force a recompute from the raw input; otherwise they
-    are persisted (memory, spilling to disk).
+    are persisted (memory, spilling to disk). ``small=True`` is for little
+    derived tables whose lineage already starts at a checkpoint: they are
+    only persisted (lazily, no extra job); a lost block is recomputed cheaply.
     """
+    if small:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():

@@ -42,13 +42,13 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
     snaps = records.select("tenant_id", "source_id", "source_file_id", "snapshot_id", "snapshot_version").distinct()
     latest = first_by(snaps, ["tenant_id", "source_file_id"], "snapshot_version", descending=True)
     # one row per file, used by four branches below: computed once
-    latest = materialize(latest.withColumn("run_id", run_id_col(cfg["configuration_hash"])))
+    latest = materialize(latest.withColumn("run_id", run_id_col(cfg["configuration_hash"])), small=True)
     recs = records.join(latest.select("tenant_id", "source_file_id", "snapshot_id", "run_id"),
                         ["tenant_id", "source_file_id", "snapshot_id"], "left_semi")
 
     # P1-P5 over the chosen snapshots
     # one row per snapshot, used three times: computed once
-    report = materialize(profile.profile_report(recs))
+    report = materialize(profile.profile_report(recs), small=True)
 
     # N8 + E1-E3
     enriched = (recs.join(latest.select("snapshot_id", "run_id"), "snapshot_id")
