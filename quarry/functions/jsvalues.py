@@ -74,9 +74,20 @@ def loads_plain(text: str):
         return False, None
 
 
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _escape_lone_surrogates(text: str) -> str:
+    """Lone UTF-16 surrogates are written as ``\\udXXX`` escapes, as the
+    well-formed ``JSON.stringify`` does (and the text stays valid UTF-8)."""
+    if not _LONE_SURROGATE.search(text):
+        return text
+    return _LONE_SURROGATE.sub(lambda m: "\\u%04x" % ord(m.group()), text)
+
+
 def compact(value: Any) -> str:
     """``JSON.stringify`` for values holding no floats (C encoder)."""
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _escape_lone_surrogates(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
 def number_text(x: float | int) -> str:
@@ -126,11 +137,10 @@ def dumps(value: Any) -> str:
             return "null"
         return number_text(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _escape_lone_surrogates(json.dumps(value, ensure_ascii=False))
     if isinstance(value, dict):
         value = js_order(value.items())
-        return "{" + ",".join(json.dumps(str(k), ensure_ascii=False) + ":" + dumps(v)
-                              for k, v in value.items()) + "}"
+        return "{" + ",".join(dumps(str(k)) + ":" + dumps(v) for k, v in value.items()) + "}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(dumps(v) for v in value) + "]"
     return json.dumps(str(value), ensure_ascii=False)

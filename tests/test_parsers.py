@@ -90,3 +90,11 @@ def test_dispatch_routes_and_quarantines(spark):
                    ("3", 1, '{"extracted_text":"%PDF raw �"}'), ("6", 1, '{"k":"v"}')]
     assert sorted((r.file_id, r.error) for r in errs.collect()) == [
         ("4", "Unsupported parser: .exe"), ("5", "Unclosed quoted field")]
+
+
+def test_lone_surrogates_survive_the_arrow_path(spark):
+    files = spark.createDataFrame([("1", "a.json", b'[{"a":"x\\ud800y"},"\\ud83d\\ude00"]')],
+                                  "file_id string, filename string, content binary")
+    recs, errs = split_parsed(parse_files(files))
+    got = sorted(r.payload for r in recs.collect())
+    assert got == ['{"a":"x\\ud800y"}', '{"value":"\U0001F600"}'] and errs.count() == 0
