@@ -55,6 +55,31 @@ def column_lists(order: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
                     lambda s: s["column_name"]).alias("columns"))
 
 
+# Array nesting levels turned into text exactly; deeper arrays (rare in
+# tabular files) fall back to their JSON text with brackets and quotes dropped.
+ARRAY_DEPTH = 3
+
+
+def _scalar_text(v: Column) -> Column:
+    return F.regexp_replace(F.to_json(v), r"\.0\z", "")
+
+
+def _array_text(v: Column, depth: int) -> Column:
+    """``Array.prototype.join(",")``: null items are empty, objects are
+    ``[object Object]``, nested arrays join recursively."""
+    def item(x: Column) -> Column:
+        t = F.schema_of_variant(x)
+        out = (F.when(x.isNull() | F.is_variant_null(x), F.lit(""))
+                .when(t == "STRING", x.cast("string"))
+                .when(t.startswith("OBJECT"), F.lit("[object Object]")))
+        if depth > 1:
+            out = out.when(t.startswith("ARRAY"), _array_text(x, depth - 1))
+        else:
+            out = out.when(t.startswith("ARRAY"), F.regexp_replace(F.to_json(x), r'[\[\]"]', ""))
+        return out.otherwise(_scalar_text(x))
+    return F.array_join(F.transform(v.cast("array<variant>"), item), ",", "")
+
+
 def js_string(v: Column, raw_text: Column | None = None, nested: str = "object") -> Column:
     """``String(v)`` of a JSON value held as a variant.
 
@@ -62,15 +87,14 @@ def js_string(v: Column, raw_text: Column | None = None, nested: str = "object")
     and arrays by their JSON text instead of ``[object Object]``/joined items.
     """
     t = F.schema_of_variant(v)
-    js = F.to_json(v)
     out = F.when(t == "STRING", v.cast("string"))
     if nested == "json":
-        text = raw_text if raw_text is not None else js
+        text = raw_text if raw_text is not None else F.to_json(v)
         out = out.when(t.startswith("OBJECT") | t.startswith("ARRAY"), text)
     else:
         out = (out.when(t.startswith("OBJECT"), F.lit("[object Object]"))
-                  .when(t.startswith("ARRAY"), F.regexp_replace(js, r'[\[\]"]', "")))
-    return out.otherwise(F.regexp_replace(js, r"\.0\z", ""))
+                  .when(t.startswith("ARRAY"), _array_text(v, ARRAY_DEPTH)))
+    return out.otherwise(_scalar_text(v))
 
 
 def rate_text(x: Column) -> Column:

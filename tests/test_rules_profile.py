@@ -185,3 +185,15 @@ def test_profile_options(spark):
     assert approx == {"a": 1, "b": 3}
     ex = [r.example_json for r in profile.column_examples(cells, absent="null").collect() if r.column_name == "b"]
     assert sorted(ex) == ['"1"', '"2"']
+
+
+def test_array_values_stringify_like_javascript(spark):
+    recs = spark.createDataFrame([
+        ("s", 1, '{"a":[1,null,"x,y",[2,[3,4]],{"k":1},true,1.50]}'),
+        ("s", 2, '{"a":"1,,x,y,2,3,4,[object Object],true,1.5"}'),
+        ("s", 3, '{"a":[]}'),
+        ("s", 4, '{"a":""}'),
+    ], "snapshot_id string, record_number long, payload string")
+    st = profile.column_stats(profile.profile(recs)["cells"]).first()
+    # row 1 and row 2 have the same String() text; [] stringifies to "" but is not excluded
+    assert (st.non_null, st.distinct_count) == (3, 2)
