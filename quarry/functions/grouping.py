@@ -30,10 +30,18 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str | Column,
-             cols: Sequence[str] | None = None, descending: bool = False) -> DataFrame:
-    """One row per ``keys``: the row with the least (or greatest) ``order``."""
+             cols: Sequence[str] | None = None, descending: bool = False,
+             tiebreak: Sequence[str] = ()) -> DataFrame:
+    """One row per ``keys``: the row with the least (or greatest) ``order``.
+
+    The order (with ``tiebreak`` columns appended) should be unique within a
+    key: then the pick is deterministic and a recomputed partition after an
+    executor loss yields the same row.
+    """
     cols = [c for c in (cols or df.columns) if c not in keys]
     o = F.col(order) if isinstance(order, str) else order
+    if tiebreak:
+        o = F.struct(o, *[F.col(c) for c in tiebreak])
     pick = F.max_by if descending else F.min_by
     agg = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in cols]), o).alias("__r"))
     return agg.select(*keys, *[F.col("__r")[c].alias(c) for c in cols])

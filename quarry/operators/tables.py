@@ -26,7 +26,8 @@ def with_ids(rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str = "id", order: str = "write_seq") -> DataFrame:
-    """G1: union, then the newest write per id (an aggregate, no window)."""
+    """G1: union, then the newest write per id (an aggregate, no window).
+    ``order`` must be unique per id (one write sequence number per write)."""
     return first_by(table.unionByName(incoming), [key], order, descending=True)
 
 
