@@ -64,3 +64,15 @@ def test_tenancy(spark):
     lists = tenancy.org_lists("u1", m, bases, bases.limit(0), bases.limit(0))
     assert [r.id for r in lists.collect()] == ["b1"]
     assert tenancy.scoped_get(bases, "t1", "id", "b2").count() == 0
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("k"),
+        F.col("id").alias("o"))
+    out = row_number_by(df, ["k"], "o", "rn", width=1024).withColumn("pid", F.spark_partition_id())
+    hot = out.filter(F.col("k") == "hot")
+    assert hot.select("pid").distinct().count() > 1            # not one task for the hot key
+    stats = hot.agg(F.min("rn").alias("lo"), F.max("rn").alias("hi"), F.count_distinct("rn").alias("d")).first()
+    assert (stats.lo, stats.hi, stats.d) == (1, n // 3, n // 3)
