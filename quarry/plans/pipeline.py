@@ -32,7 +32,8 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
     record_number, payload, and optionally snapshot_version (default 1).
 
     Returns ``entities`` (inserted), ``runs`` (one per file, with statistics),
-    ``profiles`` (one report per run).
+    ``profiles`` (summary report per snapshot) and ``records`` (the chosen
+    snapshots' records); ``profiling_results(out)`` gives the full rows.
     """
     cfg = ledger.config_snapshot(configuration, profile_version_id, rule_version_id)
     if "snapshot_version" not in records.columns:
@@ -47,7 +48,8 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
                         ["tenant_id", "source_file_id", "snapshot_id"], "left_semi")
 
     # P1-P5 over the chosen snapshots
-    # one row per snapshot, used three times: computed once
+    # one row per snapshot, used three times: computed once. The full result
+    # JSON (statistics, examples) is only built for ``profiling_results``.
     report = materialize(profile.profile_report(recs), small=True)
 
     # N8 + E1-E3
@@ -70,7 +72,18 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
                     F.lit(cfg["configuration_hash"]).alias("configuration_hash"),
                     F.lit("COMPLETED").alias("status"), F.lit(100).alias("progress"),
                     F.lit("local").alias("worker")))
-    return {"entities": ents, "runs": runs, "profiles": report}
+    return {"entities": ents, "runs": runs, "profiles": report, "records": recs}
+
+
+def profiling_results(out: dict[str, DataFrame]) -> DataFrame:
+    """One ``profiling_results`` row per run of a ``run_pipeline`` result,
+    with the full result JSON (statistics and examples). Kept separate
+    because the full-result plan is large: it is only built when asked for."""
+    full = profile.profile_report(out["records"], with_result=True)
+    return (out["runs"].select("snapshot_id", "run_id", "tenant_id").join(full, "snapshot_id")
+            .select(F.sha2(F.concat_ws("|", F.lit("profile"), F.col("run_id")), 256).alias("id"),
+                    "tenant_id", "run_id", F.col("snapshot_id").alias("raw_snapshot_id"), "domain",
+                    "confidence", "row_count", "column_count", "result"))
 
 
 def pipeline_steps(runs: DataFrame) -> DataFrame:
@@ -150,6 +163,5 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     snap = snapshot_files(new, prior_snapshots, max_records, contents=contents)
     out = run_pipeline(snap["records"], configuration)
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,
-                "snapshots": snap["snapshots"], "records": snap["records"],
-                "quarantine": snap["quarantine"]})
+                "snapshots": snap["snapshots"], "quarantine": snap["quarantine"]})
     return out

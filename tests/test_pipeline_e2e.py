@@ -64,3 +64,18 @@ def test_same_file_two_snapshots(spark):
     assert recs == [(1, '{"a":1}'), (2, '{"a":2}')]
     q = out["quarantine"].collect()
     assert [(r.source_file_id, r.reason) for r in q] == [("f2", "Unclosed quoted field")]
+
+
+def test_profiling_result_rows(spark):
+    csv = "reference,designation,ean\nA-01,Produit,\nA-02,Autre,123\n"
+    up = spark.createDataFrame([(1, "t1", "s1", "a.csv", "text/csv", csv, None)], SCHEMA)
+    src = spark.createDataFrame([("t1", "s1")], "tenant_id string, id string")
+    out = ingest_and_process(up, src, CONFIG)
+    from quarry.plans.pipeline import profiling_results
+
+    r = profiling_results(out).collect()
+    assert len(r) == 1 and r[0].domain == "ARTICLE" and r[0].confidence == "HIGH"
+    res = json.loads(r[0].result)
+    assert res["statistics"]["ean"] == {"non_null": 1, "null_rate": 0.5, "distinct": 1, "examples": ["123"]}
+    run = out["runs"].first()
+    assert r[0].run_id == run.run_id and (r[0].row_count, r[0].column_count) == (2, 3)
