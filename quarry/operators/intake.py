@@ -189,18 +189,18 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
         F.col("filename"), F.col("mime_type").cast("string").alias("mime_type"),
         size.alias("size_bytes"), key_raw.cast("string").alias("key_raw"),
         F.sha2(_content_bytes(uploads), 256).alias("checksum_sha256"))
-    key = F.when(F.col("key_raw").isNotNull(), js_trim(F.col("key_raw")))
-    rows = (base
-            .withColumn("idem_key", key)
-            .withColumn("key_ok", F.col("key_raw").isNull()
-                        | ((F.col("idem_key") != "") & (utf16_length(F.col("idem_key")) <= MAX_KEY)))
-            .withColumn("clean_filename", clean_name(F.col("filename")))
-            .withColumn("extension", extension(F.col("clean_filename")))
-            .drop("filename", "key_raw"))
-    rows = rows.withColumn("policy", policy_reason(F.col("clean_filename"), F.col("size_bytes"),
-                                                   F.col("mime_type"), max_bytes))
+    named = base.withColumns({
+        "idem_key": F.when(F.col("key_raw").isNotNull(), js_trim(F.col("key_raw"))),
+        "clean_filename": clean_name(F.col("filename"))})
+    rows = named.select(
+        "seq", "tenant_id", "source_id", "mime_type", "size_bytes", "checksum_sha256", "idem_key",
+        "clean_filename",
+        (F.col("key_raw").isNull()
+         | ((F.col("idem_key") != "") & (utf16_length(F.col("idem_key")) <= MAX_KEY))).alias("key_ok"),
+        extension(F.col("clean_filename")).alias("extension"),
+        policy_reason(F.col("clean_filename"), F.col("size_bytes"), F.col("mime_type"), max_bytes).alias("policy"),
+        F.col("checksum_sha256").isNotNull().alias("has_buffer"))
     rows = source_gate(rows, sources)
-    rows = rows.withColumn("has_buffer", F.col("checksum_sha256").isNotNull())
     # the narrow per-upload rows (no content) feed five branches below: read
     # and hash the file bytes once
     rows = materialize(rows)
@@ -235,9 +235,9 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
                .otherwise(F.col("policy")))
     code = F.when(F.col("source_ok") | ~F.col("key_ok") | ~F.col("has_buffer"),
                   F.lit("VALIDATION_ERROR")).otherwise(F.lit("NOT_FOUND"))
-    rows = (rows.withColumn("status0", status0)
-            .withColumn("reason", F.when(F.col("status0") == REJECTED, reason))
-            .withColumn("error_code", F.when(F.col("status0") == REJECTED, code)))
+    rows = rows.withColumn("status0", status0).withColumns({
+        "reason": F.when(F.col("status0") == REJECTED, reason),
+        "error_code": F.when(F.col("status0") == REJECTED, code)})
 
     # step 4: first candidate per (tenant, checksum); stored files come first
     cand = rows.filter(F.col("status0").isNull())
@@ -249,11 +249,12 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
               .distinct().withColumn("first_seq", F.lit(-1).cast("long")))
         first_cs = first_cs.unionByName(pf).groupBy("tenant_id", "checksum_sha256").agg(
             F.min("first_seq").alias("first_seq"))
-    cand = (cand.join(first_cs, ["tenant_id", "checksum_sha256"], "left")
-            .withColumn("status", F.when(F.col("seq") == F.col("first_seq"), F.lit(NEW)).otherwise(F.lit(DUPLICATE)))
-            .withColumn("file_id", file_id(F.col("tenant_id"), F.col("checksum_sha256")))
-            .withColumn("duplicate", F.col("status") == DUPLICATE)
-            .withColumn("idempotent_replay", F.lit(False)))
+    is_new = F.col("seq") == F.col("first_seq")
+    cand = cand.join(first_cs, ["tenant_id", "checksum_sha256"], "left").withColumns({
+        "status": F.when(is_new, F.lit(NEW)).otherwise(F.lit(DUPLICATE)),
+        "file_id": file_id(F.col("tenant_id"), F.col("checksum_sha256")),
+        "duplicate": ~is_new,
+        "idempotent_replay": F.lit(False)})
 
     out_cols = ["seq", "tenant_id", "source_id", "clean_filename", "extension", "mime_type",
                 "size_bytes", "checksum_sha256", "idem_key", "status", "reason", "error_code", "file_id",
