@@ -47,21 +47,35 @@ def _records(ext: str, data: bytes):
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Parse whole files; a file's records are emitted only once it parsed
-    fully (a file is either all records or one error row), in chunks."""
+    fully (a file is either all records or one error row). Records of many
+    small files are gathered into output batches of up to ``CHUNK`` rows."""
     cols = ["file_id", "record_number", "payload", "error"]
+    ids: list = []
+    nums: list = []
+    payloads: list = []
+    errors: list = []
+
+    def flush():
+        out = pd.DataFrame({"file_id": ids, "record_number": nums, "payload": payloads, "error": errors},
+                           columns=cols)
+        ids.clear(), nums.clear(), payloads.clear(), errors.clear()
+        return out
+
     for pdf in batches:
         for file_id, ext, data in zip(pdf["file_id"], pdf["extension"], pdf["content"]):
             try:
-                payloads = list(_records(ext, bytes(data)))
+                recs = list(_records(ext, bytes(data)))
             except Exception as e:  # reader failure -> quarantine this file
-                yield pd.DataFrame({"file_id": [file_id], "record_number": [None],
-                                    "payload": [None], "error": [str(e)]}, columns=cols)
+                ids.append(file_id), nums.append(None), payloads.append(None), errors.append(str(e))
                 continue
-            for start in range(0, len(payloads), CHUNK):
-                part = payloads[start:start + CHUNK]
-                yield pd.DataFrame({"file_id": file_id,
-                                    "record_number": range(start + 1, start + 1 + len(part)),
-                                    "payload": part, "error": None}, columns=cols)
+            for i, payload in enumerate(recs, start=1):
+                ids.append(file_id), nums.append(i), payloads.append(payload), errors.append(None)
+                if len(ids) >= CHUNK:
+                    yield flush()
+            if len(ids) >= CHUNK:
+                yield flush()
+    if ids:
+        yield flush()
 
 
 def parse_partitions(spark) -> int:
