@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from quarry.functions.grouping import checked_broadcast, first_by, materialize
 from quarry.functions.text import js_trim, utf16_length
 
-# Size limit (bytes, inclusive) and allowed MIME types per extension.
+# Size limit (bytes, inclusive), allowed MIME types per
+# extension, and the storage provider name written on artifacts.
 MAX_BYTES = 25 * 1024 * 1024
 MAX_NAME = 255
 MAX_KEY = 255

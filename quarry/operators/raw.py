@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.grouping import first_by, row_number_by
 
+# Default parser label written on snapshot headers, and the
+# default record cap per snapshot.
 PARSER_VERSION = "v6-parser-1"
 MAX_RECORDS = 10_000
 

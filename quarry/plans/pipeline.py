@@ -102,7 +102,7 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
 
 def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
                    max_records: int | None = 10_000,
-                   parser_version: str = "v6-parser-1",
+                   parser_version: str | None = None,
                    contents: DataFrame | None = None) -> dict[str, DataFrame]:
     """RAW snapshots (R1-R4) of already registered files.
 
@@ -131,7 +131,7 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
     kept, verdicts = raw.record_limit(parsed, max_records)
     meta = versions.select("snapshot_id", "source_file_id", "tenant_id", "source_id", "snapshot_version")
     records = kept.join(meta, "snapshot_id")
-    headers = (meta.join(raw.build_snapshots(kept, parser_version), "snapshot_id")
+    headers = (meta.join(raw.build_snapshots(kept, parser_version or raw.PARSER_VERSION), "snapshot_id")
                .select("snapshot_id", "tenant_id", "source_file_id", "snapshot_version", "record_count",
                        "schema_hash", "parser_version", "status"))
     quarantine = (parse_errors.select(F.col("file_id").alias("snapshot_id"), F.col("error").alias("reason"))
