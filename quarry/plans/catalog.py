@@ -948,3 +948,33 @@ FROM s JOIN n USING (file_id)"""))
 def q_file_pipeline(spark, sf):
     src = spark.createDataFrame([(f"t{i}", "orders") for i in range(4)], "tenant_id string, id string")
     return pl.ingest_and_process(_csv_uploads(spark, sf), src, FILE_CONFIG)["runs"]
+
+
+_RATE_SQL = "CASE WHEN r = 0 THEN '0' ELSE regexp_replace(r::VARCHAR, '\\.0$', '') END"
+
+
+@query("profile_result", with_fx(["fx_records"], "WITH " + _CELLS_SQL + ",\n" + _SCORES_SQL.format(src="ord") + f""",
+st AS (SELECT snapshot_id, column_name, count(*) FILTER (WHERE inc) AS nn, count(*) AS rc,
+         count(DISTINCT CASE WHEN inc THEN CASE WHEN NOT present THEN 'undefined' WHEN t = 'VARCHAR' THEN json_extract_string(v, '$')
+                                                WHEN t = 'OBJECT' THEN '[object Object]' ELSE v::VARCHAR END END) AS d
+       FROM cells2 GROUP BY ALL),
+ex AS (SELECT snapshot_id, column_name, string_agg(ej, ',' ORDER BY rk) AS exs FROM (
+         SELECT snapshot_id, column_name, row_number() OVER (PARTITION BY snapshot_id, column_name ORDER BY record_number) AS rk,
+                CASE WHEN present THEN v::VARCHAR ELSE 'null' END AS ej
+         FROM cells2 WHERE inc) WHERE rk <= 3 GROUP BY ALL),
+per_col AS (SELECT st.snapshot_id, o.position, to_json(st.column_name)::VARCHAR || ':' || '{{"non_null":' || st.nn::VARCHAR
+              || ',"null_rate":' || (SELECT {_RATE_SQL} FROM (SELECT 1 - st.nn / st.rc AS r)) || ',"distinct":' || st.d::VARCHAR
+              || ',"examples":[' || coalesce(ex.exs, '') || ']}}' AS stat
+            FROM st JOIN ord o USING (snapshot_id, column_name) LEFT JOIN ex USING (snapshot_id, column_name)),
+rc AS (SELECT snapshot_id, count(*) AS n FROM fx_records GROUP BY ALL)
+SELECT p.snapshot_id, '{{"domain":"' || d.domain || '","confidence":"' || d.confidence || '","row_count":' || rc.n::VARCHAR
+  || ',"column_count":' || count(*)::VARCHAR
+  || ',"columns":' || to_json(list(c.column_name ORDER BY c.position))::VARCHAR
+  || ',"statistics":{{' || string_agg(p.stat, ',' ORDER BY p.position) || '}}'
+  || ',"candidates":{{"ARTICLE":' || d.article::VARCHAR || ',"CUSTOMER":' || d.customer::VARCHAR
+  || ',"SUPPLIER":' || d.supplier::VARCHAR || '}}}}' AS result
+FROM per_col p JOIN ord c ON c.snapshot_id = p.snapshot_id AND c.position = p.position
+JOIN dec2 d ON d.snapshot_id = p.snapshot_id JOIN rc ON rc.snapshot_id = p.snapshot_id
+GROUP BY p.snapshot_id, d.domain, d.confidence, rc.n, d.article, d.customer, d.supplier"""))
+def q_profile_result(spark, sf):
+    return prof.profile_report(fx.records(spark, sf), with_result=True).select("snapshot_id", "result")
