@@ -115,3 +115,14 @@ def unique_table(df: DataFrame, table: str) -> DataFrame:
             F.to_json(F.struct(*[F.col(k) for k in keys])).alias("key"), "n")
         out = v if out is None else out.unionByName(v)
     return out
+
+
+def rule_counts(df: DataFrame, table: str) -> DataFrame:
+    """Violations per declared CHECK of ``table``: one aggregation pass
+    (``count_if`` per rule), one output row per rule, zeros included."""
+    rules = _applicable(df, table)
+    agg = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(True))).cast("long").alias(name)
+                   for name, rule in rules.items()])
+    pairs = ", ".join(f"'{name}', `{name}`" for name in rules)
+    return agg.selectExpr(f"stack({len(rules)}, {pairs}) as (rule, violations)").select(
+        F.lit(table).alias("table"), "rule", "violations")

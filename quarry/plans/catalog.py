@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import rules as nrules
 from quarry.functions import text as ntext
 from quarry.functions.redact import redact_json
-from quarry.operators import checks, entity, intake, ledger, raw, tables, tenancy
+from quarry.operators import checks, entity, intake, ledger, raw, schema_rules, tables, tenancy
 from quarry.operators import profile as prof
 from quarry.plans import fixtures as fx
 from quarry.plans import pipeline as pl
@@ -978,3 +978,25 @@ JOIN dec2 d ON d.snapshot_id = p.snapshot_id JOIN rc ON rc.snapshot_id = p.snaps
 GROUP BY p.snapshot_id, d.domain, d.confidence, rc.n, d.article, d.customer, d.supplier"""))
 def q_profile_result(spark, sf):
     return prof.profile_report(fx.records(spark, sf), with_result=True).select("snapshot_id", "result")
+
+
+@query("schema_checks", with_fx(["fx_tenants", "fx_memberships", "fx_bases", "fx_companies", "fx_groups"], """
+SELECT 'tenants' AS "table", 'status' AS rule, count(*) FILTER (WHERE status NOT IN ('ACTIVE','SUSPENDED','ARCHIVED'))::BIGINT AS violations FROM fx_tenants
+UNION ALL SELECT 'tenants', 'name_nonempty', count(*) FILTER (WHERE length(trim(name)) = 0) FROM fx_tenants
+UNION ALL SELECT 'tenants', 'slug_format', count(*) FILTER (WHERE NOT regexp_full_match(slug, '[a-z0-9][a-z0-9-]{1,62}')) FROM fx_tenants
+UNION ALL SELECT 'memberships', 'status', count(*) FILTER (WHERE status NOT IN ('ACTIVE','SUSPENDED','INVITED','REMOVED')) FROM fx_memberships
+UNION ALL SELECT 'bases', 'status', count(*) FILTER (WHERE status NOT IN ('ACTIVE','ARCHIVED')) FROM fx_bases
+UNION ALL SELECT 'bases', 'name_nonempty', count(*) FILTER (WHERE length(trim(name)) = 0) FROM fx_bases
+UNION ALL SELECT 'bases', 'slug_format', count(*) FILTER (WHERE NOT regexp_full_match(slug, '[a-z0-9][a-z0-9-]{1,62}')) FROM fx_bases
+UNION ALL SELECT 'companies', 'status', count(*) FILTER (WHERE status NOT IN ('ACTIVE','ARCHIVED')) FROM fx_companies
+UNION ALL SELECT 'companies', 'name_nonempty', count(*) FILTER (WHERE length(trim(name)) = 0) FROM fx_companies
+UNION ALL SELECT 'groups', 'status', count(*) FILTER (WHERE status NOT IN ('ACTIVE','ARCHIVED')) FROM fx_groups
+UNION ALL SELECT 'groups', 'name_nonempty', count(*) FILTER (WHERE length(trim(name)) = 0) FROM fx_groups"""))
+def q_schema_checks(spark, sf):
+    tables_ = {"tenants": fx.tenants(spark, sf), "memberships": fx.memberships(spark, sf),
+               "bases": fx.bases(spark, sf), "companies": fx.companies(spark, sf), "groups": fx.groups(spark, sf)}
+    out = None
+    for name, df in tables_.items():
+        part = schema_rules.rule_counts(df, name)
+        out = part if out is None else out.unionByName(part)
+    return out
