@@ -49,3 +49,23 @@ def test_trusted_csv_lane(spark):
     _write(f"{root}/big.csv", b'ref,name\nA-1,"x, y"\nA-2,"say ""hi"""\n')
     rows = sorted(json.loads(r.payload)["name"] for r in delimited.read_trusted(spark, root).collect())
     assert rows == ['say "hi"', "x, y"]
+
+
+def test_landing_folder_through_the_whole_chain(spark):
+    from quarry.plans.pipeline import ingest_and_process
+
+    root = tempfile.mkdtemp(prefix="quarry-landing-e2e-")
+    _write(f"{root}/t1/s1/articles.csv", b"reference,designation\n A-01 ,Produit  Un\n")
+    _write(f"{root}/t1/s1/more.xlsx", workbook.build_workbook(["reference", "designation"], [["B-02", "Autre"]]))
+    _write(f"{root}/t1/s1/copy.csv", b"reference,designation\n A-01 ,Produit  Un\n")   # same bytes
+    _write(f"{root}/t1/s1/run.exe", b"MZ")
+    up = files.read_landing(spark, root)
+    src = spark.createDataFrame([("t1", "s1")], "tenant_id string, id string")
+    cfg = {"entity_type": "ARTICLE", "identity_fields": ["reference"],
+           "field_rules": {"reference": ["trim"], "designation": ["collapse_whitespace"]}}
+    out = ingest_and_process(up, src, cfg)
+    status = sorted((r.clean_filename, r.status) for r in out["resolved"].collect())
+    assert status[-1] == ("run.exe", "REJECTED")
+    assert sorted(s for _, s in status[:3]) == ["DUPLICATE", "NEW", "NEW"]
+    refs = sorted(json.loads(r.normalized_payload)["reference"] for r in out["entities"].collect())
+    assert refs == ["A-01", "B-02"]
