@@ -6,7 +6,8 @@ Here a batch of requests/transitions is folded set-at-a-time:
 * L1 ``create_runs``: first request per (tenant, key) creates the job; among
   those, the first per execution_id creates the run; a colliding execution
   id is quarantined as CONFLICT (deliberate: the reference would hand back
-  another tenant's run). Later requests with the key replay the run.
+  another tenant's run) and leaves the job without a run, so the next
+  request with that key creates it. Later requests replay the job's run.
 * L2 ``create_steps``: a step is created unless an earlier *created* step of
   the run has the same key or the same sequence. This is greedy matching in
   arrival order, solved exactly in rounds: a step that is the earliest
@@ -95,13 +96,20 @@ def create_runs(requests: DataFrame, existing_jobs: DataFrame | None = None,
          .withColumn("w_status", F.when((F.col("seq") == F.col("exec_seq")) & F.col("taken").isNull(), F.lit("CREATED"))
                      .otherwise(F.lit("CONFLICT")))
          .select("tenant_id", "job_key", "w_status", F.col("execution_id").alias("w_exec")))
-    out = req.join(w, ["tenant_id", "job_key"])
+    # a job whose creator conflicted has no run: the next request with its key
+    # creates the run (with its own execution id), later ones replay that run
+    second = (req.filter(F.col("seq") > F.col("key_seq")).groupBy("tenant_id", "job_key")
+              .agg(F.min_by(F.struct("seq", "execution_id"), F.col("seq")).alias("late")))
+    out = req.join(w, ["tenant_id", "job_key"]).join(second, ["tenant_id", "job_key"], "left")
+    late = F.col("w_status") == "CONFLICT"
     status = (F.when(F.col("seq") == F.col("key_seq"), F.col("w_status"))
-               .when(F.col("w_status") == "CREATED", F.lit("REPLAY"))
-               .otherwise(F.lit("CONFLICT")))
+               .when(~late, F.lit("REPLAY"))
+               .when(F.col("seq") == F.col("late.seq"), F.lit("CREATED"))
+               .otherwise(F.lit("REPLAY")))
     out = out.withColumn("status", status)
-    run = F.when(F.col("w_status") == "CREATED",
-                 F.sha2(F.concat_ws("|", F.lit("run"), F.col("w_exec")), 256))
+    run_exec = F.when(~late, F.col("w_exec")).when(F.col("seq") >= F.col("late.seq"), F.col("late.execution_id"))
+    run = F.sha2(F.concat_ws("|", F.lit("run"), run_exec), 256)
+    run = F.when(run_exec.isNotNull(), run)
     out = out.select("seq", "tenant_id", F.col("job_key").alias("idempotency_key"), "execution_id", "status",
                      F.sha2(F.concat_ws("|", F.lit("job"), F.col("tenant_id"), F.col("job_key")), 256).alias("job_id"),
                      run.alias("run_id"))

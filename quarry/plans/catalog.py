@@ -567,12 +567,16 @@ def q_pipeline(spark, sf):
 WITH r AS (SELECT *, min(seq) OVER (PARTITION BY tenant_id, idempotency_key) AS key_seq FROM fx_ledger),
 w AS (SELECT *, min(seq) OVER (PARTITION BY execution_id) AS exec_seq FROM r WHERE seq = key_seq),
 w2 AS (SELECT tenant_id, idempotency_key, execution_id AS w_exec,
-         CASE WHEN seq = exec_seq THEN 'CREATED' ELSE 'CONFLICT' END AS w_status FROM w)
+         CASE WHEN seq = exec_seq THEN 'CREATED' ELSE 'CONFLICT' END AS w_status FROM w),
+l AS (SELECT tenant_id, idempotency_key, min(seq) AS late_seq, arg_min(execution_id, seq) AS late_exec
+      FROM r WHERE seq > key_seq GROUP BY ALL)
 SELECT r.seq, r.tenant_id, r.idempotency_key, r.execution_id,
-  CASE WHEN r.seq = r.key_seq THEN w_status WHEN w_status = 'CREATED' THEN 'REPLAY' ELSE 'CONFLICT' END AS status,
+  CASE WHEN r.seq = r.key_seq THEN w_status WHEN w_status = 'CREATED' THEN 'REPLAY'
+       WHEN r.seq = l.late_seq THEN 'CREATED' ELSE 'REPLAY' END AS status,
   sha256('job|' || r.tenant_id || '|' || r.idempotency_key) AS job_id,
-  CASE WHEN w_status = 'CREATED' THEN sha256('run|' || w_exec) END AS run_id
-FROM r JOIN w2 USING (tenant_id, idempotency_key)"""))
+  CASE WHEN w_status = 'CREATED' THEN sha256('run|' || w_exec)
+       WHEN r.seq >= l.late_seq THEN sha256('run|' || l.late_exec) END AS run_id
+FROM r JOIN w2 USING (tenant_id, idempotency_key) LEFT JOIN l USING (tenant_id, idempotency_key)"""))
 def q_run_create(spark, sf):
     return ledger.create_runs(fx.ledger(spark, sf))
 

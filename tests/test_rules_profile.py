@@ -91,11 +91,12 @@ def test_step_creation_matches_sequential_or_rule(spark):
 
 
 def test_run_creation(spark):
-    df = spark.createDataFrame([(1, "t1", "e1", "same-key"), (2, "t1", "e2", "same-key"), (3, "t2", "e1", None),
-                                (4, "t1", "e4", None)],
+    df = spark.createDataFrame([(1, "t1", "e1", "same-key"), (2, "t1", "e2", "same-key"), (3, "t2", "e1", "k"),
+                                (4, "t1", "e4", None), (5, "t2", "e5", "k"), (6, "t2", "e6", "k")],
                                "seq long, tenant_id string, execution_id string, idempotency_key string")
-    got = {r.seq: r.status for r in ledger.create_runs(df).collect()}
-    assert got == {1: "CREATED", 2: "REPLAY", 3: "CONFLICT", 4: "CREATED"}
+    got = {r.seq: (r.status, r.run_id) for r in ledger.create_runs(df).collect()}
+    assert [got[i][0] for i in range(1, 7)] == ["CREATED", "REPLAY", "CONFLICT", "CREATED", "CREATED", "REPLAY"]
+    assert got[2][1] == got[1][1] and got[3][1] is None and got[6][1] == got[5][1] != got[1][1]
 
 
 def test_run_state_fold(spark):
