@@ -198,3 +198,17 @@ def test_array_values_stringify_like_javascript(spark):
     st = profile.column_stats(profile.profile(recs)["cells"]).first()
     # row 1 and row 2 have the same String() text; [] stringifies to "" but is not excluded
     assert (st.non_null, st.distinct_count) == (3, 2)
+
+
+def test_steps_and_runs_with_history(spark):
+    prior = spark.createDataFrame([("r1", 1, "a")], "run_id string, sequence long, idempotency_key string")
+    steps = spark.createDataFrame([("r1", 10, 2, "a"), ("r1", 11, 1, "b"), ("r1", 12, 2, "c"), ("r2", 13, 1, "a")],
+                                  "run_id string, seq long, sequence long, idempotency_key string")
+    got = {r.seq: (r.status, r.step_seq) for r in ledger.create_steps(steps, prior).collect()}
+    assert got == {10: ("EXISTING", -1), 11: ("EXISTING", -1), 12: ("CREATED", 12), 13: ("CREATED", 13)}
+    reqs = spark.createDataFrame([(1, "t1", "e1", "k-old"), (2, "t1", "e9", None), (3, "t1", "e3", "k-new")],
+                                 "seq long, tenant_id string, execution_id string, idempotency_key string")
+    jobs = spark.createDataFrame([("t1", "k-old", "run-old")], "tenant_id string, idempotency_key string, run_id string")
+    runs = spark.createDataFrame([("e9",)], "execution_id string")
+    out = {r.seq: (r.status, r.run_id) for r in ledger.create_runs(reqs, jobs, runs).collect()}
+    assert out[1] == ("REPLAY", "run-old") and out[2][0] == "CONFLICT" and out[3][0] == "CREATED"
