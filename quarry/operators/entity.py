@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.grouping import checked_broadcast
 from quarry.functions.rules import normalize_payload, payload_map, raw_map, rebuild_payload
 
 REQUIRED = ["source_id", "source_file_id", "source_record_id", "run_id", "entity_type"]
@@ -58,9 +59,17 @@ def build_entities(records: DataFrame, configuration: Mapping) -> DataFrame:
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Entities whose (tenant, run, record, version) is not stored yet."""
+    """Entities whose (tenant, run, record, version) is not stored yet.
+
+    Stored entities can only collide with new ones of the same runs, so the
+    (large) stored side is first cut down map-side by a semi-join against the
+    batch's run ids (broadcast after a size check); only those rows reach
+    the anti-join's shuffle.
+    """
     keys = ["tenant_id", "run_id", "source_record_id", "version"]
-    return new.join(existing.select(*keys).distinct(), keys, "left_anti")
+    batch_runs = new.select("tenant_id", "run_id").distinct()
+    relevant = existing.select(*keys).join(checked_broadcast(batch_runs), ["tenant_id", "run_id"], "left_semi")
+    return new.join(relevant.distinct(), keys, "left_anti")
 
 
 def create_checked(inputs: DataFrame, raw_records: DataFrame, runs: DataFrame) -> DataFrame:
