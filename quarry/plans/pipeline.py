@@ -27,7 +27,8 @@ def run_id_col(config_hash: str):
 
 def run_pipeline(records: DataFrame, configuration: Mapping,
                  profile_version_id: str | None = None, rule_version_id: str | None = None,
-                 existing_entities: DataFrame | None = None) -> dict[str, DataFrame]:
+                 existing_entities: DataFrame | None = None,
+                 snapshots: DataFrame | None = None) -> dict[str, DataFrame]:
     """``records``: tenant_id, source_id, source_file_id, snapshot_id,
     record_number, payload, and optionally snapshot_version (default 1).
 
@@ -39,8 +40,10 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
     if "snapshot_version" not in records.columns:
         records = records.withColumn("snapshot_version", F.lit(1).cast("long"))
 
-    # Latest snapshot per file (aggregate over the distinct snapshot list)
-    snaps = records.select("tenant_id", "source_id", "source_file_id", "snapshot_id", "snapshot_version").distinct()
+    # Latest snapshot per file (aggregate over the snapshot list; with
+    # ``snapshots`` given, snapshots without any record take part too)
+    cols5 = ["tenant_id", "source_id", "source_file_id", "snapshot_id", "snapshot_version"]
+    snaps = records.select(*cols5).distinct() if snapshots is None else snapshots.select(*cols5)
     latest = first_by(snaps, ["tenant_id", "source_file_id"], "snapshot_version", descending=True)
     # one row per file, used by four branches below: computed once
     latest = materialize(latest.withColumn("run_id", run_id_col(cfg["configuration_hash"])), small=True)
@@ -63,11 +66,14 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
     # Statistics per run
     n_raw = report.select("snapshot_id", F.col("row_count").alias("raw_records"))
     n_ent = ents.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("entities"))
-    runs = (latest.join(n_raw, "snapshot_id").join(report.select("snapshot_id", "domain", "confidence"), "snapshot_id")
+    runs = (latest.join(n_raw, "snapshot_id", "left")
+            .join(report.select("snapshot_id", "domain", "confidence"), "snapshot_id", "left")
             .join(n_ent, "run_id", "left")
-            .select("run_id", "tenant_id", "source_file_id", "snapshot_id", "raw_records",
+            .select("run_id", "tenant_id", "source_file_id", "snapshot_id",
+                    F.coalesce("raw_records", F.lit(0)).cast("long").alias("raw_records"),
                     F.coalesce("entities", F.lit(0)).cast("long").alias("entities"),
-                    F.col("domain").alias("profiling_domain"), "confidence",
+                    F.coalesce("domain", F.lit("UNKNOWN")).alias("profiling_domain"),
+                    F.coalesce("confidence", F.lit("LOW")).alias("confidence"),
                     F.lit(cfg["configuration_version"]).alias("configuration_version"),
                     F.lit(cfg["configuration_hash"]).alias("configuration_hash"),
                     F.lit("COMPLETED").alias("status"), F.lit(100).alias("progress"),
@@ -131,12 +137,18 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
     kept, verdicts = raw.record_limit(parsed, max_records)
     meta = versions.select("snapshot_id", "source_file_id", "tenant_id", "source_id", "snapshot_version")
     records = kept.join(meta, "snapshot_id")
-    headers = (meta.join(raw.build_snapshots(kept, parser_version or raw.PARSER_VERSION), "snapshot_id")
-               .select("snapshot_id", "tenant_id", "source_file_id", "snapshot_version", "record_count",
-                       "schema_hash", "parser_version", "status"))
-    quarantine = (parse_errors.select(F.col("file_id").alias("snapshot_id"), F.col("error").alias("reason"))
-                  .unionByName(verdicts.filter(F.col("status") == "REJECTED").select("snapshot_id", "reason"))
-                  .join(meta, "snapshot_id"))
+    refused = (parse_errors.select(F.col("file_id").alias("snapshot_id"), F.col("error").alias("reason"))
+               .unionByName(verdicts.filter(F.col("status") == "REJECTED").select("snapshot_id", "reason")))
+    # every accepted file gets a header, a file with no record included (count 0)
+    counts = raw.build_snapshots(kept, parser_version or raw.PARSER_VERSION)
+    headers = (meta.join(refused.select("snapshot_id"), "snapshot_id", "left_anti")
+               .join(counts, "snapshot_id", "left")
+               .select("snapshot_id", "tenant_id", "source_id", "source_file_id", "snapshot_version",
+                       F.coalesce("record_count", F.lit(0)).cast("long").alias("record_count"),
+                       F.coalesce("schema_hash", F.sha2(F.lit("[]"), 256)).alias("schema_hash"),
+                       F.lit(parser_version or raw.PARSER_VERSION).alias("parser_version"),
+                       F.lit("COMPLETE").alias("status")))
+    quarantine = refused.join(meta, "snapshot_id")
     return {"snapshots": headers, "records": records, "quarantine": quarantine}
 
 
@@ -161,7 +173,7 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
         F.col("clean_filename").alias("filename"))
     contents = uploads.select(F.col("seq").cast("long").alias("seq"), "content")
     snap = snapshot_files(new, prior_snapshots, max_records, contents=contents)
-    out = run_pipeline(snap["records"], configuration)
+    out = run_pipeline(snap["records"], configuration, snapshots=snap["snapshots"])
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,
                 "snapshots": snap["snapshots"], "quarantine": snap["quarantine"]})
     return out

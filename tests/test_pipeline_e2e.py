@@ -79,3 +79,14 @@ def test_profiling_result_rows(spark):
     assert res["statistics"]["ean"] == {"non_null": 1, "null_rate": 0.5, "distinct": 1, "examples": ["123"]}
     run = out["runs"].first()
     assert r[0].run_id == run.run_id and (r[0].row_count, r[0].column_count) == (2, 3)
+
+
+def test_file_without_records_still_gets_snapshot_and_run(spark):
+    up = spark.createDataFrame([(1, "t1", "s1", "empty.csv", "text/csv", "reference,designation\n", None),
+                                (2, "t1", "s1", "one.csv", "text/csv", "reference\nA-1\n", None)], SCHEMA)
+    src = spark.createDataFrame([("t1", "s1")], "tenant_id string, id string")
+    out = ingest_and_process(up, src, CONFIG)
+    heads = sorted((r.record_count, r.status) for r in out["snapshots"].collect())
+    assert heads == [(0, "COMPLETE"), (1, "COMPLETE")]
+    runs = sorted((r.raw_records, r.entities, r.profiling_domain, r.confidence) for r in out["runs"].collect())
+    assert runs[0] == (0, 0, "UNKNOWN", "LOW") and runs[1][:2] == (1, 1)
