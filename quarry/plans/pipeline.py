@@ -109,7 +109,8 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
 def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
                    max_records: int | None = 10_000,
                    parser_version: str | None = None,
-                   contents: DataFrame | None = None) -> dict[str, DataFrame]:
+                   contents: DataFrame | None = None,
+                   registered: DataFrame | None = None) -> dict[str, DataFrame]:
     """RAW snapshots (R1-R4) of already registered files.
 
     ``files``: seq (arrival order), source_file_id, tenant_id, source_id,
@@ -118,13 +119,21 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
     after ``prior_snapshots`` (source_file_id) and after earlier rows of this
     batch. Versions are computed on the narrow file list; the bytes are
     joined once, against the version rows (broadcast when their count is
-    bounded). Returns ``snapshots`` (one header row each), ``records`` and
-    ``quarantine`` (reader failures, record-limit refusals).
+    bounded). With ``registered`` (source files: id, tenant_id) a file not
+    registered in its tenant is refused as not found. Returns ``snapshots``
+    (one header row each), ``records`` and ``quarantine`` (unknown files,
+    reader failures, record-limit refusals).
     """
     from quarry.operators import raw
     from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
     narrow = files.select("seq", "source_file_id", "tenant_id", "source_id", "filename")
+    unknown = None
+    if registered is not None:
+        # a file must be registered in the caller's tenant (else: not found)
+        known = registered.select(F.col("id").alias("source_file_id"), "tenant_id").distinct()
+        unknown = narrow.join(known, ["source_file_id", "tenant_id"], "left_anti")
+        narrow = narrow.join(known, ["source_file_id", "tenant_id"], "left_semi")
     versions = raw.snapshot_versions(narrow, prior_snapshots).withColumn("snapshot_id", raw.snapshot_id())
     blob_src = contents if contents is not None else files.select("seq", "content")
     blobs = blob_src.join(checked_broadcast(versions.select("seq", "snapshot_id", "filename")), "seq")
@@ -149,6 +158,10 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
                        F.lit(parser_version or raw.PARSER_VERSION).alias("parser_version"),
                        F.lit("COMPLETE").alias("status")))
     quarantine = refused.join(meta, "snapshot_id")
+    if unknown is not None:
+        quarantine = quarantine.unionByName(unknown.select(
+            F.lit(None).cast("string").alias("snapshot_id"), F.lit("Source file not found").alias("reason"),
+            "source_file_id", "tenant_id", "source_id", F.lit(None).cast("long").alias("snapshot_version")))
     return {"snapshots": headers, "records": records, "quarantine": quarantine}
 
 

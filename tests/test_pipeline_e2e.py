@@ -57,13 +57,16 @@ def test_same_file_two_snapshots(spark):
         (12, "f2", "t1", "s1", "b.csv", b'x\n"open'),
     ], "seq long, source_file_id string, tenant_id string, source_id string, filename string, content binary")
     prior = spark.createDataFrame([("f9",)], "source_file_id string")
-    out = snapshot_files(files, prior)
+    registered = spark.createDataFrame([("f1", "t1"), ("f2", "t1")], "id string, tenant_id string")
+    out = snapshot_files(files.unionByName(files.limit(1).selectExpr(
+        "13 as seq", "'f1' as source_file_id", "'t2' as tenant_id", "source_id", "filename", "content")),
+        prior, registered=registered)
     heads = sorted((r.source_file_id, r.snapshot_version, r.record_count, r.status) for r in out["snapshots"].collect())
     assert heads == [("f1", 1, 1, "COMPLETE"), ("f1", 2, 1, "COMPLETE")]
     recs = sorted((r.snapshot_version, r.payload) for r in out["records"].collect())
     assert recs == [(1, '{"a":1}'), (2, '{"a":2}')]
-    q = out["quarantine"].collect()
-    assert [(r.source_file_id, r.reason) for r in q] == [("f2", "Unclosed quoted field")]
+    q = sorted((r.source_file_id, r.tenant_id, r.reason) for r in out["quarantine"].collect())
+    assert q == [("f1", "t2", "Source file not found"), ("f2", "t1", "Unclosed quoted field")]
 
 
 def test_profiling_result_rows(spark):
