@@ -76,3 +76,16 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert hot.select("pid").distinct().count() > 1            # not one task for the hot key
     stats = hot.agg(F.min("rn").alias("lo"), F.max("rn").alias("hi"), F.count_distinct("rn").alias("d")).first()
     assert (stats.lo, stats.hi, stats.d) == (1, n // 3, n // 3)
+
+
+def test_run_steps_and_membership_context(spark):
+    runs = spark.createDataFrame([("r1", "t1"), ("r2", "t2")], "run_id string, tenant_id string")
+    steps = spark.createDataFrame([("r1", 1), ("r1", 2), ("r2", 1)], "run_id string, sequence long")
+    assert sorted(r.sequence for r in tenancy.run_steps(runs, steps, "t1", "r1").collect()) == [1, 2]
+    assert tenancy.run_steps(runs, steps, "t1", "r2").count() == 0          # other tenant's run: not found
+    m = spark.createDataFrame([("m1", "u1", "t1", "r0", "ACTIVE"), ("m2", "u1", "tX", "rX", "INVITED")],
+                              "id string, user_id string, tenant_id string, role_id string, status string")
+    tenants = spark.createDataFrame([("t1", "One", "one", "ACTIVE")], "id string, name string, slug string, status string")
+    roles = spark.createDataFrame([("r0", "OWNER", "Owner")], "id string, code string, name string")
+    ctx = {r.tenant_id: (r.tenant_name, r.role_code, r.status) for r in tenancy.membership_context(m, tenants, roles).collect()}
+    assert ctx == {"t1": ("One", "OWNER", "ACTIVE"), "tX": (None, None, "INVITED")}
