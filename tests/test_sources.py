@@ -69,3 +69,12 @@ def test_landing_folder_through_the_whole_chain(spark):
     assert sorted(s for _, s in status[:3]) == ["DUPLICATE", "NEW", "NEW"]
     refs = sorted(json.loads(r.normalized_payload)["reference"] for r in out["entities"].collect())
     assert refs == ["A-01", "B-02"]
+
+
+def test_landing_glob_filter(spark):
+    root = tempfile.mkdtemp(prefix="quarry-landing-glob-")
+    _write(f"{root}/t1/s1/a.csv", b"x\n1\n")
+    _write(f"{root}/t1/s1/notes.txt", b"skip me")
+    names = sorted(r.filename for r in files.read_landing(spark, root, glob=files.ACCEPTED_GLOB).collect())
+    assert names == ["a.csv"]
+    assert files.read_landing(spark, root).count() == 2
