@@ -148,3 +148,28 @@ def test_error_codes_and_generated_ids(spark):
     t = spark.createDataFrame([(None, "a"), ("x", "b"), (None, "a")], "id string, v string")
     ids = [r.id for r in tables.with_ids(t).collect()]
     assert ids[1] == "x" and ids[0] == ids[2] and len(ids[0]) == 64
+
+
+def test_policy_edges(spark):
+    astral = "\U0001F600"
+    rows = [
+        (1, "a" * 251 + ".csv", 10, "text/csv"),                 # 255 units: ok
+        (2, "a" * 252 + ".csv", 10, "text/csv"),                 # 256 units
+        (3, astral * 126 + ".csv", 10, "text/csv"),              # 126*2 + 4 = 256 units
+        (4, "a\x07b.csv", 10, "text/csv"),
+        (5, "..", 10, "text/csv"),
+        (6, "README", 10, "text/csv"),
+        (7, "a.csv", 10, "text/csv; charset=utf-8"),
+        (8, "a.csv", 26214401, "text/csv"),
+        (9, "a.csv", 26214400, "application/octet-stream"),
+        (10, "a.XLSM", 10, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+        (11, "a.pdf", 10, ""),
+    ]
+    df = spark.createDataFrame(rows, "seq long, filename string, size_bytes long, mime_type string")
+    got = {r.seq: r.reject_reason for r in intake.file_policy(df).collect()}
+    assert got == {
+        1: None, 2: "Filename is too long", 3: "Filename is too long",
+        4: "Filename contains control characters", 5: "Invalid filename",
+        6: "Unsupported file extension: (none)",
+        7: "MIME type does not match extension: text/csv; charset=utf-8",
+        8: "File exceeds configured size limit", 9: None, 10: None, 11: "MIME type is required"}
