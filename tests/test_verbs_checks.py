@@ -89,3 +89,16 @@ def test_run_steps_and_membership_context(spark):
     roles = spark.createDataFrame([("r0", "OWNER", "Owner")], "id string, code string, name string")
     ctx = {r.tenant_id: (r.tenant_name, r.role_code, r.status) for r in tenancy.membership_context(m, tenants, roles).collect()}
     assert ctx == {"t1": ("One", "OWNER", "ACTIVE"), "tX": (None, None, "INVITED")}
+
+
+def test_materialize_and_checkpoint_dir(spark):
+    from quarry.functions.grouping import materialize
+    from quarry.session import ensure_checkpoint_dir
+
+    current = spark.sparkContext.getCheckpointDir()
+    assert current and ensure_checkpoint_dir(spark, fallback="/nonexistent/elsewhere") == current
+    df = spark.range(100).withColumn("k", F.col("id") % 7)
+    cut = materialize(df.groupBy("k").count())
+    assert "ExistingRDD" in cut._jdf.queryExecution().executedPlan().toString()     # lineage cut
+    small = materialize(df.filter("k = 1"), small=True)
+    assert small.is_cached and small.count() == 14
