@@ -101,4 +101,4 @@ def test_materialize_and_checkpoint_dir(spark):
     cut = materialize(df.groupBy("k").count())
     assert "ExistingRDD" in cut._jdf.queryExecution().executedPlan().toString()     # lineage cut
     small = materialize(df.filter("k = 1"), small=True)
-    assert small.is_cached and small.count() == 14
+    assert small.is_cached and small.count() == 15
