@@ -13,7 +13,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from quarry.session import ensure_checkpoint_dir, local_session
 
-    s = local_session("*", 8, app="quarry-tests")
+    # one JVM runs every test's queries: give it a realistic heap (default 1g)
+    s = local_session("*", 8, app="quarry-tests", extra={"spark.driver.memory": "8g"})
     ensure_checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
     yield s
     s.stop()
