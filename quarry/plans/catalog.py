@@ -552,7 +552,7 @@ def q_entity_lineage(spark, sf):
     return entity.lineage(ents, records, snaps, files, sources)
 
 
-@query("pipeline", with_fx(["fx_records"], _ENT_SQL + f"""
+@query("entity_pipeline", with_fx(["fx_records"], _ENT_SQL + f"""
 SELECT run_id, tenant_id, source_file_id, snapshot_id, count(*)::BIGINT AS raw_records, count(*)::BIGINT AS entities,
   any_value(d.domain) AS profiling_domain, any_value(d.confidence) AS confidence,
   '{_CFG['configuration_version']}' AS configuration_version, '{_CFG['configuration_hash']}' AS configuration_hash,
