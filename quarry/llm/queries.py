@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, token_counts, warc_convert
+from . import chat_format, decontaminate, kd_search, packing, token_counts, warc_convert
 
 QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, token_counts.SQL),
     "op2_chat_format": (chat_format.op2_chat_format, chat_format.SQL),
+    "op5_kd_search": (kd_search.op5_kd_search, kd_search.SQL),
     "op6_best_fit_packing": (packing.op6_best_fit_packing, packing.SQL),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.SQL),
     "op9_warc_convert": (warc_convert.op9_warc_convert, warc_convert.SQL),
 }
