@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, kd_search, packing, token_counts, warc_convert
+from . import chat_format, decontaminate, kd_search, packing, pii, quality, token_counts, warc_convert
 
 QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, token_counts.SQL),
@@ -10,5 +10,7 @@ QUERIES = {
     "op5_kd_search": (kd_search.op5_kd_search, kd_search.SQL),
     "op6_best_fit_packing": (packing.op6_best_fit_packing, packing.SQL),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.SQL),
+    "op8_pii": (pii.op8_pii, pii.SQL),
     "op9_warc_convert": (warc_convert.op9_warc_convert, warc_convert.SQL),
+    "op10_quality": (quality.op10_quality, quality.SQL),
 }
