@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 LENGTH, SEPARATOR_ID = 2048, 0
 OPEN_BINS, SHARD_PIECES = 4096, 200_000
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, separato
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(it):
-        enc, end = Encoder(tokenizer), int(separator).to_bytes(4, "little")
+        enc, end = encoder(tokenizer), int(separator).to_bytes(4, "little")
         for b in it:
             cols = [[] for _ in names]
             for i, t in enumerate(b.column(1)):

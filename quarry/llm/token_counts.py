@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 RULES = ("start", "end", "most")
 
@@ -68,7 +68,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start",
     """``doc_id, section, start_char, end_char, n_tokens, n_crossing`` for
     every section of every document."""
     def run(it):
-        enc = Encoder(tokenizer, offsets=True)
+        enc = encoder(tokenizer, offsets=True)
         for b in it:
             ids, at, cols, held = b.column(0), 0, [[], [], [], [], [], []], 0
             for i, t in enumerate(b.column(1)):
