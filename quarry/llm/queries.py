@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, kd_search, packing, pii, quality, token_counts, warc_convert
+from . import chat_format, context_mixing, decontaminate, jaccard_join, kd_search, packing, pii, quality, token_counts, warc_convert
 
 QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, token_counts.SQL),
     "op2_chat_format": (chat_format.op2_chat_format, chat_format.SQL),
     "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.SQL),
+    "op4_context_mixing": (context_mixing.op4_context_mixing, context_mixing.SQL),
     "op5_kd_search": (kd_search.op5_kd_search, kd_search.SQL),
     "op6_best_fit_packing": (packing.op6_best_fit_packing, packing.SQL),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.SQL),
