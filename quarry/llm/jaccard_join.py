@@ -52,13 +52,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import SPACE_CLASS, saved, table
 from .shingles import mix, set_id, shingle_sets
 
 BLOCK, FANOUT, BITS_LOG = 64, 8, 24
 MARK = -(1 << 63)  # stands for "many classes of one task hold this shingle"
 _U = np.uint64
-SIG_DDL = "doc_id bigint, cid bigint, n int, bits binary, keys binary"
+SIG_DDL = "doc_id bigint, text_hash bigint, cid bigint, n int, bits binary, keys binary"
 
 
 def linked(both: int, a: int, b: int) -> bool:
@@ -144,9 +144,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows.append((cid, len(s), bitmap(s) if new else None, prefix(s).tobytes() if new else None))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
-                 pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["doc_id", "cid", "n", "bits", "keys"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIG_DDL)
+                [b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
+                 pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
+                ["doc_id", "text_hash", "cid", "n", "bits", "keys"])
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, SIG_DDL)
 
 
 # --- blocks -------------------------------------------------------------------
@@ -486,7 +487,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of every document."""
+    """``doc_id, n_shingles, component_id`` of every document, with the hash of
+    its text, its class and its component's smallest class."""
     spark = docs.sparkSession
     sigs = saved(signatures(docs), "signatures")
     total = sigs.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
@@ -510,22 +512,31 @@ def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     links = links.unionByName(verify(docs, saved(more, "pairs")))
     comp = components(links)
 
-    rows = sigs.select("doc_id", "cid", "n").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = sigs.select("doc_id", "text_hash", "cid", "n").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     rows = saved(rows, "members")
     named = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     some = rows.where("n > 0").join(named, "comp")
     none = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("cid").alias("class_id"), "component_id"]
+    cols = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "text_hash", F.col("cid").alias("class_id"),
+            F.col("comp").alias("component_class")]
     return some.select(*cols).unionByName(none.select(*cols))
 
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest
-    doc_id, and of rows that repeat it one."""
+    """``docs`` with one row of each component: one with its smallest doc_id
+    (no doc_id, if no row has one), of several that with the smallest hash of
+    its text. Rows with an empty set link with nothing, so all of them stay."""
     found = joined(docs, **options)
-    first = found.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "__k"), docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
-    return kept
+    one = (found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_class")
+           .agg(F.min(F.struct("text_hash", "doc_id")).alias("k")))
+    keep = saved(one.select(F.col("k.doc_id").alias("k1"), F.col("k.text_hash").alias("k2")), "kept")
+    mark = docs.withColumn("__h", F.xxhash64("text"))
+    some = F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
+    stay = mark.where(some).join(keep, mark["doc_id"].eqNullSafe(F.col("k1")) & (F.col("__h") == F.col("k2")), "left_semi")
+    twice = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not twice.isEmpty():  # whole rows repeat
+        stay = stay.dropDuplicates(["doc_id", "__h"])
+    return stay.drop("__h").unionByName(docs.where(~some))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,7 +546,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-  'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, unnest(s) AS g FROM s),
