@@ -122,7 +122,7 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
     bad = overlaps(docs, items, **options).select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).distinct()
     mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("k1")) & (mine == F.col("k2")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k1"]) & (mine == bad["k2"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

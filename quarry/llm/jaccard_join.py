@@ -530,13 +530,13 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     one = (found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_class")
            .agg(F.min(F.struct("text_hash", "doc_id")).alias("k")))
     keep = saved(one.select(F.col("k.doc_id").alias("k1"), F.col("k.text_hash").alias("k2")), "kept")
-    mark = docs.withColumn("__h", F.xxhash64("text"))
-    some = F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
-    stay = mark.where(some).join(keep, mark["doc_id"].eqNullSafe(F.col("k1")) & (F.col("__h") == F.col("k2")), "left_semi")
+    some = F.coalesce(docs["text"].rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
+    same = docs["doc_id"].eqNullSafe(keep["k1"]) & (F.xxhash64(docs["text"]) == keep["k2"])
+    stay = docs.where(some).join(keep, same, "left_semi")
     twice = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
     if not twice.isEmpty():  # whole rows repeat
-        stay = stay.dropDuplicates(["doc_id", "__h"])
-    return stay.drop("__h").unionByName(docs.where(~some))
+        stay = stay.dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(docs.where(~some))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

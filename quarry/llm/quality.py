@@ -256,8 +256,8 @@ def kept(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFr
     bad = classify(docs, labels, most).where("NOT keep").select(
         F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), F.col("host").alias("k3"),
         F.col("path").alias("k4")).distinct()
-    same = (docs["doc_id"].eqNullSafe(F.col("k1")) & (F.xxhash64(docs["text"]) == F.col("k2"))
-            & docs["source"].eqNullSafe(F.col("k3")) & docs["lang"].eqNullSafe(F.col("k4")))
+    same = (docs["doc_id"].eqNullSafe(bad["k1"]) & (F.xxhash64(docs["text"]) == bad["k2"])
+            & docs["source"].eqNullSafe(bad["k3"]) & docs["lang"].eqNullSafe(bad["k4"]))
     return docs.join(bad, same, "left_anti")
 
 
