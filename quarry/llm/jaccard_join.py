@@ -5,35 +5,35 @@ Documents are sets of 5-word shingles; two link when 100 * |A & B| >= 80 *
 
 Routing. Under any fixed order of shingles, linked sets share one of the first
 |A| // 5 + 1 shingles of each (prefix filter), so classes meet in a block per
-prefix shingle. Blocks with equal members count once.
+prefix shingle. The order is by document frequency: rare ones first, so what
+many documents share (a passage, a licence) is in the prefix of those only
+that consist of little else, and shingles that one document alone has route
+nothing. Blocks with equal members count once.
 
 Trees. Within a block, classes are leaves of a signature tree: every leaf has
-its size and a bitmap with a bit per shingle (at least as many places as
-shingles); a node has the OR of its bitmaps, the range of sizes and the
-largest number of shingles beyond bits. A dual traversal from (root, root)
-drops a pair of nodes if their size ranges exclude a link or the most shingles
-they can share (common bits plus shingles beyond bits) are too few. Surviving
-leaf pairs are verified on the texts' whole sets.
-
-Hot shingles (in more than ``block`` classes: common passages, or the text of
-a large group of near copies) would make blocks of all their holders. So:
-
-1. First round, shingles ordered by hash. Blocks give their most promising
-   pairs (each member with the best earlier one); holders of a hot shingle are
-   only compared with one pivot. Verified links give components.
-2. Second round, for every class with a hot shingle in its prefix: hot ones
-   (known from a bitset of fixed size) go to the end of the order, so rare
-   shingles route them. A pair linked only through hot shingles has both
-   members here. Blocks whose members are already of one component are
-   dropped unseen, all others, and those of the first round, are searched for
-   every pair of different components; large ones in chunks, chunk by chunk.
-
-Links found inside one component cannot change the result, so components are
-exact although not every link of a group of copies is looked at.
-
-Scale: texts are read where they lie; only class ids and signatures travel,
-and of texts only those of candidate pairs (compressed). A task sends one row
-per hot shingle, not one per holder. Nothing is gathered but two bitsets.
+its size, the number of its shingles that others share, and a bitmap with a
+bit per shingle (at least as many places as shingles); a node has the OR of
+its bitmaps, the ranges of sizes and shared shingles, and the largest number
+of shingles beyond bits. A dual traversal from (root, root) drops a pair of
+nodes if their size ranges exclude a link or the most shingles they can have
+in common (common bits plus shingles beyond bits, and no more than either
+shares with anyone) are too few. Surviving leaf pairs are verified on the
+texts' whole sets.
+
+Two rounds. First, blocks give their most promising pairs (each member with
+the best earlier one), and in blocks of more than ``block`` classes all
+members are compared with one pivot. Verified links give components. Then
+blocks whose members are of one component by now are dropped unseen, and all
+others are searched for every pair of different components, large ones chunk
+by chunk. Links found inside one component cannot change the result, so
+components are exact although not every link of a group of copies is looked at.
+
+Scale: texts are read once into compressed blocks of bounded size. For the
+frequencies each block sends its distinct shingles once (32 bits each, in as
+many slices as the corpus needs) and gets back their counts. Further on, only
+class ids, signatures and the texts of candidate pairs (compressed) travel. A
+task sends one row per shingle that many of its classes hold, not one per
+holder. Nothing is gathered but a bitset of fixed size.
 
 Defined cases: null or empty texts have an empty set, link with nothing and
 are their own component; texts of one to four words have one shingle; rows
@@ -52,13 +52,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, saved, table
+from .common import SPACE_CLASS, saved, table, words
 from .shingles import mix, set_id, shingle_sets
 
 BLOCK, FANOUT, BITS_LOG = 64, 8, 24
 MARK = -(1 << 63)  # stands for "many classes of one task hold this shingle"
 _U = np.uint64
-SIG_DDL = "doc_id bigint, text_hash bigint, cid bigint, n int, bits binary, keys binary"
+SLICE_SHINGLES, BLOCK_BYTES = 2_000_000, 4 << 20
+DOC_DDL = "doc_id bigint, text_hash bigint, cid bigint, n int"
+SIG_DDL = "cid bigint, n int, cap int, bits binary, keys binary"
 
 
 def linked(both: int, a: int, b: int) -> bool:
@@ -87,13 +89,15 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return a
 
 
-def prefix(s: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
-    """The shingles that route a set: the first of its order."""
-    k = len(s) // 5 + 1
-    if hot is None:
-        return s[:k]
-    late = in_bitset(hot, s)
-    return np.concatenate((s[~late], s[late]))[:k]
+def prefix(s: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The shingles that route a set: the first of its order that others
+    share. ``df``: their document frequencies."""
+    k = len(s) // 5 + 1 - int((df < 2).sum())
+    if k <= 0:
+        return s[:0]
+    shared = df >= 2
+    s, df = s[shared], df[shared]
+    return s[np.lexsort((s, df))[:k]]
 
 
 def in_bitset(bitset: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -130,24 +134,114 @@ def encoded(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """A row per document: class id, set size, bitmap and prefix; of equal
-    sets in one task only the first has the last two."""
+def documents(docs: DataFrame) -> DataFrame:
+    """Class id and set size of every document."""
+    def run(it):
+        for b in it:
+            sets = shingle_sets(encoded(b.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()),
+                 pa.array(list(map(len, sets)), pa.int32())], ["doc_id", "text_hash", "cid", "n"])
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, DOC_DDL)
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """``block, cids, texts``: normalised texts, one per line, compressed; a
+    class comes once per task at most, empty sets not at all."""
     def run(it):
         seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=3)
+        cids, texts, size = [], [], 0
+
+        def flush():
+            name = f"{id_of(np.array(cids, 'i8')):x}-{cids[0]:x}-{size}"
+            return pa.RecordBatch.from_pydict({
+                "block": [name], "cids": pa.array([cids], pa.list_(pa.int64())),
+                "texts": pa.array([pack.compress(b"".join(t + b"\n" for t in texts))], pa.binary())})
         for b in it:
-            rows = []
-            for s in shingle_sets(encoded(b.column(1))):
+            plain = [b" ".join(words(t)) for t in encoded(b.column(0))]
+            for t, s in zip(plain, shingle_sets(plain), strict=True):
                 cid = set_id(s)
-                new = len(s) > 0 and cid not in seen
-                seen.add(cid)
-                rows.append((cid, len(s), bitmap(s) if new else None, prefix(s).tobytes() if new else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
-                 pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                ["doc_id", "text_hash", "cid", "n", "bits", "keys"])
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, SIG_DDL)
+                if len(s) and cid not in seen:
+                    seen.add(cid)
+                    cids.append(cid)
+                    texts.append(t)
+                    size += len(t) + 1
+                    if size >= BLOCK_BYTES:
+                        yield flush()
+                        cids, texts, size = [], [], 0
+        if cids:
+            yield flush()
+    return docs.select("text").mapInArrow(run, "block string, cids array<bigint>, texts binary")
+
+
+def unpacked(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")[:-1]
+
+
+def sliced(sets: list[np.ndarray], slices: int):
+    """Distinct shingles of a block by (slice, 32 bits): slices, bits, number
+    of the block's sets that hold each, and each shingle's place among them."""
+    h = np.concatenate(sets) if sets else np.zeros(0, _U)
+    short = ((h >> _U(40)) % _U(slices)) << _U(32) | (h & _U(0xFFFFFFFF))
+    distinct, place, n = np.unique(short, return_inverse=True, return_counts=True)
+    return (distinct >> _U(32)).astype("i8"), distinct.astype("<u4"), np.minimum(n, 255).astype("u1"), place
+
+
+def frequencies(blocks_: DataFrame, slices: int) -> DataFrame:
+    """``block, slice, df``: how many sets of the corpus hold each of a
+    block's distinct shingles, in their order (packed bytes; 255: or more).
+    Two shingles may share 32 bits: a count may be too high, never too low."""
+    def send(it):
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in it:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part, bits, n, _ = sliced(shingle_sets(unpacked(raw)), slices)
+                cuts = np.searchsorted(part, np.arange(slices + 1))
+                out = [(s, name, pack.compress(np.diff(bits[x:y], prepend=np.uint32(0)).tobytes()), pack.compress(n[x:y].tobytes()))
+                       for s, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()),
+                                                        strict=True)], ["slice", "block", "bits", "n"])
+
+    def total(g: pa.Table) -> pa.Table:
+        read, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        bits = [np.cumsum(np.frombuffer(read.decompress(x.as_py()), "<u4"), dtype="<u4") for x in g.column("bits")]
+        n = np.concatenate([np.frombuffer(read.decompress(x.as_py()), "u1") for x in g.column("n")])
+        distinct, place = np.unique(np.concatenate(bits), return_inverse=True)
+        df = np.minimum(np.bincount(place, n, len(distinct)), 255).astype("u1")[place]
+        cuts = np.cumsum([0, *map(len, bits)])
+        return pa.table({"block": g.column("block"), "slice": g.column("slice"),
+                         "df": pa.array([pack.compress(df[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+    sent = blocks_.select("block", "texts").mapInArrow(send, "slice int, block string, bits binary, n binary")
+    return sent.groupBy("slice").applyInArrow(total, "block string, slice int, df binary")
+
+
+def signatures(blocks_: DataFrame, slices: int) -> DataFrame:
+    """Classes that share enough to link: size, most shingles they can have in
+    common with another (``cap``), bitmap and routing shingles."""
+    df = frequencies(blocks_, slices).groupBy("block").agg(F.collect_list(F.struct("slice", "df")).alias("df"))
+
+    def run(it):
+        read = zstandard.ZstdDecompressor()
+        for b in it:
+            for cids, raw, got in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                sets = shingle_sets(unpacked(raw))
+                *_, place = sliced(sets, slices)
+                counts = np.frombuffer(b"".join(read.decompress(x["df"]) for x in sorted(got, key=lambda x: x["slice"])), "u1")[place]
+                rows, at = [], 0
+                for cid, s in zip(cids, sets, strict=True):
+                    mine = counts[at:at + len(s)]
+                    at += len(s)
+                    keys = prefix(s, mine)
+                    if len(keys):
+                        rows.append((cid, len(s), int((mine >= 2).sum()), bitmap(s), keys.tobytes()))
+                if rows:
+                    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                                     ["cid", "n", "cap", "bits", "keys"])
+    return blocks_.join(df, "block").select("cids", "texts", "df").mapInArrow(run, SIG_DDL)
 
 
 # --- blocks -------------------------------------------------------------------
@@ -166,17 +260,17 @@ def pivot_of(cids: np.ndarray) -> int:
     return int(cids[np.argmin(mix(cids.view(_U)))])
 
 
-def routes(held: list[tuple[int, np.ndarray]], block: int, keep_all: bool) -> pa.RecordBatch:
-    """(shingle, class) rows of one batch of classes. A shingle that more than
-    ``block`` of them hold is sent once with its pivot and a mark, and its
-    holders are only paired with the pivot (unless ``keep_all``)."""
+def routes(held: list[tuple[int, np.ndarray]], block: int | None) -> pa.RecordBatch:
+    """(shingle, class) rows of one batch of classes. With ``block``, a
+    shingle that more of them hold is sent once with its pivot and a mark, and
+    its holders are only paired with the pivot."""
     key = np.concatenate([k for _, k in held]).view("i8") if held else np.zeros(0, "i8")
     cid = np.repeat(np.array([c for c, _ in held], "i8"), [len(k) for _, k in held])
     o = np.argsort(key, kind="stable")
     key, cid = key[o], cid[o]
     starts, n = runs(key)
     pivot = np.full(len(key), MARK)
-    if not keep_all and len(n) and n.max() > block:
+    if block and len(n) and n.max() > block:
         drop, more, pairs = np.zeros(len(key), bool), [], set()
         for s, m in zip(starts[n > block].tolist(), n[n > block].tolist(), strict=True):
             p = pivot_of(cid[s:s + m])
@@ -190,7 +284,7 @@ def routes(held: list[tuple[int, np.ndarray]], block: int, keep_all: bool) -> pa
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid), pa.array(pivot)], ["key", "cid", "pivot"])
 
 
-def route(sigs: DataFrame, block: int) -> DataFrame:
+def route(sigs: DataFrame, block: int | None) -> DataFrame:
     def run(it):
         held, size = [], 0
         for b in it:
@@ -198,37 +292,19 @@ def route(sigs: DataFrame, block: int) -> DataFrame:
                 held.append((c, np.frombuffer(k, _U)))
                 size += len(k) // 8
                 if size >= 2_000_000:
-                    yield routes(held, block, False)
+                    yield routes(held, block)
                     held, size = [], 0
         if held:
-            yield routes(held, block, False)
-    return sigs.where("keys IS NOT NULL").select("cid", "keys").mapInArrow(run, ROUTE_DDL)
-
+            yield routes(held, block)
+    return sigs.select("cid", "keys").mapInArrow(run, ROUTE_DDL)
 
-def route_late(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Second-round rows: classes with a hot shingle in their first prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def run(it):
-        seen: set[int] = set()
-        bits = shared.value
-        for b in it:
-            held = []
-            for s in shingle_sets(encoded(b.column(0))):
-                if len(s) and in_bitset(bits, prefix(s)).any():
-                    cid = set_id(s)
-                    if cid not in seen:
-                        seen.add(cid)
-                        held.append((cid, prefix(s, bits)))
-            yield routes(held, 0, True)
-    return docs.select("text").mapInArrow(run, ROUTE_DDL)
-
-
-def blocks(rows: DataFrame, tasks: int, block: int, hot: bool) -> DataFrame:
+def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFrame:
     """Blocks of classes that share a shingle: ``kind`` 'block' (all members
-    may be compared), 'star' (the first with the others), and 'hot' (``fp`` is
-    a hot shingle; only if ``hot``). Blocks of equal members have equal ``fp``.
-    With a column ``comp``, shingles held within one component make no block."""
+    may be compared) or 'star' (the first with the others; with ``stars_only``
+    for shingles of more than ``block`` classes). Blocks of equal members have
+    equal ``fp``. With a column ``comp``, shingles held within one component
+    make no block."""
     names = [c for c in ("key", "cid", "pivot", "comp") if c in rows.columns]
 
     def run(it):
@@ -256,8 +332,7 @@ def blocks(rows: DataFrame, tasks: int, block: int, hot: bool) -> DataFrame:
         for s, m in zip(starts[mixed].tolist(), n[mixed].tolist(), strict=True):
             members = cid[s:s + m]
             marked = bool(members[0] == MARK)
-            if hot and (marked or m > block):
-                yield "hot", int(key[s]), []
+            if stars_only and (marked or m > block):
                 p = pivot_of(members[marked:])
                 yield from stars(p, members[marked:])
                 continue
@@ -314,27 +389,28 @@ def id_of(members: np.ndarray) -> int:
 class Tree:
     """Leaves in order of size; node levels with ``FANOUT`` children each."""
 
-    def __init__(self, n: np.ndarray, bits: list[bytes]):
+    def __init__(self, n: np.ndarray, cap: np.ndarray, bits: list[bytes]):
         self.order = np.argsort(n, kind="stable")
-        n = n[self.order]
+        n, cap = n[self.order], cap[self.order]
         size = min(map(len, bits))
-        words = np.stack([folded(bits[i], size) for i in self.order])
-        over = n - np.bitwise_count(words).sum(1).astype("i8")  # shingles beyond bits
-        self.levels = [(words, n, n, over)]
+        maps = np.stack([folded(bits[i], size) for i in self.order])
+        over = n - np.bitwise_count(maps).sum(1).astype("i8")  # shingles beyond bits
+        self.levels = [(maps, n, n, cap, over)]
         while len(self.levels[-1][1]) > 1:
-            w, low, high, o = self.levels[-1]
+            w, low, high, c, o = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(w, at), np.minimum.reduceat(low, at),
-                                np.maximum.reduceat(high, at), np.maximum.reduceat(o, at)))
+            self.levels.append((np.bitwise_or.reduceat(w, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
+                                np.maximum.reduceat(c, at), np.maximum.reduceat(o, at)))
 
     def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether some classes below nodes a and b could link, by size range
         and by the most shingles they can share."""
-        w, low, high, over = self.levels[level]
+        w, low, high, cap, over = self.levels[level]
         fits = (4 * low[a] <= 5 * high[b]) & (4 * low[b] <= 5 * high[a])
+        fits &= np.minimum(cap[a], cap[b]) >= need(low[a] + low[b])
         a, b = a[fits], b[fits]
         common = np.bitwise_count(w[a] & w[b]).sum(1).astype("i8")
-        most = np.minimum(common + np.minimum(over[a], over[b]), np.minimum(high[a], high[b]))
+        most = np.minimum(common + np.minimum(over[a], over[b]), np.minimum(cap[a], cap[b]))
         fits[fits] = most >= need(low[a] + low[b])
         return fits
 
@@ -354,34 +430,36 @@ class Tree:
         a, b = a[ok], b[ok]
         keep = self.may_link(0, a, b) if len(a) else np.zeros(0, bool)
         a, b = a[keep], b[keep]
-        w, n, _, over = self.levels[0]
+        w, n, _, _, over = self.levels[0]
         most = np.bitwise_count(w[a] & w[b]).sum(1).astype("i8") + np.minimum(over[a], over[b])
         return self.order[a], self.order[b], most * 9 - 4 * (n[a] + n[b])
 
 
-def fits_bitmaps(na: int, a: bytes, nb: int, b: bytes) -> bool:
-    """The leaf test at the pair's own, larger width."""
+def fits_bitmaps(na: int, ca: int, a: bytes, nb: int, cb: int, b: bytes) -> bool:
+    """The leaf test at the pair's own, larger width (sizes, caps, bitmaps)."""
+    if 4 * max(na, nb) > 5 * min(na, nb) or min(ca, cb) < need(na + nb):
+        return False
     size = min(len(a), len(b))
     x, y = folded(a, size), folded(b, size)
     common = int(np.bitwise_count(x & y).sum())
     over = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-    return min(common + over, na, nb) >= need(na + nb)
+    return min(common + over, ca, cb) >= need(na + nb)
 
 
-def block_pairs(cid, n, bits, comp, star: bool, few: bool) -> set[tuple[int, int]]:
+def block_pairs(cid, n, cap, bits, comp, star: bool, few: bool) -> set[tuple[int, int]]:
     """Class pairs of one block to verify: of different components, and with
     ``few`` only each member's most promising one."""
     if star:
         pairs = ((0, j) for j in range(1, len(cid)))
-        return {tuple(sorted((cid[i], cid[j]))) for i, j in pairs if comp[i] != comp[j]
-                and 4 * max(n[i], n[j]) <= 5 * min(n[i], n[j]) and fits_bitmaps(n[i], bits[i], n[j], bits[j])}
-    a, b, gain = Tree(np.array(n, "i8"), bits).pairs()
+        return {tuple(sorted((cid[i], cid[j]))) for i, j in pairs
+                if comp[i] != comp[j] and fits_bitmaps(n[i], cap[i], bits[i], n[j], cap[j], bits[j])}
+    a, b, gain = Tree(np.array(n, "i8"), np.array(cap, "i8"), bits).pairs()
     out, used = set(), set()
     for k in np.argsort(-gain, kind="stable").tolist() if few else range(len(a)):
         i, j = int(a[k]), int(b[k])
         if comp[i] == comp[j] or few and i in used and j in used:
             continue
-        if fits_bitmaps(n[i], bits[i], n[j], bits[j]):
+        if fits_bitmaps(n[i], cap[i], bits[i], n[j], cap[j], bits[j]):
             used |= {i, j}
             out.add(tuple(sorted((cid[i], cid[j]))))
     return out
@@ -389,23 +467,23 @@ def block_pairs(cid, n, bits, comp, star: bool, few: bool) -> set[tuple[int, int
 
 def candidates(found: DataFrame, classes: DataFrame, few: bool, tasks: int) -> DataFrame:
     """Distinct pairs ``a, b`` of class ids to verify, by signature trees over
-    the blocks ``found``. ``classes``: cid, n, bits, comp."""
+    the blocks ``found``. ``classes``: cid, n, cap, bits, comp."""
     members = found.select("kind", "fp", F.posexplode("members").alias("pos", "cid"))
     rows = members.join(classes, "cid").withColumn("part", F.pmod(F.xxhash64("fp", "kind"), F.lit(tasks * 8)))
 
     def run(g: pa.Table) -> pa.Table:
         g = g.sort_by([("kind", "ascending"), ("fp", "ascending"), ("pos", "ascending")])
-        kind, fp, cid, n, bits, comp = (g.column(c).to_pylist() for c in ("kind", "fp", "cid", "n", "bits", "comp"))
+        kind, fp, cid, n, cap, bits, comp = (g.column(c).to_pylist() for c in ("kind", "fp", "cid", "n", "cap", "bits", "comp"))
         out: set[tuple[int, int]] = set()
         s = 0
         for e in range(1, len(fp) + 1):
             if e == len(fp) or (kind[e], fp[e]) != (kind[s], fp[s]):
                 if len(set(comp[s:e])) > 1:
                     if e - s == 2:  # a tree of two leaves
-                        if 4 * max(n[s:e]) <= 5 * min(n[s:e]) and fits_bitmaps(n[s], bits[s], n[s + 1], bits[s + 1]):
+                        if fits_bitmaps(n[s], cap[s], bits[s], n[s + 1], cap[s + 1], bits[s + 1]):
                             out.add(tuple(sorted(cid[s:e])))
                     else:
-                        out |= block_pairs(cid[s:e], n[s:e], bits[s:e], comp[s:e], kind[s] == "star", few)
+                        out |= block_pairs(cid[s:e], n[s:e], cap[s:e], bits[s:e], comp[s:e], kind[s] == "star", few)
                 s = e
         pairs = sorted(out)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -414,29 +492,25 @@ def candidates(found: DataFrame, classes: DataFrame, few: bool, tasks: int) -> D
 
 # --- verification -------------------------------------------------------------
 
-def class_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def class_texts(blocks_: DataFrame, wanted: np.ndarray) -> DataFrame:
     """``cid, packed``: a compressed text of every class in the bitset."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = blocks_.sparkSession.sparkContext.broadcast(wanted)
 
     def run(it):
-        seen: set[int] = set()
-        pack, bits = zstandard.ZstdCompressor(level=3), shared.value
+        pack = zstandard.ZstdCompressor(level=3)
         for b in it:
-            texts, out = encoded(b.column(0)), []
-            for t, s in zip(texts, shingle_sets(texts), strict=True):
-                cid = set_id(s)
-                if len(s) and cid not in seen and in_bitset(bits, np.array([cid], "i8").view(_U))[0]:
-                    seen.add(cid)
-                    out.append((cid, pack.compress(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()),
-                                              pa.array([t for _, t in out], pa.binary())], ["cid", "packed"])
-    return docs.select("text").mapInArrow(run, "cid bigint, packed binary").dropDuplicates(["cid"])
+            for cids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.flatnonzero(in_bitset(shared.value, np.array(cids, "i8").view(_U)))
+                texts = unpacked(raw) if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in at], pa.int64()),
+                                                  pa.array([pack.compress(texts[i]) for i in at], pa.binary())], ["cid", "packed"])
+    return blocks_.select("cids", "texts").mapInArrow(run, "cid bigint, packed binary").dropDuplicates(["cid"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(blocks_: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = class_texts(docs, bitset_of(ends)).join(ends, "cid", "left_semi")
+    texts = class_texts(blocks_, bitset_of(ends)).join(ends, "cid", "left_semi")
     texts = saved(texts, "class-texts")
 
     def run(it):
@@ -490,29 +564,28 @@ def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document, with the hash of
     its text, its class and its component's smallest class."""
     spark = docs.sparkSession
-    sigs = saved(signatures(docs), "signatures")
-    total = sigs.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 5 // 500_000 + 1)
-    classes = saved(sigs.where("bits IS NOT NULL").select("cid", "n", "bits").dropDuplicates(["cid"]), "classes")
-
-    first = saved(blocks(route(sigs, block), tasks, block, True), "blocks")
-    near = first.where("kind != 'hot'").dropDuplicates(["kind", "fp"])
-    own = classes.withColumn("comp", F.col("cid"))
-    links = saved(verify(docs, saved(candidates(near, own, True, tasks), "pairs")), "links")
+    members = saved(documents(docs), "documents")
+    total = members.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    slices = max(12, total // SLICE_SHINGLES + 1)
+    blocks_ = saved(text_blocks(docs), "text-blocks")
+    sigs = saved(signatures(blocks_, slices), "signatures")
+    keys = sigs.agg(F.sum(F.length("keys")).cast("long")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // 8 // 500_000 + 1)
+    classes = sigs.select("cid", "n", "cap", "bits").dropDuplicates(["cid"])
+
+    first = blocks(route(sigs, block), tasks, block, True).dropDuplicates(["kind", "fp"])
+    pairs = saved(candidates(first, classes.withColumn("comp", F.col("cid")), True, tasks), "pairs")
+    links = saved(verify(blocks_, pairs), "links")
     comp = saved(components(links), "components")
 
-    now = classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    now = saved(now, "classes")
-    late = first.where("kind = 'block'").select("kind", "fp", "members")
-    hot = first.where("kind = 'hot'").select("fp").distinct()
-    if not hot.isEmpty():
-        again = route_late(docs, bitset_of(hot)).join(now.select("cid", "comp"), "cid")
-        late = late.unionByName(blocks(again, tasks, block, False))
-    more = candidates(late.dropDuplicates(["kind", "fp"]), now, False, tasks).join(links, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(docs, saved(more, "pairs")))
+    now = saved(classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "classes")
+    again = route(sigs, None).join(now.select("cid", "comp"), "cid")
+    more = blocks(again, tasks, block, False).dropDuplicates(["kind", "fp"])
+    more = candidates(more, now, False, tasks).join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(verify(blocks_, saved(more, "pairs")))
     comp = components(links)
 
-    rows = sigs.select("doc_id", "text_hash", "cid", "n").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = members.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     rows = saved(rows, "members")
     named = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     some = rows.where("n > 0").join(named, "comp")

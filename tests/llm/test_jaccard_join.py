@@ -87,14 +87,15 @@ def test_tree_keeps_every_linked_pair():
         base = rng.integers(0, 1 << 63, 300).astype("u8")
         sets = [np.unique(np.concatenate((base[rng.random(300) < rng.uniform(0.7, 1)],
                                           rng.integers(0, 1 << 63, rng.integers(0, 40)).astype("u8")))) for _ in range(30)]
-        a, b, _ = j.Tree(np.array([len(x) for x in sets]), [j.bitmap(x) for x in sets]).pairs()
+        a, b, _ = j.Tree(np.array([len(x) for x in sets]), np.array([len(x) for x in sets]), [j.bitmap(x) for x in sets]).pairs()
         got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
         for x in range(30):
             for y in range(x):
                 both = len(np.intersect1d(sets[x], sets[y]))
                 if j.linked(both, len(sets[x]), len(sets[y])):
                     assert (y, x) in got
-                    assert j.fits_bitmaps(len(sets[x]), j.bitmap(sets[x]), len(sets[y]), j.bitmap(sets[y]))
+                    n, k = len(sets[x]), len(sets[y])
+                    assert j.fits_bitmaps(n, n, j.bitmap(sets[x]), k, k, j.bitmap(sets[y]))
 
 
 def test_one_row_of_each_component_stays(spark, make_docs, edge_rows):
