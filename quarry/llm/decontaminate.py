@@ -89,14 +89,18 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     hit_docs = d.select("doc_id", "text_hash").distinct()
     same = lambda a, b: [a["doc_id"].eqNullSafe(b["doc_id"]), a["text_hash"] == b["text_hash"]]
     again = docs.join(hit_docs, same(docs, hit_docs), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    both = (d.join(again.withColumnsRenamed({"doc_id": "k1", "text_hash": "k2"}),
+    # words are made before the join, once per document and not once per use below
+    again = again.select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"), word_list(F.col("text")).alias("words"))
+    both = (d.join(again,
                    d["doc_id"].eqNullSafe(F.col("k1")) & (d["text_hash"] == F.col("k2"))).drop("k1", "k2"))
     i = i.select(F.col("item_id").alias("k3"), F.col("item_hash").alias("k4"), "item")
     both = both.join(i, both["item_id"].eqNullSafe(F.col("k3")) & (both["item_hash"] == F.col("k4"))).drop("k3", "k4")
-    words = both.withColumn("words", word_list(F.col("text"))).drop("text")
-    agree = F.transform("item", lambda w, k: F.when(
-        F.get(F.col("words"), k + F.col("doc_start").cast("int")) == w, 1).otherwise(0))
-    checked = words.withColumn("agree", agree).drop("words")
+    start = F.col("doc_start").cast("int")
+    before = F.greatest(-start, F.lit(0))  # words of the item that lie before the document
+    region = F.concat(F.array_repeat(F.lit(None).cast("string"), before),
+                      F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("item") - before, F.lit(0))))
+    agree = F.zip_with("item", region, lambda w, x: F.coalesce((w == x).cast("int"), F.lit(0)))
+    checked = saved(both.withColumn("agree", agree).drop("words", "item"), "agreement")
     n = F.size("agree")
     size = F.least(n, F.lit(window))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
