@@ -1,7 +1,5 @@
 """Skew-aware building blocks shared by the operators.
 
-* ``checked_broadcast``: broadcast a side only after proving its row count is
-  under a bound; otherwise leave the join to sort-merge + AQE skew handling.
 * ``first_by``: the first row per key as an aggregate (``min_by`` of a struct),
   which combines map-side, so a hot key never lands whole in one task.
 * ``row_number_by``: 1-based numbering within a key ordered by an integral
@@ -17,18 +15,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows of the (small) side.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def first_by(df: DataFrame, keys: Sequence[str], order: str | Column,
              cols: Sequence[str] | None = None, descending: bool = False,
              tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A key matches when its lower-cased form is one of ``SENSITIVE_KEYS``; its
 value (of any type) becomes ``"[REDACTED]"``. Arrays are walked, scalars are
-unchanged. Runs as an Arrow-batched pandas UDF over a JSON text column.
+unchanged. Runs as an Arrow-batched pandas UDF over a JSON text column. Text
+that is no JSON has no redacted form: it becomes null, and ``redact_error``
+tells why, so that one bad line fails no job and leaks no secret.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ def sanitize(value):
 def redact_text(text: str | None) -> str | None:
     if text is None:
         return None
-    ok, value = jsvalues.loads_plain(text)
-    if ok:
-        return jsvalues.compact(sanitize(value))
-    return jsvalues.dumps(sanitize(jsvalues.loads(text)))
+    try:
+        ok, value = jsvalues.loads_plain(text)
+        if ok:
+            return jsvalues.compact(sanitize(value))
+        return jsvalues.dumps(sanitize(jsvalues.loads(text)))
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(T.StringType())
@@ -44,3 +49,9 @@ def _redact_udf(s: pd.Series) -> pd.Series:
 
 def redact_json(col: Column | str) -> Column:
     return _redact_udf(F.col(col) if isinstance(col, str) else col)
+
+
+def redact_error(col: Column | str) -> Column:
+    """``Malformed JSON`` where ``redact_json`` gives null for a text, else null."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.isNotNull() & redact_json(c).isNull(), F.lit("Malformed JSON"))

@@ -77,20 +77,37 @@ def js_escapes(json_text: Column) -> Column:
     """Lower-case the hex digits of unicode escapes, as ``JSON.stringify`` writes them."""
     out = json_text
     for h in _UPPER_HEX_ESCAPES:
-        out = F.replace(out, F.lit("\\u" + h), F.lit("\\u" + h.lower()))
-    return out
+        # an escape follows an even number of backslashes; after an odd number it is text
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u" + h, "$1\\\\u" + h.lower())
+    return F.when(json_text.contains("\\u00"), out).otherwise(json_text)
 
 
 def json_quote(c: Column) -> Column:
     """A string as a JSON string literal (JavaScript escaping)."""
-    return js_escapes(F.regexp_extract(F.to_json(F.array(c)), r"\A\[(.*)\]\z", 1))
+    text = F.to_json(F.array(c))
+    return js_escapes(F.substring(text, F.lit(2), F.length(text) - 2))
+
+
+def js_number(x: Column, text: Column) -> Column:
+    """JavaScript's text of a number whose Java text is ``text``: plain from
+    1e-6 up to 1e21, else an exponent with its sign."""
+    a = F.abs(x)
+    digits = F.when(a < 1, x.cast("decimal(38,30)").cast("string")).when(
+        a < 1e20, x.cast("decimal(38,17)").cast("string")).otherwise(x.cast("decimal(38,0)").cast("string"))
+    digits = F.when(digits.contains("."), F.regexp_replace(F.regexp_replace(digits, r"0+\z", ""), r"\.\z", "")).otherwise(digits)
+    plain = F.when(text.contains("E"), digits).otherwise(F.regexp_replace(text, r"\.0\z", ""))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    return F.when((a >= 1e21) | (a < 1e-6), power).otherwise(plain)
 
 
 def value_json(v: Column, raw_text: Column) -> Column:
     """JSON text of one payload value: strings re-serialized, JSON null as
-    ``null``, anything else verbatim from the raw payload text."""
+    ``null``, anything else verbatim from the raw payload text (numbers in
+    exponent form as JavaScript writes them)."""
+    exponent = raw_text.rlike(r"\A-?[0-9.]+E-?[0-9]+\z")
     return (F.when(F.is_variant_null(v), F.lit("null"))
              .when(is_string_variant(v), js_escapes(F.to_json(v)))
+             .when(exponent, js_number(raw_text.try_cast("double"), raw_text))
              .otherwise(raw_text))
 
 

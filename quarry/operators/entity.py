@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast
 from quarry.functions.rules import normalize_payload, payload_map, raw_map, rebuild_payload
 
 REQUIRED = ["source_id", "source_file_id", "source_record_id", "run_id", "entity_type"]
@@ -58,18 +57,18 @@ def build_entities(records: DataFrame, configuration: Mapping) -> DataFrame:
         F.lit(1).alias("version"), F.lit("ACTIVE").alias("status"))
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
+def insert_if_absent(new: DataFrame, existing: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Entities whose (tenant, run, record, version) is not stored yet.
 
-    Stored entities can only collide with new ones of the same runs, so the
-    (large) stored side is first cut down map-side by a semi-join against the
-    batch's run ids (broadcast after a size check); only those rows reach
-    the anti-join's shuffle.
+    Stored entities can only collide with new ones of the same runs: with
+    ``runs`` (tenant_id, run_id of the batch, known without the entities) the
+    stored side is first cut down to those.
     """
     keys = ["tenant_id", "run_id", "source_record_id", "version"]
-    batch_runs = new.select("tenant_id", "run_id").distinct()
-    relevant = existing.select(*keys).join(checked_broadcast(batch_runs), ["tenant_id", "run_id"], "left_semi")
-    return new.join(relevant.distinct(), keys, "left_anti")
+    relevant = existing.select(*keys)
+    if runs is not None:
+        relevant = relevant.join(runs.select("tenant_id", "run_id"), ["tenant_id", "run_id"], "left_semi")
+    return new.join(relevant, keys, "left_anti")
 
 
 def create_checked(inputs: DataFrame, raw_records: DataFrame, runs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Intake (I1-I6): file policy, checksum, tenant dedup, idempotent replay,
 source gate and the ingest manifest, set-at-a-time over a batch of uploads.
 
-Upload rows: ``seq`` (arrival order), ``tenant_id``, ``source_id``,
+Upload rows: ``seq`` (arrival order: any type with an order, unique), ``tenant_id``, ``source_id``,
 ``filename``, ``mime_type``, ``content`` (binary or string), optional
 ``size_bytes`` and ``idempotency_key``.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast, first_by, materialize
+from quarry.functions.grouping import first_by, materialize
 from quarry.functions.text import js_trim, utf16_length
 
 # Size limit (bytes, inclusive), allowed MIME types per
@@ -69,7 +69,7 @@ def extension(name: Column) -> Column:
 
 
 def policy_reason(name: Column, size: Column, mime: Column,
-                  max_bytes: int | None = MAX_BYTES) -> Column:
+                  max_bytes: int | None = None) -> Column:
     """The first failing rule's message, or null when the file passes.
 
     ``name`` must already be the cleaned name (see ``clean_name``); callers
@@ -97,7 +97,7 @@ def policy_reason(name: Column, size: Column, mime: Column,
              .when(n.contains(".."), F.lit("Invalid storage key")))
 
 
-def file_policy(uploads: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+def file_policy(uploads: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """I1 over a table: adds ``clean_filename``, ``extension``, ``reject_reason``."""
     size = _size_col(uploads)
     named = uploads.withColumn("clean_filename", clean_name(F.col("filename")))
@@ -146,7 +146,7 @@ def source_gate(uploads: DataFrame, sources: DataFrame) -> DataFrame:
     known = (sources.select("tenant_id", F.col("id").alias("source_id"))
              .dropDuplicates(["tenant_id", "source_id"])
              .withColumn("source_ok", F.lit(True)))
-    return (uploads.join(checked_broadcast(known), ["tenant_id", "source_id"], "left")
+    return (uploads.join(known, ["tenant_id", "source_id"], "left")
             .withColumn("source_ok", F.coalesce(F.col("source_ok"), F.lit(False))))
 
 
@@ -172,7 +172,7 @@ def create_sources(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_uploads(uploads: DataFrame, sources: DataFrame,
                     prior_files: DataFrame | None = None,
                     prior_keys: DataFrame | None = None,
-                    max_bytes: int | None = MAX_BYTES) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """I3+I4+I6 (+I1, I2): one result row per upload.
 
     ``prior_files``: (tenant_id, checksum_sha256, file_id) already stored.
@@ -186,7 +186,7 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     key_raw = F.col("idempotency_key") if "idempotency_key" in uploads.columns else F.lit(None).cast("string")
     size = _size_col(uploads)
     base = uploads.select(
-        F.col("seq").cast("long").alias("seq"), "tenant_id", "source_id",
+        "seq", "tenant_id", "source_id",
         F.col("filename"), F.col("mime_type").cast("string").alias("mime_type"),
         size.alias("size_bytes"), key_raw.cast("string").alias("key_raw"),
         F.sha2(_content_bytes(uploads), 256).alias("checksum_sha256"))
@@ -208,7 +208,7 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
     rows = rows.withColumn("valid", F.col("has_buffer") & F.col("key_ok") & F.col("source_ok")
                            & F.col("policy").isNull())
 
-    # step 2: first valid keyed row per (tenant, key); earlier batches win (seq = -1)
+    # step 2: first valid keyed row per (tenant, key); earlier batches win
     keyed = rows.filter(F.col("valid") & F.col("idem_key").isNotNull())
     firsts = keyed.groupBy("tenant_id", "idem_key").agg(F.min("seq").alias("key_seq"))
     if prior_keys is not None:
@@ -217,17 +217,20 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
         batch_keys = rows.filter(F.col("idem_key").isNotNull()).select("tenant_id", "idem_key").distinct()
         pk = (prior_keys.select("tenant_id", F.col("idempotency_key").alias("idem_key"))
               .join(batch_keys, ["tenant_id", "idem_key"], "left_semi")
-              .distinct().withColumn("key_seq", F.lit(-1).cast("long")))
-        firsts = firsts.unionByName(pk).groupBy("tenant_id", "idem_key").agg(F.min("key_seq").alias("key_seq"))
+              .distinct().withColumn("key_prior", F.lit(True)))
+        firsts = firsts.join(pk, ["tenant_id", "idem_key"], "full")
+    else:
+        firsts = firsts.withColumn("key_prior", F.lit(None).cast("boolean"))
     # only keyed rows take part in the join: null keys would all hash to one reducer
     keyed_rows = rows.filter(F.col("idem_key").isNotNull()).join(firsts, ["tenant_id", "idem_key"], "left")
-    plain_rows = rows.filter(F.col("idem_key").isNull()).withColumn("key_seq", F.lit(None).cast("long"))
-    rows = keyed_rows.unionByName(plain_rows)
+    plain_rows = rows.filter(F.col("idem_key").isNull()).withColumns({
+        "key_seq": F.lit(None).cast(rows.schema["seq"].dataType), "key_prior": F.lit(None).cast("boolean")})
+    rows = keyed_rows.unionByName(plain_rows).withColumn("key_prior", F.coalesce("key_prior", F.lit(False)))
 
     status0 = (F.when(~F.col("has_buffer"), F.lit(REJECTED))
                 .when(~F.col("key_ok"), F.lit(REJECTED))
-                .when(F.col("idem_key").isNotNull() & F.col("key_seq").isNotNull()
-                      & (F.col("seq") > F.col("key_seq")), F.lit(REPLAY))
+                .when(F.col("idem_key").isNotNull()
+                      & (F.col("key_prior") | F.coalesce(F.col("seq") > F.col("key_seq"), F.lit(False))), F.lit(REPLAY))
                 .when(~F.col("source_ok"), F.lit(REJECTED))
                 .when(F.col("policy").isNotNull(), F.lit(REJECTED)))
     reason = (F.when(~F.col("has_buffer"), F.lit("File buffer is required"))
@@ -247,10 +250,11 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
         batch_cs = cand.select("tenant_id", "checksum_sha256").distinct()
         pf = (prior_files.select("tenant_id", "checksum_sha256")
               .join(batch_cs, ["tenant_id", "checksum_sha256"], "left_semi")
-              .distinct().withColumn("first_seq", F.lit(-1).cast("long")))
-        first_cs = first_cs.unionByName(pf).groupBy("tenant_id", "checksum_sha256").agg(
-            F.min("first_seq").alias("first_seq"))
-    is_new = F.col("seq") == F.col("first_seq")
+              .distinct().withColumn("cs_prior", F.lit(True)))
+        first_cs = first_cs.join(pf, ["tenant_id", "checksum_sha256"], "left")
+    else:
+        first_cs = first_cs.withColumn("cs_prior", F.lit(None).cast("boolean"))
+    is_new = (F.col("seq") == F.col("first_seq")) & F.col("cs_prior").isNull()
     cand = cand.join(first_cs, ["tenant_id", "checksum_sha256"], "left").withColumns({
         "status": F.when(is_new, F.lit(NEW)).otherwise(F.lit(DUPLICATE)),
         "file_id": file_id(F.col("tenant_id"), F.col("checksum_sha256")),
@@ -274,8 +278,8 @@ def resolve_uploads(uploads: DataFrame, sources: DataFrame,
                       .join(replay.select("tenant_id", "idem_key").distinct(), ["tenant_id", "idem_key"], "left_semi"),
                       ["tenant_id", "idem_key"], F.col("p_file"))
         replay = replay.join(pk, ["tenant_id", "idem_key"], "left")
-        w_file = F.when(F.col("key_seq") < 0, F.col("p_file")).otherwise(F.col("w_file"))
-        w_dup = F.when(F.col("key_seq") < 0, F.col("p_dup")).otherwise(F.col("w_dup"))
+        w_file = F.when(F.col("key_prior"), F.col("p_file")).otherwise(F.col("w_file"))
+        w_dup = F.when(F.col("key_prior"), F.col("p_dup")).otherwise(F.col("w_dup"))
     else:
         w_file, w_dup = F.col("w_file"), F.col("w_dup")
     replay = replay.select(

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.rules import payload_map, raw_map, value_json
+from quarry.functions.rules import js_number, payload_map, raw_map, value_json
 
 # Domain patterns (case-insensitive substring match).
 DOMAIN_PATTERNS = {
@@ -31,18 +31,11 @@ DOMAIN_PATTERNS = {
 DOMAINS = list(DOMAIN_PATTERNS)
 
 
-# (record_number, key position) packed into one bigint so that "first
-# appearance" is a plain min: a hash aggregate instead of a sort aggregate
-# over a struct. Positions stay below 2**20 keys per record.
-_POS_BITS = 20
-
-
 def column_order(records: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
     """(snapshot, column_name, position) in first-appearance order."""
     keys = records.select(snapshot, "record_number",
                           F.posexplode(F.json_object_keys("payload")).alias("pos", "column_name"))
-    packed = F.shiftleft(F.col("record_number").cast("long"), _POS_BITS) + F.col("pos")
-    firsts = keys.groupBy(snapshot, "column_name").agg(F.min(packed).alias("first"))
+    firsts = keys.groupBy(snapshot, "column_name").agg(F.min(F.struct("record_number", "pos")).alias("first"))
     w = Window.partitionBy(snapshot).orderBy("first")
     return firsts.select(snapshot, "column_name",
                          F.row_number().over(w).cast("long").alias("position"))
@@ -99,9 +92,8 @@ def js_string(v: Column, raw_text: Column | None = None, nested: str = "object")
 
 def rate_text(x: Column) -> Column:
     """JavaScript text of a rate in [0, 1] (``0``, ``0.5``, ``0.0001``), not
-    Java's (``0.0``, ``1.0E-4``). Plain notation is right down to 1e-6."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+\\z", ""), "\\.\\z", "")
-    return F.when(x == 0, F.lit("0")).otherwise(plain)
+    Java's (``0.0``, ``1.0E-4``), with all digits of the double."""
+    return F.when(x == 0, F.lit("0")).otherwise(js_number(x, x.cast("string")))
 
 
 def cells(records: DataFrame, lists: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:

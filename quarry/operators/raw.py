@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.grouping import first_by, row_number_by
 
-# Default parser label written on snapshot headers, and the
-# default record cap per snapshot.
-PARSER_VERSION = "v6-parser-1"
+# Default parser label on snapshot headers (a caller's parameter); fixed
+# value: the record cap that a caller may ask for.
+PARSER_VERSION = "parser-1"
 MAX_RECORDS = 10_000
 
 
@@ -64,12 +64,11 @@ def build_snapshots(records: DataFrame, parser_version: str = PARSER_VERSION,
                     F.lit(parser_version).alias("parser_version"), F.lit("COMPLETE").alias("status")))
 
 
-def record_limit(records: DataFrame, limit: int | None = MAX_RECORDS,
+def record_limit(records: DataFrame, limit: int | None = None,
                  snapshot: str = "snapshot_id") -> tuple[DataFrame, DataFrame]:
     """Snapshots over ``limit`` records are refused whole.
 
-    Returns (kept records, per-snapshot verdicts). ``limit=None`` turns the
-    cap off.
+    Returns (kept records, per-snapshot verdicts). Without a limit none is refused.
     """
     counts = records.groupBy(snapshot).agg(F.count(F.lit(1)).cast("long").alias("record_count"))
     over = F.lit(False) if limit is None else F.col("record_count") > F.lit(limit)

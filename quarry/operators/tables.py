@@ -26,9 +26,14 @@ def with_ids(rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str = "id", order: str = "write_seq") -> DataFrame:
-    """G1: union, then the newest write per id (an aggregate, no window).
-    ``order`` must be unique per id (one write sequence number per write)."""
-    return first_by(table.unionByName(incoming), [key], order, descending=True)
+    """G1: the newest write per id. ``table`` has one row per id; only the
+    incoming writes are aggregated, and the table's rows pass through an
+    anti-join with the few that replace them. ``order`` must be unique per id
+    (one write sequence number per write)."""
+    newest = first_by(incoming, [key], order, descending=True).select(*table.columns)
+    held = table.select(F.col(key), F.col(order).alias("__held"))
+    wins = newest.join(held, key, "left").where(F.col("__held").isNull() | (F.col(order) > F.col("__held"))).drop("__held")
+    return table.join(wins.select(key), key, "left_anti").unionByName(wins)
 
 
 def find(table: DataFrame, key: str, value) -> DataFrame:
@@ -46,11 +51,13 @@ def patch(table: DataFrame, patches: DataFrame, key: str = "id",
     """Shallow merge of JSON patches ``(id, seq, patch)``.
 
     Several patches of one id merge in ``seq`` order (last value per field
-    wins); a field present with null does overwrite. Patches for ids not in
-    the table are returned as errors. Returns (patched table, errors).
+    wins); a field present with null does overwrite. Errors (id, error) are
+    returned for ids not in the table, patches that are no JSON object, and
+    fields that are no column. Returns (patched table, errors).
     """
     columns = list(columns or [c for c in table.columns if c != key])
-    kv = patches.select(key, "seq", F.explode(payload_map("patch")).alias("field", "value"))
+    valid = patches.where(F.schema_of_variant(F.try_parse_json("patch")).startswith("OBJECT"))
+    kv = valid.select(key, "seq", F.explode(payload_map("patch")).alias("field", "value"))
     kv = kv.filter(F.col("field").isin(*columns))
     last = kv.groupBy(key, "field").agg(F.max_by(F.to_json("value"), "seq").alias("value_json"))
     merged = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value_json"))).alias("__p"))
@@ -66,6 +73,12 @@ def patch(table: DataFrame, patches: DataFrame, key: str = "id",
         "patched", F.col("__p").isNotNull()).drop("__p")
     errors = (patches.select(key).distinct().join(table.select(key), key, "left_anti")
               .withColumn("error", F.lit("Not found")))
+    shape = F.schema_of_variant(F.try_parse_json("patch"))
+    bad = F.coalesce(~shape.startswith("OBJECT"), F.lit(True))
+    errors = errors.unionByName(patches.where(bad).select(key, F.lit("Malformed patch").alias("error")))
+    extra = (patches.where(~bad).select(key, F.explode(F.json_object_keys("patch")).alias("f"))
+             .where(~F.col("f").isin(*columns)).select(key, F.concat(F.lit("Unknown field: "), "f").alias("error")))
+    errors = errors.unionByName(extra.distinct())
     return patched, errors
 
 

@@ -2,8 +2,7 @@
 
 Batch forms of the reference's per-request reads: many users or requests
 are answered in one plan by semi/anti joins against the ACTIVE memberships.
-Small dimension tables (tenants, roles) are broadcast only after a row-count
-check.
+Joins are left to adaptive execution, which broadcasts small sides at run time.
 """
 
 from __future__ import annotations
@@ -11,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast
-
 MEMBERSHIP_COLS = ["id", "tenant_id", "user_id", "role_id", "status", "created_at", "updated_at"]
 
 
@@ -27,8 +24,8 @@ def membership_context(memberships: DataFrame, tenants: DataFrame, roles: DataFr
     t = tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant_name"),
                        F.col("slug").alias("tenant_slug"), F.col("status").alias("tenant_status"))
     r = roles.select(F.col("id").alias("role_id"), F.col("code").alias("role_code"), F.col("name").alias("role_name"))
-    return (memberships.join(checked_broadcast(t), "tenant_id", "left")
-            .join(checked_broadcast(r), "role_id", "left")
+    return (memberships.join(t, "tenant_id", "left")
+            .join(r, "role_id", "left")
             .select("user_id", "tenant_id", "tenant_name", "tenant_slug", "tenant_status",
                     "role_id", "role_code", "role_name", "status"))
 
@@ -38,12 +35,26 @@ def active_pairs(memberships: DataFrame) -> DataFrame:
             .select("user_id", "tenant_id").distinct())
 
 
+def gated(requests: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Requests with ``allowed``: whether (user, tenant) has an ACTIVE
+    membership (the tenant's own status is not looked at). One join answers both."""
+    pairs = active_pairs(memberships).withColumn("allowed", F.lit(True))
+    return (requests.join(pairs, ["user_id", "tenant_id"], "left")
+            .withColumn("allowed", F.coalesce("allowed", F.lit(False))))
+
+
 def active_gate(requests: DataFrame, memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests whose (user, tenant) has an ACTIVE membership, and the
-    rest (the tenant's own status is not looked at)."""
-    pairs = active_pairs(memberships)
-    return (requests.join(pairs, ["user_id", "tenant_id"], "left_semi"),
-            requests.join(pairs, ["user_id", "tenant_id"], "left_anti"))
+    """T3 as two tables: the allowed requests and the rest."""
+    g = gated(requests, memberships)
+    return g.where("allowed").drop("allowed"), g.where("NOT allowed").drop("allowed")
+
+
+def org_lists_of_users(memberships: DataFrame, bases: DataFrame, companies: DataFrame, groups: DataFrame) -> DataFrame:
+    """T4 for all users at once: every user's bases, companies and groups."""
+    allowed = active_pairs(memberships)
+    parts = [df.join(allowed, "tenant_id").select("user_id", F.lit(kind).alias("kind"), "id", "tenant_id", "name", "status")
+             for kind, df in (("base", bases), ("company", companies), ("group", groups))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def org_lists(user_id: str, memberships: DataFrame, bases: DataFrame, companies: DataFrame,

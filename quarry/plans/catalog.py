@@ -63,7 +63,7 @@ SELECT seq, tenant_id, n AS clean_filename, lower(regexp_extract(n, '(\\.[^.]*)$
   {_policy_sql('n', 'size_bytes', 'mime_type')} AS reject_reason
 FROM (SELECT *, {js_trim("coalesce(filename, '')")} AS n FROM fx_uploads)"""))
 def q_file_policy(spark, sf):
-    return intake.file_policy(fx.uploads(spark, sf)).select(
+    return intake.file_policy(fx.uploads(spark, sf), intake.MAX_BYTES).select(
         "seq", "tenant_id", "clean_filename", "extension", "reject_reason")
 
 
@@ -123,7 +123,7 @@ SELECT seq, tenant_id, 'REJECTED', why, NULL, NULL, false, cs FROM r4 WHERE stat
 
 @query("intake_resolve", with_fx(["fx_uploads", "fx_sources"], _RESOLVE_SQL))
 def q_intake_resolve(spark, sf):
-    res = intake.resolve_uploads(fx.uploads(spark, sf), fx.sources(spark, sf))
+    res = intake.resolve_uploads(fx.uploads(spark, sf), fx.sources(spark, sf), max_bytes=intake.MAX_BYTES)
     return res.select("seq", "tenant_id", "status", "reason", "file_id", "duplicate",
                       "idempotent_replay", "checksum_sha256")
 
@@ -134,7 +134,7 @@ SELECT file_id, tenant_id, source_id, n AS original_name, lower(regexp_extract(n
   tenant_id || '/sources/' || file_id || '/' || replace(n, '/', '_') AS storage_key, 1 AS version
 FROM c WHERE status = 'NEW'"""))
 def q_ingest_manifest(spark, sf):
-    res = intake.resolve_uploads(fx.uploads(spark, sf), fx.sources(spark, sf))
+    res = intake.resolve_uploads(fx.uploads(spark, sf), fx.sources(spark, sf), max_bytes=intake.MAX_BYTES)
     files, artifacts = intake.ingest_manifest(res)
     return files.join(artifacts.select(F.col("source_file_id").alias("id"), "storage_key", "version"), "id").select(
         F.col("id").alias("file_id"), "tenant_id", "source_id", "original_name", "extension",
@@ -564,21 +564,34 @@ def q_pipeline(spark, sf):
 
 # ====================================================================== L, C
 @query("run_create", with_fx(["fx_ledger"], """
-WITH r AS (SELECT *, min(seq) OVER (PARTITION BY tenant_id, idempotency_key) AS key_seq FROM fx_ledger),
-w AS (SELECT *, min(seq) OVER (PARTITION BY execution_id) AS exec_seq FROM r WHERE seq = key_seq),
-w2 AS (SELECT tenant_id, idempotency_key, execution_id AS w_exec,
-         CASE WHEN seq = exec_seq THEN 'CREATED' ELSE 'CONFLICT' END AS w_status FROM w),
-l AS (SELECT tenant_id, idempotency_key, min(seq) AS late_seq, arg_min(execution_id, seq) AS late_exec
-      FROM r WHERE seq > key_seq GROUP BY ALL)
-SELECT r.seq, r.tenant_id, r.idempotency_key, r.execution_id,
-  CASE WHEN r.seq = r.key_seq THEN w_status WHEN w_status = 'CREATED' THEN 'REPLAY'
-       WHEN r.seq = l.late_seq THEN 'CREATED' ELSE 'REPLAY' END AS status,
-  sha256('job|' || r.tenant_id || '|' || r.idempotency_key) AS job_id,
-  CASE WHEN w_status = 'CREATED' THEN sha256('run|' || w_exec)
-       WHEN r.seq >= l.late_seq THEN sha256('run|' || l.late_exec) END AS run_id
-FROM r JOIN w2 USING (tenant_id, idempotency_key) LEFT JOIN l USING (tenant_id, idempotency_key)"""))
+WITH pj AS (SELECT tenant_id, idempotency_key, max(CASE WHEN seq % 2 = 1 THEN 'old-' || seq::VARCHAR END) AS p_run
+       FROM fx_ledger WHERE seq % 97 = 0 GROUP BY ALL),
+er AS (SELECT DISTINCT execution_id FROM fx_ledger WHERE seq % 89 = 0),
+r AS (SELECT l.*, p_run, pj.tenant_id IS NOT NULL AS p_job,
+        row_number() OVER (PARTITION BY l.tenant_id, l.idempotency_key ORDER BY seq) AS k
+      FROM fx_ledger l LEFT JOIN pj USING (tenant_id, idempotency_key)),
+o AS (SELECT * FROM r WHERE k = 1 AND NOT p_job),
+e AS (SELECT execution_id, min(seq) AS first_seq FROM o GROUP BY ALL),
+made AS (SELECT s.execution_id, s.seq, o.execution_id AS o_exec, o.seq AS o_seq
+         FROM r s LEFT JOIN o USING (tenant_id, idempotency_key)
+         WHERE (s.k = 2 AND NOT s.p_job) OR (s.k = 1 AND s.p_job AND s.p_run IS NULL)),
+x AS (SELECT m.execution_id, m.o_exec, m.o_seq IS NULL OR m.o_seq > eo.first_seq AS sure
+      FROM made m JOIN e ON e.execution_id = m.execution_id AND m.seq < e.first_seq LEFT JOIN e eo ON eo.execution_id = m.o_exec),
+u AS (SELECT execution_id FROM er UNION SELECT execution_id FROM x WHERE sure
+      UNION SELECT x.execution_id FROM x JOIN u ON x.o_exec = u.execution_id WHERE NOT x.sure),
+w AS (SELECT o.tenant_id, o.idempotency_key, o.seq = e.first_seq AND u.execution_id IS NULL AS won
+      FROM o JOIN e USING (execution_id) LEFT JOIN (SELECT DISTINCT execution_id FROM u) u USING (execution_id)),
+f AS (SELECT r.*, CASE WHEN p_job OR won THEN 1 ELSE 2 END AS maker FROM r LEFT JOIN w USING (tenant_id, idempotency_key))
+SELECT seq, tenant_id, idempotency_key, execution_id,
+  CASE WHEN p_run IS NOT NULL THEN 'REPLAY' WHEN k = maker THEN 'CREATED' WHEN k = 1 THEN 'CONFLICT' ELSE 'REPLAY' END AS status,
+  sha256('job|' || tenant_id || '|' || idempotency_key) AS job_id,
+  coalesce(p_run, CASE WHEN k >= maker THEN sha256('run|' || tenant_id || '|' || idempotency_key) END) AS run_id
+FROM f""").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_run_create(spark, sf):
-    return ledger.create_runs(fx.ledger(spark, sf))
+    r = fx.ledger(spark, sf)
+    old = F.max(F.when(F.col("seq") % 2 == 1, F.concat(F.lit("old-"), F.col("seq").cast("string")))).alias("run_id")
+    jobs = r.where("seq % 97 = 0").groupBy("tenant_id", "idempotency_key").agg(old)
+    return ledger.create_runs(r, jobs, r.where("seq % 89 = 0").select("execution_id").distinct())
 
 
 def _steps(spark, sf):
@@ -699,8 +712,7 @@ SELECT o_orderkey AS request_id, 'u-' || (o_custkey % 200)::VARCHAR AS user_id,
           AND m.tenant_id = 'n-' || (o_orderkey % 25)::VARCHAR AND m.status = 'ACTIVE') AS allowed
 FROM orders"""))
 def q_active_gate(spark, sf):
-    ok, denied = tenancy.active_gate(_requests(spark, sf), fx.memberships(spark, sf))
-    return ok.withColumn("allowed", F.lit(True)).unionByName(denied.withColumn("allowed", F.lit(False)))
+    return tenancy.gated(_requests(spark, sf), fx.memberships(spark, sf))
 
 
 @query("org_lists", with_fx(["fx_memberships", "fx_bases", "fx_companies", "fx_groups"], """

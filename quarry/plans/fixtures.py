@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def json_string(col: Column) -> Column:
     """A string as a JSON string literal (quoted and escaped)."""
-    return F.regexp_extract(F.to_json(F.array(col)), r"\A\[(.*)\]\z", 1)
+    text = F.to_json(F.array(col))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
 def _block(col: str, width: int = BLOCK) -> Column:

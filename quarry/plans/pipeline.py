@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast, first_by, materialize
+from quarry.functions.grouping import first_by, materialize
 from quarry.operators import entity, ledger, profile
 
 
@@ -61,7 +61,7 @@ def run_pipeline(records: DataFrame, configuration: Mapping,
                 .withColumn("source_record_id", entity.record_id(F.col("snapshot_id"), F.col("record_number"))))
     ents = entity.build_entities(enriched, configuration)
     if existing_entities is not None:
-        ents = entity.insert_if_absent(ents, existing_entities)
+        ents = entity.insert_if_absent(ents, existing_entities, latest)
 
     # Statistics per run
     n_raw = report.select("snapshot_id", F.col("row_count").alias("raw_records"))
@@ -107,25 +107,23 @@ def pipeline_steps(runs: DataFrame) -> DataFrame:
 
 
 def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
-                   max_records: int | None = 10_000,
+                   max_records: int | None = None,
                    parser_version: str | None = None,
                    contents: DataFrame | None = None,
                    registered: DataFrame | None = None) -> dict[str, DataFrame]:
     """RAW snapshots (R1-R4) of already registered files.
 
     ``files``: seq (arrival order), source_file_id, tenant_id, source_id,
-    filename, and content unless ``contents`` (seq, content) gives the bytes
-    separately. The same file may be snapshotted again: versions continue
-    after ``prior_snapshots`` (source_file_id) and after earlier rows of this
-    batch. Versions are computed on the narrow file list; the bytes are
-    joined once, against the version rows (broadcast when their count is
-    bounded). With ``registered`` (source files: id, tenant_id) a file not
+    filename, and content unless ``contents`` (seq, filename, content) gives
+    the bytes separately. The same file may be snapshotted again: versions
+    continue after ``prior_snapshots`` (source_file_id) and after earlier rows
+    of this batch. Versions are computed on the narrow file list. With ``registered`` (source files: id, tenant_id) a file not
     registered in its tenant is refused as not found. Returns ``snapshots``
     (one header row each), ``records`` and ``quarantine`` (unknown files,
     reader failures, record-limit refusals).
     """
     from quarry.operators import raw
-    from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
+    from quarry.sources.dispatch import parse_files, split_parsed
 
     narrow = files.select("seq", "source_file_id", "tenant_id", "source_id", "filename")
     unknown = None
@@ -135,12 +133,14 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
         unknown = narrow.join(known, ["source_file_id", "tenant_id"], "left_anti")
         narrow = narrow.join(known, ["source_file_id", "tenant_id"], "left_semi")
     versions = raw.snapshot_versions(narrow, prior_snapshots).withColumn("snapshot_id", raw.snapshot_id())
-    blob_src = contents if contents is not None else files.select("seq", "content")
-    blobs = blob_src.join(checked_broadcast(versions.select("seq", "snapshot_id", "filename")), "seq")
+    # files are parsed where their bytes are read: the bytes cross no exchange,
+    # only the records do, once, to meet the versions of the accepted files
+    blobs = contents if contents is not None else files.select("seq", "filename", "content")
+    own = versions.select(F.col("seq").cast("string").alias("file_id"), "snapshot_id")
+    parsed_all = parse_files(blobs, "seq", "filename", "content").join(own, "file_id").drop("file_id")
     # the parsed RAW records are the stored snapshot data; parse once, then the
     # limit gate, headers, profile and entity branches all read them
-    parsed_all = materialize(parse_files(blobs, "snapshot_id", "filename", "content",
-                                         partitions=parse_partitions(files.sparkSession)))
+    parsed_all = materialize(parsed_all.withColumnRenamed("snapshot_id", "file_id"))
     parsed, parse_errors = split_parsed(parsed_all)
     parsed = parsed.withColumnRenamed("file_id", "snapshot_id")
     kept, verdicts = raw.record_limit(parsed, max_records)
@@ -168,23 +168,23 @@ def snapshot_files(files: DataFrame, prior_snapshots: DataFrame | None = None,
 def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Mapping,
                        prior_files: DataFrame | None = None, prior_keys: DataFrame | None = None,
                        prior_snapshots: DataFrame | None = None,
-                       max_records: int | None = 10_000) -> dict[str, DataFrame]:
+                       max_records: int | None = None, max_bytes: int | None = None) -> dict[str, DataFrame]:
     """The whole chain from file bytes: intake (I1-I6) -> parse (I7-I12) ->
     RAW snapshots (R1-R4) -> profile, normalization, entities, runs (E6).
 
-    Only NEW files are snapshotted; their bytes are joined back by upload seq
-    (unique) against the narrow version rows of the NEW files, broadcast when
-    their count is bounded, so the intake shuffles never carry file bytes. A file whose
-    reader fails or that exceeds ``max_records`` is quarantined whole.
+    Only NEW files are snapshotted. Intake works on narrow rows and files are
+    parsed where they are read, so no shuffle carries file bytes. A file whose
+    reader fails or that exceeds ``max_records`` is quarantined whole. Both
+    caps (bytes of a file, records of a snapshot) are off unless given.
     """
     from quarry.operators import intake
 
-    resolved = intake.resolve_uploads(uploads, sources, prior_files, prior_keys)
+    resolved = intake.resolve_uploads(uploads, sources, prior_files, prior_keys, max_bytes)
     files, artifacts = intake.ingest_manifest(resolved)
     new = resolved.filter(F.col("status") == intake.NEW).select(
         "seq", F.col("file_id").alias("source_file_id"), "tenant_id", "source_id",
         F.col("clean_filename").alias("filename"))
-    contents = uploads.select(F.col("seq").cast("long").alias("seq"), "content")
+    contents = uploads.select("seq", intake.clean_name(F.col("filename")).alias("filename"), "content")
     snap = snapshot_files(new, prior_snapshots, max_records, contents=contents)
     out = run_pipeline(snap["records"], configuration, snapshots=snap["snapshots"])
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,

@@ -20,7 +20,7 @@ def read_landing(spark: SparkSession, root: str, glob: str | None = None,
                  mime_type: str = "application/octet-stream") -> DataFrame:
     """Upload rows from ``<root>/<tenant>/<source>/<name>``.
 
-    Columns: seq (stable hash of the path), tenant_id, source_id, filename,
+    Columns: seq (by time of change, then by a hash of the path), tenant_id, source_id, filename,
     mime_type, size_bytes, content, idempotency_key (null), path.
     ``glob`` restricts the files read (default: every file).
     """
@@ -28,10 +28,13 @@ def read_landing(spark: SparkSession, root: str, glob: str | None = None,
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(root)
+    # 64 low bits tell files of one microsecond apart
+    low = F.xxhash64("path").cast("decimal(38,0)") + F.lit(2 ** 63)
+    seq = (F.unix_micros("modificationTime").cast("decimal(18,0)") * F.lit(2 ** 64) + low).cast("decimal(38,0)")
     parts = F.split(F.col("path"), "/")
     n = F.size(parts)
     return df.select(
-        F.xxhash64("path").alias("seq"),
+        seq.alias("seq"),
         F.element_at(parts, n - 2).alias("tenant_id"),
         F.element_at(parts, n - 1).alias("source_id"),
         F.element_at(parts, n).alias("filename"),

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import checked_broadcast, first_by, row_number_by
+from quarry.functions.grouping import first_by, row_number_by
 from quarry.operators import checks, tables, tenancy
 
 
@@ -18,11 +18,10 @@ def test_row_number_by_matches_window_on_a_hot_key(spark):
     assert got == want
 
 
-def test_first_by_and_checked_broadcast(spark):
+def test_first_by(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o long, v string")
     assert sorted(tuple(r) for r in first_by(df, ["k"], "o").collect()) == [("a", 1, "y"), ("b", 5, "z")]
     assert sorted(tuple(r) for r in first_by(df, ["k"], "o", descending=True).collect()) == [("a", 2, "x"), ("b", 5, "z")]
-    assert checked_broadcast(df, 10).count() == 3 and checked_broadcast(df, 1).count() == 3
 
 
 def test_upsert_patch_insert_ignore(spark):
@@ -34,6 +33,13 @@ def test_upsert_patch_insert_ignore(spark):
     patched, errors = tables.patch(t.drop("write_seq"), patches)
     assert sorted((r.id, r.name, r.bal, r.patched) for r in patched.collect()) == [(1, "AA", None, True), (2, "b", 2.0, False)]
     assert [r.id for r in errors.collect()] == [9]
+    odd = spark.createDataFrame([(1, 1, '{"name":"A","nick":"x"}'), (2, 1, '{"name":'), (2, 2, None), (2, 3, '[1]')],
+                                "id long, seq int, patch string")
+    patched, errors = tables.patch(t.drop("write_seq"), odd)
+    assert sorted((r.id, r.name) for r in patched.collect()) == [(1, "A"), (2, "b")]
+    assert sorted((r.id, r.error) for r in errors.collect()) == [(1, "Unknown field: nick")] + [(2, "Malformed patch")] * 3
+    late = spark.createDataFrame([(2, "old", 0.0, -1), (3, "c", 1.0, 7), (3, "d", 1.0, 8)], "id long, name string, bal double, write_seq long")
+    assert sorted((r.id, r.name) for r in tables.upsert(t, late).collect()) == [(1, "a"), (2, "b"), (3, "d")]
     inc = spark.createDataFrame([(2, "dup", 0.0, 5, 1), (4, "d1", 0.0, 5, 2), (4, "d2", 0.0, 5, 1)],
                                 "id long, name string, bal double, write_seq long, seq int")
     out = tables.insert_ignore(t, inc, ["id"])
