@@ -22,7 +22,7 @@ texts' whole sets.
 
 Two rounds. First, blocks give their most promising pairs (each member with
 the best earlier one), and in blocks of more than ``block`` classes all
-members are compared with one pivot. Verified links give components. Then
+members are compared with a few pivots. Verified links give components. Then
 blocks whose members are of one component by now are dropped unseen, and all
 others are searched for every pair of different components, large ones chunk
 by chunk. Links found inside one component cannot change the result, so
@@ -246,7 +246,8 @@ def signatures(blocks_: DataFrame, slices: int) -> DataFrame:
 
 # --- blocks -------------------------------------------------------------------
 
-ROUTE_DDL = "key bigint, cid bigint, pivot bigint"
+ROUTE_DDL = "key bigint, cid bigint, pivot bigint, own bigint"
+PIVOTS = 4
 BLOCK_DDL = "kind string, fp bigint, members array<bigint>"
 
 
@@ -256,47 +257,51 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def pivot_of(cids: np.ndarray) -> int:
-    return int(cids[np.argmin(mix(cids.view(_U)))])
+def pivots_of(cids: np.ndarray, own: np.ndarray) -> list[int]:
+    """Members that most others are likely to link with: those with the fewest
+    shingles of their own (of a text's near copies, those closest to it)."""
+    return cids[np.lexsort((mix(cids.view(_U)), own))[:PIVOTS]].tolist()
 
 
-def routes(held: list[tuple[int, np.ndarray]], block: int | None) -> pa.RecordBatch:
+def routes(held: list[tuple[int, int, np.ndarray]], block: int | None) -> pa.RecordBatch:
     """(shingle, class) rows of one batch of classes. With ``block``, a
-    shingle that more of them hold is sent once with its pivot and a mark, and
-    its holders are only paired with the pivot."""
-    key = np.concatenate([k for _, k in held]).view("i8") if held else np.zeros(0, "i8")
-    cid = np.repeat(np.array([c for c, _ in held], "i8"), [len(k) for _, k in held])
+    shingle that more of them hold is sent with its pivots and a mark only,
+    and its holders are only paired with the pivots."""
+    sizes = [len(k) for *_, k in held]
+    key = np.concatenate([k for *_, k in held]).view("i8") if held else np.zeros(0, "i8")
+    cid, own = (np.repeat(np.array(c, "i8"), sizes) for c in ([c for c, *_ in held], [u for _, u, _ in held]))
     o = np.argsort(key, kind="stable")
-    key, cid = key[o], cid[o]
+    key, cid, own = key[o], cid[o], own[o]
     starts, n = runs(key)
-    pivot = np.full(len(key), MARK)
+    cols = [key, cid, np.full(len(key), MARK), own]
     if block and len(n) and n.max() > block:
         drop, more, pairs = np.zeros(len(key), bool), [], set()
         for s, m in zip(starts[n > block].tolist(), n[n > block].tolist(), strict=True):
-            p = pivot_of(cid[s:s + m])
+            k, members, u = int(key[s]), cid[s:s + m], own[s:s + m]
             drop[s:s + m] = True
-            more += [(int(key[s]), p, MARK), (int(key[s]), MARK, MARK)]
-            pairs.update((c, p) for c in cid[s:s + m].tolist() if c != p)
-        key, cid, pivot = key[~drop], cid[~drop], pivot[~drop]
-        more += [(c, c, p) for c, p in pairs]
-        extra = np.array(more, "i8").reshape(-1, 3)
-        key, cid, pivot = (np.concatenate((a, extra[:, j])) for j, a in enumerate((key, cid, pivot)))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid), pa.array(pivot)], ["key", "cid", "pivot"])
+            more.append((k, MARK, MARK, 0))
+            for p in pivots_of(members, u):
+                more.append((k, p, MARK, int(u[np.flatnonzero(members == p)[0]])))
+                pairs.update((c, p) for c in members.tolist() if c != p)
+        more += [(c, c, p, 0) for c, p in pairs]
+        extra = np.array(more, "i8").reshape(-1, 4)
+        cols = [np.concatenate((c[~drop], extra[:, j])) for j, c in enumerate(cols)]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "cid", "pivot", "own"])
 
 
 def route(sigs: DataFrame, block: int | None) -> DataFrame:
     def run(it):
         held, size = [], 0
         for b in it:
-            for c, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append((c, np.frombuffer(k, _U)))
+            for c, u, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((c, u, np.frombuffer(k, _U)))
                 size += len(k) // 8
                 if size >= 2_000_000:
                     yield routes(held, block)
                     held, size = [], 0
         if held:
             yield routes(held, block)
-    return sigs.select("cid", "keys").mapInArrow(run, ROUTE_DDL)
+    return sigs.select("cid", F.col("n") - F.col("cap"), "keys").mapInArrow(run, ROUTE_DDL)
 
 
 def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFrame:
@@ -305,7 +310,7 @@ def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFra
     for shingles of more than ``block`` classes). Blocks of equal members have
     equal ``fp``. With a column ``comp``, shingles held within one component
     make no block."""
-    names = [c for c in ("key", "cid", "pivot", "comp") if c in rows.columns]
+    names = [c for c in ("key", "cid", "pivot", "own", "comp") if c in rows.columns]
 
     def run(it):
         got = [b for b in it if b.num_rows]
@@ -314,18 +319,18 @@ def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFra
         cols = [np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in got]) for n in names]
         yield from batched(found(*cols))
 
-    def found(key, cid, pivot, comp=None):
+    def found(key, cid, pivot, own, comp=None):
         star = pivot != MARK
         for p in np.unique(pivot[star]).tolist():
             yield from stars(p, np.unique(cid[star & (pivot == p)]))
         comp = cid if comp is None else comp
         o = np.lexsort((cid, key))
         o = o[~star[o]]
-        key, cid, comp = key[o], cid[o], comp[o]
+        key, cid, comp, own = key[o], cid[o], comp[o], own[o]
         if not len(key):
             return
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))
-        key, cid, comp = key[new], cid[new], comp[new]
+        key, cid, comp, own = key[new], cid[new], comp[new], own[new]
         starts, n = runs(key)
         mixed = (n > 1) & (np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts))
         done: set[int] = set()
@@ -333,8 +338,8 @@ def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFra
             members = cid[s:s + m]
             marked = bool(members[0] == MARK)
             if stars_only and (marked or m > block):
-                p = pivot_of(members[marked:])
-                yield from stars(p, members[marked:])
+                for p in pivots_of(members[marked:], own[s + marked:s + m]):
+                    yield from stars(p, members[marked:])
                 continue
             fp = id_of(members)
             if fp in done:
