@@ -31,7 +31,7 @@ def _c(col: Column | str) -> Column:
 
 def js_trim(col: Column | str) -> Column:
     """JavaScript ``trim`` (Unicode whitespace and BOM at both ends)."""
-    return F.regexp_replace(_c(col), r"\A" + JS_WS_CLASS + r"+|" + JS_WS_CLASS + r"+\z", "")
+    return F.regexp_replace(_c(col), r"\A" + JS_WS_CLASS + r"++|(?<!" + JS_WS_CLASS + r")" + JS_WS_CLASS + r"++\z", "")
 
 
 def lowercase(col: Column | str) -> Column:

@@ -1016,3 +1016,81 @@ def q_schema_checks(spark, sf):
         part = schema_rules.rule_counts(df, name)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ====================================================================== gates, many users, ids
+_GATE_SQL = """
+WITH runs AS (SELECT DISTINCT user_id::VARCHAR AS run_id, 't' || (user_id % 7)::VARCHAR AS tenant_id FROM events WHERE user_id % 11 <> 3),
+t AS (SELECT user_id::VARCHAR AS run_id, event_id AS seq, ts,
+  't' || (CASE WHEN event_id % 13 = 0 THEN (user_id + 1) % 7 ELSE user_id % 7 END)::VARCHAR AS tenant_id,
+  CASE WHEN event_id % 17 = 0 THEN 'BOGUS' WHEN event_type = 'view' THEN 'RUNNING' WHEN event_type = 'click' THEN 'PENDING'
+       WHEN event_type = 'purchase' THEN 'COMPLETED' WHEN event_type = 'error' THEN 'FAILED' ELSE 'CANCELLED' END AS status,
+  CASE WHEN event_id % 4 = 0 THEN (event_id % 100)::INT END AS progress,
+  CASE WHEN event_id % 5 = 0 THEN 'w' || (event_id % 9)::VARCHAR END AS worker,
+  CASE WHEN event_id % 6 = 0 THEN '{"n":' || event_id::VARCHAR || '}' END AS statistics FROM events)
+"""
+
+
+def _gate_runs(spark, sf):
+    e = fx.table(spark, sf, "events").where("user_id % 11 <> 3")
+    return e.select(F.col("user_id").cast("string").alias("run_id"),
+                    F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("tenant_id")).distinct()
+
+
+def _gate_transitions(spark, sf):
+    return fx.table(spark, sf, "events").selectExpr(
+        "cast(user_id AS string) AS run_id", "event_id AS seq", "ts",
+        "concat('t', cast(CASE WHEN event_id % 13 = 0 THEN (user_id + 1) % 7 ELSE user_id % 7 END AS string)) AS tenant_id",
+        "CASE WHEN event_id % 17 = 0 THEN 'BOGUS' WHEN event_type = 'view' THEN 'RUNNING' WHEN event_type = 'click' THEN 'PENDING' "
+        "WHEN event_type = 'purchase' THEN 'COMPLETED' WHEN event_type = 'error' THEN 'FAILED' ELSE 'CANCELLED' END AS status",
+        "CASE WHEN event_id % 4 = 0 THEN cast(event_id % 100 AS int) END AS progress",
+        "CASE WHEN event_id % 5 = 0 THEN concat('w', cast(event_id % 9 AS string)) END AS worker",
+        "CASE WHEN event_id % 6 = 0 THEN concat('{\"n\":', cast(event_id AS string), '}') END AS statistics")
+
+
+@query("step_gate", _GATE_SQL + """
+SELECT t.run_id, seq, t.tenant_id, CASE WHEN runs.run_id IS NULL THEN 'Run not found' END AS reason
+FROM t LEFT JOIN runs ON runs.run_id = t.run_id AND runs.tenant_id = t.tenant_id""")
+def q_step_gate(spark, sf):
+    steps = _gate_transitions(spark, sf).select("run_id", "seq", "tenant_id")
+    ok, bad = ledger.steps_of_tenant(steps, _gate_runs(spark, sf))
+    return (ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+            .select("run_id", "seq", "tenant_id", "reason"))
+
+
+@query("run_state_gated", _GATE_SQL + """
+SELECT t.run_id, arg_max(status, seq) AS status, arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress,
+  arg_max(worker, seq) FILTER (WHERE worker IS NOT NULL) AS worker,
+  arg_max(statistics, seq) FILTER (WHERE statistics IS NOT NULL) AS statistics, count(*)::BIGINT AS transitions
+FROM t JOIN runs ON runs.run_id = t.run_id AND runs.tenant_id = t.tenant_id WHERE status <> 'BOGUS' GROUP BY t.run_id""")
+def q_run_state_gated(spark, sf):
+    state, _ = ledger.run_state(_gate_transitions(spark, sf), _gate_runs(spark, sf))
+    return state.select("run_id", "status", "progress", "worker", "statistics", "transitions")
+
+
+@query("run_state_refused", _GATE_SQL + """
+SELECT t.run_id, seq, CASE WHEN status = 'BOGUS' THEN 'Invalid RUN state' ELSE 'Run not found' END AS reason
+FROM t LEFT JOIN runs ON runs.run_id = t.run_id AND runs.tenant_id = t.tenant_id WHERE status = 'BOGUS' OR runs.run_id IS NULL""")
+def q_run_state_refused(spark, sf):
+    _, refused = ledger.run_state(_gate_transitions(spark, sf), _gate_runs(spark, sf))
+    return refused.select("run_id", "seq", "reason")
+
+
+@query("org_lists_of_users", with_fx(["fx_memberships", "fx_bases", "fx_companies", "fx_groups"], """
+WITH a AS (SELECT DISTINCT user_id, tenant_id FROM fx_memberships WHERE status = 'ACTIVE')
+SELECT user_id, 'base' AS kind, id, tenant_id, name, status FROM fx_bases JOIN a USING (tenant_id)
+UNION ALL SELECT user_id, 'company', id, tenant_id, name, status FROM fx_companies JOIN a USING (tenant_id)
+UNION ALL SELECT user_id, 'group', id, tenant_id, name, status FROM fx_groups JOIN a USING (tenant_id)"""))
+def q_org_lists_of_users(spark, sf):
+    return tenancy.org_lists_of_users(fx.memberships(spark, sf), fx.bases(spark, sf), fx.companies(spark, sf), fx.groups(spark, sf))
+
+
+@query("with_ids", """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'given-' || o_orderkey::VARCHAR
+            ELSE sha256('{"o_orderkey":' || o_orderkey::VARCHAR || ',"o_custkey":' || o_custkey::VARCHAR || '}') END AS id,
+  o_orderkey, o_custkey FROM orders""")
+def q_with_ids(spark, sf):
+    o = fx.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("given-"), F.col("o_orderkey").cast("string"))).alias("id"),
+        "o_orderkey", "o_custkey")
+    return tables.with_ids(o)

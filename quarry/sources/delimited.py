@@ -134,4 +134,4 @@ def read_trusted(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     df = (spark.read.option("header", True).option("sep", delimiter)
           .option("quote", '"').option("escape", '"').option("inferSchema", False)
           .option("multiLine", False).csv(path))
-    return df.select(F.input_file_name().alias("path"), F.to_json(F.struct(*df.columns)).alias("payload"))
+    return df.select(F.input_file_name().alias("path"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload"))
