@@ -93,15 +93,20 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
 }
 
 
-def _applicable(df: DataFrame, table: str) -> dict[str, Column]:
-    """The table's CHECKs whose column is present in ``df``."""
+def _applicable(df: DataFrame, table: str, skip_missing: bool = False) -> dict[str, Column]:
+    """The table's CHECKs. A CHECK whose column ``df`` lacks is an error,
+    unless the caller says that ``df`` is only a part of the table."""
     column_of = {"code_nonempty": "code", "name_nonempty": "name", "slug_format": "slug"}
-    return {name: rule for name, rule in _rules()[table].items() if column_of.get(name, name) in df.columns}
+    rules = _rules()[table]
+    held = {name: rule for name, rule in rules.items() if column_of.get(name, name) in df.columns}
+    if not skip_missing and len(held) < len(rules):
+        raise ValueError(f"{table} lacks the columns of its checks {sorted(set(rules) - set(held))}")
+    return held
 
 
-def check_table(df: DataFrame, table: str, key: str = "id") -> DataFrame:
-    """Every CHECK of ``table`` whose column exists in ``df``, in one pass."""
-    return check_rules(df, table, key, _applicable(df, table))
+def check_table(df: DataFrame, table: str, key: str = "id", skip_missing: bool = False) -> DataFrame:
+    """Every CHECK of ``table``, in one pass."""
+    return check_rules(df, table, key, _applicable(df, table, skip_missing))
 
 
 def unique_table(df: DataFrame, table: str) -> DataFrame:
@@ -117,10 +122,10 @@ def unique_table(df: DataFrame, table: str) -> DataFrame:
     return out
 
 
-def rule_counts(df: DataFrame, table: str) -> DataFrame:
+def rule_counts(df: DataFrame, table: str, skip_missing: bool = False) -> DataFrame:
     """Violations per declared CHECK of ``table``: one aggregation pass
     (``count_if`` per rule), one output row per rule, zeros included."""
-    rules = _applicable(df, table)
+    rules = _applicable(df, table, skip_missing)
     agg = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(True))).cast("long").alias(name)
                    for name, rule in rules.items()])
     pairs = ", ".join(f"'{name}', `{name}`" for name in rules)

@@ -1013,7 +1013,7 @@ def q_schema_checks(spark, sf):
                "bases": fx.bases(spark, sf), "companies": fx.companies(spark, sf), "groups": fx.groups(spark, sf)}
     out = None
     for name, df in tables_.items():
-        part = schema_rules.rule_counts(df, name)
+        part = schema_rules.rule_counts(df, name, skip_missing=True)
         out = part if out is None else out.unionByName(part)
     return out
 

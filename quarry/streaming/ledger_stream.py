@@ -43,7 +43,7 @@ def _later(seq, cur_seq) -> bool:
     return cur_seq is None or seq > cur_seq
 
 
-def _fold_run(key, batches, state, retention_ms: int):
+def _fold_run(key, batches, state, retention_ms: int | None):
     """Last-write-wins by seq across micro-batches; state dropped on timeout."""
     import pandas as pd
 
@@ -69,20 +69,23 @@ def _fold_run(key, batches, state, retention_ms: int):
             if cur["last_ts"] is None or ts > cur["last_ts"]:
                 cur["last_ts"] = ts
     state.update(tuple(cur[n] for n in names))
-    if cur["status"] in FINAL_STATES:
-        # evict once the watermark passes the last event plus the retention
-        state.setTimeoutTimestamp(int(pd.Timestamp(cur["last_ts"]).timestamp() * 1000) + retention_ms)
+    if retention_ms is not None and cur["status"] in FINAL_STATES:
+        # evict once the watermark passes the last event plus the retention; a
+        # timeout must lie after the watermark
+        due = int(pd.Timestamp(cur["last_ts"]).timestamp() * 1000) + retention_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([{"run_id": key[0], "status": cur["status"], "started_at": cur["started_at"],
                          "finished_at": cur["finished_at"], "progress": cur["progress"],
                          "transitions": cur["transitions"]}])
 
 
 def run_state_stream_bounded(transitions: DataFrame, watermark: str = "10 minutes",
-                             retention_ms: int = 3_600_000) -> DataFrame:
-    """L3 with bounded state: ``applyInPandasWithState`` keeps one small
-    state row per *open* run; a run in a final state is evicted when the
-    event-time watermark passes its last transition plus ``retention_ms``
-    (later transitions of an evicted run start a fresh state)."""
+                             retention_ms: int | None = None) -> DataFrame:
+    """L3 with ``applyInPandasWithState``: one small state row per run. By
+    default none is dropped, so the result is complete. With ``retention_ms``
+    a run in a final state is evicted when the event-time watermark passes its
+    last transition by that much; transitions that come even later then start
+    a fresh state, so choose it only where finished runs get no more."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ok = transitions.filter(F.col("status").isin(*RUN_STATES)).withWatermark("ts", watermark)
