@@ -140,7 +140,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
     if total > most:  # ids, not texts, are chosen: a bounded set of long numbers
         one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id"), "text").where("text IS NOT NULL")
-    return rows.join(one, "doc_id").select("text", "toxic", F.greatest("low", "toxic").alias("bad"))
+    # at most ``most`` rows of three numbers: small enough to send to every task
+    return rows.join(F.broadcast(one), "doc_id").select("text", "toxic", F.greatest("low", "toxic").alias("bad"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier:
