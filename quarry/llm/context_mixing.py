@@ -47,10 +47,10 @@ from pyspark.sql import functions as F
 from .common import saved, table, words
 from .shingles import word_hashes
 
-ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), 22
-TABLE_BYTES = len(ORDERS) << TABLE_BITS
-SLICES = 32  # of each context table, as it is summed over tasks
-BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, TRAIN_BYTES = 4 << 20, 4096, 1 << 20, 64 << 20
+ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), (20, 21, 22, 22, 22)
+TABLE_BYTES = sum(1 << b for b in TABLE_BITS)
+SLICE_SLOTS = 1 << 16  # of a context table, as it is summed over tasks
+BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, TRAIN_BYTES = 4 << 20, 4096, 512 << 10, 64 << 20
 STEP, RATE, FIX_RATE, CLASSES, GATES = 256, 0.02, 0.05, 33, 16
 END = 10
 HELD_OUT, WEIGHT_FOLD, FOLDS = 2, 3, 7
@@ -194,7 +194,7 @@ def contexts(x: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
         before[since < k] = END
         c = (c << _U(8)) | before
         if k in ORDERS:
-            out.append(((c + _U(k)) * _U(0x9E3779B97F4A7C15) >> _U(64 - TABLE_BITS)).astype("u4"))
+            out.append(((c + _U(k)) * _U(0x9E3779B97F4A7C15) >> _U(32)).astype("u4"))
     return out
 
 
@@ -219,8 +219,8 @@ def slots(texts: list[bytes], code: Code):
     starts = np.cumsum(sizes) - sizes
     byte, node, bit = code.expand(x)
     spread = node * np.uint32(0x9E3779B1)
-    mask = np.uint32((1 << TABLE_BITS) - 1)
-    at = [(h[byte] + spread) & mask for h in contexts(x, np.repeat(starts, sizes))]
+    at = [((h >> np.uint32(32 - bits))[byte] + spread) & np.uint32((1 << bits) - 1)
+          for h, bits in zip(contexts(x, np.repeat(starts, sizes)), TABLE_BITS, strict=True)]
     bits_before = np.concatenate(([0], np.cumsum(code.length[x], dtype="i8")))
     return at, bit, np.concatenate((bits_before[starts], bits_before[-1:]))
 
@@ -243,27 +243,25 @@ def byte_code(blocks: DataFrame) -> Code:
     return Code(counts)
 
 
-def context_tables(blocks: DataFrame, code: Code, tasks: int) -> np.ndarray:
+def context_tables(blocks: DataFrame, code: Code, tasks: int) -> list[np.ndarray]:
     """Per order and slot, 16 times the log odds of a 1, as signed bytes (0:
     unseen). What reaches the driver is ``TABLE_BYTES``, whatever the corpus."""
-    wide = 1 << TABLE_BITS
+    first = np.cumsum([0, *((1 << b) // SLICE_SLOTS for b in TABLE_BITS)]).tolist()  # slice of each order's start
 
     def count(it):
-        n = np.zeros((len(ORDERS), 2 * wide), "<u4")
+        counts = [np.zeros(2 << b, "<u4") for b in TABLE_BITS]
         for b in it:
             for ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 texts = [t for i, t in zip(ids, unpacked(raw), strict=True) if fold(i) not in (HELD_OUT, WEIGHT_FOLD)]
                 for part in parts(texts):
                     at, bit, _ = slots([texts[i] for i in part], code)
-                    for k, a in enumerate(at):
-                        np.add.at(n[k], a * np.uint32(2) + bit, np.uint32(1))
+                    for n, a in zip(counts, at, strict=True):
+                        n += np.bincount(a * np.uint32(2) + bit, minlength=len(n)).astype("<u4")
         pack = zstandard.ZstdCompressor(level=1)
-        size = 2 * wide // SLICES
-        for k in range(len(ORDERS)):
-            part = [n[k, s * size:(s + 1) * size] for s in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k * SLICES + s for s in range(SLICES)], pa.int32()),
-                pa.array([pack.compress(p.tobytes()) for p in part], pa.binary())], ["slice", "counts"])
+        for k, n in enumerate(counts):
+            raw = [pack.compress(x.tobytes()) for x in n.reshape(-1, 2 * SLICE_SLOTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(first[k], first[k + 1]), pa.int32()), pa.array(raw, pa.binary())],
+                                             ["slice", "counts"])
 
     def odds(it):
         read, sums = zstandard.ZstdDecompressor(), {}
@@ -272,17 +270,16 @@ def context_tables(blocks: DataFrame, code: Code, tasks: int) -> np.ndarray:
                 sums[s] = sums.get(s, 0) + np.frombuffer(read.decompress(raw.as_py()), "<u4").astype("<u8")
         for s, n in sums.items():
             zero, one = n[0::2], n[1::2]
-            o = np.log((one + 0.4) / (zero + 0.4))
-            q = np.clip(np.rint(16 * o), -127, 127).astype("i1")
+            q = np.clip(np.rint(16 * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype("i1")
             q[(q == 0) & (one > zero)], q[(q == 0) & (one < zero)] = 1, -1
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([q.tobytes()], pa.binary())], ["slice", "odds"])
     counted = blocks.select("ids", "texts").repartition(tasks).mapInArrow(count, "slice int, counts binary")
-    summed = counted.repartition(SLICES * len(ORDERS), "slice").mapInArrow(odds, "slice int, odds binary")
-    out = np.zeros((len(ORDERS), wide), "i1")
-    size = wide // SLICES
-    for r in saved(summed, "context-tables").toLocalIterator():
-        k, s = divmod(r["slice"], SLICES)
-        out[k, s * size:(s + 1) * size] = np.frombuffer(r["odds"], "i1")
+    summed = counted.repartition(first[-1], "slice").mapInArrow(odds, "slice int, odds binary")
+    out = [np.zeros(1 << b, "i1") for b in TABLE_BITS]
+    for row in saved(summed, "context-tables").toLocalIterator():
+        k = next(i for i in range(len(out)) if row["slice"] < first[i + 1])
+        at = (row["slice"] - first[k]) * SLICE_SLOTS
+        out[k][at:at + SLICE_SLOTS] = np.frombuffer(row["odds"], "i1")
     return out
 
 
@@ -296,15 +293,15 @@ class Mixer:
         self.weights = np.tile(np.array([0.3] * (n - 1) + [0.0], "f4"), (GATES, 1)) if weights is None else weights
         self.fixes = np.zeros((GATES, CLASSES), "f4") if fixes is None else fixes
 
-    def run(self, tables: np.ndarray, texts: list[bytes], code: Code, shared: bool = False) -> np.ndarray:
+    def run(self, tables: list[np.ndarray], texts: list[bytes], code: Code, shared: bool = False) -> np.ndarray:
         """Bits of every text. Each text learns from its own start; with
         ``shared`` (for fitting) all go on from the same weights instead, which
         keep what they learnt."""
         at, bit, first = slots(texts, code)
-        odds = np.stack([tables[k].take(a) for k, a in enumerate(at)])
+        odds = np.stack([t.take(a) for t, a in zip(tables, at, strict=True)])
         del at
         gate = ((odds[2] != 0) + 2 * (odds[3] != 0).astype("u1") + 4 * (odds[4] != 0).astype("u1")
-                + 8 * (np.abs(odds[4]) > 32).astype("u1")).astype("i4")
+                + 8 * (np.abs(odds[4].astype("i2")) > 32).astype("u1")).astype("i4")
         lanes = 1 if shared else len(texts)
         w = np.tile(self.weights, (lanes, 1))  # (lane, gate) rows
         fix = np.tile(self.fixes, (lanes, 1)).ravel()

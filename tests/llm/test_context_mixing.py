@@ -40,14 +40,13 @@ def test_held_out_is_better_than_bytes_alone(spark):
 def model(texts):
     n = np.bincount(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), minlength=256)
     code = m.Code(n.tolist())
-    wide = 1 << m.TABLE_BITS
-    counts = np.zeros((len(m.ORDERS), 2 * wide))
+    counts = [np.zeros(2 << b) for b in m.TABLE_BITS]
     for part in m.parts(texts):
         at, bit, _ = m.slots([texts[i] for i in part], code)
-        for k, a in enumerate(at):
-            np.add.at(counts[k], a * np.uint32(2) + bit, 1)
-    odds = np.log((counts[:, 1::2] + 0.4) / (counts[:, 0::2] + 0.4))
-    return code, np.clip(np.rint(16 * odds), -127, 127).astype("i1")
+        for c, a in zip(counts, at, strict=True):
+            np.add.at(c, a * np.uint32(2) + bit, 1)
+    odds = [np.log((c[1::2] + 0.4) / (c[0::2] + 0.4)) for c in counts]
+    return code, [np.clip(np.rint(16 * o), -127, 127).astype("i1") for o in odds]
 
 
 def test_scores_do_not_depend_on_neighbours():
