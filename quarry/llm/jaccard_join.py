@@ -12,7 +12,7 @@ nothing. Blocks with equal members count once.
 
 Trees. Within a block, classes are leaves of a signature tree: every leaf has
 its size, the number of its shingles that others share, and a bitmap with a
-bit per shingle (at least as many places as shingles); a node has the OR of
+bit per shingle (at least four places for each); a node has the OR of
 its bitmaps, the ranges of sizes and shared shingles, and the largest number
 of shingles beyond bits. A dual traversal from (root, root) drops a pair of
 nodes if their size ranges exclude a link or the most shingles they can have
@@ -75,7 +75,7 @@ def need(total):
 # --- signatures ---------------------------------------------------------------
 
 def bitmap(s: np.ndarray) -> bytes:
-    width = max(256, 1 << (len(s) - 1).bit_length())
+    width = max(256, 1 << (4 * len(s) - 1).bit_length())
     on = np.zeros(width, bool)
     on[(s & _U(width - 1)).astype("i8")] = True
     return np.packbits(on, bitorder="little").tobytes()
