@@ -150,10 +150,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Class
     rows = saved(labelled(docs, labels, most), "labelled")
 
     def count(it):
+        n: Counter = Counter()
+        bad: Counter = Counter()
+        bits: dict[str, int] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_pydict({
+                "term": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64()),
+                "bad": pa.array([bad[k] for k in n], pa.int64()), "contexts": pa.array([bits[k] for k in n], pa.int64())})
+            n.clear(), bad.clear(), bits.clear()
+            return out
+
         for b in it:
-            n: Counter = Counter()
-            bad: Counter = Counter()
-            bits: dict[str, int] = {}
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 found = terms(t.as_py() or "")
                 n.update(found.keys())
@@ -161,10 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Class
                     bits[term] = bits.get(term, 0) | seen
                 if y.as_py():
                     bad.update(found.keys())
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(n), pa.string()),
-                                              "n": pa.array(list(n.values()), pa.int64()),
-                                              "bad": pa.array([bad[k] for k in n], pa.int64()),
-                                              "contexts": pa.array([bits[k] for k in n], pa.int64())})
+                if len(n) > 300_000:  # partial sums; what a task holds stays bounded
+                    yield flush()
+        if n:
+            yield flush()
     per_term = (rows.select("text", "toxic").mapInArrow(count, "term string, n bigint, bad bigint, contexts bigint")
                 .groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"),
                                      F.bit_count(F.bit_or("contexts")).alias("contexts")))
