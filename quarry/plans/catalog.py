@@ -264,7 +264,7 @@ def q_schema_hash(spark, sf):
 
 @query("raw_snapshot", with_fx(["fx_records"], f"""
 SELECT r.snapshot_id, r.record_count, sha256(to_json(k.cols)::VARCHAR) AS schema_hash,
-  'v6-parser-1' AS parser_version, 'COMPLETE' AS status
+  'parser-1' AS parser_version, 'COMPLETE' AS status
 FROM (SELECT snapshot_id, count(*) AS record_count FROM fx_records GROUP BY ALL) r JOIN {_KEYS_SQL} k USING (snapshot_id)"""))
 def q_raw_snapshot(spark, sf):
     return raw.build_snapshots(fx.records(spark, sf))
