@@ -40,7 +40,7 @@ def row_number_by(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn
     ``order`` must be integral. Rows are numbered inside (key, order // width)
     buckets and shifted by the count of rows in earlier buckets of the key.
     """
-    bucket = F.floor(F.col(order) / F.lit(width)).cast("long")
+    bucket = F.floor(F.col(order) / F.lit(width)).cast("decimal(38,0)")  # ``order`` may be a wide decimal
     b = df.withColumn("__b", bucket)
     counts = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w_prev = (Window.partitionBy(*keys).orderBy("__b")

@@ -29,8 +29,8 @@ def read_landing(spark: SparkSession, root: str, glob: str | None = None,
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(root)
     # 64 low bits tell files of one microsecond apart
-    low = F.xxhash64("path").cast("decimal(38,0)") + F.lit(2 ** 63)
-    seq = (F.unix_micros("modificationTime").cast("decimal(18,0)") * F.lit(2 ** 64) + low).cast("decimal(38,0)")
+    seq = F.expr("cast(cast(unix_micros(modificationTime) AS decimal(17,0)) * 18446744073709551616BD "
+                 "+ xxhash64(path) + 9223372036854775808BD AS decimal(38,0))")
     parts = F.split(F.col("path"), "/")
     n = F.size(parts)
     return df.select(
