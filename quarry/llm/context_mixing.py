@@ -2,8 +2,8 @@
 
 A document's words (A-Z lower-cased, single spaces, then an end byte) are
 coded bit by bit along a Huffman tree of byte frequencies. For every bit,
-predictors of several orders look up what followed the same hashed context
-(the last bytes and the tree node) in the training documents, as log odds. A
+predictors of several orders look up what followed the same context (the last
+bytes and the tree node) in the training documents, as log odds. A
 gate (which orders know the context) picks one of 16 weight vectors, the
 weighted sum is refined by an adaptive correction per probability class, and
 the logistic of the sum is the bit's probability. Weights and corrections
@@ -18,11 +18,12 @@ them, remainder 3 fits weights and corrections, and the others fill the
 context tables, so weights are not fitted on contexts a text supplied itself.
 
 Scale: texts are packed once into compressed blocks of bounded size. Context
-tables are summed block by block within a task, and their slices summed over
-tasks as a stream; they have a fixed size whatever the corpus, and are
-broadcast (``TABLE_BYTES``). Token counts grow with the corpus and are never
-broadcast: a block sends its distinct words (hashed, by slice) once and gets
-back their counts, so a frequent word costs a row per block, not one per use.
+counts and token counts grow with the corpus, are kept by slice and are never
+broadcast: a block sends its distinct words, and its distinct contexts with
+the byte that follows, once, and gets back counts and log odds in its order.
+So a frequent context costs an entry per block, not one per use. Contexts are
+told apart exactly (at most six bytes fit a 64-bit key), so none is blurred by
+another one however large the input is.
 
 Defined cases: a null text is an empty one, whose only token is the end; a
 null doc_id counts as the text "" for the split; repeated rows are documents
@@ -45,11 +46,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table, words
-from .shingles import word_hashes
+from .shingles import mix, word_hashes
 
-ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), (20, 21, 22, 22, 22)
-TABLE_BYTES = sum(1 << b for b in TABLE_BITS)
-SLICE_SLOTS = 1 << 16  # of a context table, as it is summed over tasks
+ORDERS = (1, 2, 3, 4, 6)
+TABLE_BITS = (20, 21, 22, 22, 22)  # of small models in memory (``slots``) alone
+SUB = 8  # parts of a slice of contexts, which are summed one by one
 BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, TRAIN_BYTES = 4 << 20, 4096, 512 << 10, 64 << 20
 STEP, RATE, FIX_RATE, CLASSES, GATES = 256, 0.02, 0.05, 33, 16
 END = 10
@@ -96,6 +97,12 @@ def unpacked(raw: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")[:-1]
 
 
+def rows_of(b: pa.RecordBatch):
+    """Rows of a batch, one at a time: a block is large."""
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in b.columns)
+
+
 # --- token counts ----------------------------------------------------------------
 
 def vocabulary(texts: list[bytes], ids: list, slices: int):
@@ -174,6 +181,9 @@ class Code:
         self.first = np.concatenate(([0], np.cumsum(self.length)[:-1])).astype("i4")
         self.nodes = np.array([n for p in paths for n, _ in p], "u4")
         self.bits = np.array([b for p in paths for _, b in p], "u1")
+        #: Bytes in order of their paths: those below any node are neighbours.
+        self.ranked = np.array(sorted(range(256), key=lambda b: [bit for _, bit in paths[b]]), "i4")
+        self.rank = np.argsort(self.ranked).astype("u8")
 
     def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every bit of bytes ``x``: its byte's place, tree node and value."""
@@ -212,7 +222,7 @@ def parts(texts: list[bytes]) -> list[list[int]]:
 
 
 def slots(texts: list[bytes], code: Code):
-    """Bits of ``texts``: table places per order, values, and the place of
+    """Bits of ``texts`` for a model in memory: hashed table places per order, values, and the place of
     each text's first bit (with the total at the end)."""
     x = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], "i8")
@@ -225,7 +235,7 @@ def slots(texts: list[bytes], code: Code):
     return at, bit, np.concatenate((bits_before[starts], bits_before[-1:]))
 
 
-# --- context tables ---------------------------------------------------------------
+# --- context counts ---------------------------------------------------------------
 
 def byte_code(blocks: DataFrame) -> Code:
     """The code for the byte frequencies of training texts (256 sums)."""
@@ -243,44 +253,152 @@ def byte_code(blocks: DataFrame) -> Code:
     return Code(counts)
 
 
-def context_tables(blocks: DataFrame, code: Code, tasks: int) -> list[np.ndarray]:
-    """Per order and slot, 16 times the log odds of a 1, as signed bytes (0:
-    unseen). What reaches the driver is ``TABLE_BYTES``, whatever the corpus."""
-    first = np.cumsum([0, *((1 << b) // SLICE_SLOTS for b in TABLE_BITS)]).tolist()  # slice of each order's start
-
-    def count(it):
-        counts = [np.zeros(2 << b, "<u4") for b in TABLE_BITS]
-        for b in it:
-            for ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                texts = [t for i, t in zip(ids, unpacked(raw), strict=True) if fold(i) not in (HELD_OUT, WEIGHT_FOLD)]
-                for part in parts(texts):
-                    at, bit, _ = slots([texts[i] for i in part], code)
-                    for n, a in zip(counts, at, strict=True):
-                        n += np.bincount(a * np.uint32(2) + bit, minlength=len(n)).astype("<u4")
+def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct numbers and each one's place among them (as
+    ``np.unique``, in less memory)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
+    place = np.empty(len(x), "i4")
+    place[order] = np.cumsum(new, dtype="i4") - 1
+    return x[new], place
+
+
+class Grams:
+    """A block's contexts of every order with the byte that follows each: the
+    distinct ones in order of (part, key), and each byte's place among them. A
+    key has the order, the context (nearest byte first) and the byte's rank."""
+
+    def __init__(self, texts: list[bytes], code: Code, parts_: int, trains: list[bool] | None = None):
+        self.code = code
+        self.x = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts], "i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        since = np.arange(len(self.x), dtype="i4") - np.repeat(self.starts.astype("i4"), self.sizes)
+        top = max(ORDERS)
+        key = code.rank[self.x]
+        for k in range(1, top + 1):
+            before = np.full(len(self.x), END, np.uint8)
+            before[k:] = self.x[:-k] if k <= len(self.x) else 0
+            before[since < k] = END
+            key |= before.astype(_U) << _U(8 * (top - k + 1))
+        del before, since
+        uses, keys, counts, places = None, [], [], []
+        for k in sorted(ORDERS, reverse=True):  # each from the distinct ones of the order above
+            key, place = distinct_of(key)
+            if trains is not None:
+                uses = (np.bincount(place[np.repeat(trains, self.sizes)], minlength=len(key)) if uses is None
+                        else np.bincount(place, uses, len(key)))
+                counts.append(uses.astype("u4"))
+            places.append(place if not places else place[places[-1]])
+            keys.append(key | _U(k << 56))
+            lower = max((o for o in ORDERS if o < k), default=k)
+            key = (key >> _U(8 + 8 * (k - lower))) << _U(8) | key & _U(255)
+        first = np.cumsum([0, *map(len, keys)])
+        every = np.concatenate(keys)
+        del key, keys, place
+        part = ((mix(every >> _U(8)) >> _U(33)) % _U(parts_)).astype("u4")
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), "i4")
+        back[order] = np.arange(len(order), dtype="i4")
+        self.places = [back[first[i]:first[i + 1]][p] for i, p in enumerate(places)][::-1]  # as ``ORDERS``
+        del back, places
+        every = every[order]
+        lengths = code.length[code.ranked[(every & _U(255)).astype("u1")]]
+        self.at = np.cumsum(lengths, dtype="i8") - lengths
+        if trains is not None:
+            self.keys, self.part, self.uses = every, part[order], np.concatenate(counts)[order]
+
+    def bits(self, some: list[int], odds: np.ndarray):
+        """Of texts ``some``: per order and bit the log odds, the bits' values,
+        and the place of each text's first bit (with the total at the end)."""
+        sizes = self.sizes[some]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[some] - (ends - sizes), sizes) + np.arange(ends[-1])
+        x = self.x[at]
+        byte, _, bit = self.code.expand(x)
+        n = self.code.length[x]
+        bits_before = np.concatenate(([0], np.cumsum(n, dtype="i8")))
+        depth = np.arange(len(bit)) - bits_before[:-1][byte]
+        found = np.stack([odds[self.at[p[at]][byte] + depth] for p in self.places])
+        return found, bit, bits_before[np.concatenate(([0], ends))]
+
+
+def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct ``keys`` with their counts: for every bit of each
+    one's byte, 16 times the log odds of a 1 at that node of its context, as
+    signed bytes (0: unseen), and where each key's bits begin."""
+    context, byte = keys >> _U(8), code.ranked[(keys & _U(255)).astype("i8")]
+    length = code.length[byte]
+    begin = np.cumsum(length, dtype="i8") - length
+    out = np.zeros(int(length.sum()), "i1")
+    live = np.arange(len(keys))
+    for d in range(int(length.max(initial=0))):
+        live = live[length[live] > d]
+        path = code.first[byte[live]] + d
+        c, node, n = context[live], code.nodes[path], counts[live]
+        starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (node[1:] != node[:-1]))))
+        one = np.add.reduceat(n * code.bits[path], starts)
+        zero = np.add.reduceat(n, starts) - one
+        q = np.clip(np.rint(16 * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype("i1")
+        q[(q == 0) & (one > zero)], q[(q == 0) & (one < zero)] = 1, -1
+        out[begin[live] + d] = np.repeat(q, np.diff(np.append(starts, len(live))))
+    return out, begin
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by place, which compress better."""
+    return x.view("u1").reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).ravel()
+
+
+def context_odds(blocks: DataFrame, code: Code, slices: int) -> DataFrame:
+    """``block, slice, odds``: the log odds (``path_odds``) of the block's
+    contexts in their order, packed by part, from the counts of all training
+    documents that do not fit weights."""
+    def send(it):
         pack = zstandard.ZstdCompressor(level=1)
-        for k, n in enumerate(counts):
-            raw = [pack.compress(x.tobytes()) for x in n.reshape(-1, 2 * SLICE_SLOTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(first[k], first[k + 1]), pa.int32()), pa.array(raw, pa.binary())],
-                                             ["slice", "counts"])
-
-    def odds(it):
-        read, sums = zstandard.ZstdDecompressor(), {}
-        for b in it:  # as a stream: one sum per slice of this task, however many tasks counted
-            for s, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[s] = sums.get(s, 0) + np.frombuffer(read.decompress(raw.as_py()), "<u4").astype("<u8")
-        for s, n in sums.items():
-            zero, one = n[0::2], n[1::2]
-            q = np.clip(np.rint(16 * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype("i1")
-            q[(q == 0) & (one > zero)], q[(q == 0) & (one < zero)] = 1, -1
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([q.tobytes()], pa.binary())], ["slice", "odds"])
-    counted = blocks.select("ids", "texts").repartition(tasks).mapInArrow(count, "slice int, counts binary")
-    summed = counted.repartition(first[-1], "slice").mapInArrow(odds, "slice int, odds binary")
-    out = [np.zeros(1 << b, "i1") for b in TABLE_BITS]
-    for row in saved(summed, "context-tables").toLocalIterator():
-        k = next(i for i in range(len(out)) if row["slice"] < first[i + 1])
-        at = (row["slice"] - first[k]) * SLICE_SLOTS
-        out[k][at:at + SLICE_SLOTS] = np.frombuffer(row["odds"], "i1")
-    return out
+        for b in it:
+            for name, ids, raw in rows_of(b):
+                g = Grams(unpacked(raw), code, slices * SUB, [fold(i) not in (HELD_OUT, WEIGHT_FOLD) for i in ids])
+                cuts = np.searchsorted(g.part, np.arange(slices * SUB + 1)).tolist()
+                keys = [pack.compress(planes(np.diff(g.keys[x:y], prepend=_U(0)))) for x, y in zip(cuts, cuts[1:], strict=False)]
+                uses = [pack.compress(planes(g.uses[x:y].astype("<u4"))) for x, y in zip(cuts, cuts[1:], strict=False)]
+                for s in range(slices):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s], pa.int32()), pa.array([name], pa.string()),
+                         pa.array([keys[s * SUB:(s + 1) * SUB]], pa.list_(pa.binary())),
+                         pa.array([uses[s * SUB:(s + 1) * SUB]], pa.list_(pa.binary()))], ["slice", "block", "keys", "uses"])
+
+    def total(g: pa.Table) -> pa.Table:
+        read, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        keys, uses = g.column("keys").to_pylist(), g.column("uses").to_pylist()
+        out: list[list[bytes]] = [[] for _ in keys]
+        for s in range(SUB):
+            every = [np.cumsum(unplaned(read.decompress(k[s]), "<u8"), dtype=_U) for k in keys]
+            cuts = np.cumsum([0, *map(len, every)]).tolist()
+            distinct, place = np.unique(np.concatenate(every), return_inverse=True)
+            n = np.concatenate([unplaned(read.decompress(u[s]), "<u4") for u in uses])
+            odds, begin = path_odds(distinct, np.bincount(place, n, len(distinct)), code)
+            length = np.diff(np.append(begin, len(odds)))
+            for o, x, y in zip(out, cuts, cuts[1:], strict=False):
+                m = length[place[x:y]]
+                at = np.repeat(begin[place[x:y]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                o.append(pack.compress(odds[at].tobytes()))
+        return pa.table({"block": g.column("block"), "slice": g.column("slice"), "odds": pa.array(out, pa.list_(pa.binary()))})
+    sent = blocks.select("block", "ids", "texts").mapInArrow(send, "slice int, block string, keys array<binary>, uses array<binary>")
+    return sent.groupBy("slice").applyInArrow(total, "block string, slice int, odds array<binary>")
+
+
+def whole(got: list) -> np.ndarray:
+    """A block's log odds from its rows of all slices."""
+    read = zstandard.ZstdDecompressor()
+    rows = sorted(got, key=lambda x: x["slice"])
+    return np.frombuffer(b"".join(read.decompress(p) for r in rows for p in r["odds"]), "i1")
 
 
 # --- mixing -----------------------------------------------------------------------
@@ -293,19 +411,22 @@ class Mixer:
         self.weights = np.tile(np.array([0.3] * (n - 1) + [0.0], "f4"), (GATES, 1)) if weights is None else weights
         self.fixes = np.zeros((GATES, CLASSES), "f4") if fixes is None else fixes
 
-    def run(self, tables: list[np.ndarray], texts: list[bytes], code: Code, shared: bool = False) -> np.ndarray:
-        """Bits of every text. Each text learns from its own start; with
-        ``shared`` (for fitting) all go on from the same weights instead, which
-        keep what they learnt."""
+    def run(self, tables: list[np.ndarray], texts: list[bytes], code: Code) -> np.ndarray:
+        """Bits of every text by a model in memory."""
         at, bit, first = slots(texts, code)
-        odds = np.stack([t.take(a) for t, a in zip(tables, at, strict=True)])
-        del at
+        return self.mixed(np.stack([t.take(a) for t, a in zip(tables, at, strict=True)]), bit, first)
+
+    def mixed(self, odds: np.ndarray, bit: np.ndarray, first: np.ndarray, shared: bool = False) -> np.ndarray:
+        """Bits of every text, given the log odds of its bits. Each text learns
+        from its own start; with ``shared`` (for fitting) all go on from the
+        same weights instead, which keep what they learnt."""
         gate = ((odds[2] != 0) + 2 * (odds[3] != 0).astype("u1") + 4 * (odds[4] != 0).astype("u1")
                 + 8 * (np.abs(odds[4].astype("i2")) > 32).astype("u1")).astype("i4")
-        lanes = 1 if shared else len(texts)
+        count = len(first) - 1
+        lanes = 1 if shared else count
         w = np.tile(self.weights, (lanes, 1))  # (lane, gate) rows
         fix = np.tile(self.fixes, (lanes, 1)).ravel()
-        bits, sizes, n = np.zeros(len(texts)), np.diff(first), len(ORDERS)
+        bits, sizes, n = np.zeros(count), np.diff(first), len(ORDERS)
         for s in range(0, int(sizes.max(initial=0)), STEP):
             live = np.flatnonzero(sizes > s)
             size = np.minimum(sizes[live] - s, STEP)
@@ -320,7 +441,7 @@ class Mixer:
                 z += w[:, k].take(row) * x[k]
             cell = row * CLASSES + np.clip(np.rint(z * 2) + CLASSES // 2, 0, CLASSES - 1).astype("i4")
             z = np.clip(z + fix.take(cell), -16, 16)
-            bits += np.bincount(text, np.logaddexp(0, np.where(y > 0, -z, z)), len(texts))
+            bits += np.bincount(text, np.logaddexp(0, np.where(y > 0, -z, z)), count)
             err = y - 1 / (1 + np.exp(-z))
             # a step's mean gradient, times what its number of bits is worth
             rows = np.bincount(row, minlength=len(w))
@@ -335,22 +456,27 @@ class Mixer:
         return bits / math.log(2)
 
 
-def fit_mixer(blocks: DataFrame, shared_tables, code: Code, tasks: int) -> Mixer:
+def fit_mixer(looked: DataFrame, code: Code, slices: int, tasks: int) -> Mixer:
     """Weights and corrections fitted online on the weight fold: each task
     learns in turn from its texts, and the tasks' results are averaged by bits."""
     def run(it):
         m, bits = Mixer(), 0
         for b in it:
-            for ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                texts = [t for i, t in zip(ids, unpacked(raw), strict=True) if fold(i) == WEIGHT_FOLD]
-                for part in parts(texts):
-                    for g in range(0, len(part), 16):
-                        some = [texts[i] for i in part[g:g + 16]]
-                        m.run(shared_tables.value, some, code, shared=True)
-                        bits += sum(map(len, some)) + len(some)
+            for ids, raw, got in rows_of(b):
+                mine = [i for i, d in enumerate(ids) if fold(d) == WEIGHT_FOLD]
+                if not mine:
+                    continue
+                texts = unpacked(raw)
+                g, odds = Grams(texts, code, slices * SUB), whole(got)
+                for part in parts([texts[i] for i in mine]):
+                    for k in range(0, len(part), 16):
+                        some = [mine[i] for i in part[k:k + 16]]
+                        m.mixed(*g.bits(some, odds), shared=True)
+                        bits += int(g.sizes[some].sum())
+                del g, odds  # before the next block's
         flat = np.concatenate((m.weights.ravel(), m.fixes.ravel())).astype("f8") * bits
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(flat)), -1]), pa.array([*flat, float(bits)])], ["place", "v"])
-    got = (blocks.select("ids", "texts").repartition(tasks).mapInArrow(run, "place bigint, v double")
+    got = (looked.select("ids", "texts", "odds").coalesce(tasks).mapInArrow(run, "place bigint, v double")
            .groupBy("place").agg(F.sum("v").alias("v")).collect())  # a fixed number of sums
     v = {r["place"]: r["v"] for r in got}
     if not v.get(-1):
@@ -366,7 +492,6 @@ SCORE_DDL = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 
 def scores(docs: DataFrame) -> DataFrame:
     """A row of ``SCORE_DDL`` per document."""
-    sc = docs.sparkSession.sparkContext
     blocks = saved(text_blocks(docs), "text-blocks")
     size, n_docs = blocks.agg(F.sum("n_bytes"), F.sum(F.size("ids"))).first()
     train_docs = sum_of(blocks, lambda i: fold(i) != HELD_OUT)
@@ -376,12 +501,15 @@ def scores(docs: DataFrame) -> DataFrame:
     # the end is a token too
     v, n = distinct + (train_docs > 0), uses + train_docs
     code = byte_code(blocks)
-    tables = sc.broadcast(context_tables(blocks, code, tasks))
-    mixer = fit_mixer(blocks, tables, code, tasks)
+    odds = context_odds(blocks, code, slices).groupBy("block").agg(F.collect_list(F.struct("slice", "odds")).alias("odds"))
+    per_block = counts.groupBy("block").agg(F.collect_list(F.struct("slice", "counts")).alias("counts"))
+    looked = blocks.select("block", "ids", "texts").join(odds, "block").join(per_block, "block", "left")
+    looked = saved(looked.select("ids", "texts", "odds", "counts"), "blocks-with-counts")  # once for fitting and scoring
+    mixer = fit_mixer(looked, code, slices, tasks)
 
     def run(it):
         for b in it:
-            for ids, raw, got in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for ids, raw, packed, got in rows_of(b):
                 texts = unpacked(raw)
                 _, _, _, place, doc = vocabulary(texts, ids, slices)
                 c = np.frombuffer(b"".join(x["counts"] for x in sorted(got or [], key=lambda x: x["slice"])), "<u8")[place]
@@ -391,16 +519,16 @@ def scores(docs: DataFrame) -> DataFrame:
                 base = (np.bincount(doc, np.log10(c + 1.0), k) + math.log10(train_docs + 1)
                         - tokens * math.log10(n + v + 1))
                 bits = np.zeros(k)
+                g, found = Grams(texts, code, slices * SUB), whole(packed)
                 for part in parts(texts):
-                    bits[part] = mixer.run(tables.value, [texts[i] for i in part], code)
+                    bits[part] = mixer.mixed(*g.bits(part, found))
+                del g, found  # before the next block's
                 size = np.array([len(t) + 1 for t in texts], "i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([fold(i) == HELD_OUT for i in ids]), pa.array(tokens.astype("i8")),
                      pa.array(known), pa.array(np.full(k, n, "i8")), pa.array(base), pa.array(-bits * math.log10(2)),
                      pa.array(size), pa.array(bits / size)], SCORE_NAMES)
-    per_block = counts.groupBy("block").agg(F.collect_list(F.struct("slice", "counts")).alias("counts"))
-    both = blocks.join(per_block, "block", "left").select("ids", "texts", "counts")
-    return both.mapInArrow(run, SCORE_DDL)
+    return looked.mapInArrow(run, SCORE_DDL)
 
 
 SCORE_NAMES = [c.split()[0] for c in SCORE_DDL.split(", ")]

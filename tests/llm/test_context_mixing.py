@@ -90,3 +90,56 @@ def _bits_before_end(mixer, tables, text, code, end):
         return mixer.run(tables, [text], code)[0]
     finally:
         m.slots = keep
+
+
+def test_context_odds_are_those_of_all_training_texts(spark, make_docs):
+    """No context is blurred or cut: noise fills more places than any table of fixed size has."""
+    rng = np.random.default_rng(1)
+    noise = "".join(map(chr, rng.integers(97, 123, 1_500_000)))
+    rows = [(i, f"the cat number {i % 5} sat on mat {i * i}") for i in range(60)] + [(100, noise), (101, noise[:300_000][::-1])]
+    docs = make_docs(rows).repartition(3)
+    blocks = m.saved(m.text_blocks(docs), "text-blocks")
+    code, slices = m.byte_code(blocks), 3
+    got = {r["block"]: r["odds"] for r in m.context_odds(blocks, code, slices).groupBy("block").agg(
+        m.F.collect_list(m.F.struct("slice", "odds")).alias("odds")).collect()}
+    node_counts = Counter()
+    path = [[(int(code.nodes[code.first[b] + d]), int(code.bits[code.first[b] + d])) for d in range(code.length[b])] for b in range(256)]
+    small = [t.encode() for i, t in rows if i < 100 and m.fold(i) not in (m.HELD_OUT, m.WEIGHT_FOLD)]
+    big = [t.encode() for i, t in rows if i >= 100 and m.fold(i) not in (m.HELD_OUT, m.WEIGHT_FOLD)]
+    assert big
+    for t in small:
+        for i, b in enumerate(t + b"\n"):
+            for node, bit in path[b]:
+                node_counts[(b"\n" * 6 + t)[i:i + 6], node, bit] += 1
+    alone = set().union(*({(b"\n" * 6 + t)[i:i + 6] for i in range(len(t) + 1)} for t in big))
+    seen = unseen = 0
+    for r in blocks.collect():
+        texts = m.unpacked(r["texts"])
+        g, odds = m.Grams(texts, code, slices * m.SUB, [False] * len(texts)), m.whole(got[r["block"]])
+        for j, t in enumerate(texts):
+            if len(t) > 1000:
+                continue
+            found, bit, first = g.bits([j], odds)
+            assert first.tolist() == [0, found.shape[1]] and bit.tolist() == [y for b in t + b"\n" for _, y in path[b]]
+            at = 0
+            for i, b in enumerate(t + b"\n"):
+                c = (b"\n" * 6 + t)[i:i + 6]
+                for node, _ in path[b]:
+                    if c not in alone:
+                        zero, one = node_counts[c, node, 0], node_counts[c, node, 1]
+                        assert abs(found[4, at] - np.clip(16 * math.log((one + 0.4) / (zero + 0.4)), -127, 127)) <= 1
+                        seen, unseen = seen + (zero + one > 0), unseen + (zero + one == 0)
+                    at += 1
+    assert seen > 1000 and unseen > 100
+
+
+def test_held_out_bits_fall_as_training_grows(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    fold = "crc32(CAST(doc_id AS string)) % 7"
+    held = docs.where(f"{fold} = 2 AND doc_id % 4 = 0")
+    bits = []
+    for n in (16, 4, 1):
+        r = m.scores(held.unionByName(docs.where(f"{fold} <> 2 AND doc_id % {n} = 0"))).where("held_out")
+        bits.append(r.selectExpr("-sum(score) / log10(2) / sum(n_bytes)").first()[0])
+    print(bits)
+    assert bits[0] > bits[1] > bits[2]
