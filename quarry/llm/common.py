@@ -55,6 +55,14 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def once_each(rows: list) -> list:
+    """A block's rows in order of their slices, each of which comes once."""
+    rows = sorted(rows, key=lambda x: x["slice"])
+    if any(a["slice"] == b["slice"] for a, b in zip(rows, rows[1:], strict=False)):
+        raise ValueError("two blocks have one name: a slice came twice")
+    return rows
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again:
     its lineage is cut, and a lost executor costs no recomputation."""

@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -45,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, words
+from .common import once_each, saved, table, words
 from .shingles import mix, word_hashes
 
 ORDERS = (1, 2, 3, 4, 6)
@@ -68,16 +69,16 @@ BLOCK_DDL = "block string, ids array<bigint>, n_bytes bigint, texts binary"
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of normalised texts, one per line, compressed."""
+    """Blocks of normalised texts, one per line, compressed. Names are unique,
+    whatever the blocks hold; the saved table fixes them."""
     def run(it):
         pack = zstandard.ZstdCompressor(level=3)
         ids, texts, size = [], [], 0
 
         def flush():
             raw = b"".join(t + b"\n" for t in texts)
-            name = f"{zlib.crc32(raw):08x}-{zlib.crc32(repr(ids).encode()):08x}-{len(raw)}-{len(ids)}"
             return pa.RecordBatch.from_pydict({
-                "block": [name], "ids": pa.array([ids], pa.list_(pa.int64())), "n_bytes": pa.array([len(raw)], pa.int64()),
+                "block": [uuid.uuid4().hex], "ids": pa.array([ids], pa.list_(pa.int64())), "n_bytes": pa.array([len(raw)], pa.int64()),
                 "texts": pa.array([pack.compress(raw)], pa.binary())})
         for b in it:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -397,8 +398,7 @@ def context_odds(blocks: DataFrame, code: Code, slices: int) -> DataFrame:
 def whole(got: list) -> np.ndarray:
     """A block's log odds from its rows of all slices."""
     read = zstandard.ZstdDecompressor()
-    rows = sorted(got, key=lambda x: x["slice"])
-    return np.frombuffer(b"".join(read.decompress(p) for r in rows for p in r["odds"]), "i1")
+    return np.frombuffer(b"".join(read.decompress(p) for r in once_each(got) for p in r["odds"]), "i1")
 
 
 # --- mixing -----------------------------------------------------------------------
@@ -512,7 +512,7 @@ def scores(docs: DataFrame) -> DataFrame:
             for ids, raw, packed, got in rows_of(b):
                 texts = unpacked(raw)
                 _, _, _, place, doc = vocabulary(texts, ids, slices)
-                c = np.frombuffer(b"".join(x["counts"] for x in sorted(got or [], key=lambda x: x["slice"])), "<u8")[place]
+                c = np.frombuffer(b"".join(x["counts"] for x in once_each(got or [])), "<u8")[place]
                 k = len(texts)
                 tokens = np.bincount(doc, minlength=k) + 1
                 known = np.bincount(doc, c > 0, k).astype("i8") + (train_docs > 0)

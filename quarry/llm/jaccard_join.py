@@ -45,6 +45,8 @@ compared by 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -52,7 +54,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, saved, table, words
+from .common import SPACE_CLASS, once_each, saved, table, words
 from .shingles import mix, set_id, shingle_sets
 
 BLOCK, FANOUT, BITS_LOG = 64, 8, 24
@@ -147,16 +149,16 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def text_blocks(docs: DataFrame) -> DataFrame:
     """``block, cids, texts``: normalised texts, one per line, compressed; a
-    class comes once per task at most, empty sets not at all."""
+    class comes once per task at most, empty sets not at all. Names are unique,
+    whatever the blocks hold; the saved table fixes them."""
     def run(it):
         seen: set[int] = set()
         pack = zstandard.ZstdCompressor(level=3)
         cids, texts, size = [], [], 0
 
         def flush():
-            name = f"{id_of(np.array(cids, 'i8')):x}-{cids[0]:x}-{size}"
             return pa.RecordBatch.from_pydict({
-                "block": [name], "cids": pa.array([cids], pa.list_(pa.int64())),
+                "block": [uuid.uuid4().hex], "cids": pa.array([cids], pa.list_(pa.int64())),
                 "texts": pa.array([pack.compress(b"".join(t + b"\n" for t in texts))], pa.binary())})
         for b in it:
             plain = [b" ".join(words(t)) for t in encoded(b.column(0))]
@@ -229,7 +231,7 @@ def signatures(blocks_: DataFrame, slices: int) -> DataFrame:
             for cids, raw, got in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 sets = shingle_sets(unpacked(raw))
                 *_, place = sliced(sets, slices)
-                counts = np.frombuffer(b"".join(read.decompress(x["df"]) for x in sorted(got, key=lambda x: x["slice"])), "u1")[place]
+                counts = np.frombuffer(b"".join(read.decompress(x["df"]) for x in once_each(got)), "u1")[place]
                 rows, at = [], 0
                 for cid, s in zip(cids, sets, strict=True):
                     mine = counts[at:at + len(s)]

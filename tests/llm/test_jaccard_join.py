@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quarry.llm import context_mixing
 from quarry.llm import jaccard_join as j
 from quarry.llm import shingles as s
 
@@ -111,3 +112,25 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (-5, 200)]
     got = {r["cid"]: r["comp"] for r in j.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, -5: -5, 200: -5}
+
+
+def test_partitions_of_copies_of_one_text(spark):
+    """Every row is a partition: blocks of equal classes keep names of their own."""
+    rows = []
+    for k in range(8):
+        text = " ".join(f"t{k}w{i}" for i in range(13))
+        rows += [(10 * k, text), (10 * k + 1, text), (10 * k + 2, f"{text} more{k} tail{k}")]  # 9 of 11 shingles
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    blocks = j.saved(j.text_blocks(docs), "text-blocks")
+    assert blocks.select("block").distinct().count() == blocks.count() == len(rows)
+    got = j.frequencies(blocks, 3)
+    assert got.count() == got.select("block", "slice").distinct().count()
+    assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in j.joined(docs).collect())
+
+
+def test_blocks_of_context_mixing_have_names_of_their_own(spark):
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(2, "one text")] * 4, 4), "doc_id bigint, text string")
+    blocks = context_mixing.saved(context_mixing.text_blocks(docs), "text-blocks")
+    assert blocks.select("block").distinct().count() == blocks.count() == 4
+    got = context_mixing.scores(docs).collect()
+    assert len(got) == 4 and {(r["n_tokens"], r["train_tokens"]) for r in got} == {(3, 12)}
