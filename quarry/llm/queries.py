@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_mixing, decontaminate, jaccard_join, kd_search, packing, pii, quality, token_counts, warc_convert
+from . import chat_format, context_mixing, decontaminate, jaccard_join, kd_search, packing, pii, quality, sentencepieces, token_counts, warc_convert
 
 QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, token_counts.SQL),
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_pii": (pii.op8_pii, pii.SQL),
     "op9_warc_convert": (warc_convert.op9_warc_convert, warc_convert.SQL),
     "op10_quality": (quality.op10_quality, quality.SQL),
+    "op11_sentencepiece": (sentencepieces.op11_sentencepiece, sentencepieces.SQL),
 }
