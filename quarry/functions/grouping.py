@@ -5,16 +5,20 @@
 * ``row_number_by``: 1-based numbering within a key ordered by an integral
   column, computed per (key, order bucket) plus an offset, so a hot key is
   spread over many tasks instead of one window partition.
+* ``number_within``: the same for an order of any columns, in two levels:
+  rows are range-partitioned and sorted by (key, order), counted per (key,
+  partition), and shifted by the counts of earlier partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def first_by(df: DataFrame, keys: Sequence[str], order: str | Column,
              cols: Sequence[str] | None = None, descending: bool = False,
              tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -52,6 +56,32 @@ def row_number_by(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn
              .drop("__b", "__off"))
 
 
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
+                  store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` in two levels.
+
+    No task holds more than one range partition, however many rows a key
+    has; the only window is over one row per (key, partition). Nulls are
+    values, first in order. Rows equal in keys and order stay in one
+    partition, so ``order`` should tell rows apart. ``store`` keeps the
+    partitioned rows (default ``materialize``): ranges are sampled, so their
+    places must be fixed once.
+    """
+    cols = [F.col(c) for c in (*keys, *order)]
+    dealt = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    placed = (store or materialize)(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)  # the partition is in the id's upper bits
+    runs = placed.groupBy(*keys, part.alias("__in")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    shifts = runs.select(*named, "__in", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    same = part == F.col("__in")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return (placed.join(shifts, same).withColumn(out, F.col("__at") + F.col("__shift"))
+            .select(*df.columns, out))
+
+
 def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Compute ``df`` once for several consumers.
 
