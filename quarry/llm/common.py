@@ -69,3 +69,17 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = new_folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: CRC-32 for oracles in DuckDB SQL, which has none: a CTE with the table of
+#: its 256 remainders (made from the reversed polynomial), and an expression
+#: over an ASCII text in a query that also selects from ``crc_table``.
+CRC_TABLE_SQL = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)))"""
