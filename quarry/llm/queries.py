@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_mixing, decontaminate, jaccard_join, kd_search, merkle, packing, pii, quality, sentencepieces, token_counts, warc_convert
+from . import chat_format, context_mixing, decontaminate, jaccard_join, kd_search, merkle, packing, pii, quality, sentencepieces, structure_repair, token_counts, warc_convert
 
 QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, token_counts.SQL),
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_warc_convert": (warc_convert.op9_warc_convert, warc_convert.SQL),
     "op10_quality": (quality.op10_quality, quality.SQL),
     "op11_sentencepiece": (sentencepieces.op11_sentencepiece, sentencepieces.SQL),
+    "op12_structure_repair": (structure_repair.op12_structure_repair, structure_repair.SQL),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.SQL),
 }
