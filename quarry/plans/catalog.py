@@ -21,7 +21,7 @@ from quarry.operators import profile as prof
 from quarry.plans import fixtures as fx
 from quarry.plans import pipeline as pl
 from quarry.plans.oracle_fixtures import WS, js_trim, utf16_len, with_fx
-from quarry.sources import delimited
+from quarry.sources import delimited, split
 from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,27 @@ def q_parse_json(spark, sf):
     return _records_of(fx.json_files(spark, sf))
 
 
+def _split_records(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("file_id").cast("long").alias("file_id"), "record_number", "payload", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query("parse_delimited_split", with_fx(["fx_order_text"], f"""
+SELECT file_id % 6 AS file_id, row_number() OVER (PARTITION BY file_id % 6 ORDER BY key)::BIGINT AS record_number, payload, NULL::VARCHAR AS error
+FROM ({_ORDERS_RECORDS_SQL.replace("SELECT file_id,", "SELECT file_id, o_orderkey AS key,")})
+UNION ALL SELECT 100, NULL, NULL, 'Unclosed quoted field'"""))
+def q_parse_delimited_split(spark, sf):
+    return _split_records(split.parse_delimited_split(fx.csv_ranges(spark, sf)))
+
+
+@query("parse_json_split", f"""
+SELECT file_id % 4 AS file_id, (1 + row_number() OVER (PARTITION BY file_id % 4 ORDER BY key))::BIGINT AS record_number, payload, NULL::VARCHAR AS error
+FROM ({_EVENTS_RECORDS_SQL.replace("AS file_id,", "AS file_id, event_id AS key,", 1)})
+UNION ALL SELECT DISTINCT event_id // 100 % 4, 1, '{{"value":0}}', NULL FROM events
+UNION ALL SELECT 100, NULL, NULL, 'Invalid JSON'""")
+def q_parse_json_split(spark, sf):
+    return _split_records(split.parse_json_split(fx.json_ranges(spark, sf)))
+
+
 @query("workbook_rows", """
 SELECT s_suppkey // 100 AS file_id, row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey)::BIGINT AS record_number,
   json_object('s_suppkey', s_suppkey::VARCHAR, 's_name', s_name, 's_nationkey', s_nationkey::VARCHAR,

@@ -5,7 +5,7 @@ the scale factor. Where a view assembles file contents, the rows of one file
 come from a fixed-width key range (at most ``BLOCK`` rows), never from a
 natural group such as one customer, so a hot key cannot make one file (and
 one task) unbounded. The same views are written in DuckDB SQL in
-``quarry.plans.oracle``.
+``quarry.plans.oracle_fixtures``.
 """
 
 from __future__ import annotations
@@ -87,18 +87,18 @@ def order_texts(o: DataFrame) -> DataFrame:
         F.col("o_orderpriority").alias("t_orderpriority"))
 
 
-def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX_CSV: orders in files of ``BLOCK`` order keys.
+def _csv_delim(fid: Column) -> Column:
+    return F.when(fid % 3 == 0, F.lit(",")).when(fid % 3 == 1, F.lit("\t")).otherwise(F.lit(";"))
 
-    Delimiter by file_id % 3 (``,`` TAB ``;``); files with file_id % 6 == 1
-    are named ``.tsv``; odd files end lines with CRLF; the priority is quoted
-    (with a doubled quote when the order key % 7 == 0) and a blank line follows
-    every order key % 9 == 0.
-    """
+
+def _csv_eol(fid: Column) -> Column:
+    return F.when(fid % 2 == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+
+
+def _csv_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_id, body``: the lines of ``BLOCK`` order keys (see ``csv_files``)."""
     t = order_texts(table(spark, sf_dir, "orders"))
-    fid = F.col("file_id")
-    delim = F.when(fid % 3 == 0, F.lit(",")).when(fid % 3 == 1, F.lit("\t")).otherwise(F.lit(";"))
-    eol = F.when(fid % 2 == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+    delim, eol = _csv_delim(F.col("file_id")), _csv_eol(F.col("file_id"))
     prio = F.when(F.col("o_orderkey") % 7 == 0,
                   F.concat(F.lit('"'), F.col("t_orderpriority"), F.lit('""x"')))\
         .otherwise(F.concat(F.lit('"'), F.col("t_orderpriority"), F.lit('"')))
@@ -106,16 +106,53 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.col("t_totalprice"), F.col("t_orderdate"), prio]
     line = F.concat(_csv_line(cells, delim), eol,
                     F.when(F.col("o_orderkey") % 9 == 0, eol).otherwise(F.lit("")))
-    lines = t.select("file_id", "o_orderkey", line.alias("line"), delim.alias("delim"), eol.alias("eol"))
-    body = lines.groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("ls"),
-        F.first("delim").alias("delim"), F.first("eol").alias("eol"))
-    header = F.concat(_csv_line([F.lit(c) for c in ORDER_COLS], F.col("delim")), F.col("eol"))
+    body = t.select("file_id", "o_orderkey", line.alias("line")).groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("ls"))
+    return body.select("file_id", F.array_join(F.transform("ls", lambda s: s["line"]), "").alias("body"))
+
+
+def _csv_header(fid: Column) -> Column:
+    return F.concat(_csv_line([F.lit(c) for c in ORDER_COLS], _csv_delim(fid)), _csv_eol(fid))
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX_CSV: orders in files of ``BLOCK`` order keys.
+
+    Delimiter by file_id % 3 (``,`` TAB ``;``); files with file_id % 6 == 1
+    are named ``.tsv``; odd files end lines with CRLF; the priority is quoted
+    (with a doubled quote when the order key % 7 == 0) and a blank line follows
+    every order key % 9 == 0.
+    """
+    fid = F.col("file_id")
     ext = F.when(fid % 6 == 1, F.lit(".tsv")).otherwise(F.lit(".csv"))
-    return body.select(
-        F.concat(F.lit("orders_"), fid.cast("string"), ext).alias("filename"),
-        fid.alias("file_id"),
-        F.concat(header, F.array_join(F.transform("ls", lambda s: s["line"]), "")).alias("content"))
+    return _csv_bodies(spark, sf_dir).select(
+        F.concat(F.lit("orders_"), fid.cast("string"), ext).alias("filename"), fid.alias("file_id"),
+        F.concat(_csv_header(fid), F.col("body")).alias("content"))
+
+
+RANGE = 997  # bytes of a generated range: cuts fall anywhere in a row
+
+
+def _in_ranges(pieces: DataFrame) -> DataFrame:
+    """``file_id, pos, data`` of text pieces ``file_id, nth, text``, cut every ``RANGE`` bytes."""
+    data = F.col("text").cast("binary")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(RANGE))
+    p = pieces.select(F.col("file_id").cast("string").alias("file_id"), "nth", data.alias("data"), F.explode(starts).alias("at"))
+    return p.select("file_id", (F.shiftleft(F.col("nth").cast("long"), 30) + F.col("at")).alias("pos"),
+                    F.expr(f"substring(data, at + 1, {RANGE})").alias("data"))
+
+
+def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX_CSV_RANGES: all orders in six files (block of the order key % 6),
+    each in byte ranges, and a file 100 of nations whose last quote is open."""
+    b = _csv_bodies(spark, sf_dir)
+    fid = (F.col("file_id") % 6).alias("file_id")
+    bodies = b.select(fid, (F.col("file_id") + 1).alias("nth"), F.col("body").alias("text"))
+    heads = b.select(fid).distinct().select("file_id", F.lit(0).cast("long").alias("nth"), _csv_header(F.col("file_id")).alias("text"))
+    n = table(spark, sf_dir, "nation")
+    bad = n.select(F.lit(100).cast("long").alias("file_id"), F.col("n_nationkey").cast("long").alias("nth"),
+                   F.concat(F.lit('"'), F.col("n_name"), F.lit('"\nx,"')).alias("text"))
+    return _in_ranges(bodies.unionByName(heads).unionByName(bad))
 
 
 def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +169,23 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("["), F.array_join(F.transform("es", lambda s: s["elem"]), ","), F.lit("]")).alias("content"))
 
 
+def json_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX_JSON_RANGES: all events in four array files (block of the event id %
+    4) in byte ranges, each with a first element 0, and a file 100 of nations
+    whose array never ends."""
+    b = json_files(spark, sf_dir)
+    fid = (F.col("file_id") % 4).alias("file_id")
+    inner = F.expr("substring(content, 2, length(content) - 2)")
+    bodies = b.select(fid, (F.col("file_id") + 1).alias("nth"), F.concat(F.lit(",\n"), inner).alias("text"))
+    files = b.select(fid).distinct()
+    heads = files.select("file_id", F.lit(0).cast("long").alias("nth"), F.lit("[0").alias("text"))
+    ends = files.select("file_id", F.lit((1 << 32) - 1).cast("long").alias("nth"), F.lit(" ]\n").alias("text"))
+    bad = table(spark, sf_dir, "nation").select(
+        F.lit(100).cast("long").alias("file_id"), F.col("n_nationkey").cast("long").alias("nth"),
+        F.concat(F.when(F.col("n_nationkey") == 0, "[").otherwise(","), json_string(F.col("n_name"))).alias("text"))
+    return _in_ranges(bodies.unionByName(heads).unionByName(ends).unionByName(bad))
+
+
 SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
 
 

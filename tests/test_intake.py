@@ -166,7 +166,7 @@ def test_policy_edges(spark):
         (11, "a.pdf", 10, ""),
     ]
     df = spark.createDataFrame(rows, "seq long, filename string, size_bytes long, mime_type string")
-    got = {r.seq: r.reject_reason for r in intake.file_policy(df).collect()}
+    got = {r.seq: r.reject_reason for r in intake.file_policy(df, intake.MAX_BYTES).collect()}
     assert got == {
         1: None, 2: "Filename is too long", 3: "Filename is too long",
         4: "Filename contains control characters", 5: "Invalid filename",
