@@ -21,7 +21,7 @@ from quarry.operators import profile as prof
 from quarry.plans import fixtures as fx
 from quarry.plans import pipeline as pl
 from quarry.plans.oracle_fixtures import WS, js_trim, utf16_len, with_fx
-from quarry.sources import delimited, split
+from quarry.sources import delimited, split, workbook_stream
 from quarry.sources.dispatch import parse_files, parse_partitions, split_parsed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -214,15 +214,24 @@ def q_parse_json_split(spark, sf):
     return _split_records(split.parse_json_split(fx.json_ranges(spark, sf)))
 
 
-@query("workbook_rows", """
+_WORKBOOK_SQL = """
 SELECT s_suppkey // 100 AS file_id, row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey)::BIGINT AS record_number,
   json_object('s_suppkey', s_suppkey::VARCHAR, 's_name', s_name, 's_nationkey', s_nationkey::VARCHAR,
               's_acctbal', CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal::DECIMAL(18,2)::VARCHAR END)::VARCHAR AS payload
-FROM supplier""")
+FROM supplier"""
+
+
+@query("workbook_rows", _WORKBOOK_SQL)
 def q_workbook_rows(spark, sf):
     return _records_of(fx.workbook_files(spark, sf))
 
 
+@query("workbook_rows_streamed", _WORKBOOK_SQL)
+def q_workbook_rows_streamed(spark, sf):
+    parsed = workbook_stream.parse_workbooks(fx.workbook_files(spark, sf))
+    return parsed.select(F.col("file_id").cast("long").alias("file_id"), "record_number", "payload")
+
+
 def _doc_files(spark, sf):
     d = fx.table(spark, sf, "documents")
     ext = F.when(F.col("doc_id") % 4 == 0, F.lit(".pdf")).otherwise(F.lit(".txt"))

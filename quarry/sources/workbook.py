@@ -42,11 +42,8 @@ def _text_of(el) -> str:
     return "".join(t.text or "" for t in el.iter(_M + "t"))
 
 
-def rows_of(data: bytes) -> list[list]:
-    try:
-        zf = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise WorkbookError(f"Invalid XLSX: {e}") from None
+def first_sheet_path(zf: zipfile.ZipFile) -> tuple[str, set[str]]:
+    """The entry of the first sheet, and all entries' names."""
     names = set(zf.namelist())
     if "xl/workbook.xml" not in names:
         raise WorkbookError("Invalid XLSX: workbook.xml missing")
@@ -65,6 +62,15 @@ def rows_of(data: bytes) -> list[list]:
     path = target if target.startswith("xl/") else f"xl/{target}"
     if path not in names:
         raise WorkbookError("XLSX worksheet missing")
+    return path, names
+
+
+def rows_of(data: bytes) -> list[list]:
+    try:
+        zf = zipfile.ZipFile(io.BytesIO(data))
+    except zipfile.BadZipFile as e:
+        raise WorkbookError(f"Invalid XLSX: {e}") from None
+    path, names = first_sheet_path(zf)
     shared: list[str] = []
     if "xl/sharedStrings.xml" in names:
         sst = ET.fromstring(zf.read("xl/sharedStrings.xml"))
