@@ -7,7 +7,11 @@ counts as a non-null value whose text is ``"undefined"`` and whose example is
 null. ``distinct`` counts ``String(v)`` forms: ``1`` and ``"1"`` are one
 value, every object is ``[object Object]``.
 
-Plan shape: the per-snapshot column list is joined to the records
+Reports do not build these cells: ``sparse_stats`` and ``sparse_examples``
+give the same rows from the keys that records have, and take what is absent
+from the row counts and from gaps in the record numbers.
+
+Plan shape of dense cells: the per-snapshot column list is joined to the records
 (many-to-one; AQE broadcasts it at run time when small and splits a hot
 snapshot otherwise), the cells are an ``explode`` (narrow), statistics are a
 partial+final aggregation on (snapshot, column), and the first-3 examples use
@@ -147,6 +151,75 @@ def column_examples(cell_df: DataFrame, k: int = 3, snapshot: str = "snapshot_id
                      .otherwise(F.lit("null")).alias("example_json")))
 
 
+# -- the same statistics from present entries only ---------------------------
+
+def present_cells(records: DataFrame, snapshot: str = "snapshot_id", with_text: bool = False) -> DataFrame:
+    """One row per key that a record has: (snapshot, record_number,
+    column_name, v), and with ``with_text`` the value's JSON text."""
+    raw = [raw_map("payload").alias("raw")] if with_text else []
+    cols = [snapshot, "record_number", F.explode(payload_map("payload")).alias("column_name", "v"), *raw]
+    out = records.select(*cols)
+    return out.withColumn("raw_text", F.col("raw")[F.col("column_name")]).drop("raw") if with_text else out
+
+
+def sparse_stats(records: DataFrame, snapshot: str = "snapshot_id", absent: str = "undefined",
+                 nested: str = "object", approx: bool = False) -> DataFrame:
+    """``column_stats`` without dense cells: only present entries are grouped;
+    what is absent is the snapshot's row count less the present ones, and adds
+    the one text ``undefined`` to the distinct values."""
+    inc = _included(F.lit(True), F.col("v"), absent)
+    json_text = nested == "json"
+    entries = present_cells(records, snapshot, json_text).select(
+        snapshot, "column_name", inc.alias("inc"),
+        F.when(inc, js_string(F.col("v"), F.col("raw_text") if json_text else None, nested)).alias("text"))
+    distinct = F.approx_count_distinct if approx else F.count_distinct
+    found = entries.groupBy(snapshot, "column_name").agg(
+        F.count(F.lit(1)).alias("present"), F.count_if(F.col("inc")).alias("included"), distinct("text").alias("texts"),
+        F.coalesce(F.max(F.col("text") == "undefined"), F.lit(False)).alias("named"))
+    rows = records.groupBy(snapshot).agg(F.count(F.lit(1)).alias("row_count"))
+    gone = F.col("row_count") - F.col("present") if absent == "undefined" else F.lit(0)
+    more = F.when((gone > 0) & ~F.col("named"), 1).otherwise(0)
+    out = found.join(rows, snapshot).select(
+        snapshot, "column_name", F.col("row_count").cast("long").alias("row_count"),
+        (F.col("included") + gone).cast("long").alias("non_null"), (F.col("texts") + more).cast("long").alias("distinct_count"))
+    return out.withColumn("null_rate", F.lit(1) - F.col("non_null") / F.col("row_count"))
+
+
+GAP_BUCKET = 64  # record numbers searched for gaps at a time
+
+
+def first_gaps(records: DataFrame, k: int = 3, snapshot: str = "snapshot_id") -> DataFrame:
+    """(snapshot, column_name, record_number) of the first ``k`` records that
+    lack a column. Runs of ``GAP_BUCKET`` record numbers are compared as
+    arrays: those of all records against those that have the column. Only
+    columns that some record lacks are searched."""
+    run = F.floor(F.col("record_number") / GAP_BUCKET).alias("run")
+    keys = records.select(snapshot, "record_number", run, F.explode(F.array_distinct(F.json_object_keys("payload"))).alias("column_name"))
+    have = keys.groupBy(snapshot, "column_name", "run").agg(F.collect_list("record_number").alias("have"))
+    runs = records.groupBy(snapshot, run).agg(F.collect_list("record_number").alias("all"))
+    rows = runs.groupBy(snapshot).agg(F.sum(F.size("all")).alias("rows"))
+    lacking = (have.groupBy(snapshot, "column_name").agg(F.sum(F.size("have")).alias("n")).join(rows, snapshot)
+               .where("n < rows").select(snapshot, "column_name"))
+    gaps = runs.join(lacking, snapshot).join(have, [snapshot, "column_name", "run"], "left").select(
+        snapshot, "column_name", F.array_sort(F.array_except("all", F.coalesce("have", F.array().cast("array<bigint>")))).alias("gone"))
+    some = gaps.select(snapshot, "column_name", F.explode(F.slice("gone", 1, k)).alias("record_number"))
+    w = Window.partitionBy(snapshot, "column_name").orderBy("record_number")
+    return some.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+
+
+def sparse_examples(records: DataFrame, k: int = 3, snapshot: str = "snapshot_id", absent: str = "undefined") -> DataFrame:
+    """``column_examples`` without dense cells: the first included entries,
+    merged with the first gaps of each column."""
+    w = Window.partitionBy(snapshot, "column_name").orderBy("record_number")
+    inc = present_cells(records, snapshot, with_text=True).where(_included(F.lit(True), F.col("v"), absent))
+    first = inc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select(
+        snapshot, "column_name", "record_number", value_json(F.col("v"), F.col("raw_text")).alias("example_json"))
+    if absent == "undefined":
+        first = first.unionByName(first_gaps(records, k, snapshot).withColumn("example_json", F.lit("null")))
+    return (first.withColumn("example_rank", F.row_number().over(w).cast("long")).where(F.col("example_rank") <= k)
+            .select(snapshot, "column_name", "example_rank", "example_json"))
+
+
 def domain_scores(columns_df: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
     """Per snapshot, the number of column names matching each domain."""
     aggs = [F.count_if(F.col("column_name").rlike("(?i)" + p)).cast("long").alias(d.lower())
@@ -169,7 +242,8 @@ def domain_decision(scores: DataFrame) -> DataFrame:
 
 
 def profile(records: DataFrame, snapshot: str = "snapshot_id") -> dict[str, DataFrame]:
-    """All profile parts of a set of snapshots."""
+    """All profile parts of a set of snapshots. ``cells`` are dense; reports
+    are built from present entries (``sparse_stats``, ``sparse_examples``)."""
     order = column_order(records, snapshot)
     lists = column_lists(order, snapshot)
     cell_df = cells(records, lists, snapshot)
@@ -198,8 +272,8 @@ def profile_report(records: DataFrame, snapshot: str = "snapshot_id", with_resul
                    F.coalesce(cand, F.lit('{"ARTICLE":0,"CUSTOMER":0,"SUPPLIER":0}')).alias("candidates")))
     if not with_result:
         return rep
-    stats = column_stats(parts["cells"], snapshot)
-    ex = (column_examples(parts["cells"], 3, snapshot).groupBy(snapshot, "column_name")
+    stats = sparse_stats(records, snapshot)
+    ex = (sparse_examples(records, 3, snapshot).groupBy(snapshot, "column_name")
           .agg(F.array_sort(F.collect_list(F.struct("example_rank", "example_json"))).alias("ex")))
     per_col = stats.join(ex, [snapshot, "column_name"], "left").select(
         snapshot, "column_name",

@@ -354,8 +354,7 @@ SELECT snapshot_id, column_name, count(*)::BIGINT AS row_count, count(*) FILTER
   1 - count(*) FILTER (WHERE inc) / count(*) AS null_rate
 FROM cells2 GROUP BY ALL"""))
 def q_column_stats(spark, sf):
-    p = prof.profile(fx.records(spark, sf))
-    return prof.column_stats(p["cells"])
+    return prof.sparse_stats(fx.records(spark, sf))
 
 
 @query("column_examples", with_fx(["fx_records"], "WITH " + _CELLS_SQL + """
@@ -365,8 +364,7 @@ SELECT snapshot_id, column_name, example_rank, example_json FROM (
     CASE WHEN present THEN v::VARCHAR ELSE 'null' END AS example_json
   FROM cells2 WHERE inc) WHERE example_rank <= 3"""))
 def q_column_examples(spark, sf):
-    p = prof.profile(fx.records(spark, sf))
-    return prof.column_examples(p["cells"], 3)
+    return prof.sparse_examples(fx.records(spark, sf), 3)
 
 
 _SCORES_SQL = """

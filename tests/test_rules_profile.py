@@ -212,3 +212,30 @@ def test_steps_and_runs_with_history(spark):
     runs = spark.createDataFrame([("e9",)], "execution_id string")
     out = {r.seq: (r.status, r.run_id) for r in ledger.create_runs(reqs, jobs, runs).collect()}
     assert out[1] == ("REPLAY", "run-old") and out[2][0] == "CONFLICT" and out[3][0] == "CREATED"
+
+
+def test_sparse_profile_as_dense(spark):
+    """Ragged records: same statistics and examples as from dense cells, and
+    no row count above the present entries."""
+    import random
+
+    rnd = random.Random(4)
+    values = ["1", 1, None, "", "undefined", {"x": 1}, [1, [2]], 2.5, True, "é", 10**9]
+    rows = []
+    for s, n in (("s", 400), ("t", 3), ("u", 1), ("v", 150)):
+        for i in range(n):
+            keys = ["always", "late"] if i > 100 else ["always"]
+            keys += [k for k in ("often", "rare") if rnd.random() < (0.9 if k == "often" else 0.02)]
+            rows.append((s, i * 2 + 1 if s == "v" else i + 1, json.dumps({k: rnd.choice(values) for k in keys})))
+    rows.append(("w", 1, "{}"))
+    recs = spark.createDataFrame(rows, "snapshot_id string, record_number long, payload string").repartition(4)
+    dense = profile.profile(recs)["cells"]
+    for option in ({}, {"absent": "null"}, {"nested": "json"}):
+        want = sorted(map(tuple, profile.column_stats(dense, **option).collect()))
+        got = profile.sparse_stats(recs, **option)
+        assert got.columns == profile.column_stats(dense, **option).columns
+        assert sorted(map(tuple, got.collect())) == want, option
+    for absent in ("undefined", "null"):
+        want = sorted(map(tuple, profile.column_examples(dense, 3, absent=absent).collect()))
+        assert sorted(map(tuple, profile.sparse_examples(recs, 3, absent=absent).collect())) == want, absent
+    assert profile.present_cells(recs).count() == sum(len(json.loads(p)) for *_, p in rows)
