@@ -63,8 +63,11 @@ def _strip_diacritics_udf(s: pd.Series) -> pd.Series:
 
 
 def strip_diacritics(col: Column | str) -> Column:
-    """Compatibility decomposition then removal of combining marks."""
-    return _strip_diacritics_udf(_c(col))
+    """Compatibility decomposition then removal of combining marks. ASCII
+    text is its own decomposition: Python sees a null for it."""
+    c = _c(col)
+    odd = _strip_diacritics_udf(F.when(c.rlike(r"[^\x00-\x7F]"), c))
+    return F.coalesce(odd, c)
 
 
 def identifier_compact(col: Column | str) -> Column:

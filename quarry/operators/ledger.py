@@ -93,7 +93,7 @@ def create_runs(requests: DataFrame, existing_jobs: DataFrame | None = None,
     execution id only the earliest opener can succeed, and it fails only if
     the id was taken before or an earlier second request made a run with it.
     That in turn happens when that request's own opener failed: failures
-    spread along (opener's id -> second's id), followed to the end below.
+    spread along (opener's id -> second's id); ``_spread`` follows them.
     """
     key = F.coalesce(F.col("idempotency_key"), F.concat(F.col("tenant_id"), F.lit(":"), F.col("execution_id")))
     req = requests.select("seq", "tenant_id", "execution_id", key.alias("job_key"))
@@ -126,14 +126,7 @@ def create_runs(requests: DataFrame, existing_jobs: DataFrame | None = None,
     failed = late.where("sure").select(F.col("b_exec").alias("execution_id"))
     if existing_runs is not None:
         failed = failed.unionByName(existing_runs.select("execution_id").join(earliest, "execution_id", "left_semi"))
-    failed = materialize(failed.distinct())
-    links, frontier = late.where("NOT sure"), failed
-    while True:
-        step = links.join(frontier.withColumnRenamed("execution_id", "a_exec"), "a_exec").select(F.col("b_exec").alias("execution_id"))
-        frontier = materialize(step.distinct().join(failed, "execution_id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        failed = materialize(failed.unionByName(frontier))
+    failed = _spread(failed.distinct(), late.where("NOT sure").select("a_exec", "b_exec"))
 
     marks = earliest.join(failed.withColumn("failed", F.lit(True)), "execution_id", "left").withColumnRenamed("execution_id", "a_exec")
     won = (F.col("a") == F.col("first")) & F.col("failed").isNull() & ~F.col("p_job")
@@ -148,6 +141,20 @@ def create_runs(requests: DataFrame, existing_jobs: DataFrame | None = None,
                       F.coalesce("p_run", F.when(F.col("seq") >= made, run)).alias("run_id"))
 
 
+def _spread(failed: DataFrame, links: DataFrame) -> DataFrame:
+    """``failed`` and all execution ids that ``links`` (a_exec -> b_exec) lead to
+    from them. An id has one link at most, as one request is its earliest opener.
+    Links are doubled every round (pointer jumping), so a chain of n ids takes
+    about log2(n) rounds, and it ends when no link is left."""
+    failed, links = materialize(failed), materialize(links)
+    while not links.isEmpty():
+        reached = links.join(failed.withColumnRenamed("execution_id", "a_exec"), "a_exec").select(F.col("b_exec").alias("execution_id"))
+        failed = materialize(failed.unionByName(reached).distinct())
+        onward = links.select(F.col("a_exec").alias("b_exec"), F.col("b_exec").alias("c_exec"))
+        links = materialize(links.join(onward, "b_exec").select("a_exec", F.col("c_exec").alias("b_exec")))
+    return failed
+
+
 # ---------------------------------------------------------------- L2
 def steps_of_tenant(steps: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The gate of L2: requests whose run exists in their tenant, and the rest

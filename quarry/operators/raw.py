@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.grouping import first_by, row_number_by
+from quarry.functions.grouping import first_by, number_within
 
 # Default parser label on snapshot headers (a caller's parameter); fixed
 # value: the record cap that a caller may ask for.
@@ -22,10 +22,10 @@ def snapshot_versions(batch: DataFrame, prior: DataFrame | None = None,
                       file_col: str = "source_file_id", seq: str = "seq") -> DataFrame:
     """version = snapshots already stored for the file + rank in the batch.
 
-    The rank is a bucketed row number (``row_number_by``), so a file with a
-    huge number of snapshots is still numbered across many tasks.
+    The rank is numbered in two levels (``number_within``), so a file with a
+    huge number of snapshots is spread over many tasks, whatever ``seq`` is.
     """
-    out = row_number_by(batch, [file_col], seq, "__rank")
+    out = number_within(batch, [file_col], [seq], "__rank")
     if prior is not None:
         counts = prior.groupBy(file_col).agg(F.count(F.lit(1)).alias("__prior"))
         out = out.join(counts, file_col, "left")

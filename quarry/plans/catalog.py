@@ -638,6 +638,26 @@ def q_step_create(spark, sf):
     return ledger.create_steps(_steps(spark, sf))
 
 
+@query("step_conflicts", """
+WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS run_id, event_id AS seq, (event_id % 7 + 1)::BIGINT AS sequence, 'k' || (event_id % 5)::VARCHAR AS k,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (
+  SELECT run_id, n, seq, sequence, k, seq AS step_seq, [seq] AS made, [sequence] AS sequences, [k] AS ks FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.run_id, e.n, e.seq, e.sequence, e.k,
+    coalesce(list_min([made[i] FOR i IN range(1, len(made) + 1) IF sequences[i] = e.sequence OR ks[i] = e.k]), e.seq) AS step_seq,
+    CASE WHEN list_contains(sequences, e.sequence) OR list_contains(ks, e.k) THEN made ELSE list_append(made, e.seq) END,
+    CASE WHEN list_contains(sequences, e.sequence) OR list_contains(ks, e.k) THEN sequences ELSE list_append(sequences, e.sequence) END,
+    CASE WHEN list_contains(sequences, e.sequence) OR list_contains(ks, e.k) THEN ks ELSE list_append(ks, e.k) END
+  FROM w JOIN e ON e.run_id = w.run_id AND e.n = w.n + 1)
+SELECT run_id, seq, sequence, CASE WHEN step_seq = seq THEN 'CREATED' ELSE 'EXISTING' END AS status, step_seq FROM w""")
+def q_step_conflicts(spark, sf):
+    """Requests that share a key with one step and a sequence with another."""
+    key = F.concat(F.lit("k"), (F.col("seq") % 5).cast("string"))
+    return ledger.create_steps(_steps(spark, sf).withColumn("idempotency_key", key))
+
+
 @query("run_state", with_fx(["fx_transitions"], """
 SELECT run_id, arg_max(status, seq) AS status,
   arg_max(ts, seq) FILTER (WHERE status = 'RUNNING') AS started_at,

@@ -172,7 +172,8 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     """The whole chain from file bytes: intake (I1-I6) -> parse (I7-I12) ->
     RAW snapshots (R1-R4) -> profile, normalization, entities, runs (E6).
 
-    Only NEW files are snapshotted. Intake works on narrow rows and files are
+    Only NEW files are snapshotted, and files that the policy refuses are not
+    parsed. Intake works on narrow rows and files are
     parsed where they are read, so no shuffle carries file bytes. A file whose
     reader fails or that exceeds ``max_records`` is quarantined whole. Both
     caps (bytes of a file, records of a snapshot) are off unless given.
@@ -184,7 +185,10 @@ def ingest_and_process(uploads: DataFrame, sources: DataFrame, configuration: Ma
     new = resolved.filter(F.col("status") == intake.NEW).select(
         "seq", F.col("file_id").alias("source_file_id"), "tenant_id", "source_id",
         F.col("clean_filename").alias("filename"))
-    contents = uploads.select("seq", intake.clean_name(F.col("filename")).alias("filename"), "content")
+    # what one row tells (name, extension, size, type) is judged before any byte
+    # is read by a parser; only duplicates and replays are parsed and dropped
+    allowed = intake.file_policy(uploads, max_bytes).where("reject_reason IS NULL")
+    contents = allowed.select("seq", F.col("clean_filename").alias("filename"), "content")
     snap = snapshot_files(new, prior_snapshots, max_records, contents=contents)
     out = run_pipeline(snap["records"], configuration, snapshots=snap["snapshots"])
     out.update({"resolved": resolved, "source_files": files, "artifacts": artifacts,

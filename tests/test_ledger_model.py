@@ -146,3 +146,17 @@ def test_a_bad_line_is_a_row(spark):
     df = spark.createDataFrame([('{"token":"x","a":[{"Password":1}]}',), ('{"token":',), (None,)], "j string")
     got = df.select(redact.redact_json("j").alias("r"), redact.redact_error("j").alias("e")).collect()
     assert [(r.r, r.e) for r in got] == [('{"token":"[REDACTED]","a":[{"Password":"[REDACTED]"}]}', None), (None, "Malformed JSON"), (None, None)]
+
+
+def test_a_long_chain_of_failures_takes_few_rounds(spark, monkeypatch):
+    """Pointer jumping: 5000 ids that fail one after another."""
+    rounds = []
+    real = ledger.materialize
+    monkeypatch.setattr(ledger, "materialize", lambda df: rounds.append(1) or real(df))
+    n = 5000
+    links = spark.range(n).selectExpr("concat('e', id) AS a_exec", "concat('e', id + 1) AS b_exec")
+    links = links.unionByName(spark.range(50).selectExpr("concat('x', id) AS a_exec", "concat('x', id + 1) AS b_exec"))
+    failed = spark.createDataFrame([("e0",), ("x30",)], "execution_id string")
+    got = {r[0] for r in ledger._spread(failed, links).collect()}
+    assert got == {f"e{i}" for i in range(n + 1)} | {f"x{i}" for i in range(30, 51)}
+    assert len(rounds) <= 2 + 2 * 14

@@ -2,6 +2,9 @@
 
 import hashlib
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from quarry.operators import raw
 
 
@@ -29,3 +32,18 @@ def test_versions_headers_limits_and_order(spark):
     snaps = spark.createDataFrame([("t", "f1", 1, "a"), ("t", "f1", 3, "c"), ("t", "f1", 2, "b")],
                                   "tenant_id string, source_file_id string, snapshot_version long, snapshot_id string")
     assert [r.snapshot_id for r in raw.latest_snapshot(snaps).collect()] == ["c"]
+
+
+def test_versions_of_a_hot_file_spread_over_tasks(spark):
+    """Landing sequences are wide decimals far apart; one file has all rows."""
+    batch = spark.range(0, 20_000, 1, 8).selectExpr(
+        "'hot' AS source_file_id", "cast(cast(id * 977 % 20011 AS decimal(17,0)) * 18446744073709551616BD + 5 AS decimal(38,0)) AS seq")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge partitions as small as these
+    try:
+        got = raw.snapshot_versions(batch)
+        tasks = got.groupBy(F.spark_partition_id().alias("t")).count().collect()
+        wrong = got.join(batch.select("seq", F.row_number().over(Window.orderBy("seq")).alias("want")), "seq").where("snapshot_version != want")
+        assert got.count() == 20_000 and wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) > 4 and max(t["count"] for t in tasks) < 10_000
