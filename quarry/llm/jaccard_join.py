@@ -24,8 +24,11 @@ Two rounds. First, blocks give their most promising pairs (each member with
 the best earlier one), and in blocks of more than ``block`` classes all
 members are compared with a few pivots. Verified links give components. Then
 blocks whose members are of one component by now are dropped unseen, and all
-others are searched for every pair of different components, large ones chunk
-by chunk. Links found inside one component cannot change the result, so
+others are searched for every pair of different components. Of a shingle that
+many classes hold, each task makes sub-blocks of at most ``4 * block`` holders, in order of
+set size; their summaries (ranges of sizes, largest cap, components) are
+joined, and only pairs of sub-blocks that could hold a link are formed, each a
+bounded group. Links found inside one component cannot change the result, so
 components are exact although not every link of a group of copies is looked at.
 
 Scale: texts are read once into compressed blocks of bounded size. For the
@@ -265,10 +268,10 @@ def pivots_of(cids: np.ndarray, own: np.ndarray) -> list[int]:
     return cids[np.lexsort((mix(cids.view(_U)), own))[:PIVOTS]].tolist()
 
 
-def routes(held: list[tuple[int, int, np.ndarray]], block: int | None) -> pa.RecordBatch:
-    """(shingle, class) rows of one batch of classes. With ``block``, a
-    shingle that more of them hold is sent with its pivots and a mark only,
-    and its holders are only paired with the pivots."""
+def routes(held: list[tuple[int, int, np.ndarray]], block: int) -> pa.RecordBatch:
+    """(shingle, class) rows of one batch of classes. A shingle that more than
+    ``block`` of them hold is sent with its pivots and a mark only, and its
+    holders are only paired with the pivots."""
     sizes = [len(k) for *_, k in held]
     key = np.concatenate([k for *_, k in held]).view("i8") if held else np.zeros(0, "i8")
     cid, own = (np.repeat(np.array(c, "i8"), sizes) for c in ([c for c, *_ in held], [u for _, u, _ in held]))
@@ -276,7 +279,7 @@ def routes(held: list[tuple[int, int, np.ndarray]], block: int | None) -> pa.Rec
     key, cid, own = key[o], cid[o], own[o]
     starts, n = runs(key)
     cols = [key, cid, np.full(len(key), MARK), own]
-    if block and len(n) and n.max() > block:
+    if len(n) and n.max() > block:
         drop, more, pairs = np.zeros(len(key), bool), [], set()
         for s, m in zip(starts[n > block].tolist(), n[n > block].tolist(), strict=True):
             k, members, u = int(key[s]), cid[s:s + m], own[s:s + m]
@@ -291,7 +294,7 @@ def routes(held: list[tuple[int, int, np.ndarray]], block: int | None) -> pa.Rec
     return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "cid", "pivot", "own"])
 
 
-def route(sigs: DataFrame, block: int | None) -> DataFrame:
+def route(sigs: DataFrame, block: int) -> DataFrame:
     def run(it):
         held, size = [], 0
         for b in it:
@@ -306,87 +309,187 @@ def route(sigs: DataFrame, block: int | None) -> DataFrame:
     return sigs.select("cid", F.col("n") - F.col("cap"), "keys").mapInArrow(run, ROUTE_DDL)
 
 
-def blocks(rows: DataFrame, tasks: int, block: int, stars_only: bool) -> DataFrame:
+def blocks(rows: DataFrame, tasks: int, block: int) -> DataFrame:
     """Blocks of classes that share a shingle: ``kind`` 'block' (all members
-    may be compared) or 'star' (the first with the others; with ``stars_only``
-    for shingles of more than ``block`` classes). Blocks of equal members have
-    equal ``fp``. With a column ``comp``, shingles held within one component
-    make no block."""
-    names = [c for c in ("key", "cid", "pivot", "own", "comp") if c in rows.columns]
+    may be compared) or 'star' (the first with the others; for shingles of more
+    than ``block`` classes). Blocks of equal members have equal ``fp``."""
+    names = ["key", "cid", "pivot", "own"]
 
     def run(it):
         got = [b for b in it if b.num_rows]
         if not got:
             return
         cols = [np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in got]) for n in names]
-        yield from batched(found(*cols))
+        yield from batched(found(*cols), BLOCK_SCHEMA)
 
-    def found(key, cid, pivot, own, comp=None):
+    def found(key, cid, pivot, own):
         star = pivot != MARK
         for p in np.unique(pivot[star]).tolist():
             yield from stars(p, np.unique(cid[star & (pivot == p)]))
-        comp = cid if comp is None else comp
         o = np.lexsort((cid, key))
         o = o[~star[o]]
-        key, cid, comp, own = key[o], cid[o], comp[o], own[o]
+        key, cid, own = key[o], cid[o], own[o]
         if not len(key):
             return
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))
-        key, cid, comp, own = key[new], cid[new], comp[new], own[new]
+        key, cid, own = key[new], cid[new], own[new]
         starts, n = runs(key)
-        mixed = (n > 1) & (np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts))
         done: set[int] = set()
-        for s, m in zip(starts[mixed].tolist(), n[mixed].tolist(), strict=True):
+        for s, m in zip(starts[n > 1].tolist(), n[n > 1].tolist(), strict=True):
             members = cid[s:s + m]
             marked = bool(members[0] == MARK)
-            if stars_only and (marked or m > block):
+            if marked or m > block:
                 for p in pivots_of(members[marked:], own[s + marked:s + m]):
                     yield from stars(p, members[marked:])
                 continue
             fp = id_of(members)
-            if fp in done:
-                continue
-            done.add(fp)
-            if m <= 2 * block:
+            if fp not in done:
+                done.add(fp)
                 yield "block", fp, members.tolist()
-            else:
-                yield from chunks(members, comp[s:s + m])
 
     def stars(p, members):
         rest = members[members != p].tolist()
         for i in range(0, len(rest), 2 * block):
             part = [p, *rest[i:i + 2 * block]]
             yield "star", id_of(np.array(part, "i8")), part
-
-    def chunks(members, comp):
-        """A large block, chunk by chunk; ordered by component, so that chunks
-        of one large component meet each other nowhere."""
-        o = np.lexsort((members, comp))
-        members, comp, size = members[o], comp[o], 8 * block
-        cuts = range(0, len(members), size)
-        for i in cuts:
-            for j in cuts:
-                if j >= i and comp[i] != comp[min(j + size, len(comp)) - 1]:
-                    part = np.unique(np.concatenate((members[i:i + size], members[j:j + size])))
-                    yield "block", id_of(part), part.tolist()
-
-    def batched(rows_):
-        out = []
-        for r in rows_:
-            out.append(r)
-            if len(out) >= 20_000:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-
-    def batch_of(out):
-        k, f, m = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(f, pa.int64()),
-                                           pa.array(m, pa.list_(pa.int64()))], ["kind", "fp", "members"])
     return rows.select(*names).repartition(tasks, "key").mapInArrow(run, BLOCK_DDL)
 
 
+BLOCK_SCHEMA = pa.schema([("kind", pa.string()), ("fp", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def batched(rows, schema: pa.Schema, most: int = 20_000):
+    """Record batches of rows (tuples)."""
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+# --- sub-blocks: what many classes share, in bounded parts ---------------------
+
+HELD_DDL = "key bigint, cid bigint, n int, cap int, comp bigint, sub array<bigint>, high int, other bigint"
+HELD_SCHEMA = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("cap", pa.int32()), ("comp", pa.int64()),
+                         ("sub", pa.list_(pa.int64())), ("high", pa.int32()), ("other", pa.int64())])
+
+
+def sub_blocks(key: int, cid, n, cap, comp, size: int):
+    """Rows of ``HELD_DDL`` for the holders of one shingle in parts of at most
+    ``size``, by (set size, component): members, the least and greatest set
+    size, the largest cap, and the least and greatest component."""
+    o = np.lexsort((cid, comp, n))
+    for i in range(0, len(o), size):
+        at = o[i:i + size]
+        members = np.unique(cid[at])
+        yield (key, id_of(members), int(n[at].min()), int(cap[at].max()), int(comp[at].min()), members.tolist(),
+               int(n[at].max()), int(comp[at].max()))
+
+
+def held(classes: DataFrame, block: int) -> DataFrame:
+    """Per routing shingle its classes. A task that holds one more than
+    ``block`` times sends sub-blocks of these holders (``sub`` is not null, ``cid`` is the
+    sub-block's id), so no later task meets all holders of a frequent one."""
+    def run(it):
+        some, size = [], 0
+        for b in it:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                some.append((*row[:4], np.frombuffer(row[4], _U)))
+                size += len(row[4]) // 8
+                if size >= 2_000_000:
+                    yield from batched(rows_of(some), HELD_SCHEMA)
+                    some, size = [], 0
+        if some:
+            yield from batched(rows_of(some), HELD_SCHEMA)
+
+    def rows_of(some):
+        sizes = [len(k) for *_, k in some]
+        key = np.concatenate([k for *_, k in some]).view("i8")
+        cid, n, cap, comp = (np.repeat(np.array(c, "i8"), sizes) for c in list(zip(*some, strict=True))[:4])
+        o = np.argsort(key, kind="stable")
+        key, cid, n, cap, comp = key[o], cid[o], n[o], cap[o], comp[o]
+        starts, m = runs(key)
+        plain = np.repeat(m <= block, m)
+        yield from ((k, c, x, y, z, None, None, None) for k, c, x, y, z in
+                    zip(*(v[plain].tolist() for v in (key, cid, n, cap, comp)), strict=True))
+        for s, e in zip(starts[m > block].tolist(), (starts + m)[m > block].tolist(), strict=True):
+            yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], 4 * block)
+    return classes.select("cid", "n", "cap", "comp", "keys").mapInArrow(run, HELD_DDL)
+
+
+def gathered(rows: DataFrame, tasks: int, block: int) -> DataFrame:
+    """Rows of ``held`` by shingle: few holders are one block, more of them (or
+    a shingle that has sub-blocks already) become sub-blocks, too. The result
+    has ``HELD_DDL``; a whole block's ``other`` is null."""
+    def run(it):
+        got = [b for b in it if b.num_rows]
+        if not got:
+            return
+        yield from batched(found(pa.Table.from_batches(got)), HELD_SCHEMA)
+
+    def found(t: pa.Table):
+        is_sub = t.column("sub").is_valid().to_numpy()
+        key, cid, n, cap, comp = (t.column(c).to_numpy() for c in ("key", "cid", "n", "cap", "comp"))
+        hot = np.unique(key[is_sub])
+        keep = t.filter(pa.array(is_sub))
+        yield from zip(*(keep.column(c).to_pylist() for c in HELD_SCHEMA.names), strict=True)
+        o = np.lexsort((cid, key))
+        o = o[~is_sub[o]]
+        key, cid, n, cap, comp = key[o], cid[o], n[o], cap[o], comp[o]
+        if not len(key):
+            return
+        starts, m = runs(key)
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        frequent = np.isin(key[starts], hot) | (m > 2 * block)
+        done: set[int] = set()
+        for s, e, f in zip(starts[mixed | frequent].tolist(), (starts + m)[mixed | frequent].tolist(), frequent[mixed | frequent].tolist(), strict=True):
+            if f:
+                yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], 4 * block)
+                continue
+            members = np.unique(cid[s:e])
+            fp = id_of(members)
+            if fp not in done and 10 * int(cap[s:e].max()) >= 8 * int(n[s:e].min()):
+                done.add(fp)
+                yield int(key[s]), fp, None, None, None, members.tolist(), None, None
+    return rows.repartition(tasks, "key").mapInArrow(run, HELD_DDL)
+
+
+def sub_pairs(subs: DataFrame) -> DataFrame:
+    """``a, b`` (a <= b): pairs of sub-blocks of one shingle in which classes
+    could link, by the ranges of their sizes, their caps and components."""
+    cols = ["key", F.col("cid").alias("fp"), F.col("n").alias("low"), "high", "cap", F.col("comp").alias("first"), F.col("other").alias("last")]
+    x = subs.select(*cols).dropDuplicates(["key", "fp"])
+    y = x.select("key", *[F.col(c).alias(f"{c}2") for c in x.columns[1:]])
+    # the pair of least sizes that may link: need() of both, each at most 5/4 of the other
+    least = F.expr("greatest(low, cast(ceil(low2 * 0.8) AS int)) + greatest(low2, cast(ceil(low * 0.8) AS int))")
+    may = ((F.col("fp") <= F.col("fp2")) & (4 * F.col("low") <= 5 * F.col("high2")) & (4 * F.col("low2") <= 5 * F.col("high"))
+           & (9 * F.least("cap", "cap2") >= 4 * least)
+           & ((F.col("first") != F.col("last")) | (F.col("first2") != F.col("last2")) | (F.col("first") != F.col("first2"))))
+    return x.join(y, "key").where(may).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
+
+
+def block_rows(found: DataFrame) -> DataFrame:
+    """``kind, fp, pos, cid``: a row per member of the blocks."""
+    return found.select("kind", "fp", F.posexplode("members").alias("pos", "cid"))
+
+
+def sub_rows(found: DataFrame) -> DataFrame:
+    """``block_rows`` of whole blocks and of pairs of sub-blocks (``cross``:
+    ``pos`` tells the side; a sub-block with itself is a plain block)."""
+    whole = found.where("other IS NULL").select(F.lit("block").alias("kind"), F.col("cid").alias("fp"), F.col("sub").alias("members"))
+    subs = found.where("other IS NOT NULL")
+    members = subs.select(F.col("cid").alias("id"), "sub").dropDuplicates(["id"])
+    pairs = sub_pairs(subs)
+    alone = pairs.where("a = b").join(members, F.col("a") == F.col("id")).select(
+        F.lit("block").alias("kind"), F.col("a").alias("fp"), F.col("sub").alias("members"))
+    sides = pairs.where("a < b").select(F.xxhash64("a", "b").alias("fp"), F.posexplode(F.array("a", "b")).alias("pos", "id"))
+    cross = sides.join(members, "id").select(F.lit("cross").alias("kind"), "fp", "pos", F.explode("sub").alias("cid"))
+    return block_rows(whole.unionByName(alone).dropDuplicates(["kind", "fp"])).unionByName(cross)
+
+
 def id_of(members: np.ndarray) -> int:
     return int(mix(mix(members.view(_U)).sum(dtype=_U, keepdims=True) + _U(len(members))).view("i8")[0])
 
@@ -453,9 +556,9 @@ def fits_bitmaps(na: int, ca: int, a: bytes, nb: int, cb: int, b: bytes) -> bool
     return min(common + over, ca, cb) >= need(na + nb)
 
 
-def block_pairs(cid, n, cap, bits, comp, star: bool, few: bool) -> set[tuple[int, int]]:
-    """Class pairs of one block to verify: of different components, and with
-    ``few`` only each member's most promising one."""
+def block_pairs(cid, n, cap, bits, comp, star: bool, few: bool, side=None) -> set[tuple[int, int]]:
+    """Class pairs of one block to verify: of different components, with ``side``
+    only those across, and with ``few`` only each member's most promising one."""
     if star:
         pairs = ((0, j) for j in range(1, len(cid)))
         return {tuple(sorted((cid[i], cid[j]))) for i, j in pairs
@@ -464,7 +567,7 @@ def block_pairs(cid, n, cap, bits, comp, star: bool, few: bool) -> set[tuple[int
     out, used = set(), set()
     for k in np.argsort(-gain, kind="stable").tolist() if few else range(len(a)):
         i, j = int(a[k]), int(b[k])
-        if comp[i] == comp[j] or few and i in used and j in used:
+        if comp[i] == comp[j] or few and i in used and j in used or side and side[i] == side[j]:
             continue
         if fits_bitmaps(n[i], cap[i], bits[i], n[j], cap[j], bits[j]):
             used |= {i, j}
@@ -472,15 +575,15 @@ def block_pairs(cid, n, cap, bits, comp, star: bool, few: bool) -> set[tuple[int
     return out
 
 
-def candidates(found: DataFrame, classes: DataFrame, few: bool, tasks: int) -> DataFrame:
+def candidates(members: DataFrame, classes: DataFrame, few: bool, tasks: int) -> DataFrame:
     """Distinct pairs ``a, b`` of class ids to verify, by signature trees over
-    the blocks ``found``. ``classes``: cid, n, cap, bits, comp."""
-    members = found.select("kind", "fp", F.posexplode("members").alias("pos", "cid"))
-    rows = members.join(classes, "cid").withColumn("part", F.pmod(F.xxhash64("fp", "kind"), F.lit(tasks * 8)))
+    blocks given as ``block_rows``. ``classes``: cid, n, cap, bits, comp."""
+    rows = members.join(classes.select("cid", "n", "cap", "bits", "comp"), "cid").withColumn(
+        "part", F.pmod(F.xxhash64("fp", "kind"), F.lit(tasks * 8)))
 
     def run(g: pa.Table) -> pa.Table:
         g = g.sort_by([("kind", "ascending"), ("fp", "ascending"), ("pos", "ascending")])
-        kind, fp, cid, n, cap, bits, comp = (g.column(c).to_pylist() for c in ("kind", "fp", "cid", "n", "cap", "bits", "comp"))
+        kind, fp, pos, cid, n, cap, bits, comp = (g.column(c).to_pylist() for c in ("kind", "fp", "pos", "cid", "n", "cap", "bits", "comp"))
         out: set[tuple[int, int]] = set()
         s = 0
         for e in range(1, len(fp) + 1):
@@ -490,7 +593,8 @@ def candidates(found: DataFrame, classes: DataFrame, few: bool, tasks: int) -> D
                         if fits_bitmaps(n[s], cap[s], bits[s], n[s + 1], cap[s + 1], bits[s + 1]):
                             out.add(tuple(sorted(cid[s:e])))
                     else:
-                        out |= block_pairs(cid[s:e], n[s:e], cap[s:e], bits[s:e], comp[s:e], kind[s] == "star", few)
+                        out |= block_pairs(cid[s:e], n[s:e], cap[s:e], bits[s:e], comp[s:e], kind[s] == "star", few,
+                                           pos[s:e] if kind[s] == "cross" else None)
                 s = e
         pairs = sorted(out)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -580,15 +684,15 @@ def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // 8 // 500_000 + 1)
     classes = sigs.select("cid", "n", "cap", "bits").dropDuplicates(["cid"])
 
-    first = blocks(route(sigs, block), tasks, block, True).dropDuplicates(["kind", "fp"])
-    pairs = saved(candidates(first, classes.withColumn("comp", F.col("cid")), True, tasks), "pairs")
+    first = blocks(route(sigs, block), tasks, block).dropDuplicates(["kind", "fp"])
+    pairs = saved(candidates(block_rows(first), classes.withColumn("comp", F.col("cid")), True, tasks), "pairs")
     links = saved(verify(blocks_, pairs), "links")
     comp = saved(components(links), "components")
 
-    now = saved(classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "classes")
-    again = route(sigs, None).join(now.select("cid", "comp"), "cid")
-    more = blocks(again, tasks, block, False).dropDuplicates(["kind", "fp"])
-    more = candidates(more, now, False, tasks).join(pairs, ["a", "b"], "left_anti")
+    now = sigs.dropDuplicates(["cid"]).join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    now = saved(now, "classes")
+    again = saved(gathered(held(now, block), tasks, block), "blocks")
+    more = candidates(sub_rows(again), now, False, tasks).join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(verify(blocks_, saved(more, "pairs")))
     comp = components(links)
 

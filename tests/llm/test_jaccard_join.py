@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import context_mixing
 from quarry.llm import jaccard_join as j
@@ -134,3 +135,35 @@ def test_blocks_of_context_mixing_have_names_of_their_own(spark):
     assert blocks.select("block").distinct().count() == blocks.count() == 4
     got = context_mixing.scores(docs).collect()
     assert len(got) == 4 and {(r["n_tokens"], r["train_tokens"]) for r in got} == {(3, 12)}
+
+
+def boilerplate(m, own=15):
+    """Texts of one passage of 100 words and 15 words of their own: all share
+    shingles, none links."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    return [(k, f"{passage} " + " ".join(f"d{k}x{i}" for i in range(own))) for k in range(m)]
+
+
+def test_hot_shingles_make_rows_in_proportion(spark, make_docs):
+    counts = {}
+    for m in (600, 2400):
+        docs = make_docs(boilerplate(m))
+        sigs = j.saved(j.signatures(j.saved(j.text_blocks(docs), "text-blocks"), 3), "signatures")
+        now = sigs.dropDuplicates(["cid"]).withColumn("comp", F.col("cid"))
+        found = j.saved(j.gathered(j.held(now, 16), 8, 16), "blocks")
+        assert found.agg(F.max(F.size("sub"))).first()[0] <= 64
+        counts[m] = found.agg(F.sum(F.size("sub"))).first()[0], j.sub_rows(found).count()
+    assert counts[2400][0] <= 4.4 * counts[600][0]  # holders of each shingle once
+    assert counts[2400][1] <= 4.4 * counts[600][1] + 100  # and no pair of sub-blocks that caps exclude
+    got = j.joined(make_docs(boilerplate(300)), block=8).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_links_across_sub_blocks(spark, make_docs):
+    """One boilerplate group with hidden links between texts that share most of their own words."""
+    rows = boilerplate(150, own=40)
+    rows += [(1000 + k, rows[k][1].rsplit(" ", 2)[0] + f" other{k}") for k in range(0, 150, 7)]
+    rows += [(2000 + k, rows[k][1].replace(f"d{k}x20", "z")) for k in range(3, 150, 11)]
+    random.Random(3).shuffle(rows)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.joined(make_docs(rows), block=4).collect()]
+    assert sorted(got, key=KEY) == sorted(brute(rows), key=KEY)
