@@ -117,8 +117,14 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS,
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    return pack(saved(token_pieces(docs, tokenizer, options.get("length", LENGTH)), "pieces"), **options)
+def pack_documents(docs: DataFrame, tokenizer: str, keep_ids: bool = False, separator: int = SEPARATOR_ID, **options) -> DataFrame:
+    """The packed pieces of ``docs``; with ``keep_ids`` each with its token ids
+    (``ids``, packed), which meet their places by the stored row's number."""
+    pieces = token_pieces(docs, tokenizer, options.get("length", LENGTH), separator, keep_ids)
+    if not keep_ids:
+        return pack(saved(pieces, "pieces"), **options)
+    pieces = saved(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces.drop("ids"), **options).join(pieces.select("row", "ids"), "row").drop("row")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,16 +132,19 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int =
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """``text, bad, toxic`` of at most ``most`` labelled documents, chosen by
-    a hash of their id."""
+    a hash of their id. An id counts once: of several texts that with the
+    least hash, so copies of a labelled row weigh nothing."""
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))).alias("low"),
         F.max(F.coalesce(F.col("toxic").cast("int"), F.lit(0))).alias("toxic"))
     total = one.count()
     if total > most:  # ids, not texts, are chosen: a bounded set of long numbers
         one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id"), "text").where("text IS NOT NULL")
     # at most ``most`` rows of three numbers: small enough to send to every task
-    return rows.join(F.broadcast(one), "doc_id").select("text", "toxic", F.greatest("low", "toxic").alias("bad"))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(one), "doc_id")
+    rows = rows.groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "doc_id").select("text", "toxic", F.greatest("low", "toxic").alias("bad"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier:

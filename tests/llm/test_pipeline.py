@@ -49,8 +49,9 @@ def test_every_stage_equals_its_operator(spark, folder):
             assert {(r["doc_id"], r["text"]) for r in out.collect()} == want
             assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
         else:
-            assert rows(out.select("doc_id", "piece", "start", "length", "ids_crc32")) == rows(
-                packing.token_pieces(before, tokenizer_path()))
+            assert rows(out.select("doc_id", "piece", "start", "length", "ids_crc32", "ids")) == rows(
+                packing.token_pieces(before, tokenizer_path(), keep_ids=True))
+            assert all(len(r["ids"]) == 4 * r["length"] for r in out.collect())
         if name != "pack":
             assert out.columns == c.COLUMNS
             path = new_folder(spark, "stage")

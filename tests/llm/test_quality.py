@@ -82,3 +82,11 @@ def test_bounded_sample(spark):
 def test_repetition_does_not_grow_with_length():
     text = " ".join(f"w{(i * i) % 1009}" for i in range(500))
     assert abs(q.form(text)[0] - q.form(" ".join([text] * 30))[0]) < 0.05
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i % 3} of {i % 6}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3)] * 4, "doc_id long, quality int, toxic int")
+    got = q.labelled(docs, labels, 2)
+    assert got.count() == 2 and q.labelled(docs, labels).count() == 3
+    assert sorted(r["text"] for r in got.collect()) == sorted(r["text"] for r in q.labelled(docs.repartition(7), labels, 2).collect())
