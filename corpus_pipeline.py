@@ -11,7 +11,7 @@ next one's input.
 
 The first four return the columns of ``documents``; the last returns the
 columns of ``pack`` (doc_id, piece, start, length, ids_crc32, sequence_id,
-offset). Null ids and texts, repeated rows, clashing extra columns and empty
+offset) and the piece's token ids. Null ids and texts, repeated rows, clashing extra columns and empty
 tables are treated as the operators' docstrings say.
 """
 
@@ -59,7 +59,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_ready(spark, docs), tokenizer_path())
+    return packing.pack_documents(_ready(spark, docs), tokenizer_path(), keep_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
