@@ -139,10 +139,17 @@ def encoded(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
+def small(batches, rows: int = 500):
+    """Slices of record batches, so that a task holds few texts and sets at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """Class id and set size of every document."""
     def run(it):
-        for b in it:
+        for b in small(it):
             sets = shingle_sets(encoded(b.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()),
@@ -163,7 +170,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({
                 "block": [uuid.uuid4().hex], "cids": pa.array([cids], pa.list_(pa.int64())),
                 "texts": pa.array([pack.compress(b"".join(t + b"\n" for t in texts))], pa.binary())})
-        for b in it:
+        for b in small(it):
             plain = [b" ".join(words(t)) for t in encoded(b.column(0))]
             for t, s in zip(plain, shingle_sets(plain), strict=True):
                 cid = set_id(s)

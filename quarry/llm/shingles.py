@@ -57,7 +57,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
-def shingle_sets(texts: list[bytes], most_bytes: int = 8 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], most_bytes: int = 1 << 20) -> list[np.ndarray]:
     """Per text, the ascending distinct hashes of its shingles."""
     out: list[np.ndarray] = []
     at = 0
