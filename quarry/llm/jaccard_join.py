@@ -25,8 +25,7 @@ the best earlier one), and in blocks of more than ``block`` classes all
 members are compared with a few pivots. Verified links give components. Then
 blocks whose members are of one component by now are dropped unseen, and all
 others are searched for every pair of different components. Of a shingle that
-many classes hold, each task makes sub-blocks of at most ``4 * block`` holders, in order of
-set size; their summaries (ranges of sizes, largest cap, components) are
+many classes hold, each task makes sub-blocks of at most ``SUB * block`` holders; their summaries (ranges of sizes, largest cap, components) are
 joined, and only pairs of sub-blocks that could hold a link are formed, each a
 bounded group. Links found inside one component cannot change the result, so
 components are exact although not every link of a group of copies is looked at.
@@ -379,6 +378,7 @@ def batched(rows, schema: pa.Schema, most: int = 20_000):
 
 # --- sub-blocks: what many classes share, in bounded parts ---------------------
 
+SUB = 16  # a sub-block has at most so many times ``block`` classes
 HELD_DDL = "key bigint, cid bigint, n int, cap int, comp bigint, sub array<bigint>, high int, other bigint"
 HELD_SCHEMA = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("cap", pa.int32()), ("comp", pa.int64()),
                          ("sub", pa.list_(pa.int64())), ("high", pa.int32()), ("other", pa.int64())])
@@ -386,9 +386,11 @@ HELD_SCHEMA = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int3
 
 def sub_blocks(key: int, cid, n, cap, comp, size: int):
     """Rows of ``HELD_DDL`` for the holders of one shingle in parts of at most
-    ``size``, by (set size, component): members, the least and greatest set
-    size, the largest cap, and the least and greatest component."""
-    o = np.lexsort((cid, comp, n))
+    ``size``: members, the least and greatest set size, the largest cap, and
+    the least and greatest component. Components with many holders come
+    apart (parts inside one meet nowhere), all others by set size."""
+    _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    o = np.lexsort((cid, n, np.where(count[at] > size // 4, comp, MARK)))
     for i in range(0, len(o), size):
         at = o[i:i + size]
         members = np.unique(cid[at])
@@ -399,7 +401,9 @@ def sub_blocks(key: int, cid, n, cap, comp, size: int):
 def held(classes: DataFrame, block: int) -> DataFrame:
     """Per routing shingle its classes. A task that holds one more than
     ``block`` times sends sub-blocks of these holders (``sub`` is not null, ``cid`` is the
-    sub-block's id), so no later task meets all holders of a frequent one."""
+    sub-block's id), so no later task meets all holders of a frequent one.
+    ``cap`` is what a class can share with another one if this shingle is the
+    first they share in the common order: the ones before it do not count."""
     def run(it):
         some, size = [], 0
         for b in it:
@@ -416,6 +420,8 @@ def held(classes: DataFrame, block: int) -> DataFrame:
         sizes = [len(k) for *_, k in some]
         key = np.concatenate([k for *_, k in some]).view("i8")
         cid, n, cap, comp = (np.repeat(np.array(c, "i8"), sizes) for c in list(zip(*some, strict=True))[:4])
+        ends = np.cumsum(sizes)
+        cap -= np.arange(len(key)) - np.repeat(ends - sizes, sizes)  # routing shingles are in that order
         o = np.argsort(key, kind="stable")
         key, cid, n, cap, comp = key[o], cid[o], n[o], cap[o], comp[o]
         starts, m = runs(key)
@@ -423,7 +429,7 @@ def held(classes: DataFrame, block: int) -> DataFrame:
         yield from ((k, c, x, y, z, None, None, None) for k, c, x, y, z in
                     zip(*(v[plain].tolist() for v in (key, cid, n, cap, comp)), strict=True))
         for s, e in zip(starts[m > block].tolist(), (starts + m)[m > block].tolist(), strict=True):
-            yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], 4 * block)
+            yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], SUB * block)
     return classes.select("cid", "n", "cap", "comp", "keys").mapInArrow(run, HELD_DDL)
 
 
@@ -454,7 +460,7 @@ def gathered(rows: DataFrame, tasks: int, block: int) -> DataFrame:
         done: set[int] = set()
         for s, e, f in zip(starts[mixed | frequent].tolist(), (starts + m)[mixed | frequent].tolist(), frequent[mixed | frequent].tolist(), strict=True):
             if f:
-                yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], 4 * block)
+                yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], SUB * block)
                 continue
             members = np.unique(cid[s:e])
             fp = id_of(members)

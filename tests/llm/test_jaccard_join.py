@@ -151,7 +151,7 @@ def test_hot_shingles_make_rows_in_proportion(spark, make_docs):
         sigs = j.saved(j.signatures(j.saved(j.text_blocks(docs), "text-blocks"), 3), "signatures")
         now = sigs.dropDuplicates(["cid"]).withColumn("comp", F.col("cid"))
         found = j.saved(j.gathered(j.held(now, 16), 8, 16), "blocks")
-        assert found.agg(F.max(F.size("sub"))).first()[0] <= 64
+        assert found.agg(F.max(F.size("sub"))).first()[0] <= 16 * j.SUB
         counts[m] = found.agg(F.sum(F.size("sub"))).first()[0], j.sub_rows(found).count()
     assert counts[2400][0] <= 4.4 * counts[600][0]  # holders of each shingle once
     assert counts[2400][1] <= 4.4 * counts[600][1] + 100  # and no pair of sub-blocks that caps exclude
