@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Class
                     bits[term] = bits.get(term, 0) | seen
                 if y.as_py():
                     bad.update(found.keys())
-                if len(n) > 300_000:  # partial sums; what a task holds stays bounded
+                if len(n) > 120_000:  # partial sums; what a task holds stays bounded
                     yield flush()
         if n:
             yield flush()
