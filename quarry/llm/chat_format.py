@@ -15,7 +15,9 @@ conversation are prefixes of one rendering, so ``expand`` stores each piece
 once, with its character offset, and an example as the offsets
 (``example_end``, ``loss_start``, ``loss_end``) into that rendering: the size
 stays linear in the input, however long a conversation is. ``example_texts``
-writes the examples out in full for a trainer that wants plain rows.
+explodes them: a row per assistant turn with its whole context, its reply and
+its mask. ``digests`` reads turns and trainable texts back from these rows.
+A conversation's rendering is one value of a row, so it is bounded by 2 GB.
 
 Defined cases: a null role or text is an empty one; turns are ordered by
 (turn, role, text), a null turn first; repeated rows are turns of their own;
@@ -75,44 +77,69 @@ def expand(conversations: DataFrame, target_role: str = "assistant") -> DataFram
 
 
 def example_texts(pieces: DataFrame) -> DataFrame:
-    """The examples in full: ``conv_id, position, text, loss_start, loss_end``.
-    Its size is that of all prefixes, so it is for writing training files."""
+    """The formatted output, a row per example: ``conv_id, position, text,
+    loss_start, loss_end``. An example's text is its whole context and its
+    reply; offsets are those of its loss mask. The turns after a conversation's
+    last assistant turn belong to no example: they come as one more row with no
+    mask and no position. ``is_tail`` marks the rows that, put together, hold
+    every turn once: the last example and the row without a mask.
+
+    Written out, its size is that of all prefixes; a reader that takes the
+    masked part of each row alone gets it from one rendering per conversation."""
     whole = pieces.groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"]),
-                     "").alias("text"),
+                     "").alias("rendered"),
+        F.max(F.when(F.col("is_target"), F.col("position"))).alias("last"),
+        F.coalesce(F.max("example_end"), F.lit(0).cast("long")).alias("rest"),
         F.array_sort(F.collect_list(F.when(F.col("is_target"), F.struct(
             "position", "example_end", "loss_start", "loss_end")))).alias("examples"))
-    e = whole.select("conv_id", "text", F.explode("examples").alias("e"))
-    return e.select("conv_id", "e.position", F.expr("substring(text, 1, e.example_end)").alias("text"),
-                    "e.loss_start", "e.loss_end")
-
-
-def read_back(pieces: DataFrame) -> DataFrame:
-    """Roles, texts and trainable texts parsed from the rendered pieces:
-    ``conv_id, position, role, text, loss_text`` (null for context)."""
-    inner = F.expr(f"substring(piece, {len(BOS) + 1}, length(piece) - {len(BOS) + len(EOS)})")
-    p = pieces.withColumn("inner", inner).withColumn("cut", F.expr("instr(inner, '\n')"))
-    masked = F.expr("substring(piece, cast(loss_start - start + 1 as int), cast(loss_end - loss_start as int))")
-    return p.select(
-        "conv_id", "position", unescape(F.expr("substring(inner, 1, cut - 1)"), ROLE_ESCAPES).alias("role"),
-        unescape(F.expr("substring(inner, cut + 1)")).alias("text"),
-        F.when(F.col("is_target"), unescape(masked)).alias("loss_text"), F.length("piece").alias("piece_chars"))
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted output holds (one row of text per
-    conversation, as the digests ask for)."""
-    rows = F.array_sort(F.collect_list(F.struct("position", "role", "text", "loss_text")))
-    g = read_back(pieces).groupBy("conv_id").agg(
-        rows.alias("r"), F.count(F.lit(1)).alias("n_turns"), F.sum("piece_chars").alias("formatted_chars"),
-        F.count("loss_text").alias("n_examples"))
-    turns = F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("r", lambda x: x["loss_text"].isNotNull()),
-                                    lambda x: x["loss_text"]), "")
+    no = F.lit(None).cast("long")
+    rest = F.array(F.struct(no.cast("int").alias("position"), no.alias("example_end"),
+                            no.alias("loss_start"), no.alias("loss_end")))
+    e = whole.select("conv_id", "rendered", "last", "rest", F.explode(F.concat("examples", rest)).alias("e"))
+    return e.select(
+        "conv_id", "e.position",
+        F.expr("CASE WHEN e.position IS NULL THEN substring(rendered, cast(rest + 1 as int)) "
+               "ELSE substring(rendered, 1, cast(e.example_end as int)) END").alias("text"),
+        "e.loss_start", "e.loss_end", F.expr("e.position IS NULL OR e.position = last").alias("is_tail"))
+
+
+def turns_of(text: Column) -> Column:
+    """An array of (role, text) read from a rendering: no control string can
+    occur inside a turn, so the end marks tell the turns apart."""
+    def turn(x):
+        inner = F.substr(x, F.lit(len(BOS) + 1))
+        cut = F.instr(inner, "\n")
+        return F.struct(unescape(F.substr(inner, F.lit(1), cut - 1), ROLE_ESCAPES).alias("role"),
+                        unescape(F.substr(inner, cut + 1)).alias("text"))
+    return F.transform(F.filter(F.split(text, EOS, -1), lambda x: x != ""), turn)
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """What each row of ``example_texts`` holds: ``conv_id, position, loss_text``
+    (what its mask covers, null without one) and ``rendered`` (its text, null
+    where a later row repeats it)."""
+    masked = F.expr("substring(text, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))")
+    return examples.select(
+        "conv_id", "position", F.when(F.col("loss_start").isNotNull(), unescape(masked)).alias("loss_text"),
+        F.when(F.col("is_tail"), F.col("text")).alias("rendered"))
+
+
+def digests(examples: DataFrame) -> DataFrame:
+    """Per conversation, what its formatted output (``example_texts``) holds
+    (one row of text per conversation, as the digests ask for)."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("position").isNull().alias("after"), "position", "loss_text", "rendered")))
+    g = read_back(examples).groupBy("conv_id").agg(rows.alias("r"), F.count("loss_text").alias("n_examples"))
+
+    def joined(field):
+        return F.array_join(F.transform(F.filter("r", lambda x: x[field].isNotNull()), lambda x: x[field]), "")
+    g = g.select("conv_id", "n_examples", joined("loss_text").alias("loss"), joined("rendered").alias("rendered"))
+    g = g.withColumn("turns", turns_of(F.col("rendered")))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return g.select(
-        "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_examples")
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("rendered").cast("long").alias("formatted_chars"), "n_examples")
 
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -127,7 +154,7 @@ def with_control_case(spark: SparkSession, conversations: DataFrame) -> DataFram
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(expand(with_control_case(spark, table(spark, sf_dir, "conversations"))))
+    return digests(example_texts(expand(with_control_case(spark, table(spark, sf_dir, "conversations")))))
 
 
 SQL = f"""

@@ -1,6 +1,7 @@
 import hashlib
 
 from quarry.llm import chat_format as c
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -24,13 +25,16 @@ def brute(rows):
 def test_digests_are_those_of_the_input(spark):
     df = spark.createDataFrame(ROWS, S).selectExpr("*", "1 AS start", "'p' AS piece", "'b' AS body")
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"])
-           for r in c.digests(c.expand(df)).collect()}
+           for r in c.digests(c.example_texts(c.expand(df))).collect()}
     assert got == brute(ROWS)
 
 
 def test_examples_are_prefixes_with_one_trainable_reply(spark):
     df = spark.createDataFrame(ROWS, S)
-    got = c.example_texts(c.expand(df)).collect()
+    every = c.example_texts(c.expand(df)).collect()
+    got = [r for r in every if r["position"] is not None]
+    assert all(r["loss_start"] is None and r["is_tail"] for r in every if r["position"] is None)
+    assert len(every) - len(got) == len({r[0] for r in ROWS})  # what follows the last reply
     assert len(got) == sum(r[2] == "assistant" for r in ROWS)
     one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])
     back = lambda x: x.replace("&lsqb;", "[").replace("&lt;", "<").replace("&amp;", "&")
@@ -40,9 +44,20 @@ def test_examples_are_prefixes_with_one_trainable_reply(spark):
 
 
 def test_empty(spark):
-    assert c.digests(c.expand(spark.createDataFrame([], S))).count() == 0
+    assert c.digests(c.example_texts(c.expand(spark.createDataFrame([], S)))).count() == 0
 
 
 def test_no_python_in_the_plan(spark):
-    plan = c.digests(c.expand(spark.createDataFrame(ROWS, S)))._jdf.queryExecution().executedPlan().toString()
+    plan = c.digests(c.example_texts(c.expand(spark.createDataFrame(ROWS, S))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_digests_come_from_the_examples(spark):
+    """A reply changed in an example's text alone changes the digests."""
+    df = spark.createDataFrame(ROWS, S)
+    told = c.example_texts(c.expand(df))
+    changed = told.withColumn("text", F.replace(F.col("text"), F.lit("same"), F.lit("SAME")))
+    a, b = ({r["conv_id"]: r for r in c.digests(x).collect()} for x in (told, changed))
+    assert {k for k in a if a[k]["loss_sha256"] != b[k]["loss_sha256"]} == {3}
+    assert {k for k in a if a[k]["turns_sha256"] != b[k]["turns_sha256"]} == {3}
+    assert {k: r["n_examples"] for k, r in a.items()} == {1: 3, 2: 0, 3: 2, None: 0, 4: 1}
