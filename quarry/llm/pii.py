@@ -9,18 +9,18 @@ Potentials:
   corpus; a base span is held to its kind,
 * chain: between units that follow each other within a line,
 * skip: between all units, however distant, that share a key (the same last
-  digits, the same local part of an email). The certain units of a key meet in
-  one hub that counts their kinds, and every other unit of the key is linked to
-  each of them through it, so the work is linear in the units. Links between
-  uncertain units hold no evidence of their own: with them, the likeliest
-  labels are the same (tested against exact inference).
+  digits, the same local part of an email). What a unit's certain partners say
+  is a constant, as their labels are known; and all units of a key, certain or
+  not, share a hub: a hidden variable whose value they tend to take. So two
+  uncertain repeats support each other, and the work is linear in the units.
 
 All counts behind the potentials are sums over all documents (``fit``, one
-grouped aggregation with a few hundred cells). Belief propagation runs within
-each document, along its lines from what the hubs say; a unit whose most likely
-label is a kind becomes a span.
-So a number that is no base span on its own is one where the same digits are a
-card or phone elsewhere in the text, however often they repeat. Base spans are always kept.
+grouped aggregation with a few hundred cells). Loopy belief propagation runs
+within each document, along its lines and between units and hubs, both ways
+(tested against sums over all labels); a unit whose most likely label is a
+kind becomes a span. So a number that is no base span on its own is one where
+the same digits are a card or phone elsewhere in the text, however often they
+repeat. Base spans are always kept.
 
 Defined cases: a null text is an empty one, without spans; texts are searched
 whole, however long; repeated rows give repeated results; null ids are kept;
@@ -226,44 +226,63 @@ class Model:
             return float(np.clip(math.log((same + 1) / (other + 1)), least, most))
         self.skip, self.chain = agree("skip", skip_least, skip_most), agree("chain", -chain_most, chain_most)
 
-    def spans(self, text: str, base: list[Span], rounds: int = 30) -> list[Span]:
+    def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Base spans and those that belief propagation adds, ascending."""
         if not base:
             return base  # without a certain unit every unit stays none
         nodes = units(text, base)
         if len(nodes) == len(base):
             return base
-        node = np.array([self.nodes.get(shape(p), self.rare) for *_, p in nodes])
-        for i, (_, _, k, _) in enumerate(nodes):
+        label = beliefs(*self.graph(text, nodes))[:len(nodes)].argmax(1)
+        added = [(s, int(l), e) for (s, e, k, _), l in zip(nodes, label, strict=True) if k == NONE and l != NONE]
+        return sorted([*base, *added])
+
+    def graph(self, text: str, nodes: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The document's random field: log potentials of its variables (the
+        units, then a hub for every key that several units hold, with none of
+        its own), edges and their weights. A skip edge to a certain unit adds a
+        constant, as that unit's label is known; units of a key share the hub."""
+        said = hubs(nodes)
+        held: dict[str, list[int]] = {}
+        for i, (_, _, k, part) in enumerate(nodes):
+            for key in keys_of(k, part):
+                held.setdefault(key, []).append(i)
+        shared = [x for x in held.values() if len(x) > 1]
+        node = np.zeros((len(nodes) + len(shared), NONE + 1))
+        for i, (_, _, k, part) in enumerate(nodes):
             if k != NONE:
                 node[i] = -50.0
                 node[i, k] = 0.0
-        said = hubs(nodes)
-        for i, (_, _, k, part) in enumerate(nodes):
-            if k == NONE:
-                for key in keys_of(k, part):
-                    node[i, :NONE] += self.skip * np.array(said.get(key, [0] * NONE))
-        links = chains(text, nodes)
-        a = np.array([x[0] for x in links] + [x[1] for x in links], "i8")
-        b = np.array([x[1] for x in links] + [x[0] for x in links], "i8")
-        w = np.full(len(a), self.chain)
-        back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-        pair = w[:, None, None] * np.eye(NONE + 1)
-        msg = np.zeros((len(a), NONE + 1))  # from a to b
-        for _ in range(rounds):
-            belief = node.copy()
-            np.add.at(belief, b, msg)
-            out = (belief[a] - msg[back])[:, :, None] + pair
-            new = np.logaddexp.reduce(out, axis=1)
-            new -= new.max(1, keepdims=True)
-            if np.abs(new - msg).max(initial=0) < 1e-6:
-                break
-            msg = 0.5 * msg + 0.5 * new
+                continue
+            node[i] = self.nodes.get(shape(part), self.rare)
+            for key in keys_of(k, part):
+                node[i, :NONE] += self.skip * np.array(said.get(key, [0] * NONE))
+        near = chains(text, nodes)
+        far = [(i, len(nodes) + h) for h, x in enumerate(shared) for i in x]
+        return (node, np.array(near + far, "i8").reshape(-1, 2),
+                np.array([self.chain] * len(near) + [self.skip] * len(far)))
+
+
+def beliefs(node: np.ndarray, links: np.ndarray, weights: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Log marginals (but for a constant) by loopy sum-product messages, both
+    ways over every edge, damped by half; exact where there is no loop."""
+    n = len(links)
+    a, b = np.concatenate((links, links[:, ::-1])).T
+    pair = np.concatenate((weights, weights))[:, None, None] * np.eye(node.shape[1])
+    back = np.concatenate((np.arange(n) + n, np.arange(n)))
+    msg = np.zeros((2 * n, node.shape[1]))  # from a to b
+    belief = node.copy()
+    for _ in range(rounds):
+        out = (belief[a] - msg[back])[:, :, None] + pair
+        new = np.logaddexp.reduce(out, axis=1)
+        new -= new.max(1, keepdims=True)
+        done = np.abs(new - msg).max(initial=0) < 1e-6
+        msg = new if done else 0.5 * msg + 0.5 * new
         belief = node.copy()
         np.add.at(belief, b, msg)
-        label = belief.argmax(1)
-        added = [(s, int(l), e) for (s, e, k, _), l in zip(nodes, label, strict=True) if k == NONE and l != NONE]
-        return sorted([*base, *added])
+        if done:
+            break
+    return belief
 
 
 def joined(spans: list[Span]) -> str:

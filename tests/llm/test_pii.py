@@ -124,3 +124,58 @@ def test_exact_inference_is_that_of_all_labels():
 def test_agreement_counts_all_pairs_of_a_key():
     text = f"{PHONE}\n15551234567\n{PHONE}\n15551234567\n{PHONE}\n"
     assert sum(n for g, c, n in p.cells(text) if (g, c) == ("skip", "same")) == 3
+
+
+def marginals(node, links, weights):
+    """Of all variables, by summing over every assignment."""
+    n, k = node.shape
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        w = math.exp(sum(node[i, x] for i, x in enumerate(labels))
+                     + sum(v for (i, j), v in zip(links, weights) if labels[i] == labels[j]))
+        for i, x in enumerate(labels):
+            out[i, x] += w
+    return out / out.sum(1, keepdims=True)
+
+
+def normal(belief):
+    e = np.exp(belief - belief.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("weight", [0.3, 1.0, 2.5, 5.0])
+def test_messages_through_a_hub_in_doubt_are_exact(weight):
+    """No certain unit, uncertain ones of several shapes: a tree, so marginals
+    are exact, the hub's too, and each unit's evidence reaches the others."""
+    text = "\n".join(["15551234567", "+1 5551234567x", "1-555-123-4567"])
+    nodes = p.units(text, [])
+    model = p.Model({}, skip_least=weight, skip_most=weight)
+    rng = np.random.default_rng(3)
+    node, links, weights = model.graph(text, nodes)
+    assert len(node) == len(nodes) + 1 and len(links) == len(nodes) >= 3
+    node[:len(nodes)] = rng.normal(0, 1, (len(nodes), p.NONE + 1))
+    got, want = normal(p.beliefs(node, links, weights)), marginals(node, links, weights)
+    assert want[-1].max() < 0.9  # the hub is in doubt
+    assert np.abs(got - want).max() < 1e-4
+    node[0, 3] += 3  # evidence of one uncertain unit moves the others
+    moved = normal(p.beliefs(node, links, weights))
+    assert (moved[1:, 3] > got[1:, 3]).all()
+
+
+def test_certain_units_of_two_kinds_leave_the_hub_in_doubt():
+    """A loop (hub and line) and certain units that disagree: the label of each
+    uncertain unit is that of exact inference."""
+    text = "+15551234567 and 15551234567 or 1-555-123-4567\nthen 15551234567"
+    first = p.base_spans(text)
+    assert [k for _, k, _ in first] == [3]
+    for other in (0, 1, 2):  # as if the last one were certain, of another kind
+        base = sorted([*first, (text.rindex("15551234567"), other, len(text))])
+        nodes = p.units(text, base)
+        model = p.Model({}, skip_least=1.5, skip_most=1.5)
+        model.chain = 0.5
+        node, links, weights = model.graph(text, nodes)
+        node = np.maximum(node, -12)
+        assert len(links) > len(node) - 1  # a loop
+        got, want = normal(p.beliefs(node, links, weights)), marginals(node, links, weights)
+        assert (got[:-1].argmax(1) == want[:-1].argmax(1)).all()
+        assert np.abs(got - want).max() < 0.1
