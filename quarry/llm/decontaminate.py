@@ -9,7 +9,10 @@ diagonal: an overlap holds if some window of ``window`` words of the item (the
 whole item, if it is shorter) agrees with the document in at least
 ``min_share`` of its words, whichever words were substituted.
 
-Items shorter than the masks get a solid mask of their own length. Words are
+Both masks miss no overlap of items of 12 words and more. Shorter items get
+masks of their own (``short_masks``): their words are dealt into groups, and
+each mask ignores as many groups as substitutions are allowed, so whichever
+words those are, some mask ignores them all. Words are
 runs of anything but six ASCII white-space characters, with A-Z lower-cased.
 
 Scale: document seeds stream through the join and are never shuffled while
@@ -26,6 +29,8 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,18 @@ from .common import SPACE_CLASS, ascii_lower, saved, table
 
 MASKS = ("11010011", "11100101")
 WINDOW, MIN_SHARE, BROADCAST_SEEDS = 13, 0.8, 500_000
+#: Items below this many words have masks of their own.
+SHORT = 12
+
+
+def short_masks(n: int, min_share: float = MIN_SHARE) -> list[str]:
+    """Masks that together hit an item of ``n`` words wherever the words that
+    may differ are: place i is in group i mod (allowed + 2)."""
+    allowed = max(k for k in range(n) if n - k >= n * min_share or k == 0)
+    groups = min(n, allowed + 2) if allowed else 1
+    out = ["".join("0" if i % groups in ignored else "1" for i in range(n)).strip("0")
+           for ignored in combinations(range(groups), allowed)]
+    return sorted(set(out))
 
 
 def word_list(text: Column) -> Column:
@@ -51,9 +68,13 @@ def mask_seeds(hashes: Column, mask: str) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), seed))
 
 
-def exploded(rows: DataFrame, keys: list[str], masks: tuple[str, ...], at: str) -> DataFrame:
-    """``keys``, ``at`` (place), ``seed`` of all masks, one pass over the rows."""
-    per_mask = F.array(*[F.coalesce(mask_seeds(F.col("hashes"), m), F.array().cast("array<bigint>")) for m in masks])
+def exploded(rows: DataFrame, keys: list[str], masks: dict[str, list[int] | None], at: str) -> DataFrame:
+    """``keys``, ``at`` (place), ``seed`` of all masks, one pass over the rows.
+    A mask with a list of lengths is for rows of so many words alone."""
+    def seeds(mask, lengths):
+        all_ = mask_seeds(F.col("hashes"), mask)
+        return F.coalesce(all_ if lengths is None else F.when(F.size("hashes").isin(lengths), all_), F.array().cast("array<bigint>"))
+    per_mask = F.array(*[seeds(m, n) for m, n in masks.items()])
     e = rows.select(*keys, F.explode(per_mask).alias("seeds"))
     return e.select(*keys, F.posexplode("seeds").alias(at, "seed"))
 
@@ -73,15 +94,18 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     items = items.select("item_id", F.coalesce("text", F.lit("")).alias("item_text")).distinct()
     item_words = items.select("item_id", "item_text", word_list(F.col("item_text")).alias("item"))
-    span = max(map(len, masks))
-    short = [r[0] for r in item_words.select(F.size("item").alias("n")).where(f"n between 1 and {span - 1}")
-             .distinct().orderBy("n").collect()]  # at most span - 1 numbers
-    masks = (*masks, *("1" * n for n in short))
-    item_seeds = saved(exploded(hashed(items, ["item_id", "item_text"], "item_text"), ["item_id", "item_text"], masks,
+    short = [r[0] for r in item_words.select(F.size("item").alias("n")).where(f"n between 1 and {SHORT - 1}")
+             .distinct().orderBy("n").collect()]  # at most SHORT - 1 numbers
+    of_items = {m: None for m in masks}
+    for n in short:
+        for m in short_masks(n, min_share):
+            if of_items.setdefault(m, []) is not None:
+                of_items[m].append(n)
+    item_seeds = saved(exploded(hashed(items, ["item_id", "item_text"], "item_text"), ["item_id", "item_text"], of_items,
                                 "item_at").select(F.xxhash64("item_text").alias("item_hash"), "item_id", "item_at",
                                                   "seed").distinct(), "item-seeds")
     small = item_seeds.count() <= broadcast_seeds
-    seeds = exploded(hashed(docs, ["doc_id", "text_hash"], "text"), ["doc_id", "text_hash"], masks, "doc_at")
+    seeds = exploded(hashed(docs, ["doc_id", "text_hash"], "text"), ["doc_id", "text_hash"], dict.fromkeys(of_items), "doc_at")
     hits = seeds.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     diagonals = (hits.select("doc_id", "text_hash", "item_id", "item_hash",
                              (F.col("doc_at") - F.col("item_at")).alias("doc_start")).distinct())
@@ -136,18 +160,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(masks=MASKS, window=WINDOW) -> str:
     split = ("list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
              "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
-    seeds = lambda t, key: " UNION ALL ".join(
+    every = [(m, None) for m in masks] + [(m, n) for n in range(1, SHORT) for m in short_masks(n)]
+    seeds = lambda t, key, own="": " UNION ALL ".join(
         f"SELECT {key}, {k} AS mask, i, [{', '.join(f'w[i + {p + 1}]' for p in places(m))}] AS seed FROM {t}, "
         f"unnest(generate_series(0, len(w) - {len(m)})) AS u(i) WHERE len(w) >= {len(m)}"
-        for k, m in enumerate((*masks, *("1" * n for n in range(1, max(map(len, masks)))))))
+        + ("" if n is None else f" AND len(w) = {n}" if own else f" AND EXISTS (SELECT 1 FROM bw WHERE len(bw.w) = {n})")
+        for k, (m, n) in enumerate(every))
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 dw AS (SELECT doc_id, text, {split} AS w FROM d),
 b AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
 bw AS (SELECT item_id, text AS item_text, {split} AS w FROM b),
 ds AS ({seeds('dw', 'doc_id, text')}),
-bs AS (SELECT * FROM ({seeds('bw', 'item_id, item_text, len(w) AS n')})
-       WHERE mask < {len(masks)} OR mask - {len(masks)} + 1 IN (SELECT len(w) FROM bw WHERE len(w) < {max(map(len, masks))})),
+bs AS ({seeds('bw', 'item_id, item_text', 'own')}),
 h AS (SELECT DISTINCT doc_id, text, item_id, item_text, ds.i - bs.i AS doc_start
       FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
 a AS (SELECT h.doc_id, h.item_id, h.doc_start, bw.w AS item,

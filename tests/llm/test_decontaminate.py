@@ -1,5 +1,10 @@
+import itertools
 import random
 
+import duckdb
+import pyarrow as pa
+import pytest
+
 from quarry.llm import decontaminate as d
 
 
@@ -7,22 +12,13 @@ def words(t):
     return [w.decode() for w in (t or "").encode().lower().split()]
 
 
-def brute(docs, items, masks=d.MASKS, window=d.WINDOW, share=d.MIN_SHARE):
-    """Every seed of every text against every other, then every window."""
+def brute(docs, items, window=d.WINDOW, share=d.MIN_SHARE):
+    """Every window of every diagonal of every text and item."""
     out = {}
-    lengths = {len(words(t)) for _, t in items}
-    all_masks = [*masks, *("1" * n for n in range(1, 8) if n in lengths)]
     for i, a in docs:
         for k, b in items:
             x, y = words(a), words(b)
-            diagonals = set()
-            for m in all_masks:
-                p = d.places(m)
-                seeds = {}
-                for q in range(len(y) - len(m) + 1):
-                    seeds.setdefault(tuple(y[q + o] for o in p), []).append(q)
-                for r in range(len(x) - len(m) + 1):
-                    diagonals.update(r - q for q in seeds.get(tuple(x[r + o] for o in p), ()))
+            diagonals = range(1 - len(y), len(x)) if y else ()
             for s in diagonals:
                 agree = [0 <= q + s < len(x) and x[q + s] == y[q] for q in range(len(y))]
                 n = min(window, len(y))
@@ -35,13 +31,13 @@ def brute(docs, items, masks=d.MASKS, window=d.WINDOW, share=d.MIN_SHARE):
 def corpus(seed):
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(60)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 7, 8, 13, 30])))) for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13, 30])))) for k in range(24)]
     items += [(50, None), (51, ""), (52, items[3][1]), (None, "v1 v2 v3 v4 v5 v6 v7 v8 v9")]
     docs = []
     for i in range(40):
         w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
         if rng.random() < 0.6:
-            y = words(rng.choice(items[:12])[1])
+            y = words(rng.choice(items[:24])[1])
             y = [rng.choice(vocab) if rng.random() < 0.15 else t for t in y]
             at = rng.randint(0, len(w))
             w[at:at] = y
@@ -80,3 +76,27 @@ def test_empty_tables_and_native_plan(spark, make_docs):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_masks_miss_no_allowed_substitution(n):
+    """Whichever words of an item differ, some mask hits a place without them."""
+    masks = [*d.MASKS, *(d.short_masks(n) if n < d.SHORT else [])]
+    window = min(n, d.WINDOW)
+    allowed = max(k for k in range(window) if window - k >= window * d.MIN_SHARE)
+    for changed in itertools.combinations(range(window), allowed):
+        assert any(not {at + p for p in d.places(m)} & set(changed)
+                   for m in masks for at in range(window - len(m) + 1)), changed
+
+
+def test_sql_finds_short_items_too(spark, make_docs):
+    rows, items = corpus(9)
+    rows = [r for r in rows if r[0] != 102]
+    con = duckdb.connect()
+    for name, cols, data in (("documents", ("doc_id", "text"), rows), ("benchmark", ("item_id", "text"), items)):
+        con.register(name, pa.table({c: pa.array(v, pa.int64() if i == 0 else pa.string()) for i, (c, v) in
+                                     enumerate(zip(cols, zip(*data)))}))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = d.best_overlap(d.overlaps(make_docs(rows), bench))
+    want = con.execute(d.SQL).to_arrow_table().to_pylist()
+    assert sorted(str([r[c] for c in got.columns]) for r in got.collect()) == sorted(str([r[c] for c in got.columns]) for r in want)
