@@ -48,7 +48,7 @@ def test_damaged_archives_are_rows(spark):
         "plain": one, "version 2": two, "members": zipped, "one member": gzip.compress(two), "none": None, "empty": b"",
         "cut": one[:-4], "cut line": one[:at + 5], "text": b"no line feed", "lines": b"a\nb c\nd\n" + one,
         "odd line": one[:at] + b"garbage 1 2\nmore\n" + one[at:], "length": one[:at] + one[at:].replace(b" %d\n" % len(ROWS[1][4]), b" x\n"),
-        "cut member": zipped[:-9], "damaged member": zipped[:second + 12] + b"\xff\xff\xff\xff" + zipped[second + 16:],
+        "cut member": zipped[:-40], "damaged member": zipped[:second + 12] + b"\xff\xff\xff\xff" + zipped[second + 16:],
         "tail": zipped + b"rubbish", "not gzip": w.GZIP + b"\xff" * 30}
     df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "path string, content binary")
     got = {}
