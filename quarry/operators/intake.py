@@ -320,3 +320,23 @@ def registered_keys(resolved: DataFrame) -> DataFrame:
     """Keys registered by NEW and DUPLICATE rows (to seed the next batch)."""
     return (resolved.filter(F.col("status").isin(NEW, DUPLICATE) & F.col("idempotency_key").isNotNull())
             .select("tenant_id", "idempotency_key", "file_id", "duplicate"))
+
+
+def stored_files(resolved: DataFrame) -> DataFrame:
+    """Files stored by NEW rows (to seed the next batch)."""
+    return resolved.filter(F.col("status") == NEW).select("tenant_id", "checksum_sha256", "file_id")
+
+
+def resolve_in_turn(batches: list[DataFrame], sources: DataFrame, max_bytes: int | None = None) -> list[DataFrame]:
+    """I3-I5 over batches that arrive one after another: each one sees the
+    files and keys that all earlier ones stored. Results are materialized (the
+    stored history); a batch's ``seq`` numbers may repeat those of another."""
+    done: list[DataFrame] = []
+    files = keys = None
+    for batch in batches:
+        got = materialize(resolve_uploads(batch, sources, files, keys, max_bytes))
+        done.append(got)
+        new_files, new_keys = stored_files(got), registered_keys(got)
+        files = new_files if files is None else files.unionByName(new_files)
+        keys = new_keys if keys is None else keys.unionByName(new_keys)
+    return done

@@ -62,6 +62,8 @@ def _rules() -> dict[str, dict[str, Column]]:
         "profiling_results": {"confidence": _in("confidence", CONFIDENCE)},
         "entities": {"version": F.col("version") > 0, "status": _in("status", ENTITY_STATUS)},
         "roles": {"status": _in("status", ACTIVE_INACTIVE), "code_nonempty": non_blank(F.col("code"))},
+        "permissions": {"status": _in("status", ACTIVE_INACTIVE), "resource_nonempty": non_blank(F.col("resource")),
+                        "action_nonempty": non_blank(F.col("action"))},
         "tenants": {"status": _in("status", TENANT_STATUS), "name_nonempty": non_blank(F.col("name")),
                     "slug_format": F.col("slug").rlike(SLUG_SHAPE)},
         "memberships": {"status": _in("status", MEMBERSHIP_STATUS)},
@@ -74,11 +76,14 @@ def _rules() -> dict[str, dict[str, Column]]:
 
 # UNIQUE constraints per table.
 UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
+    "sources": [("tenant_id", "id")],
     "source_files": [("tenant_id", "checksum_sha256"), ("tenant_id", "id")],
     "artifacts": [("tenant_id", "storage_provider", "storage_key", "version")],
     "raw_snapshots": [("source_file_id", "snapshot_version"), ("tenant_id", "id")],
     "raw_records": [("snapshot_id", "record_number")],
+    "profiles": [("code",)],
     "profile_versions": [("profile_id", "version")],
+    "rules": [("code",)],
     "rule_versions": [("rule_id", "version")],
     "jobs": [("tenant_id", "idempotency_key"), ("tenant_id", "id")],
     "runs": [("execution_id",), ("tenant_id", "id")],
@@ -86,6 +91,8 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
     "profiling_results": [("run_id",)],
     "entities": [("run_id", "source_record_id", "version")],
     "roles": [("code",)],
+    "permissions": [("resource", "action")],
+    "role_permissions": [("role_id", "permission_id")],
     "tenants": [("slug",)],
     "memberships": [("tenant_id", "user_id")],
     "bases": [("tenant_id", "slug")],
@@ -96,7 +103,8 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
 def _applicable(df: DataFrame, table: str, skip_missing: bool = False) -> dict[str, Column]:
     """The table's CHECKs. A CHECK whose column ``df`` lacks is an error,
     unless the caller says that ``df`` is only a part of the table."""
-    column_of = {"code_nonempty": "code", "name_nonempty": "name", "slug_format": "slug"}
+    column_of = {"code_nonempty": "code", "name_nonempty": "name", "slug_format": "slug",
+                 "resource_nonempty": "resource", "action_nonempty": "action"}
     rules = _rules()[table]
     held = {name: rule for name, rule in rules.items() if column_of.get(name, name) in df.columns}
     if not skip_missing and len(held) < len(rules):
@@ -109,12 +117,16 @@ def check_table(df: DataFrame, table: str, key: str = "id", skip_missing: bool =
     return check_rules(df, table, key, _applicable(df, table, skip_missing))
 
 
-def unique_table(df: DataFrame, table: str) -> DataFrame:
-    """Duplicated keys of every UNIQUE constraint of ``table`` (null parts skipped)."""
+def unique_table(df: DataFrame, table: str, skip_missing: bool = False) -> DataFrame | None:
+    """Duplicated keys of every UNIQUE constraint of ``table`` (null parts
+    skipped); None without a constraint. A constraint whose columns ``df`` lacks
+    is an error, unless the caller says that ``df`` is only a part of the table."""
     out = None
     for keys in UNIQUE_KEYS.get(table, []):
         if not all(k in df.columns for k in keys):
-            continue
+            if skip_missing:
+                continue
+            raise ValueError(f"{table} lacks the columns of its unique key {keys}")
         v = unique_violations(df, list(keys)).select(
             F.lit(table).alias("table"), F.lit(",".join(keys)).alias("constraint"),
             F.to_json(F.struct(*[F.col(k) for k in keys])).alias("key"), "n")

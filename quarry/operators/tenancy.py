@@ -90,3 +90,39 @@ def run_steps(runs: DataFrame, steps: DataFrame, tenant_id: str, run_id: str) ->
 def tenant_steps(runs: DataFrame, steps: DataFrame, tenant_id: str) -> DataFrame:
     """T5 steps of all runs of a tenant (runs filtered first, then a semi-join)."""
     return steps.join(scoped_list(runs, tenant_id).select("run_id"), "run_id", "left_semi")
+
+
+# What a caller may list and what it may get by id.
+LIST_KINDS = ("sources", "source-files")
+GET_KINDS = ("raw", "profiling", "runs", "entities")
+
+
+def read_requests(requests: DataFrame, memberships: DataFrame, items: DataFrame) -> DataFrame:
+    """T5 for many callers at once: ``request_id, status, n_items, body``.
+
+    ``requests``: request_id, user_id, tenant_id, kind, id (of gets).
+    ``items``: kind, tenant_id, id, body, all readable tables in one. A list
+    without a tenant is a VALIDATION_ERROR, a caller without an ACTIVE membership
+    a TENANT_ACCESS_ERROR, a row of another tenant (or none) NOT_FOUND, an
+    unknown kind too. A list answers with the number of its rows: they are
+    counted once per (kind, tenant), not once per request; a get with its row.
+    Ids are unique within (kind, tenant).
+    """
+    r = gated(requests.select("request_id", "user_id", "tenant_id", "kind", "id"), memberships)
+    is_list, is_get = F.col("kind").isin(*LIST_KINDS), F.col("kind").isin(*GET_KINDS)
+    early = (F.when(is_list & F.col("tenant_id").isNull(), F.lit("VALIDATION_ERROR"))
+             .when(~F.col("allowed"), F.lit("TENANT_ACCESS_ERROR"))
+             .when(~is_list & ~is_get, F.lit("NOT_FOUND")))
+    r = r.select("request_id", "tenant_id", "kind", "id", early.alias("refused"))
+    none = F.lit(None).cast("string")
+    refused = r.where("refused IS NOT NULL").select(
+        "request_id", F.col("refused").alias("status"), F.lit(0).cast("long").alias("n_items"), none.alias("body"))
+    live = r.where("refused IS NULL").drop("refused")
+    counts = items.where(is_list).groupBy("kind", "tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    lists = live.where(is_list).join(counts, ["kind", "tenant_id"], "left").select(
+        "request_id", F.lit("OK").alias("status"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), none.alias("body"))
+    rows = items.where(is_get).select("kind", "tenant_id", "id", "body", F.lit(True).alias("found"))
+    gets = live.where(is_get).join(rows, ["kind", "tenant_id", "id"], "left").select(
+        "request_id", F.when(F.col("found"), F.lit("OK")).otherwise(F.lit("NOT_FOUND")).alias("status"),
+        F.when(F.col("found"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_items"), "body")
+    return refused.unionByName(lists).unionByName(gets)

@@ -128,6 +128,39 @@ def q_intake_resolve(spark, sf):
                       "idempotent_replay", "checksum_sha256")
 
 
+@query("intake_history", with_fx(["fx_uploads", "fx_sources"], _RESOLVE_SQL))
+def q_intake_history(spark, sf):
+    """Three batches in turn give what one sequence of all uploads does."""
+    u = fx.uploads(spark, sf)
+    third = (u.agg(F.max("seq")).first()[0] or 0) // 3
+    parts = [u.where(F.col("seq") <= third), u.where((F.col("seq") > third) & (F.col("seq") <= 2 * third)),
+             u.where(F.col("seq") > 2 * third)]
+    out = None
+    for res in intake.resolve_in_turn(parts, fx.sources(spark, sf), intake.MAX_BYTES):
+        res = res.select("seq", "tenant_id", "status", "reason", "file_id", "duplicate", "idempotent_replay", "checksum_sha256")
+        out = res if out is None else out.unionByName(res)
+    return out
+
+
+@query("intake_replay_history", with_fx(["fx_uploads", "fx_sources"], _RESOLVE_CTES + """,
+again AS (
+  SELECT r3.*, kf.key_seq,
+    CASE WHEN NOT key_ok THEN 'REJECTED' WHEN r3.idem_key IS NOT NULL AND kf.key_seq IS NOT NULL THEN 'REPLAY'
+         WHEN NOT source_ok OR policy IS NOT NULL THEN 'REJECTED' ELSE 'DUPLICATE' END AS status,
+    CASE WHEN NOT key_ok THEN 'Invalid Idempotency-Key' WHEN NOT source_ok THEN 'Source not found' ELSE policy END AS why
+  FROM r3 LEFT JOIN kf ON r3.tenant_id = kf.tenant_id AND r3.idem_key = kf.idem_key)
+SELECT a.seq, a.tenant_id, a.status, CASE WHEN a.status = 'REJECTED' THEN a.why END AS reason,
+  CASE a.status WHEN 'REPLAY' THEN c.file_id WHEN 'DUPLICATE' THEN sha256('file|' || a.tenant_id || '|' || a.cs) END AS file_id,
+  CASE a.status WHEN 'REPLAY' THEN c.status = 'DUPLICATE' WHEN 'DUPLICATE' THEN true END AS duplicate,
+  a.status = 'REPLAY' AS idempotent_replay
+FROM again a LEFT JOIN c ON a.status = 'REPLAY' AND a.tenant_id = c.tenant_id AND a.key_seq = c.seq"""))
+def q_intake_replay_history(spark, sf):
+    """The same uploads once more: keys replay, other files are duplicates."""
+    u = fx.uploads(spark, sf)
+    again = intake.resolve_in_turn([u, u], fx.sources(spark, sf), intake.MAX_BYTES)[1]
+    return again.select("seq", "tenant_id", "status", "reason", "file_id", "duplicate", "idempotent_replay")
+
+
 @query("ingest_manifest", with_fx(["fx_uploads", "fx_sources"], _RESOLVE_CTES + """
 SELECT file_id, tenant_id, source_id, n AS original_name, lower(regexp_extract(n, '(\\.[^.]*)$', 1)) AS extension,
   size_bytes, cs AS checksum_sha256, 'VERIFIED' AS status,
@@ -1142,3 +1175,119 @@ def q_with_ids(spark, sf):
         F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("given-"), F.col("o_orderkey").cast("string"))).alias("id"),
         "o_orderkey", "o_custkey")
     return tables.with_ids(o)
+
+
+# ====================================================================== reads of every table, keys of every table
+_ITEMS_SQL = """
+items AS (
+  SELECT 'sources' AS kind, 'n-' || s_nationkey::VARCHAR AS tenant_id, 's-' || s_suppkey::VARCHAR AS id,
+    '{"name":' || to_json(s_name)::VARCHAR || '}' AS body FROM supplier
+  UNION ALL SELECT 'source-files', 'n-' || c_nationkey::VARCHAR, 'f-' || c_custkey::VARCHAR, '{"name":' || to_json(c_name)::VARCHAR || '}' FROM customer
+  UNION ALL SELECT 'raw', 'n-' || (o_custkey % 25)::VARCHAR, o_orderkey::VARCHAR, '{"state":' || to_json(o_orderstatus)::VARCHAR || '}' FROM orders
+  UNION ALL SELECT 'runs', 'n-' || (user_id % 25)::VARCHAR, user_id::VARCHAR, '{"events":' || count(*)::VARCHAR || '}' FROM events GROUP BY user_id
+  UNION ALL SELECT 'profiling', 'n-' || (user_id % 25)::VARCHAR, user_id::VARCHAR, '{"first":' || min(event_id)::VARCHAR || '}' FROM events WHERE user_id % 3 > 0 GROUP BY user_id
+  UNION ALL SELECT 'entities', 'n-' || (p_partkey % 25)::VARCHAR, p_partkey::VARCHAR, '{"name":' || to_json(p_name)::VARCHAR || '}' FROM part),
+requests AS (
+  SELECT event_id AS request_id, 'u-' || (user_id % 200)::VARCHAR AS user_id,
+    CASE WHEN event_id % 31 <> 0 THEN 'n-' || ((user_id + event_id % 2) % 25)::VARCHAR END AS tenant_id,
+    ['sources','source-files','raw','profiling','runs','entities','unknown'][(event_id % 7 + 1)::INT] AS kind, user_id::VARCHAR AS id
+  FROM events)
+"""
+
+
+def _items(spark, sf):
+    t = lambda n: fx.table(spark, sf, n)
+    tenant = lambda c: F.concat(F.lit("n-"), c.cast("string"))
+
+    def rows(df, kind, owner, id_, field, value):
+        body = F.concat(F.lit(f'{{"{field}":'), value, F.lit("}"))
+        return df.select(F.lit(kind).alias("kind"), tenant(owner).alias("tenant_id"), id_.cast("string").alias("id"), body.alias("body"))
+    e = t("events").groupBy("user_id").agg(F.count(F.lit(1)).cast("string").alias("n"), F.min("event_id").cast("string").alias("first"))
+    c = F.col
+    parts = [rows(t("supplier"), "sources", c("s_nationkey"), F.concat(F.lit("s-"), c("s_suppkey").cast("string")), "name", fx.json_string(c("s_name"))),
+             rows(t("customer"), "source-files", c("c_nationkey"), F.concat(F.lit("f-"), c("c_custkey").cast("string")), "name", fx.json_string(c("c_name"))),
+             rows(t("orders"), "raw", c("o_custkey") % 25, c("o_orderkey"), "state", fx.json_string(c("o_orderstatus"))),
+             rows(e, "runs", c("user_id") % 25, c("user_id"), "events", c("n")),
+             rows(e.where("user_id % 3 > 0"), "profiling", c("user_id") % 25, c("user_id"), "first", c("first")),
+             rows(t("part"), "entities", c("p_partkey") % 25, c("p_partkey"), "name", fx.json_string(c("p_name")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("read_requests", with_fx(["fx_memberships"], "WITH " + _ITEMS_SQL + """,
+live AS (SELECT DISTINCT user_id, tenant_id FROM fx_memberships WHERE status = 'ACTIVE'),
+counts AS (SELECT kind, tenant_id, count(*) AS n FROM items GROUP BY ALL),
+r AS (SELECT q.*, l.user_id IS NOT NULL AS allowed, q.kind IN ('sources','source-files') AS is_list
+      FROM requests q LEFT JOIN live l ON q.user_id = l.user_id AND q.tenant_id = l.tenant_id)
+SELECT request_id,
+  CASE WHEN is_list AND r.tenant_id IS NULL THEN 'VALIDATION_ERROR' WHEN NOT allowed THEN 'TENANT_ACCESS_ERROR'
+       WHEN is_list OR i.id IS NOT NULL THEN 'OK' ELSE 'NOT_FOUND' END AS status,
+  CASE WHEN NOT allowed THEN 0 WHEN is_list THEN coalesce(k.n, 0) WHEN i.id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_items,
+  CASE WHEN allowed THEN i.body END AS body
+FROM r LEFT JOIN counts k ON is_list AND r.kind = k.kind AND r.tenant_id = k.tenant_id
+  LEFT JOIN items i ON NOT is_list AND r.kind = i.kind AND r.tenant_id = i.tenant_id AND r.id = i.id"""))
+def q_read_requests(spark, sf):
+    e = fx.table(spark, sf, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    kinds = F.array(*[F.lit(k) for k in (*tenancy.LIST_KINDS, *tenancy.GET_KINDS, "unknown")])
+    requests = e.select(
+        i.alias("request_id"), F.concat(F.lit("u-"), (u % 200).cast("string")).alias("user_id"),
+        F.when(i % 31 != 0, F.concat(F.lit("n-"), ((u + i % 2) % 25).cast("string"))).alias("tenant_id"),
+        F.element_at(kinds, (i % 7 + 1).cast("int")).alias("kind"), u.cast("string").alias("id"))
+    return tenancy.read_requests(requests, fx.memberships(spark, sf), _items(spark, sf))
+
+
+_PERMISSIONS_SQL = """
+permissions AS (
+  SELECT 'p-' || p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 50 = 0 THEN '  ' ELSE p_brand END AS resource,
+    CASE WHEN p_partkey % 70 = 0 THEN '' ELSE 'act-' || (p_partkey % 97)::VARCHAR END AS action,
+    CASE WHEN p_partkey % 90 = 0 THEN 'OLD' ELSE 'ACTIVE' END AS status FROM part)
+"""
+
+
+def _permissions(spark, sf):
+    k = F.col("p_partkey")
+    return fx.table(spark, sf, "part").select(
+        F.concat(F.lit("p-"), k.cast("string")).alias("id"),
+        F.when(k % 50 == 0, F.lit("  ")).otherwise(F.col("p_brand")).alias("resource"),
+        F.when(k % 70 == 0, F.lit("")).otherwise(F.concat(F.lit("act-"), (k % 97).cast("string"))).alias("action"),
+        F.when(k % 90 == 0, F.lit("OLD")).otherwise(F.lit("ACTIVE")).alias("status"))
+
+
+@query("permission_checks", "WITH " + _PERMISSIONS_SQL + """
+SELECT 'permissions' AS "table", 'status' AS rule, count(*) FILTER (WHERE status NOT IN ('ACTIVE','INACTIVE'))::BIGINT AS violations FROM permissions
+UNION ALL SELECT 'permissions', 'resource_nonempty', count(*) FILTER (WHERE length(trim(resource)) = 0) FROM permissions
+UNION ALL SELECT 'permissions', 'action_nonempty', count(*) FILTER (WHERE length(trim(action)) = 0) FROM permissions""")
+def q_permission_checks(spark, sf):
+    return schema_rules.rule_counts(_permissions(spark, sf), "permissions")
+
+
+@query("schema_uniques", with_fx(["fx_memberships", "fx_tenants", "fx_bases", "fx_groups", "fx_config"], "WITH " + _PERMISSIONS_SQL + """,
+found AS (
+  SELECT 'memberships' AS "table", 'tenant_id,user_id' AS "constraint", to_json({'tenant_id': tenant_id, 'user_id': user_id})::VARCHAR AS key FROM fx_memberships
+  UNION ALL SELECT 'tenants', 'slug', to_json({'slug': slug})::VARCHAR FROM fx_tenants
+  UNION ALL SELECT 'bases', 'tenant_id,slug', to_json({'tenant_id': tenant_id, 'slug': slug})::VARCHAR FROM fx_bases
+  UNION ALL SELECT 'groups', 'tenant_id,name', to_json({'tenant_id': tenant_id, 'name': name})::VARCHAR FROM fx_groups
+  UNION ALL SELECT 'permissions', 'resource,action', to_json({'resource': resource, 'action': action})::VARCHAR FROM permissions
+  UNION ALL SELECT 'role_permissions', 'role_id,permission_id',
+    to_json({'role_id': 'r-' || (l_suppkey % 4)::VARCHAR, 'permission_id': 'p-' || l_partkey::VARCHAR})::VARCHAR FROM lineitem
+  UNION ALL SELECT 'profiles', 'code', to_json({'code': profile_id})::VARCHAR FROM fx_config
+  UNION ALL SELECT 'rules', 'code', to_json({'code': rule_version_id})::VARCHAR FROM fx_config WHERE rule_version_id IS NOT NULL
+  UNION ALL SELECT 'sources', 'tenant_id,id', to_json({'tenant_id': lang, 'id': source})::VARCHAR FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT "table", "constraint", key, count(*)::BIGINT AS n FROM found GROUP BY ALL HAVING count(*) > 1"""))
+def q_schema_uniques(spark, sf):
+    cfg, lines, docs = fx.configs(spark, sf), fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "documents")
+    tables_ = {
+        "memberships": fx.memberships(spark, sf), "tenants": fx.tenants(spark, sf), "bases": fx.bases(spark, sf),
+        "groups": fx.groups(spark, sf), "permissions": _permissions(spark, sf),
+        "role_permissions": lines.select(F.concat(F.lit("r-"), (F.col("l_suppkey") % 4).cast("string")).alias("role_id"),
+                                         F.concat(F.lit("p-"), F.col("l_partkey").cast("string")).alias("permission_id")),
+        "profiles": cfg.select(F.col("profile_id").alias("code")), "rules": cfg.select(F.col("rule_version_id").alias("code")),
+        "sources": docs.select(F.col("lang").alias("tenant_id"), F.col("source").alias("id"))}
+    out = None
+    for name, df in tables_.items():
+        part = schema_rules.unique_table(df, name)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -20,7 +20,7 @@ def test_pipeline_outputs_satisfy_schema(spark):
               "entities": (out["entities"], "entity_id"), "runs": (out["runs"], "run_id")}
     for name, (df, key) in tables.items():
         assert sr.check_table(df, name, key, skip_missing=True).count() == 0, name
-        u = sr.unique_table(df, name)
+        u = sr.unique_table(df, name, skip_missing=True)
         assert u is None or u.count() == 0, name
 
 
@@ -39,3 +39,14 @@ def test_a_missing_column_is_an_error(spark):
 
     with pytest.raises(ValueError, match="lacks the columns"):
         sr.check_table(spark.range(1), "source_files")
+    with pytest.raises(ValueError, match="lacks the columns"):
+        sr.unique_table(spark.range(1), "source_files")
+    assert sr.unique_table(spark.range(1), "source_files", skip_missing=True) is None
+
+
+def test_permission_rules(spark):
+    rows = [("1", "files", "read", "ACTIVE"), ("2", "files", "read", "OLD"), ("3", " ", "read", "ACTIVE"), ("4", "files", "", "ACTIVE")]
+    df = spark.createDataFrame(rows, "id string, resource string, action string, status string")
+    got = {r["rule"]: r["violations"] for r in sr.rule_counts(df, "permissions").collect()}
+    assert got == {"status": 1, "resource_nonempty": 1, "action_nonempty": 1}
+    assert [(r["key"], r["n"]) for r in sr.unique_table(df, "permissions").collect()] == [('{"resource":"files","action":"read"}', 2)]
