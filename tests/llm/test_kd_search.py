@@ -55,3 +55,31 @@ def test_propagated_limit_prunes():
     best = k.search(tree, [-1], q, [None], 5)
     limit = (best[2][2], best[2][1])
     assert k.search(tree, [-1], q, [limit], 5) == best[:2] or k.search(tree, [-1], q, [limit], 5)[:2] == best[:2]
+
+
+def test_shards_are_boxes_that_limits_rule_out(spark):
+    """Clusters: shards follow them, most pairs of blocks and shards are never
+    formed, and results stay those of brute force."""
+    rng = random.Random(5)
+    at = [[rng.choice([-20, 20]) + rng.gauss(0, 0.1) for _ in range(4)] for _ in range(16)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in at[i % 16]], "x") for i in range(960)]
+    assert run(spark, rows, shard_rows=40, block_queries=16) == sorted(brute(rows, lambda i: i % 3 == 0, 5))
+    v = k.usable(spark.createDataFrame(rows, S), "vec_id", "embedding")
+    cells = k.cells_of(v, 40)
+    placed = k.dealt(v, cells)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) >= 24 and max(sizes) <= 80 and sum(sizes) == 960
+    trees = k.shard_trees(placed)
+    best = {q: (n, i) for q, r, i, n in brute(rows, lambda i: True, 5) if r == 5}
+    limits = spark.createDataFrame([(q, n, i) for q, (n, i) in best.items()], "id long, limit_score long, limit_id long")
+    later = k.blocks(placed.select("id", "dim", "vec", "cell").join(limits, "id"), 64)
+    assert k.reachable(later, k.box_groups(trees)).count() < later.count() * len(sizes) / 3
+
+
+def test_one_vector_may_hold_a_third_of_all_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, [1.0, 1.0, 1.0] if i % 3 else [rng.gauss(0, 1) for _ in range(3)], "x") for i in range(600)]
+    v = k.usable(spark.createDataFrame(rows, S), "vec_id", "embedding")
+    sizes = [r["count"] for r in k.dealt(v, k.cells_of(v, 50)).groupBy("shard").count().collect()]
+    assert max(sizes) <= 100
+    assert run(spark, rows, shard_rows=50, block_queries=32) == sorted(brute(rows, lambda i: i % 3 == 0, 5))
