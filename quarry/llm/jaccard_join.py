@@ -52,6 +52,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -592,21 +593,24 @@ def candidates(members: DataFrame, classes: DataFrame, few: bool, tasks: int) ->
     """Distinct pairs ``a, b`` of class ids to verify, by signature trees over
     blocks given as ``block_rows``. ``classes``: cid, n, cap, bits, comp."""
     rows = members.join(classes.select("cid", "n", "cap", "bits", "comp"), "cid").withColumn(
-        "part", F.pmod(F.xxhash64("fp", "kind"), F.lit(tasks * 8)))
+        "part", F.pmod(F.xxhash64("fp", "kind"), F.lit(tasks * 32)))
 
     def run(g: pa.Table) -> pa.Table:
-        g = g.sort_by([("kind", "ascending"), ("fp", "ascending"), ("pos", "ascending")])
-        kind, fp, pos, cid, n, cap, bits, comp = (g.column(c).to_pylist() for c in ("kind", "fp", "pos", "cid", "n", "cap", "bits", "comp"))
+        # bitmaps are large: they stay where they are, and a block's are taken in turn
+        order = pc.sort_indices(g.select(["kind", "fp", "pos"]), [("kind", "ascending"), ("fp", "ascending"), ("pos", "ascending")])
+        kind, fp, pos, cid, n, cap, comp = (g.column(c).take(order).to_pylist() for c in ("kind", "fp", "pos", "cid", "n", "cap", "comp"))
+        order, held_bits = order.to_pylist(), g.column("bits")
         out: set[tuple[int, int]] = set()
         s = 0
         for e in range(1, len(fp) + 1):
             if e == len(fp) or (kind[e], fp[e]) != (kind[s], fp[s]):
                 if len(set(comp[s:e])) > 1:
+                    bits = [held_bits[i].as_py() for i in order[s:e]]
                     if e - s == 2:  # a tree of two leaves
-                        if fits_bitmaps(n[s], cap[s], bits[s], n[s + 1], cap[s + 1], bits[s + 1]):
+                        if fits_bitmaps(n[s], cap[s], bits[0], n[s + 1], cap[s + 1], bits[1]):
                             out.add(tuple(sorted(cid[s:e])))
                     else:
-                        out |= block_pairs(cid[s:e], n[s:e], cap[s:e], bits[s:e], comp[s:e], kind[s] == "star", few,
+                        out |= block_pairs(cid[s:e], n[s:e], cap[s:e], bits, comp[s:e], kind[s] == "star", few,
                                            pos[s:e] if kind[s] == "cross" else None)
                 s = e
         pairs = sorted(out)
