@@ -8,7 +8,8 @@ no piece become byte pieces (with byte fallback) or the unknown id, where runs
 of unknown symbols are one id; merged pieces marked unused are split again
 into the pair they came from; user-defined pieces are matched first, longest
 first, and never merged. Decoding joins pieces, reads runs of byte pieces as
-UTF-8 (a malformed byte is U+FFFD) and drops the space put before a text.
+UTF-8 (a malformed byte is U+FFFD) and drops the space put before a text. Every
+text is decoded from its ids.
 
 Where no piece of the vocabulary holds a space mark after another character
 (true of vocabularies trained within words), no merge crosses the start of a
@@ -98,6 +99,10 @@ class Merges:
             elif p.type == UNKNOWN:
                 self.unknown = i
         self.unknown_surface = train.unk_surface if train.HasField("unk_surface") else UNKNOWN_SURFACE
+        #: The bytes that each id decodes to.
+        self.raw = pa.array([bytes([self.bytes[i]]) if i in self.bytes else
+                             (self.unknown_surface if i == self.unknown else p.replace(MARK, " ")).encode()
+                             for i, p in enumerate(self.surface)], pa.binary())
         self.byte_ids = {v: k for k, v in self.bytes.items()} if train.byte_fallback else {}
         self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
         self.part = self._part_pattern() if self.byte_ids and not user else None
@@ -285,8 +290,30 @@ class Merges:
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        text = self._joined(ids)
-        first = next((i for i in ids if i not in self.control), None)
+        return self._unprefixed(self._joined(ids), next((i for i in ids if i not in self.control), None))
+
+    def decode_texts(self, ids: list[str]) -> list[str]:
+        """``decode`` of the ids (decimals joined by commas) of many texts, whose
+        pieces are looked up and joined at once as bytes. Where a text's bytes
+        are UTF-8, so is every run of byte pieces in it; others go id by id."""
+        out = [""] * len(ids)
+        some = [k for k, v in enumerate(ids) if v]
+        cut = pc.split_pattern(pa.array([ids[k] for k in some], pa.string()), ",")
+        numbers = cut.flatten().cast(pa.int32())
+        ends = cut.offsets.to_numpy()
+        if len(numbers) and np.isin(numbers.to_numpy(), list(self.control)).any():  # they part runs of bytes
+            return [self.decode(list(map(int, v.split(",")))) if v else "" for v in ids]
+        joined = pc.binary_join(pa.ListArray.from_arrays(cut.offsets, self.raw.take(numbers)), pa.scalar(b"", pa.binary()))
+        firsts = numbers.take(pa.array(ends[:-1])).to_pylist()
+        for k, raw, first in zip(some, joined.to_pylist(), firsts, strict=True):
+            try:
+                out[k] = self._unprefixed(raw.decode(), first)
+            except UnicodeDecodeError:
+                out[k] = self.decode(list(map(int, ids[k].split(","))))
+        return out
+
+    def _unprefixed(self, text: str, first: int | None) -> str:
+        """A decoded text without the space put before it; ``first``: its first id that is no control."""
         if first is None or not (self.prefix or self.squeeze) or first in self.bytes or first == self.unknown:
             return text
         if self.squeeze:
@@ -385,7 +412,8 @@ def utf8(raw: bytes) -> str:
 class Checked:
     """A vocabulary beside the library's own. Words that a batch brings anew
     are encoded and decoded by both; texts that are not cut into words (or all,
-    with ``whole``) are compared as they are."""
+    with ``whole``) are compared as they are. A text cut into words agrees only
+    if its own ids decode to it."""
 
     def __init__(self, model: bytes, whole: bool = False, memo_parts: int = MEMO_PARTS):
         import sentencepiece
@@ -393,21 +421,22 @@ class Checked:
         self.ours, self.whole, self.wrong = Merges(model, memo_parts), whole, set()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
 
-    def encode_texts(self, texts: list[str]) -> tuple[list[str], list[bool]]:
-        """The ids of every text, and whether the library agrees."""
+    def encode_texts(self, texts: list[str]) -> tuple[list[str], list[bool], list[str]]:
+        """The ids of every text, whether the library agrees, and what the ids decode to."""
         ids = self.ours.encode_texts(texts)
         fresh, self.ours.fresh = self.ours.fresh, []
         theirs = self.library.encode([w for w, _ in fresh], num_threads=1)
         for (word, mine), other, back in zip(fresh, theirs, self.library.decode(theirs) if theirs else [], strict=True):
             if mine != ",".join(map(str, other)) or word != back:
                 self.wrong.add(word)
-        return ids, list(map(self._agrees, texts, ids))
+        decoded = self.ours.decode_texts(ids)
+        return ids, list(map(self._agrees, texts, ids, decoded)), decoded
 
-    def _agrees(self, text: str, ids: str) -> bool:
+    def _agrees(self, text: str, ids: str, decoded: str) -> bool:
         if not self.whole and self.ours.by_words and self.ours.is_plain(text):
-            return not self.wrong or self.wrong.isdisjoint(text.split(" "))
+            return decoded == text and (not self.wrong or self.wrong.isdisjoint(text.split(" ")))
         numbers = list(map(int, ids.split(","))) if ids else []
-        return numbers == self.library.encode(text, num_threads=1) and text_of(self.ours, text, numbers) == self.library.decode(numbers)
+        return numbers == self.library.encode(text, num_threads=1) and decoded == self.library.decode(numbers)
 
 
 _models: dict[tuple, Checked] = {}
@@ -435,8 +464,7 @@ def encode_documents(docs: DataFrame, model: str, keep: bool = False, whole: boo
         for b in (part for batch in batches for part in slices(batch)):
             cols = [[] for _ in types]
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for text, ids, same in zip(texts, *both.encode_texts(texts), strict=True):
-                decoded = text_of(both.ours, text, ids)
+            for ids, same, decoded in zip(*both.encode_texts(texts), strict=True):
                 row = [ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                        hashlib.sha256(decoded.encode()).hexdigest(), same]
                 if keep:
@@ -462,11 +490,8 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 
 def text_of(ours: Merges, text: str, ids: str | Sequence[int]) -> str:
-    """``decode`` of a text's own ids. Where characters that are no piece are
-    written as bytes, what decodes is the normal text, as ids lose nothing."""
-    if ours.by_words:
-        return ours.normal(text).replace(MARK, " ")[1:]
-    return ours.decode([int(i) for i in (ids.split(",") if isinstance(ids, str) else ids) if i != ""])
+    """``decode`` of a text's own ids; ``text`` itself is not looked at."""
+    return ours.decode_texts([ids if isinstance(ids, str) else ",".join(map(str, ids))])[0]
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,30 @@ def test_the_check_sees_a_wrong_word(spark):
     assert both.encode_texts(texts)[1] == [True, False, False, True]
 
 
+def test_texts_are_decoded_from_their_ids():
+    with open(s.model_path(), "rb") as f:
+        raw = f.read()
+    both, lib = s.Checked(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["one two", "one  two", "日本語 ok", "\0é\u2582 😀", " ", ""]
+    assert both.encode_texts(texts) == ([",".join(map(str, lib.encode(t))) for t in texts], [True] * 6,
+                                        [lib.decode(lib.encode(t)) for t in texts])
+    two = both.ours.ids["▁two"]
+    both.ours.raw = pa.array([v if i != two else b" 2" for i, v in enumerate(both.ours.raw.to_pylist())], pa.binary())
+    assert both.encode_texts(texts[:2])[1:] == ([False, False], ["one 2", "one  2"])
+    for given in ("1,2", "", f"{two},7"):  # ids of no text: nothing is taken from one
+        assert s.text_of(s.Merges(raw), "another text", given) == lib.decode(list(map(int, given.split(","))) if given else [])
+
+
+@pytest.mark.parametrize("name", [*MODELS, "production"])
+def test_many_texts_are_decoded_as_one_by_one(name):
+    with open(s.model_path(), "rb") as f:
+        ours = s.Merges(MODELS.get(name) or f.read())
+    rnd = random.Random(2)
+    some = [[rnd.randint(3 if k % 2 else 0, len(ours.surface) - 1) for _ in range(k % 9)] for k in range(3000)]
+    assert ours.decode_texts([",".join(map(str, ids)) for ids in some]) == list(map(ours.decode, some))
+    assert ours.decode_texts([]) == []
+
+
 def test_whole_texts_are_compared(spark, make_docs, edge_rows):
     got = s.encode_documents(make_docs(edge_rows), s.model_path(), whole=True).collect()
     assert len(got) == len(edge_rows) and all(r["agrees"] for r in got)
