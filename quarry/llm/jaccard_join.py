@@ -385,18 +385,44 @@ HELD_SCHEMA = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int3
                          ("sub", pa.list_(pa.int64())), ("high", pa.int32()), ("other", pa.int64())])
 
 
-def sub_blocks(key: int, cid, n, cap, comp, size: int):
+def sub_blocks(key: int, cid, n, cap, comp, size: int, apart: int):
     """Rows of ``HELD_DDL`` for the holders of one shingle in parts of at most
     ``size``: members, the least and greatest set size, the largest cap, and
-    the least and greatest component. Components with many holders come
-    apart (parts inside one meet nowhere), all others by set size."""
+    the least and greatest component. Components with more than ``apart``
+    holders have parts of their own (which meet nowhere), all others come by
+    set size."""
     _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
-    o = np.lexsort((cid, n, np.where(count[at] > size // 4, comp, MARK)))
-    for i in range(0, len(o), size):
-        at = o[i:i + size]
-        members = np.unique(cid[at])
-        yield (key, id_of(members), int(n[at].min()), int(cap[at].max()), int(comp[at].min()), members.tolist(),
-               int(n[at].max()), int(comp[at].max()))
+    own = np.where(count[at] > apart, comp, MARK)
+    o = np.lexsort((cid, n, own))
+    for s, m in zip(*(x.tolist() for x in runs(own[o])), strict=True):
+        for i in range(s, s + m, size):
+            at = o[i:min(i + size, s + m)]
+            members = np.unique(cid[at])
+            yield (key, id_of(members), int(n[at].min()), int(cap[at].max()), int(comp[at].min()), members.tolist(),
+                   int(n[at].max()), int(comp[at].max()))
+
+
+def merged(subs: list, size: int):
+    """The sub-blocks of one shingle (rows of ``HELD_DDL``), of which those of
+    many tasks are small, in fewer of at most ``size``: components with many
+    holders by themselves, all others by set size."""
+    count: dict[int, int] = {}
+    for _, _, _, _, comp, members, _, other in subs:
+        if comp == other:
+            count[comp] = count.get(comp, 0) + len(members)
+    own = [r[4] if r[4] == r[7] and count[r[4]] > size // 4 else MARK for r in subs]
+    some: list = []
+    for k in [*sorted(range(len(subs)), key=lambda k: (own[k], subs[k][2], subs[k][1])), None]:
+        if some and (k is None or own[k] != own[some[0]] or sum(len(subs[i][5]) for i in some) + len(subs[k][5]) > size):
+            if len(some) == 1:
+                yield subs[some[0]]
+            else:
+                key, _, n, cap, comp, members, high, other = zip(*(subs[i] for i in some), strict=True)
+                every = np.unique(np.concatenate([np.array(m, "i8") for m in members]))
+                yield key[0], id_of(every), min(n), max(cap), min(comp), every.tolist(), max(high), max(other)
+            some = []
+        if k is not None:
+            some.append(k)
 
 
 def held(classes: DataFrame, block: int) -> DataFrame:
@@ -430,14 +456,15 @@ def held(classes: DataFrame, block: int) -> DataFrame:
         yield from ((k, c, x, y, z, None, None, None) for k, c, x, y, z in
                     zip(*(v[plain].tolist() for v in (key, cid, n, cap, comp)), strict=True))
         for s, e in zip(starts[m > block].tolist(), (starts + m)[m > block].tolist(), strict=True):
-            yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], SUB * block)
+            yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], SUB * block, block // 4)
     return classes.select("cid", "n", "cap", "comp", "keys").mapInArrow(run, HELD_DDL)
 
 
 def gathered(rows: DataFrame, tasks: int, block: int) -> DataFrame:
     """Rows of ``held`` by shingle: few holders are one block, more of them (or
-    a shingle that has sub-blocks already) become sub-blocks, too. The result
-    has ``HELD_DDL``; a whole block's ``other`` is null."""
+    a shingle that has sub-blocks already) become sub-blocks, too, and small
+    sub-blocks of a shingle one. The result has ``HELD_DDL``; a whole block's
+    ``other`` is null."""
     def run(it):
         got = [b for b in it if b.num_rows]
         if not got:
@@ -447,27 +474,35 @@ def gathered(rows: DataFrame, tasks: int, block: int) -> DataFrame:
     def found(t: pa.Table):
         is_sub = t.column("sub").is_valid().to_numpy()
         key, cid, n, cap, comp = (t.column(c).to_numpy() for c in ("key", "cid", "n", "cap", "comp"))
-        hot = np.unique(key[is_sub])
-        keep = t.filter(pa.array(is_sub))
-        yield from zip(*(keep.column(c).to_pylist() for c in HELD_SCHEMA.names), strict=True)
+        keep = t.filter(pa.array(is_sub)).sort_by("key")
+        hot_keys = np.sort(key[is_sub])
+        hot = np.unique(hot_keys)
+        left = set(hot.tolist())  # whose sub-blocks are all there is
+
+        def merged_with(k: int, more):
+            left.discard(k)
+            x, y = np.searchsorted(hot_keys, k, "left"), np.searchsorted(hot_keys, k, "right")
+            got = keep.slice(x, y - x)
+            return merged([*zip(*(got.column(c).to_pylist() for c in HELD_SCHEMA.names), strict=True), *more], SUB * block)
         o = np.lexsort((cid, key))
         o = o[~is_sub[o]]
         key, cid, n, cap, comp = key[o], cid[o], n[o], cap[o], comp[o]
-        if not len(key):
-            return
         starts, m = runs(key)
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts) if len(key) else np.zeros(0, bool)
         frequent = np.isin(key[starts], hot) | (m > 2 * block)
         done: set[int] = set()
         for s, e, f in zip(starts[mixed | frequent].tolist(), (starts + m)[mixed | frequent].tolist(), frequent[mixed | frequent].tolist(), strict=True):
             if f:
-                yield from sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], SUB * block)
+                size = SUB * block
+                yield from merged_with(int(key[s]), sub_blocks(int(key[s]), cid[s:e], n[s:e], cap[s:e], comp[s:e], size, size // 4))
                 continue
             members = np.unique(cid[s:e])
             fp = id_of(members)
             if fp not in done and 10 * int(cap[s:e].max()) >= 8 * int(n[s:e].min()):
                 done.add(fp)
                 yield int(key[s]), fp, None, None, None, members.tolist(), None, None
+        for k in sorted(left):
+            yield from merged_with(k, [])
     return rows.repartition(tasks, "key").mapInArrow(run, HELD_DDL)
 
 

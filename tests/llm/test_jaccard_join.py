@@ -167,3 +167,22 @@ def test_links_across_sub_blocks(spark, make_docs):
     random.Random(3).shuffle(rows)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.joined(make_docs(rows), block=4).collect()]
     assert sorted(got, key=KEY) == sorted(brute(rows), key=KEY)
+
+
+def test_rows_of_a_shared_shingle_grow_with_its_holders(spark):
+    many, few, parts = 2400, 60, 24
+    comp = [0] * many + [1 + k // 2 for k in range(few)]
+    rows = [(k, 100 + k % 7, 100, c, np.array([5], "u8").tobytes()) for k, c in enumerate(comp)]
+    rows = [rows[i] for p in range(parts) for i in range(p, len(rows), parts)]
+    classes = spark.createDataFrame(rows, "cid bigint, n int, cap int, comp bigint, keys binary").repartition(parts, "n", "cid")
+    found = j.gathered(j.held(classes, 32), 4, 32)
+    got = j.sub_rows(found).collect()
+    assert len(got) <= 3 * len(rows)  # pairs of the tasks' parts would be many times that
+    sides = {}
+    for r in got:
+        sides.setdefault((r["kind"], r["fp"]), ([], []))[r["pos"] if r["kind"] == "cross" else 0].append(r["cid"])
+    met = set()
+    for (kind, _), (a, b) in sides.items():
+        assert len(a) <= 32 * j.SUB and len(b) <= 32 * j.SUB
+        met |= {(min(x, y), max(x, y)) for x in a for y in (b if kind == "cross" else a) if comp[x] != comp[y]}
+    assert met == {(x, y) for x in range(many + few) for y in range(max(x + 1, many), many + few) if comp[x] != comp[y]}
