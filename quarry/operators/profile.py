@@ -21,6 +21,8 @@ before the shuffle, so at most 3 rows per group leave each map task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,24 @@ DOMAIN_PATTERNS = {
 }
 DOMAINS = list(DOMAIN_PATTERNS)
 
+# Places of keys: more than the keys of any record, and below any record number.
+PER_RECORD = Decimal(1 << 31)
+BEFORE_ALL = Decimal(-(1 << 63) - 1)
+
 
 def column_order(records: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
-    """(snapshot, column_name, position) in first-appearance order."""
-    keys = records.select(snapshot, "record_number",
+    """(snapshot, column_name, position) in first-appearance order.
+
+    The place of a key (record number, nulls first, then position) is one
+    number: its minimum is a hash aggregate that combines map-side, whereas a
+    struct's would sort a row per key of every record in the task.
+    """
+    number = F.coalesce(F.col("record_number").cast("decimal(20,0)"), F.lit(BEFORE_ALL))
+    keys = records.select(snapshot, number.alias("number"),
                           F.posexplode(F.json_object_keys("payload")).alias("pos", "column_name"))
-    firsts = keys.groupBy(snapshot, "column_name").agg(F.min(F.struct("record_number", "pos")).alias("first"))
-    w = Window.partitionBy(snapshot).orderBy("first")
+    place = F.col("number") * F.lit(PER_RECORD) + F.col("pos")
+    firsts = keys.groupBy(snapshot, "column_name").agg(F.min(place).alias("first"))
+    w = Window.partitionBy(snapshot).orderBy("first", "column_name")
     return firsts.select(snapshot, "column_name",
                          F.row_number().over(w).cast("long").alias("position"))
 
