@@ -43,6 +43,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ from .shingles import mix, word_hashes
 ORDERS = (1, 2, 3, 4, 6)
 TABLE_BITS = (20, 21, 22, 22, 22)  # of small models in memory (``slots``) alone
 SUB = 8  # parts of a slice of contexts, which are summed one by one
-BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, TRAIN_BYTES = 4 << 20, 4096, 512 << 10, 64 << 20
+BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, PART_DOCS, TRAIN_BYTES = 8 << 20, 16384, 1 << 20, 4096, 64 << 20
 STEP, RATE, FIX_RATE, CLASSES, GATES = 256, 0.02, 0.05, 33, 16
 END = 10
 HELD_OUT, WEIGHT_FOLD, FOLDS = 2, 3, 7
@@ -104,6 +105,16 @@ def rows_of(b: pa.RecordBatch):
         yield tuple(c[i].as_py() for c in b.columns)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed byte place by byte place."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view("u1").reshape(len(x), x.itemsize).T.tobytes())
+
+
+def unpacked_numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(size, -1).T).view(kind).ravel()
+
+
 # --- token counts ----------------------------------------------------------------
 
 def vocabulary(texts: list[bytes], ids: list, slices: int):
@@ -112,7 +123,12 @@ def vocabulary(texts: list[bytes], ids: list, slices: int):
     place among them and its document."""
     hashes, per_doc = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), per_doc)
-    distinct, place = np.unique(hashes, return_inverse=True)
+    # told apart by their high bits, which fit 64 bits with places, unless two hashes share those
+    low = _U(max(len(hashes) - 1, 0).bit_length())
+    one, place = distinct_of(hashes >> low)
+    distinct = hashes[one]
+    if not np.array_equal(distinct[place], hashes):
+        distinct, place = np.unique(hashes, return_inverse=True)
     train = np.array([fold(i) != HELD_OUT for i in ids], bool)
     uses = np.bincount(place[train[doc]], minlength=len(distinct))
     part = (distinct >> _U(33)).astype("i8") % slices
@@ -130,7 +146,7 @@ def token_counts(blocks: DataFrame, slices: int) -> tuple[DataFrame, int, int]:
             for name, ids, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 h, part, uses, _, _ = vocabulary(unpacked(raw), ids, slices)
                 cuts = np.searchsorted(part, np.arange(slices + 1))
-                out = [(s, name, h[x:y].tobytes(), uses[x:y].astype("<u4").tobytes())
+                out = [(s, name, packed(np.diff(h[x:y], prepend=_U(0))), packed(uses[x:y].astype("<u4")))
                        for s, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
                 if out:
                     yield pa.RecordBatch.from_arrays(
@@ -139,14 +155,14 @@ def token_counts(blocks: DataFrame, slices: int) -> tuple[DataFrame, int, int]:
 
     def total(g: pa.Table) -> pa.Table:
         blocks_, hashes, uses = (g.column(c).to_pylist() for c in ("block", "hashes", "uses"))
-        h = np.frombuffer(b"".join(hashes), _U)
-        distinct, place = np.unique(h, return_inverse=True)
-        c = np.bincount(place, np.frombuffer(b"".join(uses), "<u4"), len(distinct)).astype("i8")
-        cuts = np.cumsum([0, *(len(x) // 8 for x in hashes)])
-        packed = [c[place[x:y]].astype("<u8").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+        every = [np.cumsum(unpacked_numbers(x, "<u8"), dtype=_U) for x in hashes]
+        distinct, place = np.unique(np.concatenate(every), return_inverse=True)
+        c = np.bincount(place, np.concatenate([unpacked_numbers(x, "<u4") for x in uses]), len(distinct)).astype("i8")
+        cuts = np.cumsum([0, *map(len, every)])
+        counts = [packed(c[place[x:y]].astype("<u8")) for x, y in zip(cuts, cuts[1:], strict=False)]
         n = len(blocks_)
         return pa.table({"block": pa.array([*blocks_, ""], pa.string()), "slice": pa.array([g.column("slice")[0].as_py()] * (n + 1), pa.int32()),
-                         "counts": pa.array([*packed, None], pa.binary()),
+                         "counts": pa.array([*counts, None], pa.binary()),
                          "distinct": pa.array([0] * n + [int((c > 0).sum())], pa.int64()),
                          "uses": pa.array([0] * n + [int(c.sum())], pa.int64())})
     sent = blocks.select("block", "ids", "texts").mapInArrow(send, "slice int, block string, hashes binary, uses binary")
@@ -210,11 +226,11 @@ def contexts(x: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 
 def parts(texts: list[bytes]) -> list[list[int]]:
-    """Text numbers in groups of bounded bytes, longer texts first, so that
-    texts of a group have similar lengths."""
+    """Text numbers in groups of bounded bytes and texts, longer texts first,
+    so that texts of a group have similar lengths."""
     out, size = [], 0
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        if not out or size >= PART_BYTES:
+        if not out or size >= PART_BYTES or len(out[-1]) >= PART_DOCS:
             out.append([])
             size = 0
         out[-1].append(i)
@@ -255,74 +271,127 @@ def byte_code(blocks: DataFrame) -> Code:
 
 
 def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct numbers and each one's place among them (as
-    ``np.unique``, in less memory)."""
-    order = np.argsort(x)
-    x = x[order]
-    new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
-    place = np.empty(len(x), "i4")
+    """The first place of each distinct number, in their order, and each
+    number's place among them (as ``np.unique``; numbers are sorted with their
+    places in their low bits, which takes a fraction of the time)."""
+    n = len(x)
+    low = max(n - 1, 0).bit_length()
+    if int(x.max(initial=0)).bit_length() + low <= 64:
+        s = (x << _U(low)) | np.arange(n, dtype=_U)
+        s.sort()
+        order = (s & _U((1 << low) - 1)).astype("i8")
+        s >>= _U(low)
+    else:
+        order = np.argsort(x, kind="stable")
+        s = x[order]
+    new = np.ones(n, bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    place = np.empty(n, "i4")
     place[order] = np.cumsum(new, dtype="i4") - 1
-    return x[new], place
+    return order[new], place
+
+
+def numbered(x: np.ndarray) -> np.ndarray:
+    """The number of each one's value, of sorted ``x``."""
+    new = np.zeros(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.cumsum(new, dtype="u8")
 
 
 class Grams:
     """A block's contexts of every order with the byte that follows each: the
-    distinct ones in order of (part, key), and each byte's place among them. A
-    key has the order, the context (nearest byte first) and the byte's rank."""
+    distinct ones in order of (part, order, key). A key has the order, the
+    context (nearest byte first) and the byte's rank."""
 
     def __init__(self, texts: list[bytes], code: Code, parts_: int, trains: list[bool] | None = None):
-        self.code = code
-        self.x = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+        self.code, self.texts = code, texts
         self.sizes = np.array([len(t) + 1 for t in texts], "i8")
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        since = np.arange(len(self.x), dtype="i4") - np.repeat(self.starts.astype("i4"), self.sizes)
-        top = max(ORDERS)
-        key = code.rank[self.x]
-        for k in range(1, top + 1):
-            before = np.full(len(self.x), END, np.uint8)
-            before[k:] = self.x[:-k] if k <= len(self.x) else 0
-            before[since < k] = END
-            key |= before.astype(_U) << _U(8 * (top - k + 1))
-        del before, since
-        uses, keys, counts, places = None, [], [], []
+        s = self.keys_of(range(len(texts)))[1]
+        s <<= _U(1)
+        if trains is not None:
+            s |= np.repeat(np.asarray(trains, bool), self.sizes)
+        s.sort()
+        new = np.ones(len(s), bool)
+        for i in range(1, len(s), 1 << 20):
+            np.greater(s[i:i + (1 << 20)] ^ s[i - 1:i - 1 + (1 << 20)][:len(s) - i], 1, out=new[i:i + (1 << 20)])
+        first = np.flatnonzero(new)
+        uses = np.add.reduceat(s.view("u1")[::8] & np.uint8(1), first, dtype="u4") if len(s) else np.zeros(0, "u4")
+        key = s[first] >> _U(1)
+        del s, new, first
+        #: The distinct contexts of the highest order with their bytes.
+        self.top = key
+        keys, counts, place, places = [], [], None, []
         for k in sorted(ORDERS, reverse=True):  # each from the distinct ones of the order above
-            key, place = distinct_of(key)
-            if trains is not None:
-                uses = (np.bincount(place[np.repeat(trains, self.sizes)], minlength=len(key)) if uses is None
-                        else np.bincount(place, uses, len(key)))
-                counts.append(uses.astype("u4"))
-            places.append(place if not places else place[places[-1]])
             keys.append(key | _U(k << 56))
+            counts.append(uses)
+            places.append(place)
             lower = max((o for o in ORDERS if o < k), default=k)
-            key = (key >> _U(8 + 8 * (k - lower))) << _U(8) | key & _U(255)
+            if lower < k:
+                key = (key >> _U(8 + 8 * (k - lower)) << _U(8)) | key & _U(255)
+                one, up = distinct_of(numbered(key >> _U(8)) << _U(8) | key & _U(255))
+                key, uses = key[one], np.bincount(up, uses, len(one)).astype("u4")
+                place = up if place is None else up[place]
         first = np.cumsum([0, *map(len, keys)])
         every = np.concatenate(keys)
-        del key, keys, place
-        part = ((mix(every >> _U(8)) >> _U(33)) % _U(parts_)).astype("u4")
+        del key, keys
+        part = ((mix(every >> _U(8)) >> _U(33)) % _U(parts_)).astype("u2" if parts_ <= 1 << 16 else "u4")
         order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), "i4")
-        back[order] = np.arange(len(order), dtype="i4")
-        self.places = [back[first[i]:first[i + 1]][p] for i, p in enumerate(places)][::-1]  # as ``ORDERS``
-        del back, places
         every = every[order]
         lengths = code.length[code.ranked[(every & _U(255)).astype("u1")]]
-        self.at = np.cumsum(lengths, dtype="i8") - lengths
+        at = np.empty(len(order), "i4" if lengths.sum(dtype="i8") < 1 << 31 else "i8")
+        at[order] = np.cumsum(lengths, dtype="i8") - lengths
+        #: Per order, where the log odds of each of ``top`` begin.
+        self.at = [at[first[i]:first[i + 1]] if p is None else at[first[i]:first[i + 1]][p] for i, p in enumerate(places)][::-1]
         if trains is not None:
             self.keys, self.part, self.uses = every, part[order], np.concatenate(counts)[order]
 
+    def keys_of(self, some) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts ``some`` and the key of the highest order of each."""
+        raw = b"".join([bytes([END]) * 8, *(self.texts[i] + b"\n" for i in some)])
+        x = np.frombuffer(raw, "u1")[8:]
+        key = np.ndarray((len(x),), "<u8", raw, strides=(1,)) >> _U(16)  # the six bytes before each one
+        sizes = self.sizes[some]
+        starts = np.cumsum(sizes) - sizes
+        for since in range(max(ORDERS)):  # back to its text's begin alone
+            at = starts[sizes > since] + since
+            low = _U((1 << 8 * (6 - since)) - 1)
+            key[at] = key[at] & ~low | _U(END * 0x010101010101) & low
+        key <<= _U(8)
+        for i in range(0, len(x), 1 << 20):
+            key[i:i + (1 << 20)] |= self.code.rank[x[i:i + (1 << 20)]]
+        return x, key
+
     def bits(self, some: list[int], odds: np.ndarray):
         """Of texts ``some``: per order and bit the log odds, the bits' values,
         and the place of each text's first bit (with the total at the end)."""
-        sizes = self.sizes[some]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[some] - (ends - sizes), sizes) + np.arange(ends[-1])
-        x = self.x[at]
-        byte, _, bit = self.code.expand(x)
-        n = self.code.length[x]
-        bits_before = np.concatenate(([0], np.cumsum(n, dtype="i8")))
-        depth = np.arange(len(bit)) - bits_before[:-1][byte]
-        found = np.stack([odds[self.at[p[at]][byte] + depth] for p in self.places])
-        return found, bit, bits_before[np.concatenate(([0], ends))]
+        x, key = self.keys_of(some)
+        # told apart by the four nearest bytes first: those and their places fit 64 bits
+        _, near = distinct_of(key >> _U(24))
+        one, place = distinct_of(near.astype(_U) << _U(24) | key & _U(0xFFFFFF))
+        found = np.searchsorted(self.top, key[one])
+        begin = [at[found] for at in self.at]
+        del key, near, one, found
+        eight = np.concatenate((odds, np.zeros(8, "i1")))
+        eight = np.ndarray((len(odds) + 1,), "<u8", eight, strides=(1,))  # the eight log odds from each place on
+        eight = [eight[at] for at in begin]
+        length = self.code.length[x]
+        before = np.concatenate(([0], np.cumsum(length, dtype="i8")))
+        bit, out = np.empty(before[-1], "u1"), np.empty((len(ORDERS), before[-1]), "i1")
+        for i in range(0, len(x), 1 << 15):  # few at once, which stay near the processor
+            n = length[i:i + (1 << 15)]
+            first = before[i:i + len(n)] - before[i]
+            y = np.arange(n.sum())
+            here = slice(before[i], before[i] + len(y))
+            np.take(self.code.bits, y + np.repeat(self.code.first[x[i:i + (1 << 15)]] - first, n), out=bit[here], mode="clip")
+            y += np.repeat(np.arange(len(n)) * 8 - first, n)
+            for o, e in zip(out, eight, strict=True):
+                np.take(e.take(place[i:i + (1 << 15)]).view("i1"), y, out=o[here], mode="clip")
+        long = np.flatnonzero(length > 8)  # of paths longer than that the rest
+        n = length[long] - 8
+        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 8
+        for o, at in zip(out, begin, strict=True):
+            o[np.repeat(before[long], n) + y] = odds[np.repeat(at[place[long]], n) + y]
+        return out, bit, before[np.concatenate(([0], np.cumsum(self.sizes[some])))]
 
 
 def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -347,28 +416,17 @@ def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndar
     return out, begin
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of numbers by place, which compress better."""
-    return x.view("u1").reshape(len(x), x.itemsize).T.tobytes()
-
-
-def unplaned(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).ravel()
-
-
 def context_odds(blocks: DataFrame, code: Code, slices: int) -> DataFrame:
     """``block, slice, odds``: the log odds (``path_odds``) of the block's
     contexts in their order, packed by part, from the counts of all training
     documents that do not fit weights."""
     def send(it):
-        pack = zstandard.ZstdCompressor(level=1)
         for b in it:
             for name, ids, raw in rows_of(b):
                 g = Grams(unpacked(raw), code, slices * SUB, [fold(i) not in (HELD_OUT, WEIGHT_FOLD) for i in ids])
                 cuts = np.searchsorted(g.part, np.arange(slices * SUB + 1)).tolist()
-                keys = [pack.compress(planes(np.diff(g.keys[x:y], prepend=_U(0)))) for x, y in zip(cuts, cuts[1:], strict=False)]
-                uses = [pack.compress(planes(g.uses[x:y].astype("<u4"))) for x, y in zip(cuts, cuts[1:], strict=False)]
+                keys = [packed(np.diff(g.keys[x:y], prepend=_U(0))) for x, y in zip(cuts, cuts[1:], strict=False)]
+                uses = [packed(g.uses[x:y].astype("<u4")) for x, y in zip(cuts, cuts[1:], strict=False)]
                 for s in range(slices):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([s], pa.int32()), pa.array([name], pa.string()),
@@ -376,14 +434,14 @@ def context_odds(blocks: DataFrame, code: Code, slices: int) -> DataFrame:
                          pa.array([uses[s * SUB:(s + 1) * SUB]], pa.list_(pa.binary()))], ["slice", "block", "keys", "uses"])
 
     def total(g: pa.Table) -> pa.Table:
-        read, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1)
         keys, uses = g.column("keys").to_pylist(), g.column("uses").to_pylist()
         out: list[list[bytes]] = [[] for _ in keys]
         for s in range(SUB):
-            every = [np.cumsum(unplaned(read.decompress(k[s]), "<u8"), dtype=_U) for k in keys]
+            every = [np.cumsum(unpacked_numbers(k[s], "<u8"), dtype=_U) for k in keys]
             cuts = np.cumsum([0, *map(len, every)]).tolist()
             distinct, place = np.unique(np.concatenate(every), return_inverse=True)
-            n = np.concatenate([unplaned(read.decompress(u[s]), "<u4") for u in uses])
+            n = np.concatenate([unpacked_numbers(u[s], "<u4") for u in uses])
             odds, begin = path_odds(distinct, np.bincount(place, n, len(distinct)), code)
             length = np.diff(np.append(begin, len(odds)))
             for o, x, y in zip(out, cuts, cuts[1:], strict=False):
@@ -421,68 +479,82 @@ class Mixer:
         from its own start; with ``shared`` (for fitting) all go on from the
         same weights instead, which keep what they learnt."""
         gate = ((odds[2] != 0) + 2 * (odds[3] != 0).astype("u1") + 4 * (odds[4] != 0).astype("u1")
-                + 8 * (np.abs(odds[4].astype("i2")) > 32).astype("u1")).astype("i4")
-        count = len(first) - 1
+                + 8 * (np.abs(odds[4].astype("i2")) > 32).astype("u1")).astype("u1")
+        sign = 2 * bit.astype("i1") - np.int8(1)
+        count, n = len(first) - 1, len(ORDERS)
         lanes = 1 if shared else count
-        w = np.tile(self.weights, (lanes, 1))  # (lane, gate) rows
-        fix = np.tile(self.fixes, (lanes, 1)).ravel()
-        bits, sizes, n = np.zeros(count), np.diff(first), len(ORDERS)
+        w = np.tile(self.weights, (lanes, 1)).T.copy()  # (input, lane and gate)
+        fix = np.tile(self.fixes, (lanes, 1))
+        bits, sizes, unit = np.zeros(count), np.diff(first), np.float32(1 / 16)
         for s in range(0, int(sizes.max(initial=0)), STEP):
             live = np.flatnonzero(sizes > s)
             size = np.minimum(sizes[live] - s, STEP)
             ends = np.cumsum(size)
             j = np.repeat(first[live] + s - (ends - size), size) + np.arange(ends[-1])
-            text = np.repeat(live, size)
-            x = odds[:, j].astype("f4") * np.float32(1 / 16)
-            y = bit[j].astype("f4")
-            row = gate[j] if shared else text * GATES + gate[j]
-            z = w[:, n].take(row)
+            # a step's bits in order of (text, gate): each such row of weights has one run
+            cell = gate.take(j)
+            if not shared:
+                cell = np.repeat(np.arange(len(live), dtype="u2" if len(live) * GATES <= 1 << 16 else "i8") * GATES, size) + cell
+            order = np.argsort(cell, kind="stable")
+            j, cell = j[order], cell[order]
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            runs = np.diff(np.append(starts, len(j)))
+            row = cell[starts].astype("i8")
+            if not shared:
+                row = live[row // GATES] * GATES + row % GATES
+            x = [o.take(j).astype("f4") for o in odds]
+            z = np.repeat(w[n, row], runs)
             for k in range(n):
-                z += w[:, k].take(row) * x[k]
-            cell = row * CLASSES + np.clip(np.rint(z * 2) + CLASSES // 2, 0, CLASSES - 1).astype("i4")
-            z = np.clip(z + fix.take(cell), -16, 16)
-            bits += np.bincount(text, np.logaddexp(0, np.where(y > 0, -z, z)), count)
-            err = y - 1 / (1 + np.exp(-z))
+                z += np.repeat(w[k, row] * unit, runs) * x[k]
+            cell = np.repeat(np.arange(len(row), dtype="i4") * CLASSES, runs)
+            cell += np.clip(np.rint(z * 2) + CLASSES // 2, 0, CLASSES - 1).astype("i4")
+            z += fix[row].ravel().take(cell)
+            y = sign.take(j).astype("f4")
+            e = np.exp(-y * np.clip(z, -16, 16))
+            cost = np.log(1 + e.astype("f8"))
+            if shared:
+                bits += np.bincount(np.repeat(live, size)[order], cost, count)
+            else:
+                bits[live] += np.add.reduceat(cost, ends - size)
+            err = y * (e / (1 + e))
             # a step's mean gradient, times what its number of bits is worth
-            rows = np.bincount(row, minlength=len(w))
-            scale = (RATE * np.sqrt(rows) / np.maximum(rows, 1)).astype("f4")
+            scale = (RATE / np.sqrt(runs)).astype("f4")
             for k in range(n):
-                w[:, k] += scale * np.bincount(row, err * x[k], len(w)).astype("f4")
-            w[:, n] += scale * np.bincount(row, err, len(w)).astype("f4")
-            cells = np.bincount(cell, minlength=len(fix))
-            fix += (FIX_RATE * np.bincount(cell, err, len(fix)) / (cells + 8)).astype("f4")
+                w[k, row] += scale * unit * np.add.reduceat(err * x[k], starts)
+            w[n, row] += scale * np.add.reduceat(err, starts)
+            # counts and sums of errors (each below 1) in one number
+            both = np.bincount(cell, err.astype("f8") + 16384, len(row) * CLASSES).reshape(-1, CLASSES)
+            cells = np.rint(both / 16384)
+            fix[row] += (FIX_RATE * (both - cells * 16384) / (cells + 8)).astype("f4")
         if shared:
-            self.weights, self.fixes = w, fix.reshape(GATES, CLASSES)
+            self.weights, self.fixes = w.T.copy(), fix
         return bits / math.log(2)
 
 
-def fit_mixer(looked: DataFrame, code: Code, slices: int, tasks: int) -> Mixer:
+def fit_mixer(looked: RDD, code: Code, slices: int, tasks: int) -> Mixer:
     """Weights and corrections fitted online on the weight fold: each task
     learns in turn from its texts, and the tasks' results are averaged by bits."""
     def run(it):
         m, bits = Mixer(), 0
-        for b in it:
-            for ids, raw, got in rows_of(b):
-                mine = [i for i, d in enumerate(ids) if fold(d) == WEIGHT_FOLD]
-                if not mine:
-                    continue
-                texts = unpacked(raw)
-                g, odds = Grams(texts, code, slices * SUB), whole(got)
-                for part in parts([texts[i] for i in mine]):
-                    for k in range(0, len(part), 16):
-                        some = [mine[i] for i in part[k:k + 16]]
-                        m.mixed(*g.bits(some, odds), shared=True)
-                        bits += int(g.sizes[some].sum())
-                del g, odds  # before the next block's
-        flat = np.concatenate((m.weights.ravel(), m.fixes.ravel())).astype("f8") * bits
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(flat)), -1]), pa.array([*flat, float(bits)])], ["place", "v"])
-    got = (looked.select("ids", "texts", "odds").coalesce(tasks).mapInArrow(run, "place bigint, v double")
-           .groupBy("place").agg(F.sum("v").alias("v")).collect())  # a fixed number of sums
-    v = {r["place"]: r["v"] for r in got}
-    if not v.get(-1):
-        return Mixer()
+        for ids, raw, got, _ in it:
+            mine = [i for i, d in enumerate(ids) if fold(d) == WEIGHT_FOLD]
+            if not mine:
+                continue
+            texts = unpacked(raw)
+            g, odds = Grams(texts, code, slices * SUB), whole(got)
+            for part in parts([texts[i] for i in mine]):
+                found, bit, first = g.bits([mine[i] for i in part], odds)
+                for k in range(0, len(part), 16):
+                    cut = first[k:k + 17]
+                    m.mixed(found[:, cut[0]:cut[-1]], bit[cut[0]:cut[-1]], cut - cut[0], shared=True)
+                bits += sum(len(texts[mine[i]]) + 1 for i in part)
+            del g, odds, found  # before the next block's
+        yield np.concatenate((m.weights.ravel(), m.fixes.ravel(), [1])).astype("f8") * bits
     n = GATES * (len(ORDERS) + 1)
-    flat = np.array([v[i] / v[-1] for i in range(len(v) - 1)], "f4")
+    got = looked.coalesce(tasks).mapPartitions(run).treeAggregate(np.zeros(n + GATES * CLASSES + 1), np.add, np.add)
+    if not got[-1]:
+        return Mixer()
+    flat = (got[:-1] / got[-1]).astype("f4")
     return Mixer(flat[:n].reshape(GATES, -1).copy(), flat[n:].reshape(GATES, CLASSES).copy())
 
 
@@ -504,34 +576,29 @@ def scores(docs: DataFrame) -> DataFrame:
     odds = context_odds(blocks, code, slices).groupBy("block").agg(F.collect_list(F.struct("slice", "odds")).alias("odds"))
     per_block = counts.groupBy("block").agg(F.collect_list(F.struct("slice", "counts")).alias("counts"))
     looked = blocks.select("block", "ids", "texts").join(odds, "block").join(per_block, "block", "left")
-    looked = saved(looked.select("ids", "texts", "odds", "counts"), "blocks-with-counts")  # once for fitting and scoring
+    looked = looked.select("ids", "texts", "odds", "counts").rdd  # shuffled once for fitting and scoring, and stored no second time
     mixer = fit_mixer(looked, code, slices, tasks)
 
     def run(it):
-        for b in it:
-            for ids, raw, packed, got in rows_of(b):
-                texts = unpacked(raw)
-                _, _, _, place, doc = vocabulary(texts, ids, slices)
-                c = np.frombuffer(b"".join(x["counts"] for x in once_each(got or [])), "<u8")[place]
-                k = len(texts)
-                tokens = np.bincount(doc, minlength=k) + 1
-                known = np.bincount(doc, c > 0, k).astype("i8") + (train_docs > 0)
-                base = (np.bincount(doc, np.log10(c + 1.0), k) + math.log10(train_docs + 1)
-                        - tokens * math.log10(n + v + 1))
-                bits = np.zeros(k)
-                g, found = Grams(texts, code, slices * SUB), whole(packed)
-                for part in parts(texts):
-                    bits[part] = mixer.mixed(*g.bits(part, found))
-                del g, found  # before the next block's
-                size = np.array([len(t) + 1 for t in texts], "i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([fold(i) == HELD_OUT for i in ids]), pa.array(tokens.astype("i8")),
-                     pa.array(known), pa.array(np.full(k, n, "i8")), pa.array(base), pa.array(-bits * math.log10(2)),
-                     pa.array(size), pa.array(bits / size)], SCORE_NAMES)
-    return looked.mapInArrow(run, SCORE_DDL)
-
-
-SCORE_NAMES = [c.split()[0] for c in SCORE_DDL.split(", ")]
+        for ids, raw, found, got in it:
+            texts = unpacked(raw)
+            _, _, _, place, doc = vocabulary(texts, ids, slices)
+            c = np.concatenate([np.zeros(0, "<u8"), *(unpacked_numbers(x["counts"], "<u8") for x in once_each(got or []))])[place]
+            k = len(texts)
+            tokens = np.bincount(doc, minlength=k) + 1
+            known = np.bincount(doc, c > 0, k).astype("i8") + (train_docs > 0)
+            base = (np.bincount(doc, np.log10(c + 1.0), k) + math.log10(train_docs + 1)
+                    - tokens * math.log10(n + v + 1))
+            del c, place, doc
+            bits = np.zeros(k)
+            g, odds = Grams(texts, code, slices * SUB), whole(found)
+            for part in parts(texts):
+                bits[part] = mixer.mixed(*g.bits(part, odds))
+            del g, odds  # before the next block's
+            size = np.array([len(t) + 1 for t in texts], "i8")
+            yield from zip(ids, [fold(i) == HELD_OUT for i in ids], tokens.tolist(), known.tolist(), [n] * k, base.tolist(),
+                           (-bits * math.log10(2)).tolist(), size.tolist(), (bits / size).tolist(), strict=True)
+    return docs.sparkSession.createDataFrame(looked.mapPartitions(run), SCORE_DDL, verifySchema=False)
 
 
 def sum_of(blocks: DataFrame, holds) -> int:

@@ -1,12 +1,13 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from quarry.llm import context_mixing as m
-from quarry.llm.common import table
+from quarry.llm.common import shared_dir, table
 
 
 def tokens(text):
@@ -143,3 +144,72 @@ def test_held_out_bits_fall_as_training_grows(spark):
         bits.append(r.selectExpr("-sum(score) / log10(2) / sum(n_bytes)").first()[0])
     print(bits)
     assert bits[0] > bits[1] > bits[2]
+
+
+def stored(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def test_log_odds_are_not_stored_a_second_time(spark, make_docs):
+    """Shuffles hold the looked-up log odds; beside them only texts and token counts are stored."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 20_000)))) for i in range(40)]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = stored(folder)
+    assert m.scores(make_docs(rows)).count() == len(rows)
+    assert stored(folder) - before < sum(len(t) for _, t in rows)
+
+
+def test_blocks_share_what_many_texts_hold(spark, make_docs):
+    """Contexts that texts have in common are sent and looked up once for many texts: here those of 8 MB."""
+    text = "".join(map(chr, np.random.default_rng(3).integers(97, 123, 100_000)))
+    blocks = m.saved(m.text_blocks(make_docs([(i, text) for i in range(80)]).coalesce(1)), "text-blocks")
+    assert blocks.count() == 1
+    code = m.byte_code(blocks)
+    packed = m.context_odds(blocks, code, 2).selectExpr("aggregate(odds, 0, (n, x) -> n + length(x)) AS n").groupBy().sum("n").first()[0]
+    assert packed < 5 * 5 * len(text)  # at most five orders of about five bits a byte, of one text
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_mixing_is_that_of_the_plain_rule(shared):
+    """Against a version bit by bit, with steps of many gates, classes and lengths."""
+    rng = np.random.default_rng(4)
+    first = np.cumsum([0, 700, 3, 256, 1])
+    bit = rng.integers(0, 2, first[-1]).astype("u1")
+    odds = rng.integers(-127, 128, (5, first[-1])).astype("i1") * (rng.random((5, first[-1])) < 0.6)
+    mixer = m.Mixer()
+    got = mixer.mixed(odds.astype("i1"), bit, first, shared=shared)
+    w, fix = [[np.tile([0.3] * 5 + [0.0], (16, 1)) for _ in range(4)], [np.zeros((16, 33)) for _ in range(4)]]
+    if shared:
+        w, fix = [w[0]] * 4, [fix[0]] * 4
+    want = np.zeros(4)
+    for s in range(0, 700, m.STEP):
+        dw, df = {}, {}
+        for t in range(4):
+            for j in range(first[t] + s, min(first[t] + s + m.STEP, first[t + 1])):
+                o = odds[:, j].astype(int)
+                g = (o[2] != 0) + 2 * (o[3] != 0) + 4 * (o[4] != 0) + 8 * (abs(o[4]) > 32)
+                x = np.array([*(o / 16), 1.0])
+                z = w[t][g] @ x
+                c = int(np.clip(np.rint(z * 2) + 16, 0, 32))
+                z = np.clip(z + fix[t][g, c], -16, 16)
+                err = bit[j] - 1 / (1 + math.exp(-z))
+                want[t] += np.logaddexp(0, -z if bit[j] else z) / math.log(2)
+                lane = 0 if shared else t
+                dw.setdefault((lane, g), []).append(err * x)
+                df.setdefault((lane, g, c), []).append(err)
+        for (t, g), v in dw.items():
+            w[t][g] += m.RATE * np.sqrt(len(v)) / len(v) * np.sum(v, axis=0)
+        for (t, g, c), v in df.items():
+            fix[t][g, c] += m.FIX_RATE * sum(v) / (len(v) + 8)
+    assert got == pytest.approx(want, rel=1e-3)
+    if shared:
+        assert mixer.weights == pytest.approx(w[0], abs=1e-3) and mixer.fixes == pytest.approx(fix[0], abs=1e-3)
+
+
+def test_hashes_that_share_high_bits_stay_apart(monkeypatch):
+    hashes = np.array([7, 8, 7, 9, 1 << 60, 8], "u8")
+    monkeypatch.setattr(m, "word_hashes", lambda texts: (hashes, np.array([6])))
+    distinct, _, uses, place, _ = m.vocabulary([b"x"], [next(i for i in range(9) if m.fold(i) != m.HELD_OUT)], 1)
+    assert distinct[place].tolist() == hashes.tolist() and sorted(distinct.tolist()) == [7, 8, 9, 1 << 60]
+    assert uses[place].tolist() == [2, 2, 2, 1, 1, 2]
