@@ -117,11 +117,20 @@ def unpacked_numbers(raw: bytes, kind: str) -> np.ndarray:
 
 # --- token counts ----------------------------------------------------------------
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of texts in groups of bounded bytes, for its arrays are
+    several times as large as the texts."""
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)]) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at[:-1])) + 1).tolist(), len(texts)]
+    got = [word_hashes(texts[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return np.concatenate([h for h, _ in got]), np.concatenate([n for _, n in got])
+
+
 def vocabulary(texts: list[bytes], ids: list, slices: int):
     """Distinct words of a block in order of (slice, hash): their hashes,
     slices, uses in training documents, and for every word of the block its
     place among them and its document."""
-    hashes, per_doc = word_hashes(texts)
+    hashes, per_doc = hashed_words(texts)
     doc = np.repeat(np.arange(len(texts)), per_doc)
     # told apart by their high bits, which fit 64 bits with places, unless two hashes share those
     low = _U(max(len(hashes) - 1, 0).bit_length())
