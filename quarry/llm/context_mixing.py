@@ -489,7 +489,6 @@ class Mixer:
         same weights instead, which keep what they learnt."""
         gate = ((odds[2] != 0) + 2 * (odds[3] != 0).astype("u1") + 4 * (odds[4] != 0).astype("u1")
                 + 8 * (np.abs(odds[4].astype("i2")) > 32).astype("u1")).astype("u1")
-        sign = 2 * bit.astype("i1") - np.int8(1)
         count, n = len(first) - 1, len(ORDERS)
         lanes = 1 if shared else count
         w = np.tile(self.weights, (lanes, 1)).T.copy()  # (input, lane and gate)
@@ -518,19 +517,19 @@ class Mixer:
             cell = np.repeat(np.arange(len(row), dtype="i4") * CLASSES, runs)
             cell += np.clip(np.rint(z * 2) + CLASSES // 2, 0, CLASSES - 1).astype("i4")
             z += fix[row].ravel().take(cell)
-            y = sign.take(j).astype("f4")
-            e = np.exp(-y * np.clip(z, -16, 16))
-            cost = np.log(1 + e.astype("f8"))
+            z = np.clip(z, -16, 16)
+            y = bit.take(j).astype("f4")
+            cost = np.log(1 + np.exp((1 - 2 * y) * z).astype("f8"))
             if shared:
                 bits += np.bincount(np.repeat(live, size)[order], cost, count)
             else:
                 bits[live] += np.add.reduceat(cost, ends - size)
-            err = y * (e / (1 + e))
+            err = y - 1 / (1 + np.exp(-z))
             # a step's mean gradient, times what its number of bits is worth
-            scale = (RATE / np.sqrt(runs)).astype("f4")
+            scale = (RATE * np.sqrt(runs) / runs).astype("f4")
             for k in range(n):
-                w[k, row] += scale * unit * np.add.reduceat(err * x[k], starts)
-            w[n, row] += scale * np.add.reduceat(err, starts)
+                w[k, row] += scale * unit * np.add.reduceat(err * x[k], starts, dtype="f8").astype("f4")
+            w[n, row] += scale * np.add.reduceat(err, starts, dtype="f8").astype("f4")
             # counts and sums of errors (each below 1) in one number
             both = np.bincount(cell, err.astype("f8") + 16384, len(row) * CLASSES).reshape(-1, CLASSES)
             cells = np.rint(both / 16384)
